@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, url_rules, warc
+from . import langid, media, toxicity, url_rules, warc
+from .common import crc_of, only
 
 #: The rules of op4 as (action, host, path): fixed values.
 RULES = [
@@ -27,6 +28,24 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_rules.rules_frame(spark, RULES))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = crc_of("doc_id") % 5 == 0
+    model = toxicity.fit_toxicity(documents, labels.where(~held))
+    scored = toxicity.score_toxicity(only(documents, "doc_id", "text"), model)
+    score = F.col("toxic_score")
+    return scored.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = crc_of("doc_id") % 4 == 2
+    profiles = langid.fit_profiles(documents.where(~held))
+    found = langid.predict_language(only(documents, "doc_id", "text"), profiles)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_features(media.store_images(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
