@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, toxicity, url_rules, warc
+from . import langid, media, packing, toxicity, url_rules, warc
 from .common import crc_of, only
 
 #: The rules of op4 as (action, host, path): fixed values.
@@ -50,6 +50,18 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_features(media.store_images(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe())
+    return pieces.drop("ids")
+
+
+def byte_bpe() -> str:
+    """The tokenizer file that the packing query names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
