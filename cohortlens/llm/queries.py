@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, toxicity, url_rules, warc
+from . import langid, media, mtree, packing, toxicity, url_rules, warc
 from .common import crc_of, only
 
 #: The rules of op4 as (action, host, path): fixed values.
@@ -46,6 +46,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = only(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    vectors = rows.select("vec_id", mtree.quantize(F.col("embedding")).alias("v"))
+    return mtree.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_features(media.store_images(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -89,3 +95,11 @@ m AS (SELECT page_id, host, path, rhost || rpath AS rule, action,
       FROM s LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WHERE rk = 1
 """
+
+SQL["op7_top_k"] = """
+WITH e AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
