@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mtree, packing, toxicity, url_rules, warc
+from . import langid, media, minhash, mtree, packing, toxicity, url_rules, warc
 from .common import crc_of, only
 
 #: The rules of op4 as (action, host, path): fixed values.
@@ -20,6 +20,10 @@ RULES = [
 ]
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
