@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, minhash, mtree, packing, toxicity, url_rules, warc
+from . import langid, media, minhash, mtree, packing, suffix_repeats, toxicity, url_rules, warc
 from .common import crc_of, only
 
 #: The rules of op4 as (action, host, path): fixed values.
@@ -60,6 +60,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_features(media.store_images(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.digest_removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=200)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe())
     return pieces.drop("ids")
