@@ -272,7 +272,7 @@ def _round(labels: DataFrame, left: DataFrame, sets: DataFrame, percent: int) ->
         named = labels.withColumnsRenamed({"node": "a", "component": "ca"})
         other = labels.withColumnsRenamed({"node": "b", "component": "cb"})
         between = found.join(named, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        joined = components(between).withColumnsRenamed({"node": "component", "component": "to"})
+        joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
         known = labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node")))
         labels = materialize(known.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
     return labels, materialize(after)
