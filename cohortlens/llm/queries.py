@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, minhash, mtree, packing, suffix_repeats, toxicity, url_rules, warc
+from . import langid, media, minhash, mixing, mtree, packing, suffix_repeats, toxicity, url_rules, warc
 from .common import crc_of, only
 
 #: The rules of op4 as (action, host, path): fixed values.
@@ -19,6 +19,9 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
+#: Wanted token shares of ``labels.quality`` 0 and 1.
+QUALITY_TARGETS = {0: 0.05, 1: 0.95}
+
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
@@ -28,6 +31,13 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    model = mixing.fit_domains(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
+    mixed = mixing.mix(documents, model, QUALITY_TARGETS, ["doc_id"])
+    return mixed.select("doc_id", "tokens", "posteriors", "rate", "copies")
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_rules.rules_frame(spark, RULES))
 
