@@ -36,60 +36,77 @@ PLACE = np.uint64((1 << 28) - 1)
 # --- the kernel -------------------------------------------------------------------------------
 
 
-def suffix_array(texts: list[bytes], groups: np.ndarray, starts: list[np.ndarray] | None = None) -> dict:
+def suffix_array(texts: list[bytes], groups: np.ndarray, starts: list[np.ndarray] | None = None, least: int = 1) -> dict:
     """Sorted suffixes of many short texts by (group, suffix), with common-prefix lengths; suffixes end with their text.
 
-    ``starts`` limits the suffixes to given positions of each text. Ranks of prefixes of 7, 14, 28 ... bytes
-    come from sorting pairs of ranks; the same ranks give the common prefixes of neighbours.
+    ``starts`` limits the suffixes to given positions of each text. Ranks of prefixes of 7, 21, 63 ... bytes
+    come from sorting triples of ranks (pairs where three don't fit 64 bits); the same ranks give the common
+    prefixes of neighbours. Common prefixes shorter than ``least`` may be given as 0.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     width = sizes + FIRST
     base = np.r_[0, np.cumsum(width)]
-    symbols = np.zeros(int(base[-1]) + FIRST, np.uint64)
+    symbols = np.zeros(int(base[-1]) + FIRST, np.uint16)
     flat = np.frombuffer(b"".join(texts), np.uint8)
     at = np.arange(len(flat)) + np.repeat(base[:-1] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-    symbols[at] = flat.astype(np.uint64) + np.uint64(1)
+    symbols[at] = flat
+    symbols[at] += np.uint16(1)
     n = int(base[-1])
-    stop = np.repeat(base[:-1] + sizes, width)  # where each position's text ends: all zeros from there
+    stop = np.repeat((base[:-1] + sizes).astype(np.int32), width)  # where each position's text ends: all zeros from there
     key = np.zeros(n, np.uint64)
     for j in range(FIRST):
-        key = (key << np.uint64(9)) | symbols[j : j + n]
-    place = np.arange(n)
+        key <<= np.uint64(9)
+        key |= symbols[j : j + n]
+    place = np.arange(n, dtype=np.int32)
     ranks, span, longest = [], FIRST, int(sizes.max(initial=0))
     while True:
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        step = np.r_[False, sorted_key[1:] != sorted_key[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
-        ranks.append((span, rank.astype(np.int32)))
-        if span >= longest:
+        order = np.argsort(key)
+        key = key[order]
+        step = np.empty(n, np.int32)
+        step[:1] = 0
+        np.not_equal(key[1:], key[:-1], out=step[1:], casting="unsafe")
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.cumsum(step, dtype=np.uint32)
+        ranks.append((span, rank))
+        if span >= longest or not n:
             break
-        key = (rank.astype(np.uint64) << np.uint64(32)) | rank[np.minimum(place + span, stop)].astype(np.uint64) if n else key
-        span *= 2
+        bits = np.uint64(max(1, int(rank.max()).bit_length()))
+        key = rank.astype(np.uint64)
+        for k in (1, 2) if 3 * bits <= 64 else (1,):
+            key <<= bits
+            key |= rank[np.minimum(place + k * span, stop)]
+        span *= 3 if 3 * bits <= 64 else 2
     if starts is None:
         starts = [np.arange(s) for s in sizes]
     count = np.array([len(s) for s in starts], np.int64)
     text = np.repeat(np.arange(len(texts)), count)
     offset = np.concatenate(starts).astype(np.int64) if starts else np.zeros(0, np.int64)
     pos = base[:-1][text] + offset
-    order = np.lexsort((pos, ranks[-1][1][pos], groups[text]))
+    order = np.argsort((groups[text].astype(np.uint64) << np.uint64(32)) | ranks[-1][1][pos])
     pos, text, offset = pos[order], text[order], offset[order]
-    a, b = pos[:-1].copy(), pos[1:].copy()
-    common = np.zeros(len(a), np.int64)
+    group = groups[text]
+    common = np.zeros(max(0, len(pos) - 1), np.int64)
+    shared = group[1:] == group[:-1]
+    near = max([k for k in ranks if k[0] <= least], default=None, key=lambda k: k[0])
+    if near is not None:
+        shared &= near[1][pos[1:]] == near[1][pos[:-1]]
+    some = np.flatnonzero(shared)
+    a, b = pos[some], pos[some + 1]
+    end_a, end_b = stop[a].astype(np.int64), stop[b].astype(np.int64)
+    reach = np.minimum(end_a - a, end_b - b)
+    found = np.zeros(len(some), np.int64)
     for span, rank in reversed(ranks):
-        same = (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]) & (a < stop[pos[:-1]]) & (b < stop[pos[1:]])
-        common += span * same
-        a, b = np.minimum(a + span * same, stop[pos[:-1]]), np.minimum(b + span * same, stop[pos[1:]])
+        for _ in range(2):  # at most two spans of a level fit below the next level's
+            same = span * (rank[np.minimum(a, end_a)] == rank[np.minimum(b, end_b)]) * (found < reach)
+            found += same
+            a, b = np.minimum(a + same, end_a), np.minimum(b + same, end_b)
     for _ in range(FIRST - 1):
         same = (symbols[a] == symbols[b]) & (symbols[a] > 0)
-        common += same
+        found += same
         a, b = a + same, b + same
-    left_size = sizes[text] - offset
-    common = np.minimum(common, np.minimum(left_size[:-1], left_size[1:]))
-    common[groups[text[1:]] != groups[text[:-1]]] = 0
+    common[some] = np.minimum(found, reach)
     before = np.where(offset > 0, symbols[np.maximum(pos - 1, 0)].astype(np.int64), -1 - np.arange(len(pos)))
-    return {"text": text, "offset": offset, "lcp": np.r_[0, common].astype(np.int64), "left": before}
+    return {"text": text, "offset": offset, "lcp": np.r_[0, common].astype(np.int64)[: len(pos)], "left": before}
 
 
 def maximal_repeats(array: dict, least: int) -> Iterator[tuple[int, int, int]]:
@@ -134,7 +151,7 @@ def merge_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
 def repeats_in_contexts(texts: list[bytes], groups: np.ndarray, copies: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context the spans that a maximal repeat of its group covers; a context with copies repeats as a whole."""
     starts = [np.arange(len(t) - least + 1) for t in texts]
-    array = suffix_array(texts, groups, starts)
+    array = suffix_array(texts, groups, starts, least)
     found_text, found_begin, found_end = [], [], []
     for length, first, last in maximal_repeats(array, least):
         found_text.append(array["text"][first : last + 1])
