@@ -26,6 +26,7 @@ SLICE = 1 << 20
 #: Bytes of contexts that one kernel call takes, about, and distinct contexts of one anchor that stay together.
 KERNEL_BYTES = 2 << 20
 CHUNK = 16384
+SALTS = 16
 #: Up to this many text keys (16 bytes each) are broadcast to prune the documents before they are shuffled.
 BROADCAST_KEYS = 500_000
 #: Width of the first ranks: seven symbols of nine bits make a key.
@@ -247,19 +248,24 @@ def repeat_spans(documents: DataFrame, least: int = LEAST, text: str = "text") -
 
     schema = "anchor long, context long, d long, n int, first int, last int"
     found = materialize(rows.where(F.col("n") >= least).mapInArrow(find, schema))
-    again = found.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    shared = materialize(found.join(again, "anchor", "left_semi"))
+    again = found.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    again = again.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # an anchor inside a passage that many texts share is one key with a large part of the rows: its rows are dealt over salts
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("d", "first"), F.lit(SALTS)).cast("int"))
+    shared = materialize(salted.join(again, ["anchor", "salt"], "left_semi").drop("salt"))
     kinds = shared.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min_by(F.struct("d", "n", "first", "last"), "d").alias("at"))
     kinds = materialize(kinds.select("anchor", "context", "copies", "at.*"))
     per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("m"))
     many = per_anchor.where("m > 1").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
     asked = materialize(kinds.join(many, "anchor").withColumn("chunk", F.pmod("context", "chunks").cast("int")).drop("m"))
     spans = materialize(_scan(_contexts(rows, asked, least, text), least))
-    inside = spans.select("anchor", "context", F.explode_outer(F.arrays_zip("begins", "ends")).alias("s"))
-    part = shared.join(inside, ["anchor", "context"]).where("s is not null").select("d", "n", (F.col("first") + F.col("s.begins")).alias("b"), (F.col("first") + F.col("s.ends")).alias("e"))
     # anchors of one context: all its windows are in every copy
-    whole = shared.join(per_anchor.where("m = 1"), "anchor", "left_semi").select("d", "n", F.col("first").alias("b"), (F.col("last") + least).alias("e"))
-    spread = part.unionByName(whole).distinct().groupBy("d", "n").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("s"))
+    single = kinds.join(per_anchor.where("m = 1"), "anchor").select(
+        "anchor", "context", F.array(F.lit(0).cast("long")).alias("begins"), F.array((F.col("last") - F.col("first") + least).cast("long")).alias("ends")
+    )
+    inside = spans.unionByName(single).select("anchor", "context", F.explode(F.arrays_zip("begins", "ends")).alias("s"))
+    part = shared.join(inside, ["anchor", "context"]).select("d", "n", (F.col("first") + F.col("s.begins")).alias("b"), (F.col("first") + F.col("s.ends")).alias("e"))
+    spread = part.distinct().groupBy("d", "n").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("s"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,14 +320,18 @@ def _scan(contexts: DataFrame, least: int) -> DataFrame:
         groups = np.empty(len(order), np.int64)
         groups[order] = np.cumsum(new)
         pairs = repeats_in_contexts(texts, groups, table["copies"].to_numpy(), least)
-        loose = []
-        for t, chunks, (b, e) in zip(texts, table["chunks"].to_pylist(), pairs, strict=True):
+        loose, seen = [], set()
+        for t, group, chunks, (b, e) in zip(texts, groups.tolist(), table["chunks"].to_pylist(), pairs, strict=True):
             digests = []
-            if chunks > 1:  # windows that nothing in this chunk equals
+            if chunks > 1:  # windows that nothing in this chunk equals, and one (w = -1) of each kind that something does
                 open_ = np.ones(len(t) - least + 1, bool)
                 for i, j in zip(b.tolist(), e.tolist(), strict=True):
                     open_[i : j - least + 1] = False
-                digests = [{"w": int(w), "digest": hashlib.blake2b(t[w : w + least], digest_size=16).digest()} for w in np.flatnonzero(open_)]
+                for w, lone in enumerate(open_.tolist()):
+                    digest = hashlib.blake2b(t[w : w + least], digest_size=16).digest()
+                    if lone or (group, digest) not in seen:
+                        digests.append({"w": w if lone else -1, "digest": digest})
+                        seen.add((group, digest))
             loose.append(digests)
         kind = pa.list_(pa.struct([("w", pa.int32()), ("digest", pa.binary())]))
         ints = pa.list_(pa.int64())
@@ -338,7 +348,7 @@ def _scan(contexts: DataFrame, least: int) -> DataFrame:
     # across chunks: equal loose windows
     loose = spans.select("anchor", "context", F.explode("loose").alias("x")).select("anchor", "context", "x.w", "x.digest")
     equal = loose.groupBy("anchor", "digest").agg(F.count("*").alias("k")).where("k > 1").select("anchor", "digest")
-    more = loose.join(equal, ["anchor", "digest"], "left_semi").select("anchor", "context", F.array(F.col("w").cast("long")).alias("begins"), F.array((F.col("w") + least).cast("long")).alias("ends"))
+    more = loose.where("w >= 0").join(equal, ["anchor", "digest"], "left_semi").select("anchor", "context", F.array(F.col("w").cast("long")).alias("begins"), F.array((F.col("w") + least).cast("long")).alias("ends"))
     return spans.drop("loose").unionByName(more)
 
 
