@@ -26,6 +26,8 @@ MISS = 1e-6
 #: Up to this many candidate ids (16 bytes each) are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 SALTS = 8
+#: Shingles of one block of sets: a task of the block-by-block comparison takes two.
+BLOCK_SHINGLES = 500_000
 SLICE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,10 +210,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, key
     equal texts are one class: they share the component, each row is returned. Empty tables give empty results.
 
     Equal sets are grouped before anything else, so groups of copies cost one row. In each bucket of a band all
-    members are compared with the smallest (a star, not all pairs). Where a bucket then still holds
-    several components, members that may be like another are compared with further leaders, round by round, until
-    every pair of the bucket is in one component, compared, or ruled out by a bound: shingles of x that no other such member has can
-    be in no intersection. So no link between candidates is lost, and none is assumed.
+    members are compared with the smallest (a star, not all pairs). Members of buckets that then still hold several
+    components are compared block by block within their family, the sets that buckets connect: a task takes two blocks
+    of bounded size, counts common shingles in matrices, and returns only links that join components. So no link between
+    candidates is lost, and what is returned grows with the members, not with their pairs.
     """
     base = only(documents, key, text)
     bands = bands_for(percent)
@@ -231,11 +233,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, key
         sets = materialize(sets.groupBy("rep").agg(F.max("n").alias("n"), F.first("shingles").alias("shingles")))
     stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     labels = components(_confirm(stars, sets, percent))
-    left = members.where("rep <> hub").select("band", "rep", "n")
-    while True:
-        labels, left = _round(labels, left, sets, percent)
-        if left is None:
-            break
+    labels = _settle(labels, members.select("band", "rep", "n"), sets, percent)
     of_class = classes.select("fp1", "fp2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     out = prints.select("key", "n", "fp1", "fp2").join(of_class, ["fp1", "fp2"], "left")
@@ -243,39 +241,100 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, key
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
 
 
-def _round(labels: DataFrame, left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Compare a few more leaders of each unsettled bucket; returns the new labels and what is left, None at the end."""
-    labelled = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
+def common_counts(rows: np.ndarray, shingles: np.ndarray, m: int) -> np.ndarray:
+    """(m, m) numbers of common shingles (above the diagonal) of m sets given as (row, shingle) pairs.
+
+    Shingles of a few rows are counted pair by pair along the sorted list, those of many rows by products of 0/1 matrices.
+    """
+    order = np.lexsort((rows, shingles))
+    rows, shingles = rows[order].astype(np.int64), shingles[order]
+    new = np.r_[True, shingles[1:] != shingles[:-1]]
+    kind = np.cumsum(new) - 1
+    size = np.bincount(kind)[kind]
+    out = np.zeros(m * m, np.float32)
+    few = 16
+    r, k = rows[(size > 1) & (size <= few)], kind[(size > 1) & (size <= few)]
+    for step in range(1, few):
+        same = np.flatnonzero(k[step:] == k[:-step])
+        if not len(same):
+            break
+        out += np.bincount(r[same] * m + r[same + step], minlength=m * m).astype(np.float32)
+    out = out.reshape(m, m)
+    r, k = rows[size > few], kind[size > few]
+    if len(r):
+        columns = np.unique(k, return_inverse=True)[1]
+        width = max(1, (8 << 20) // m)
+        for begin in range(0, int(columns.max()) + 1, width):
+            part = (columns >= begin) & (columns < begin + width)
+            x = np.zeros((m, min(width, int(columns.max()) + 1 - begin)), np.float32)
+            x[r[part], columns[part] - begin] = 1
+            out += x @ x.T
+    return out
+
+
+def _joining(percent: int):  # noqa: ANN202
+    """The kernel of a pair of blocks: the alike pairs of different components, as few as join what they join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, reps, labels = table["block"].to_numpy(), table["rep"].to_pylist(), table["component"].to_pylist()
+        n = table["n"].to_numpy()
+        lists = table["shingles"].combine_chunks()
+        at = np.asarray(lists.offsets, np.int64)
+        flat = np.asarray(lists.values)[at[0] : at[-1]]
+        common = common_counts(np.repeat(np.arange(len(n)), np.diff(at)), flat, len(n))
+        common = np.maximum(common, common.T)
+        alike = common * 100 >= (n[:, None] + n[None, :] - common) * percent
+        alike &= block[:, None] <= block[None, :] if table["lo"][0] == table["hi"][0] else block[:, None] < block[None, :]
+        parent = {c: c for c in labels}
+
+        def root(c):  # noqa: ANN001, ANN202
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        a, b = [], []
+        for i, j in zip(*np.nonzero(alike), strict=True):
+            x, y = root(labels[i]), root(labels[j])
+            if x != y:
+                parent[y] = x
+                a.append(reps[i])
+                b.append(reps[j])
+        kind = table.schema.field("rep").type
+        return pa.Table.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+    return run
+
+
+def _settle(labels: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The labels after all links between members of one bucket that the stars have left in different components."""
+    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
     labelled = materialize(labelled)
-    unsettled = labelled.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band")
-    active = materialize(labelled.join(unsettled, "band", "left_semi"))
-    if active.isEmpty():
-        return labels, None
-    # u: shingles that no other active member has
-    lone = sets.join(active.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("shingles").alias("s"))
-    lone = lone.groupBy("s").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("rep").agg(F.count("*").alias("u"))
-    least = active.groupBy("band").agg(F.min("n").alias("least"))
-    bound = active.join(least, "band").join(lone, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    shared = F.col("n") - F.col("u")
-    active = materialize(bound.where(_alike(shared, F.col("n"), F.greatest(F.col("least"), shared), percent)).select("band", "rep", "n", "u", "component"))
-    unsettled = active.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band")
-    active = materialize(active.join(unsettled, "band", "left_semi"))
+    unsettled = labelled.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("rep").alias("first")).where("c1 <> c2")
+    unsettled = unsettled.select("band", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = labelled.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    active = materialize(salted.join(unsettled, ["band", "salt"]).select("rep", "n", "component", "first").distinct())
     if active.isEmpty():
-        return labels, None
-    leaders = active.groupBy("band", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt")).agg(F.min_by(F.struct("rep", "n", "u", "component"), "rep").alias("x"))
-    leaders = materialize(leaders.select("band", F.col("x.rep").alias("b"), F.col("x.n").alias("nb"), F.col("x.u").alias("ub"), F.col("x.component").alias("cb")))
-    most = F.least(F.col("n") - F.col("u"), F.col("nb") - F.col("ub"))
-    met = active.join(leaders, "band").where((F.col("component") != F.col("cb")) & _alike(most, F.col("n"), F.col("nb"), percent))
-    found = materialize(_confirm(met.select(F.col("rep").alias("a"), "b").distinct(), sets, percent))
-    after = active.join(leaders.select("band", F.col("b").alias("rep")), ["band", "rep"], "left_anti").select("band", "rep", "n")
-    if not found.isEmpty():
-        named = labels.withColumnsRenamed({"node": "a", "component": "ca"})
-        other = labels.withColumnsRenamed({"node": "b", "component": "cb"})
-        between = found.join(named, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
-        known = labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node")))
-        labels = materialize(known.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-    return labels, materialize(after)
+        return labels
+    family = components(active.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    rows = active.select("rep", "n", "component").distinct().join(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+    size = rows.groupBy("family").agg(F.sum("n").alias("total"))
+    rows = rows.join(size, "family").withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("total")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = rows.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component", "n")
+    kind = labels.schema["node"].dataType.simpleString()
+    paired = materialize(keyed).join(sets.select("rep", "shingles"), "rep")
+    found = materialize(paired.groupBy("family", "lo", "hi").applyInArrow(_joining(percent), f"a {kind}, b {kind}"))
+    if found.isEmpty():
+        return labels
+    named = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    other = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = found.join(named, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    lone = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    known = labels.unionByName(lone.withColumn("component", F.col("node")))
+    return materialize(known.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
 def _repeats(documents: DataFrame, wanted: DataFrame, key: str) -> bool:
