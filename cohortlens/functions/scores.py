@@ -60,5 +60,5 @@ def replicated(n1: Column, n0: Column, concordant: Column, ci_low: Column, fdr:
 
 def parse_pairs(x: Column) -> Column:
     """``a:0.8; b:0.7`` as an array of (marker, similarity)."""
-    items = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ";"), F.trim), lambda s: s != "")
+    items = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ";"), lambda s: F.trim(s)), lambda s: s != "")
     return F.transform(items, lambda s: F.struct(F.trim(F.split_part(s, F.lit(":"), F.lit(1))).alias("marker"), F.split_part(s, F.lit(":"), F.lit(2)).try_cast("double").alias("similarity")))

@@ -60,5 +60,5 @@ def disjoint_violations(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def explode_list(df: DataFrame, column: str, separator: str = ";", name: str = "item") -> DataFrame:
     """One row for each trimmed, non-empty item of a delimited cell."""
-    items = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), separator), F.trim), lambda s: s != "")
+    items = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), separator), lambda s: F.trim(s)), lambda s: s != "")
     return df.withColumn(name, F.explode(items))

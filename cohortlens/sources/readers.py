@@ -156,7 +156,7 @@ def read_series_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 def scrape_number(spark: SparkSession, path: str, pattern: str) -> float:
     """The first group of the pattern in a text report, as a number; no match is an error."""
-    found = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("value", pattern, 1).alias("x")).first()
+    found = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", pattern, 1).alias("x")).first()
     if found is None or not found[0]:
         raise ValueError(f"{pattern!r} is not in {path}")
     return float(found[0].replace(",", "."))
