@@ -136,7 +136,9 @@ def predict_language(documents: DataFrame, profiles: Profiles | None, text: str
 
     ``lang_pred`` is the language of the largest cosine (ties: the first by name), ``lang_score`` that cosine, 0
     if negative. Texts that are null or hold no letter, and all texts without profiles, are ``und`` with score 0.
+    Repeated rows stay; columns of these names in the input are replaced.
     """
+    documents = documents.drop("lang_pred", "lang_score")
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
     names = documents.columns
     plain = documents.toDF(*(f"c{i}" for i in range(len(names))))

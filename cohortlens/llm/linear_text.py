@@ -177,8 +177,9 @@ def predict(documents: DataFrame, model: LinearText | None, text: str = "text")
     """All columns of ``documents`` and ``posteriors`` (array<double>, in the order of the model's labels).
 
     Null and empty texts have no n-gram: their posteriors follow the bias alone. Without a model
-    every row's posteriors are an empty array.
+    every row's posteriors are an empty array. A column of that name in the input is replaced.
     """
+    documents = documents.drop("posteriors")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
     plain = documents.toDF(*(f"c{i}" for i in range(len(names))))

@@ -20,9 +20,9 @@ def score_toxicity(documents: DataFrame, model: linear_text.LinearText | None, t
     """All columns of ``documents`` and ``toxic_score`` from 0 to 1.
 
     Null and empty texts get the score of the bias alone; equal texts get equal scores. Without a
-    model (no labelled row) every score is 0. Rows and their order of columns stay as they are.
+    model (no labelled row) every score is 0. Repeated rows stay; a column of that name in the input is replaced.
     """
-    scored = linear_text.predict(documents, model, text)
+    scored = linear_text.predict(documents.drop("toxic_score"), model, text)
     if model is not None and 1 in model.labels:
         p = F.element_at("posteriors", model.labels.index(1) + 1)
     else:
