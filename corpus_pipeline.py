@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,28 @@ from cohortlens.llm.queries import QUALITY_TARGETS, byte_bpe
 BROADCAST_IDS = 1_000_000
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def own_columns(stage: Stage) -> Stage:
+    """The stage, blind to all columns but doc_id, text and n_chars: the others come back as they were, whatever their names."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        plain = [n if n in ("doc_id", "text", "n_chars") and names.index(n) == i else f"column_{i}" for i, n in enumerate(names)]
+        return stage(spark, docs.toDF(*plain), sf_dir).toDF(*names)
+
+    return run
+
+
+@own_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled ones among ``docs``."""
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_toxicity(docs, model).where(F.col("toxic_score") < toxicity.THRESHOLD).select(docs.columns)
 
 
+@own_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id; of rows that are wholly equal one."""
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -30,11 +48,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+@own_columns
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes and more that occur more than once are cut from the texts; the documents stay."""
-    return suffix_repeats.remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    out = suffix_repeats.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
+@own_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says."""
     model = mixing.fit_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
