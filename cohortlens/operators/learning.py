@@ -6,12 +6,15 @@ they are dealt over the cluster as groups of a frame and run in numpy.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import CongruentialDraws, fnv1a_py
+from ..functions.hashing import CongruentialDraws, fnv1a, fnv1a_py
+from .ranking import hash_bags, percentile_rank
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -126,6 +129,10 @@ def cross_validated_newton(long: DataFrame, feature: str = "feature", label: str
 # --- positive-unlabelled ensembles ----------------------------------------------------------------
 
 
+#: Positives that a ranking is fitted on at most.
+MAX_POSITIVES = 500
+RANKED = "name string, score double, oob_models int, fallback boolean, median double, q25 double, q75 double, top_1 double, top_5 double, top_10 double, top_20 double, features array<string>"
+
 #: The representations and penalties that selection chooses from: fixed values.
 CONFIGS = (
     ("k234_core_l2_003_u050", (2, 3, 4), "core", 0.03, 0.0, 0.5, 2.0),
@@ -224,14 +231,6 @@ class Ensemble:
     def consensus(self, sequences: pd.Series) -> np.ndarray:
         return self.matrix(sequences) @ np.mean(self.weights, axis=0) + float(np.mean(self.biases))
 
-    def out_of_bag(self, names: pd.Series, sequences: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean logit over the bags without the entry (all bags where there is none), their number, and all logits."""
-        logits = self.matrix(sequences) @ np.array(self.weights).T + np.array(self.biases)
-        outside = np.array([[n not in m for m in self.members] for n in names])
-        count = outside.sum(axis=1)
-        use = np.where(count[:, None] > 0, outside, True)
-        return (logits * use).sum(axis=1) / use.sum(axis=1), count, np.where(outside, logits, np.nan)
-
 
 def midranks(held: pd.DataFrame, background: pd.DataFrame, held_scores: np.ndarray, scores: np.ndarray) -> np.ndarray:
     out = []
@@ -344,35 +343,53 @@ def sequence_kmers(s: str, sizes: tuple[int, ...] = (2, 3, 4)) -> dict[str, floa
 
 
 def rank_candidates(entries: DataFrame, config: tuple = CONFIGS[0], bags: int = 20, size: int = 800, epochs: int = 420, salt: str = "final") -> DataFrame:
-    """(name, score, oob_models, fallback, median, q25, q75, top_1, top_5, top_10, top_20, features): the final ensemble's out-of-bag ranking.
+    """(name, score, oob_models, fallback, median, q25, q75, top_1, top_5, top_10, top_20, features): out-of-bag scores of all unlabelled entries.
 
-    The pool is curated (thousands of short sequences), so one work item fits and scores it.
+    Fitted on at most MAX_POSITIVES positives, those with the smallest hashes, and bags of ``size`` unlabelled entries drawn
+    from all of them; bags are fitted in parallel. The models, a bounded number of weights, then score every entry
+    where it is; stability is the spread of an entry's percentile over the bags it was not in.
     """
-    packed = entries.select("name", "sequence", "family", F.col("positive").cast("int").alias("positive"), F.col("evidence").cast("double").alias("evidence"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("name").reset_index(drop=True)
-        positives, rest = pdf[pdf["positive"] == 1], pdf[pdf["positive"] == 0].reset_index(drop=True)
-        e = Ensemble(positives, rest, config, bags, size, epochs, salt)
-        mean, count, logits = e.out_of_bag(rest["name"], rest["sequence"])
-        percent = np.full(logits.shape, np.nan)  # of each bag's out-of-bag candidates
-        for b in range(logits.shape[1]):
-            some = np.flatnonzero(~np.isnan(logits[:, b]))
-            order = sorted(some, key=lambda i: (logits[i, b], -i))
-            percent[order, b] = np.arange(len(order)) / (len(order) - 1) if len(order) > 1 else 1.0
-        x, w = e.matrix(rest["sequence"]), np.mean(e.weights, axis=0)
-        rows = []
-        for i, name in enumerate(rest["name"]):
-            p = percent[i][~np.isnan(percent[i])]
-            q = np.quantile(p, [0.25, 0.5, 0.75]) if len(p) else [np.nan] * 3
-            share = [float((p >= c).mean()) if len(p) else 0.0 for c in (0.99, 0.95, 0.9, 0.8)]
-            gain = x[i] * w
-            best = [e.vocabulary[j] for j in np.argsort(-gain, kind="stable")[:10] if gain[j] > 0]
-            rows.append((name, float(mean[i]), int(count[i]), bool(count[i] == 0), float(q[1]), float(q[0]), float(q[2]), *share, best))
-        return pd.DataFrame(rows, columns=["name", "score", "oob_models", "fallback", "median", "q25", "q75", "top_1", "top_5", "top_10", "top_20", "features"])
-
-    schema = "name string, score double, oob_models int, fallback boolean, median double, q25 double, q75 double, top_1 double, top_5 double, top_10 double, top_20 double, features array<string>"
-    return packed.groupBy(F.lit(0).alias("_g")).applyInPandas(run, schema)
+    base = entries.select("name", "sequence", "family", F.col("positive").cast("int").alias("positive"), F.col("evidence").cast("double").alias("evidence"))
+    positives = base.where("positive = 1").orderBy(fnv1a(F.concat(F.lit(f"{salt}|"), F.col("name"))), "name").limit(MAX_POSITIVES).toPandas().sort_values("name")
+    rest = base.where("positive = 0")
+    schema = "name string, score double, oob_models int, fallback boolean, features array<string>, logits array<double>"
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = Ensemble(positives, pdf.sort_values("name").reset_index(drop=True), config, 1, len(pdf), epochs, salt)
+        return pd.DataFrame({"bag": [int(pdf["bag"].iloc[0])], "weights": [e.weights[0].tolist()], "bias": [e.biases[0]], "names": [pdf["name"].tolist()]})
+
+    models = []
+    if len(positives):
+        drawn = hash_bags(rest.select("name", "sequence"), "name", bags, size, salt)
+        models = sorted(drawn.groupBy("bag").applyInPandas(fit, "bag int, weights array<double>, bias double, names array<string>").collect(), key=lambda r: r["bag"])
+    if not models:
+        return entries.sparkSession.createDataFrame([], RANKED)
+    ensemble = Ensemble(positives, positives.iloc[:0], config, 0, 0, 0, salt)
+    weights, biases = np.array([m["weights"] for m in models]), np.array([m["bias"] for m in models])
+    members = [frozenset(m["names"]) for m in models]
+
+    def score_part(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mean = weights.mean(axis=0)
+        for pdf in parts:
+            x = ensemble.matrix(pdf["sequence"])
+            logits = x @ weights.T + biases
+            outside = np.array([[n not in m for m in members] for n in pdf["name"]]).reshape(len(pdf), len(members))
+            count = outside.sum(axis=1)
+            use = np.where(count[:, None] > 0, outside, True)
+            best = []
+            for row in x * mean:
+                top = np.argsort(-row, kind="stable")[:10]
+                best.append([ensemble.vocabulary[j] for j in top if row[j] > 0])
+            held = [[float(z) if o else None for z, o in zip(a, b, strict=True)] for a, b in zip(logits, outside, strict=True)]
+            yield pd.DataFrame({"name": pdf["name"], "score": (logits * use).sum(axis=1) / use.sum(axis=1), "oob_models": count, "fallback": count == 0, "features": best, "logits": held})
+
+    scored = rest.select("name", "sequence").mapInPandas(score_part, schema)
+    each = scored.select("name", F.posexplode("logits").alias("bag", "logit")).where("logit is not null")
+    p = percentile_rank(each, [F.col("logit"), F.desc("name")], ["bag"])
+    q = lambda x: F.percentile("percentile", x)
+    share = lambda c: F.avg((F.col("percentile") >= c).cast("double"))
+    spread = p.groupBy("name").agg(q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), share(0.99).alias("top_1"), share(0.95).alias("top_5"), share(0.9).alias("top_10"), share(0.8).alias("top_20"))
+    return scored.drop("logits").join(spread, "name", "left").select("name", "score", "oob_models", "fallback", "median", "q25", "q75", "top_1", "top_5", "top_10", "top_20", "features")
 
 
 def choose_configuration(validated: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.hashing import fnv1a
+from ..storage import materialize
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], name: str = "average_rank") -> DataFrame:
@@ -71,11 +72,12 @@ def sequential_rank(df: DataFrame, order: list[Column], by: list[str] | None = N
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
     """Ranks 1..n over the whole frame without one task holding it: sort by ranges, number each part, add the parts before.
 
-    ``order`` must be a total order (end it with a unique key).
+    ``order`` must be a total order (end it with a unique key). Range bounds come from samples, so the parts are
+    written once: numbers and sizes must be of the same parts.
     """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     numbered = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))  # one row a partition
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))  # one row a part
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_n", "_size", "_before")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, scores, stats
 from ..operators import checks, learning, matching, matrix, ranking, resampling
+from ..storage import materialize
 
 
 def build_matrix(cases: DataFrame, controls: DataFrame, mapping: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +52,7 @@ def panel_matrix(long: DataFrame, panel: DataFrame) -> DataFrame:
 
 def rank_sequences(entries: DataFrame, **options: object) -> DataFrame:
     """Model 1: candidates by out-of-bag score, ties by name, with ranks and percentiles; entries as in ``learning.rank_candidates``."""
-    out = learning.rank_candidates(entries, **options)
+    out = materialize(learning.rank_candidates(entries, **options))
     ranked = ranking.global_rank(out, [F.desc("score"), F.col("name")])
     n = F.lit(out.count())
     return ranked.withColumn("percentile", F.when(n <= 1, 1.0).otherwise((n - F.col("rank")) / F.greatest(n - 1, F.lit(1))))

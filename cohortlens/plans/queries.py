@@ -768,13 +768,15 @@ def curated(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def ensemble_ranking(spark: SparkSession, d: str) -> DataFrame:
-    pool = ranking.top_per_group(curated(spark, d), ["positive"], [hashing.fnv1a(F.col("name")), F.col("name")], 300).drop("rank")
-    out = learning.rank_candidates(pool, bags=6, size=120, epochs=40)
-    return ranking.sequential_rank(out, [F.desc("score"), F.col("name")]).select(big("rank", "rank"), "name", r6("score", "score"), "oob_models", "fallback", r6("median", "median"))
+    """Every distinct unlabelled sequence, ranked by an ensemble that is fitted on bags."""
+    out = learning.rank_candidates(curated(spark, d), bags=6, size=120, epochs=40)
+    return ranking.global_rank(out.select("score", "name", "oob_models", "fallback", "median"), [F.desc("score"), F.col("name")]).select(big("rank", "rank"), "name", r6("score", "score"), "oob_models", "fallback", r6("median", "median"))
 
 
 @query(None)
 def nested_validation(spark: SparkSession, d: str) -> DataFrame:
-    pool = ranking.top_per_group(curated(spark, d), ["positive"], [hashing.fnv1a(F.col("name")), F.col("name")], 120).drop("rank")
+    """Validation of the fit by families, on a bounded sample of the labelled sequences (the 120 of each label with the smallest hashes)."""
+    order = [hashing.fnv1a(F.col("name")), F.col("name")]
+    pool = ranking.top_per_group(curated(spark, d), ["positive"], order, 120).drop("rank")
     out = learning.nested_validation(pool, configs=learning.CONFIGS[:2], bags=1, size=60, epochs=15)
     return out.groupBy("scorer", "fold").agg(F.count("*").alias("n"), r6(F.avg("percentile"), "percentile"))
