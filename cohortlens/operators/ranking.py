@@ -161,8 +161,9 @@ def first_of_key(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by, spearman): the correlation of average ranks; 0 where it is undefined."""
     ranked = average_rank(average_rank(df, x, by, "_x"), y, by, "_y")
-    c = F.corr("_x", "_y")
-    return ranked.groupBy(*by).agg(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).alias("spearman"))
+    spread = F.col("_sx") * F.col("_sy")
+    sums = ranked.groupBy(*by).agg(F.covar_pop("_x", "_y").alias("_c"), F.stddev_pop("_x").alias("_sx"), F.stddev_pop("_y").alias("_sy"))
+    return sums.select(*by, F.when(spread > 1e-15, F.col("_c") / F.when(spread > 1e-15, spread)).otherwise(0.0).alias("spearman"))
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
