@@ -133,3 +133,16 @@ r(doc_id, component_id) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.y, r.com
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
 FROM s JOIN (SELECT doc_id, min(component_id) AS component_id FROM r GROUP BY 1) m USING (doc_id)
 """
+
+SQL["op9_suffix_repeats"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT r, blk, substr(h, (400 * blk + 1)::INT, 800) AS seg FROM (SELECT r, h, unnest(range(0, (length(h) + 399) // 400)) AS blk FROM d)),
+b AS (SELECT r, blk * 200 + o AS p, seg, o FROM (SELECT r, blk, seg, unnest(range(0, least(200, length(seg) // 2))) AS o FROM g)),
+w AS (SELECT r, p, substr(seg, (2 * o + 1)::INT, 2) AS byte, CASE WHEN 2 * o + 400 <= length(seg) THEN md5_number(substr(seg, (2 * o + 1)::INT, 400)) END AS k FROM b),
+f AS (SELECT k FROM w WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+c AS (SELECT r, p, byte, max((f.k IS NOT NULL)::INT) OVER (PARTITION BY r ORDER BY p ROWS 199 PRECEDING) AS gone FROM w LEFT JOIN f USING (k)),
+e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY r ORDER BY p) AS before FROM c),
+s AS (SELECT r, sum(gone)::BIGINT AS n_removed, sum((gone = 1 AND before = 0)::INT)::BIGINT AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (gone = 0), '') AS kept FROM e GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN s USING (r)
+"""

@@ -21,6 +21,8 @@ from .common import held_by, materialize, only, shared_dir
 
 #: Ends every record; the text writer puts it after each, so a part file is an archive as it stands.
 END = "\r\n\r\n"
+#: Records of one archive at most: a reading task holds one archive.
+RECORDS_PER_FILE = 15_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, warc_date string, page_id long, payload_digest string, payload_bytes long, payload binary"
@@ -103,7 +105,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     planned = plan_revisits(pages, least_bytes).mapInArrow(run, "value binary")
-    planned.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    lines = planned.select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse_warc(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
