@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_by, materialize, only, shared_dir
+from .common import held_by, materialize, only, shared_dir, slices
 
 #: Ends every record; the text writer puts it after each, so a part file is an archive as it stands.
 END = "\r\n\r\n"
@@ -81,9 +81,9 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, "payload", 4 << 20)):
             out = []
-            for page_id, url, payload, digest, origin in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for page_id, url, payload, digest, origin in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
                 n += 1
                 uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
                 same = [("WARC-Target-URI", uri)]
@@ -164,7 +164,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                         head.get("warc-date"), page, bare, None if payload is None else len(payload), payload if with_payload else None,
                     ))
                     held += len(block) if with_payload else 200
-                    if held > 8 << 20:
+                    if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, held = [], 0
                 if rows:
