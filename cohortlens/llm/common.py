@@ -43,6 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
 
+#: Folders that this process has written and not yet deleted.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage ends here.
 
@@ -52,14 +56,23 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a folder written by :func:`materialize`, on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def written() -> int:
+    """A mark for :func:`release`."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables written after a mark, once what was computed from them is itself written; the last one may stay."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    last = len(_written) - 1 if keep_last else len(_written)
+    for path in _written[since:last]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _written[since:last]
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:

@@ -261,3 +261,12 @@ def test_columns_with_clashing_names(spark):
     with pytest.raises(ValueError):
         common.only(df, "nothing")
     assert linear_text.labelled_sample(df, spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, label int")).first()["label"] == 1
+
+
+def test_tables_are_released(spark):
+    mark = common.written()
+    a, b = common.materialize(spark.range(3)), common.materialize(spark.range(4))
+    common.release(spark, mark, keep_last=True)
+    assert b.count() == 4 and common.written() == mark + 1
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(a.inputFiles()[0]).count()
