@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import minhash, mixing, packing, suffix_repeats, toxicity
-from cohortlens.llm.common import materialize
+from cohortlens.llm.common import materialize, release, written
 from cohortlens.llm.queries import QUALITY_TARGETS, byte_bpe
 
 #: Up to this many ids (8 bytes each) are broadcast to drop their documents; more are joined by a shuffle.
@@ -80,10 +80,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each one's result is written to the shared folder and read again."""
+    """All stages over the documents table; each one's result is written to the shared folder and read again.
+
+    What a stage has written on its way is deleted when its result, and so all that reads it, is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
+        before = written()
         docs = materialize(stage(spark, docs, sf_dir))
+        release(spark, before, keep_last=True)
     return docs
 
 
