@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, names, scores, sequence, stats
 from ..operators import checks, learning, matching, matrix, ranking, resampling, sequences
+from ..storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,6 +75,11 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def reused_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The same, written once: for queries that read it on several branches, so texts are normalised once."""
+    return materialize(entries(spark, d))
+
+
 SEQ = """seq AS (SELECT d.doc_id AS entity, 'd' || d.doc_id AS name, left(regexp_replace(translate(upper(coalesce(d.text, '')), 'T', 'U'), '[^ACGU]', '', 'g'), 22) AS sequence,
  CASE WHEN coalesce(l.quality, 0) = 1 THEN 1 ELSE 0 END AS positive FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
 fam AS (SELECT *, substr(sequence, 2, 7) AS family FROM seq)"""
@@ -348,7 +354,7 @@ def heldout_midrank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _midranked(spark: SparkSession, d: str) -> DataFrame:
-    s = entries(spark, d).withColumn("score", F.round(sequence.gc_fraction(F.col("sequence")), 6)).select("entity", "family", "positive", "score").withColumn("pool_", F.lit(0))
+    s = reused_entries(spark, d).withColumn("score", F.round(sequence.gc_fraction(F.col("sequence")), 6)).select("entity", "family", "positive", "score").withColumn("pool_", F.lit(0))
     return ranking.held_out_midrank(s.where("positive = 1"), s.where("positive = 0"), ["pool_"], "family")
 
 
@@ -562,13 +568,13 @@ def terminal_motifs(spark: SparkSession, d: str) -> DataFrame:
 BAL = """bal AS (SELECT *, b * sum(e) OVER () / greatest(1e-12, sum(b) OVER ()) AS weight FROM (SELECT *, e / count(*) OVER (PARTITION BY family) AS b FROM (SELECT *, (1 + entity % 3)::DOUBLE AS e FROM fam WHERE positive = 1)))"""
 
 
-def balanced(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.balanced_weights(entries(spark, d).where("positive = 1"), 1 + F.col("entity") % 3)
+def balanced(e: DataFrame) -> DataFrame:
+    return sequences.balanced_weights(e.where("positive = 1"), 1 + F.col("entity") % 3)
 
 
 @query(f"WITH {SEQ}, {BAL} SELECT entity, family, round(weight, 6) AS weight FROM bal")
 def family_balanced_weights(spark: SparkSession, d: str) -> DataFrame:
-    return balanced(spark, d).select("entity", "family", r6("weight", "weight"))
+    return balanced(reused_entries(spark, d)).select("entity", "family", r6("weight", "weight"))
 
 
 VEC = f"vec AS (SELECT entity, feature, count(*) / sum(count(*)) OVER (PARTITION BY entity) AS value FROM ({kmer_sql('fam', (2, 3))}) GROUP BY entity, feature)"
@@ -577,8 +583,9 @@ VEC = f"vec AS (SELECT entity, feature, count(*) / sum(count(*)) OVER (PARTITION
 @query(f"""WITH {SEQ}, {BAL}, {VEC}, cen AS (SELECT feature, sum(value * weight) / (SELECT greatest(1.0, sum(weight)) FROM bal) AS c FROM vec JOIN bal USING (entity) GROUP BY feature)
 SELECT entity, round(sum(value * coalesce(c, 0)) / (sqrt(sum(value * value)) * (SELECT sqrt(sum(c * c)) FROM cen)), 6) AS cosine FROM vec LEFT JOIN cen USING (feature) GROUP BY entity""")
 def centroid_similarity(spark: SparkSession, d: str) -> DataFrame:
-    vectors = sequences.kmer_vectors(entries(spark, d), [2, 3])
-    target = sequences.centroid(vectors, balanced(spark, d))
+    e = reused_entries(spark, d)
+    vectors = materialize(sequences.kmer_vectors(e, [2, 3]))
+    target = sequences.centroid(vectors, balanced(e))
     return sequences.cosine_to(vectors, target).select("entity", r6("cosine", "cosine"))
 
 
@@ -596,7 +603,7 @@ def nearest_references(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SEQ}, {REF}, s AS (SELECT DISTINCT family FROM fam), m AS (SELECT DISTINCT substr(sequence, 2, 7) AS seed FROM ref)
 SELECT entity, round(best, 6) AS best FROM fam JOIN (SELECT family, max(list_sum([(substr(family, i::INT, 1) = substr(seed, i::INT, 1) AND substr(family, i::INT, 1) <> '')::INT FOR i IN range(1, 8)]) / greatest(length(family), length(seed), 1)) AS best FROM s, m GROUP BY family) USING (family)""")
 def seed_similarity(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d)
+    e = reused_entries(spark, d)
     seeds = references(spark, d).select(sequence.seed(F.col("sequence")).alias("seed")).distinct()
     packed = seeds.agg(F.collect_set("seed").alias("seeds"))  # one row: the curated reference set
     best = F.array_max(F.transform("seeds", lambda s: sequence.position_matches(F.col("family"), s)))
@@ -611,22 +618,22 @@ FROM pp LEFT JOIN bg USING (motif) WHERE presence >= 2),
 top AS (SELECT * FROM mot WHERE enrichment > 0 ORDER BY enrichment DESC, round(presence, 6) DESC, motif LIMIT 30)"""
 
 
-def motifs(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d)
+def motifs(e: DataFrame) -> DataFrame:
     k = sequences.kmer_counts(e, [3, 4])
     background = k.join(e.where("positive = 0").select("entity"), "entity", "left_semi")
-    found = sequences.motif_enrichment(k, background, balanced(spark, d), top=1_000_000)
+    found = sequences.motif_enrichment(k, background, balanced(e), top=1_000_000)
     return found.select("motif", "presence", F.round("enrichment", 9).alias("enrichment")).orderBy(F.desc("enrichment"), F.desc(F.round("presence", 6)), "motif").limit(30)
 
 
 @query(f"WITH {SEQ}, {BAL}, {MOTIF} SELECT motif, round(presence, 6) AS presence, round(enrichment, 6) AS enrichment FROM top")
 def motif_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    return motifs(spark, d).select("motif", r6("presence", "presence"), r6("enrichment", "enrichment"))
+    return motifs(reused_entries(spark, d)).select("motif", r6("presence", "presence"), r6("enrichment", "enrichment"))
 
 
 @query(f"""WITH {SEQ}, {BAL}, {MOTIF} SELECT fam.entity, round(coalesce(sum(top.enrichment), 0) / (SELECT sum(enrichment) FROM top), 6) AS coverage FROM fam LEFT JOIN top ON contains(sequence, motif) GROUP BY fam.entity""")
 def motif_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.motif_coverage(entries(spark, d), motifs(spark, d), [3, 4]).select("entity", r6("coverage", "coverage"))
+    e = reused_entries(spark, d)
+    return sequences.motif_coverage(e, motifs(e), [3, 4]).select("entity", r6("coverage", "coverage"))
 
 
 @query("""WITH n AS (SELECT p_partkey, ' HSA-miR-' || (p_partkey % 300) || CASE p_partkey % 4 WHEN 0 THEN '-5p' WHEN 1 THEN '-2-3p' WHEN 2 THEN '-1' ELSE '' END || ' ' AS raw FROM part),
