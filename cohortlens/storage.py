@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame as a committed Parquet table and read it again, so all uses see the same rows and partitions.
 
-    The folder is below ``spark.checkpoint.dir``; where that is unset (tests, one machine), beside the warehouse.
+    The folder is below ``spark.checkpoint.dir``; where that is unset (tests, one machine), in the warehouse.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
