@@ -35,11 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests,
-    a single machine) a folder under the warehouse takes its place.
+    a single machine) a folder in the warehouse takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
 
