@@ -2,7 +2,8 @@
 
 Doubles are rounded to six places, counts are 64-bit. ``embeddings`` stands for a log-scale sample x feature matrix
 with label 0 as the case class, ``events`` for linear measurements with even users as cases, the A, C, G and U of
-``documents`` for short sequences (22 letters), and ``labels.quality`` for curated positives.
+``documents`` for sequences, and ``labels.quality`` for curated positives. Queries with SQL see the first 22 letters, as
+their SQL does; those without see whole texts.
 """
 
 from __future__ import annotations
@@ -64,9 +65,10 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
 EVT = """evt AS (SELECT event_id AS sample, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS label, event_type AS feature, value FROM events)"""
 
 
-def entries(spark: SparkSession, d: str) -> DataFrame:
-    """(entity, name, sequence, family, positive) of the documents."""
-    docs = table(spark, d, "documents").select("doc_id", F.left(sequence.normalize_sequence(F.col("text")), F.lit(22)).alias("sequence"))
+def entries(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """(entity, name, sequence, family, positive) of the documents: of the whole texts, or of the 22 letters that the SQL frames take."""
+    letters = sequence.normalize_sequence(F.col("text"))
+    docs = table(spark, d, "documents").select("doc_id", (letters if whole else F.left(letters, F.lit(22))).alias("sequence"))
     marked = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     joined = docs.join(marked, "doc_id", "left")
     return joined.select(
@@ -75,9 +77,9 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def reused_entries(spark: SparkSession, d: str) -> DataFrame:
+def reused_entries(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """The same, written once: for queries that read it on several branches, so texts are normalised once."""
-    return materialize(entries(spark, d))
+    return materialize(entries(spark, d, whole))
 
 
 SEQ = """seq AS (SELECT d.doc_id AS entity, 'd' || d.doc_id AS name, left(regexp_replace(translate(upper(coalesce(d.text, '')), 'T', 'U'), '[^ACGU]', '', 'g'), 22) AS sequence,
@@ -353,8 +355,8 @@ def heldout_midrank(spark: SparkSession, d: str) -> DataFrame:
     return _midranked(spark, d).select("entity", "rank", r6("percentile", "percentile"))
 
 
-def _midranked(spark: SparkSession, d: str) -> DataFrame:
-    s = reused_entries(spark, d).withColumn("score", F.round(sequence.gc_fraction(F.col("sequence")), 6)).select("entity", "family", "positive", "score").withColumn("pool_", F.lit(0))
+def _midranked(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    s = reused_entries(spark, d, whole).withColumn("score", F.round(sequence.gc_fraction(F.col("sequence")), 6)).select("entity", "family", "positive", "score").withColumn("pool_", F.lit(0))
     return ranking.held_out_midrank(s.where("positive = 1"), s.where("positive = 0"), ["pool_"], "family")
 
 
@@ -696,7 +698,7 @@ def sign_flip_p(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def random_ranking(spark: SparkSession, d: str) -> DataFrame:
-    fam = _midranked(spark, d).groupBy("family").agg(F.count("*").alias("markers"), F.avg("percentile").alias("percentile"))
+    fam = _midranked(spark, d, whole=True).groupBy("family").agg(F.count("*").alias("markers"), F.avg("percentile").alias("percentile"))
     seen = fam.agg(F.avg("percentile"), F.count_if(F.col("percentile") >= 0.9)).first()
     return resampling.random_ranking_test(fam, "family", "markers", seen[0] or 0.0, seen[1] or 0, iterations=500)
 
@@ -769,7 +771,7 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 
 def curated(spark: SparkSession, d: str) -> DataFrame:
     """A pool of sequences: distinct ones of eight letters and more, positive if any document with it is."""
-    e = entries(spark, d).where(F.length("sequence") >= 8).groupBy("sequence").agg(F.max("positive").alias("positive"), F.min("name").alias("name"))
+    e = entries(spark, d, whole=True).where(F.length("sequence") >= 8).groupBy("sequence").agg(F.max("positive").alias("positive"), F.min("name").alias("name"))
     return e.select("name", "sequence", sequence.seed(F.col("sequence")).alias("family"), "positive", F.lit(1.0).alias("evidence"))
 
 
