@@ -757,8 +757,9 @@ def newton_association(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def gd_logistic(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").where("embedding is not null and label is not null")
-    wide = e.select((F.col("label") == 0).cast("double").alias("y"), *(F.element_at("embedding", i + 1).cast("double").alias(f"f{i}") for i in range(16)))
-    out = learning.fit_gradient_logistic(wide, [f"f{i}" for i in range(16)], "y", epochs=300)
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    wide = e.select((F.col("label") == 0).cast("double").alias("y"), *(F.element_at("embedding", i + 1).cast("double").alias(f"f{i}") for i in range(size)))
+    out = learning.fit_gradient_logistic(wide, [f"f{i}" for i in range(size)], "y")
     return out.select("feature", *(r6(c, c) for c in ("mean", "sd", "weight", "bias")))
 
 

@@ -1,7 +1,9 @@
 """Registered queries without SQL do the whole job: whole texts, whole pools, the operators' own iterations."""
 
+import numpy as np
 import pytest
 
+from cohortlens.operators import learning
 from cohortlens.plans import queries
 
 TEXTS = {1: "GATTACA" * 10, 2: "GATTACA" * 4 + "CCCC", 3: "acgt! " * 2, 4: "ac", 5: "xyz", 6: None, 7: "GGUUAACC" * 6}
@@ -12,6 +14,9 @@ def tables(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, 1), (7, 0), (7, 1)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    r = np.random.default_rng(4)
+    vectors = [(i, i % 3, [float(x) for x in r.normal(size=20) + (i % 3 == 0)]) for i in range(40)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -33,3 +38,12 @@ def test_random_ranking_sees_whole_texts(spark, tables):
         pool = [b for b in TEXTS if b not in (1, 7) and family[b] != family[k]]
         worse = sum((share[b] > share[k]) + (share[b] == share[k]) / 2 for b in pool)
         assert abs(got[k] - (1 - worse / len(pool))) < 1e-9
+
+
+def test_gradient_fit_has_all_components_and_epochs(spark, tables):
+    rows = spark.read.parquet(f"{tables}/embeddings.parquet").orderBy("vec_id").collect()
+    x, y = np.array([r["embedding"] for r in rows]), np.array([float(r["label"] == 0) for r in rows])
+    w, b = learning.gradient_logistic((x - x.mean(0)) / x.std(0, ddof=1), y, epochs=1800)
+    got = {r["feature"]: r for r in queries.gd_logistic(spark, tables).collect()}
+    assert set(got) == {f"f{i}" for i in range(20)}
+    assert all(abs(got[f"f{i}"]["weight"] - w[i]) < 2e-6 and abs(got[f"f{i}"]["bias"] - b) < 2e-6 for i in range(20))
