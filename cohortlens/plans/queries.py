@@ -771,15 +771,15 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curated(spark: SparkSession, d: str) -> DataFrame:
-    """A pool of sequences: distinct ones of eight letters and more, positive if any document with it is."""
-    e = entries(spark, d, whole=True).where(F.length("sequence") >= 8).groupBy("sequence").agg(F.max("positive").alias("positive"), F.min("name").alias("name"))
-    return e.select("name", "sequence", sequence.seed(F.col("sequence")).alias("family"), "positive", F.lit(1.0).alias("evidence"))
+    """A pool of sequences, written once: distinct ones that are not empty, positive if any document with it is."""
+    e = entries(spark, d, whole=True).where(F.length("sequence") > 0).groupBy("sequence").agg(F.max("positive").alias("positive"), F.min("name").alias("name"))
+    return materialize(e.select("name", "sequence", sequence.seed(F.col("sequence")).alias("family"), "positive", F.lit(1.0).alias("evidence")))
 
 
 @query(None)
 def ensemble_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct unlabelled sequence, ranked by an ensemble that is fitted on bags."""
-    out = learning.rank_candidates(curated(spark, d), bags=6, size=120, epochs=40)
+    out = learning.rank_candidates(curated(spark, d))
     return ranking.global_rank(out.select("score", "name", "oob_models", "fallback", "median"), [F.desc("score"), F.col("name")]).select(big("rank", "rank"), "name", r6("score", "score"), "oob_models", "fallback", r6("median", "median"))
 
 

@@ -47,3 +47,13 @@ def test_gradient_fit_has_all_components_and_epochs(spark, tables):
     got = {r["feature"]: r for r in queries.gd_logistic(spark, tables).collect()}
     assert set(got) == {f"f{i}" for i in range(20)}
     assert all(abs(got[f"f{i}"]["weight"] - w[i]) < 2e-6 and abs(got[f"f{i}"]["bias"] - b) < 2e-6 for i in range(20))
+
+
+def test_every_unlabelled_sequence_is_ranked_by_the_whole_ensemble(spark, tables):
+    got = queries.ensemble_ranking(spark, tables).collect()
+    assert {r["name"] for r in got} == {"d2", "d3", "d4"} and sorted(r["rank"] for r in got) == [1, 2, 3]
+    entries = queries.curated(spark, tables).toPandas().sort_values("name").reset_index(drop=True)
+    positives, rest = entries[entries["positive"] == 1], entries[entries["positive"] == 0]
+    e = learning.Ensemble(positives, rest, learning.CONFIGS[0], 20, 800, 420, "final")
+    want = dict(zip(rest["name"], e.consensus(rest["sequence"]), strict=True))
+    assert all(abs(r["score"] - want[r["name"]]) < 2e-6 and r["oob_models"] == 0 and r["fallback"] for r in got)
