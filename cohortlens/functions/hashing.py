@@ -28,6 +28,16 @@ def fnv1a_py(text: str) -> int:
     return h
 
 
+def fnv1a_np(prefix: str, texts: list[str]) -> np.ndarray:
+    """The same of a prefix with each of the texts."""
+    h, letters = np.full(len(texts), fnv1a_py(prefix), np.uint64), np.array(texts, dtype=str)
+    points = letters.view(np.uint32).reshape(len(texts), -1).astype(np.uint64) if len(texts) and letters.itemsize else np.zeros((len(texts), 0), np.uint64)
+    units = np.where(points < 0x10000, points, 0xD800 + ((points - 0x10000) >> np.uint64(10)))
+    for j in range(units.shape[1]):
+        h = np.where(points[:, j] > 0, ((h ^ units[:, j]) * np.uint64(FNV_PRIME)) & np.uint64(MASK), h)
+    return h.astype(np.int64)
+
+
 def _mul32(a: Column, b: Column) -> Column:
     """The low 32 bits of a product of two unsigned 32-bit longs, without overflow."""
     low, high = b.bitwiseAND(F.lit(65535).cast("long")), F.shiftrightunsigned(b, 16)

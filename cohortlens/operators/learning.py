@@ -7,14 +7,18 @@ they are dealt over the cluster as groups of a frame and run in numpy.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import CongruentialDraws, fnv1a, fnv1a_py
-from .ranking import hash_bags, percentile_rank
+from ..functions.hashing import CongruentialDraws, fnv1a, fnv1a_np, fnv1a_py
+from ..storage import materialize
+from .ranking import benjamini_hochberg, global_rank, hash_bags, held_out_midrank, percentile_rank
+from .resampling import bootstrap_interval, paired_comparison
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -140,8 +144,14 @@ CONFIGS = (
     ("k234_positional_l2_003_u050", (2, 3, 4), "positional", 0.03, 0.0, 0.5, 2.0),
     ("k234_terminals_l2_003_u050", (2, 3, 4), "terminals", 0.03, 0.0, 0.5, 2.0),
     ("k234_full_l2_003_u050", (2, 3, 4), "full", 0.03, 0.0, 0.5, 2.0),
+    ("k234_full_elastic_l1_001", (2, 3, 4), "full", 0.03, 0.01, 0.5, 2.0),
+    ("k2345_full_l2_003_u050", (2, 3, 4, 5), "full", 0.03, 0.0, 0.5, 2.0),
+    ("k234567_full_elastic_l1_001", (2, 3, 4, 5, 6, 7), "full", 0.05, 0.01, 0.4, 2.0),
 )
 
+#: The representations that the ablation compares: only the block of features changes.
+ABLATIONS = tuple((f"ablation_k234_{blocks}", (2, 3, 4), blocks, 0.03, 0.0, 0.5, 2.0) for blocks in ("core", "composition", "positional", "terminals", "full"))
+
 
 def sequence_features(s: str, sizes: tuple[int, ...], blocks: str) -> dict[str, float]:
     """The features of one sequence, as :func:`operators.sequences.feature_vectors` makes them for frames."""
@@ -174,6 +184,65 @@ def sequence_features(s: str, sizes: tuple[int, ...], blocks: str) -> dict[str,
     return out
 
 
+REGIONS, ENDS = ("5p", "center", "3p"), ("5p", "3p")
+CODES = np.full(256, 4, np.int64)
+CODES[np.frombuffer(b"ACGU", np.uint8)] = range(4)
+
+
+@lru_cache
+def feature_columns(sizes: tuple[int, ...], blocks: str) -> dict[str, int]:
+    """The columns of :func:`dense_features` by name."""
+    of = {k: ["".join(p) for p in product("ACGU", repeat=k)] for k in {*sizes, 2, 3, 4}}
+    out = [m for k in sizes for m in of[k]] + ["composition:length", "composition:gc"]
+    if blocks in ("composition", "full"):
+        out += [f"composition:base_{b}" for b in "ACGU"] + ["composition:entropy"]
+    if blocks in ("positional", "full"):
+        out += [f"positional:{r}:{m}" for k in sizes if k <= 4 for r in REGIONS for m in of[k]]
+    if blocks in ("terminals", "full"):
+        out += [f"terminal:{e}:{k}:{m}" for k in (2, 3, 4) for e in ENDS for m in of[k]]
+    return {f: i for i, f in enumerate(out)}
+
+
+def dense_features(sequences: list[str], sizes: tuple[int, ...], blocks: str) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`sequence_features` of sequences of A, C, G and U as rows of a matrix, and the value of each one's seed."""
+    x, mass = np.zeros((len(sequences), len(feature_columns(sizes, blocks)))), np.zeros(len(sequences))
+    for row, (i, s) in zip(x, enumerate(sequences), strict=True):
+        letters = CODES[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]
+        n = len(letters)
+        if n and letters.max() > 3:
+            raise ValueError("a sequence has letters besides A, C, G and U")
+        codes, code = {1: letters}, letters
+        for k in range(2, max(4, *sizes) + 1):
+            code = code[: max(0, n - k + 1)] * 4 + letters[k - 1 :]
+            codes[k] = code
+        total, at = 2 + sum(len(codes[k]) for k in sizes), 0
+        mass[i] = 2 / total
+        for k in sizes:
+            row[at : at + 4**k] = np.bincount(codes[k], minlength=4**k) / total
+            at += 4**k
+        share = np.bincount(letters, minlength=4) / max(1, n)
+        row[at], row[at + 1] = min(1.0, n / 30), share[2] + share[1]
+        at += 2
+        if blocks in ("composition", "full"):
+            held = share[share > 0]
+            row[at : at + 4], row[at + 4] = share, -(held * np.log2(held)).sum() / 2
+            at += 5
+        if blocks in ("positional", "full"):
+            tagged = [k for k in sizes if k <= 4]
+            count = max(1, sum(len(codes[k]) for k in tagged))
+            for k in tagged:
+                middle = (np.arange(len(codes[k])) + k / 2) / max(1, n)
+                region = (middle >= 1 / 3).astype(np.int64) + (middle >= 2 / 3)
+                row[at : at + 3 * 4**k] = np.bincount(region * 4**k + codes[k], minlength=3 * 4**k) / count
+                at += 3 * 4**k
+        if blocks in ("terminals", "full"):
+            for k in (2, 3, 4):
+                if n >= k:
+                    row[at + codes[k][0]] = row[at + 4**k + codes[k][-1]] = 0.25
+                at += 2 * 4**k
+    return x, mass
+
+
 def family_weights(families: list[str], evidence: np.ndarray) -> np.ndarray:
     sizes = pd.Series(families).map(pd.Series(families).value_counts()).to_numpy(float)
     balanced = evidence / sizes
@@ -198,12 +267,12 @@ class Ensemble:
     def __init__(self, positives: pd.DataFrame, unlabelled: pd.DataFrame, config: tuple, bags: int, size: int, epochs: int, salt: str):
         _, self.sizes, self.blocks, l2, l1, ratio, least = config
         weights = family_weights(positives["family"].tolist(), positives["evidence"].to_numpy(float))
-        vectors = [sequence_features(s, self.sizes, self.blocks) for s in positives["sequence"]]
-        presence: dict[str, float] = {}
-        for v, w in zip(vectors, weights, strict=True):
-            for f in v:
-                presence[f] = presence.get(f, 0.0) + w
-        self.vocabulary = sorted(f for f, p in presence.items() if f.startswith(("seed:", "composition:")) or p >= least)
+        columns = feature_columns(self.sizes, self.blocks)
+        presence = np.zeros(len(columns))
+        for part in range(0, len(positives), 256):
+            x, _ = dense_features(positives["sequence"].tolist()[part : part + 256], self.sizes, self.blocks)
+            presence += weights[part : part + 256] @ (x > 0)
+        self.vocabulary = sorted({f for f, p in zip(columns, presence, strict=True) if f.startswith("composition:") or p >= least} | {"seed:" + s[1:8] for s in positives["sequence"]})
         self.at = {f: i for i, f in enumerate(self.vocabulary)}
         px, ux = self.matrix(positives["sequence"]), self.matrix(unlabelled["sequence"])
         names = unlabelled["name"].tolist()
@@ -221,116 +290,283 @@ class Ensemble:
             self.members.append({names[i] for i in chosen})
 
     def matrix(self, sequences: pd.Series) -> np.ndarray:
-        x = np.zeros((len(sequences), len(self.vocabulary)))
-        for i, s in enumerate(sequences):
-            for f, v in sequence_features(s, self.sizes, self.blocks).items():
-                if f in self.at:
-                    x[i, self.at[f]] = v
+        columns = feature_columns(self.sizes, self.blocks)
+        kept = [f for f in self.vocabulary if f in columns]
+        to, source = [self.at[f] for f in kept], [columns[f] for f in kept]
+        x, texts = np.zeros((len(sequences), len(self.vocabulary))), list(sequences)
+        for part in range(0, len(texts), 256):
+            some = texts[part : part + 256]
+            dense, mass = dense_features(some, self.sizes, self.blocks)
+            x[part : part + 256, to] = dense[:, source]
+            for i, s in enumerate(some):
+                if (j := self.at.get("seed:" + s[1:8])) is not None:
+                    x[part + i, j] = mass[i]
         return x
 
     def consensus(self, sequences: pd.Series) -> np.ndarray:
         return self.matrix(sequences) @ np.mean(self.weights, axis=0) + float(np.mean(self.biases))
 
 
-def midranks(held: pd.DataFrame, background: pd.DataFrame, held_scores: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    out = []
-    families = background["family"].to_numpy()
-    for s, fam in zip(held_scores, held["family"], strict=True):
-        eligible = scores[families != fam]
-        worse = (eligible > s).sum() + (eligible == s).sum() / 2
-        out.append(1 - worse / max(1, len(eligible)))
-    return np.array(out)
+def inner_folds(families: DataFrame, outer: int, inner: int) -> DataFrame:
+    """(family, outer, inner): the outer fold of each family, and its inner folds by outer fold, null in its own."""
+    def dealt(df: DataFrame, salt: Column, by: str, k: int, name: str) -> DataFrame:
+        hashed = materialize(df.withColumn("_h", fnv1a(F.concat(salt, F.lit("|"), F.col("family")))))
+        ranked = materialize(global_rank(hashed, [F.col(by), F.col("_h"), F.col("family")], "_r"))
+        sizes = ranked.groupBy(by).agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))
+        return ranked.join(F.broadcast(sizes), by).withColumn(name, ((F.col("_r") - F.col("_first")) % F.least(F.lit(k), F.col("_n"))).cast("int")).drop("_h", "_r", "_first", "_n")
+
+    placed = dealt(families.select("family").distinct().withColumn("_all", F.lit(0)), F.lit("outer"), "_all", outer, "outer").drop("_all")
+    pairs = placed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1)))).where("fold <> outer")
+    inside = dealt(pairs, F.concat(F.lit("inner-"), F.col("fold").cast("string")), "fold", inner, "inner")
+    lists = inside.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("fold", "inner"))).alias("_m"))
+    return placed.join(lists, "family", "left").select("family", "outer", F.transform(F.sequence(F.lit(0), F.lit(outer - 1)), lambda f: F.coalesce(F.try_element_at("_m", f), F.lit(-1))).alias("inner"))
+
+
+def _trained(base: DataFrame, fits: list[dict]) -> list[dict]:
+    """The fits that have positives, each with its ``weights`` by feature and ``bias``: means over its bags.
+
+    A fit learns from MAX_POSITIVES of its positives and ``size`` unlabelled entries a bag, those with the smallest hashes of all.
+    """
+    draws: dict[tuple, int] = {}
+    uses = []
+    for fit in fits:
+        place = (fit["fold"], fit["k"])
+        uses.append((draws.setdefault((f"positives-{fit['fold']}-{fit['k']}", MAX_POSITIVES, 1, place), len(draws)), fit["fit"], -1))
+        uses += [(draws.setdefault((f"{fit['salt']}|{bag}", fit["size"], 0, None), len(draws)), fit["fit"], bag) for bag in range(fit["bags"])]
+
+    def smallest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, pd.DataFrame] = {}
+        for pdf in parts:
+            positive, fold, inside = pdf["positive"].to_numpy(), pdf["outer"].to_numpy(), np.array(pdf["inner"].tolist())
+            for (salt, size, side, place), draw in draws.items():
+                here = positive == side
+                if place:
+                    here &= (fold != place[0]) & ((inside[:, place[0]] != place[1]) if place[1] is not None else True)
+                names = pdf["name"].to_numpy()[here]
+                got = pd.DataFrame({"hash": fnv1a_np(f"{salt}|", names.tolist()), "name": names})
+                best[draw] = pd.concat([best[draw], got] if draw in best else [got]).sort_values(["hash", "name"]).head(size)
+        for draw, rows in best.items():
+            yield rows.assign(draw=draw)[["draw", "hash", "name"]]
+
+    spark = base.sparkSession
+    sizes = spark.createDataFrame([(i, key[1]) for key, i in draws.items()], "draw int, size int")
+    used = spark.createDataFrame(uses, "draw int, fit int, bag int")
+    found = base.select("name", "positive", "outer", "inner").mapInPandas(smallest, "draw int, hash long, name string").join(F.broadcast(sizes), "draw")
+    w = Window.partitionBy("draw").orderBy("hash", "name")
+    drawn = found.withColumn("_k", F.row_number().over(w)).where("_k <= size").select("draw", "name")
+    rows = materialize(drawn.join(base.select("name", "sequence", "family", "evidence"), "name"))
+    spec = {f["fit"]: f for f in fits}
+
+    def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = spec[int(pdf["fit"].iloc[0])]
+        pdf = pdf.sort_values("name")
+        positives = pdf[pdf["bag"] == -1].reset_index(drop=True)
+        if positives.empty:
+            return pd.DataFrame([], columns=["fit", "features", "weights", "bias"])
+        models = []
+        for bag in range(f["bags"]):
+            rest = pdf[pdf["bag"] == bag].reset_index(drop=True)
+            models.append(Ensemble(positives, rest, f["config"], 1, len(rest), f["epochs"], f["salt"]))
+        weights = np.mean([m.weights[0] for m in models], axis=0)
+        return pd.DataFrame({"fit": [f["fit"]], "features": [models[0].vocabulary], "weights": [weights.tolist()], "bias": [float(np.mean([m.biases[0] for m in models]))]})
+
+    dealt = rows.join(F.broadcast(used), "draw").repartition(len(fits), "fit")
+    models = dealt.groupBy("fit").applyInPandas(fit_one, "fit int, features array<string>, weights array<double>, bias double").collect()
+    return [{**spec[m["fit"]], "weights": dict(zip(m["features"], m["weights"], strict=True)), "bias": m["bias"]} for m in sorted(models, key=lambda m: m["fit"])]
+
+
+def _linear_scorer(models: list[dict]):  # noqa: ANN202
+    """A function of sequences: logits of all models, a column each; a text's features are made once for each set of sizes."""
+    groups = []
+    for sizes in sorted({m["config"][1] for m in models}):
+        at = [i for i, m in enumerate(models) if m["config"][1] == sizes]
+        columns = feature_columns(sizes, "full")
+        w, seeds = np.zeros((len(columns), len(at))), {}
+        for j, i in enumerate(at):
+            for f, v in models[i]["weights"].items():
+                if f in columns:
+                    w[columns[f], j] = v
+                else:
+                    seeds.setdefault(f[5:], np.zeros(len(at)))[j] = v
+        groups.append((sizes, at, w, seeds))
+    bias = np.array([m["bias"] for m in models])
+
+    def scores(sequences: list[str]) -> np.ndarray:
+        out = np.zeros((len(sequences), len(models)))
+        for part in range(0, len(sequences), 256):
+            some = sequences[part : part + 256]
+            for sizes, at, w, seeds in groups:
+                x, mass = dense_features(some, sizes, "full")
+                got = x @ w
+                for i, s in enumerate(some):
+                    if s[1:8] in seeds:
+                        got[i] += mass[i] * seeds[s[1:8]]
+                out[part : part + len(some), at] = got
+        return np.round(out + bias, 10)
+
+    return scores
+
+
+def _percentiles(base: DataFrame, scored: list[dict], scorer) -> DataFrame:  # noqa: ANN001
+    """(fit, name, family, percentile) of the positives that a fit holds out, among all background entries of other families."""
+    folds = np.array([m["fold"] for m in scored])
+    inner = np.array([-1 if m["k"] is None else m["k"] for m in scored])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score_all = scorer()
+        for pdf in parts:
+            s = score_all(pdf)
+            rows = []
+            for row, positive, fold, inside in zip(s, pdf["positive"], pdf["outer"], pdf["inner"], strict=True):
+                held = np.where(inner < 0, folds == fold, np.asarray(inside)[folds] == inner) if positive else None
+                rows.append([float(v) if held is None or held[i] else None for i, v in enumerate(row)])
+            yield pd.DataFrame({"name": pdf["name"], "family": pdf["family"], "positive": pdf["positive"], "scores": rows})
+
+    wide = base.select("name", "sequence", "family", "positive", "outer", "inner").mapInPandas(run, "name string, family string, positive int, scores array<double>")
+    long = materialize(wide.select("name", "family", "positive", F.posexplode("scores").alias("fit", "score")).where("score is not null"))
+    held = long.where("positive = 1").select("fit", "name", "family", "score")
+    return held_out_midrank(held, long.where("positive = 0"), ["fit"], "family").select("fit", "name", "family", "percentile")
 
 
-def family_folds(families: list[str], k: int, salt: str) -> dict[str, int]:
-    ordered = sorted(set(families), key=lambda f: (fnv1a_py(f"{salt}|{f}"), f))
-    return {f: i % min(k, len(ordered)) for i, f in enumerate(ordered)}
+VALIDATED = "fold long, config string, inner_score double, name string, family string, scorer string, percentile double"
 
 
-def nested_validation(entries: DataFrame, configs: tuple = CONFIGS, outer: int = 5, inner: int = 3, bags: int = 3, inner_bags: int = 1, size: int = 400, epochs: int = 60) -> DataFrame:
+def nested_validation(
+    entries: DataFrame, configs: tuple = CONFIGS, outer: int = 5, inner: int = 3, bags: int = 3, inner_bags: int = 1, size: int = 650, epochs: int = 150,
+    inner_size: int = 450, inner_epochs: int = 70, ablations: tuple = ABLATIONS,
+) -> DataFrame:
     """(fold, config, inner_score, name, family, scorer, percentile) of nested family validation with the paired ablation.
 
-    ``entries`` is (name, sequence, family, positive, evidence). A work item is an outer fold with everything that depends on it:
-    inner selection by (mean family percentile, recall at 10 %, id), the selected fit, the baseline scorers, and the
-    ablation of all representations with one salt. Entries, a curated pool, go to each work item; items run in parallel.
+    ``entries`` is (name, sequence, family, positive, evidence). Inner selection is by (mean family percentile, recall at 10 %, id);
+    then come the selected fit, the baseline scorers, and the ablation of all representations with one salt. What a fit learns from is
+    bounded, fits run in parallel; all positives are scored against all background where they lie. :func:`ablation_summary` compares.
     """
     spark = entries.sparkSession
-    packed = entries.select("name", "sequence", "family", F.col("positive").cast("int").alias("positive"), F.col("evidence").cast("double").alias("evidence"))
-    items = spark.range(outer).withColumnRenamed("id", "fold").join(packed)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold = int(pdf["fold"].iloc[0])
-        pdf = pdf.sort_values("name").reset_index(drop=True)
-        positives, background = pdf[pdf["positive"] == 1], pdf[pdf["positive"] == 0]
-        folds = family_folds(positives["family"].tolist(), outer, "outer")
-        held, train = positives[positives["family"].map(folds) == fold], positives[positives["family"].map(folds) != fold]
-        columns = ["fold", "config", "inner_score", "name", "family", "scorer", "percentile"]
-        if held.empty or train.empty:
-            return pd.DataFrame([], columns=columns)
-        ranked = []
-        inner_folds = family_folds(train["family"].tolist(), inner, f"inner-{fold}")
-        for config in configs:
-            got: list[pd.DataFrame] = []
-            for k in range(max(inner_folds.values()) + 1):
-                out_, in_ = train[train["family"].map(inner_folds) == k], train[train["family"].map(inner_folds) != k]
-                if in_.empty or out_.empty:
-                    continue
-                e = Ensemble(in_, background, config, inner_bags, size, epochs, f"inner-{fold}-{k}-{config[0]}")
-                p = midranks(out_, background, e.consensus(out_["sequence"]), e.consensus(background["sequence"]))
-                got.append(pd.DataFrame({"family": out_["family"].to_numpy(), "p": p}))
-            by = pd.concat(got).groupby("family")["p"].mean() if got else pd.Series([0.0])
-            ranked.append((-by.mean(), -(by >= 0.9).mean(), config[0], config))
-        best = min(ranked)[3]
-        score_ = -min(ranked)[0]
-        rows = []
-
-        def add(scorer: str, config: str, held_scores: np.ndarray, scores: np.ndarray) -> None:
-            p = midranks(held, background, held_scores, scores)
-            rows.extend((fold, config, score_, n, f, scorer, float(x)) for n, f, x in zip(held["name"], held["family"], p, strict=True))
-
-        e = Ensemble(train, background, best, bags, size, epochs, f"outer-{fold}-{best[0]}")
-        add("ensemble", best[0], e.consensus(held["sequence"]), e.consensus(background["sequence"]))
-        for name, scorer in baselines(train, fold).items():
-            add(name, best[0], scorer(held), scorer(background))
+    base = entries.select("name", "sequence", "family", F.col("positive").cast("int").alias("positive"), F.col("evidence").cast("double").alias("evidence"))
+    folds = inner_folds(base.where("positive = 1"), outer, inner).withColumn("positive", F.lit(1))
+    none = F.array_repeat(F.lit(-1), outer)
+    base = materialize(base.join(F.broadcast(folds), ["family", "positive"], "left").withColumn("outer", F.coalesce("outer", F.lit(-1))).withColumn("inner", F.coalesce("inner", none)))
+    count = (base.where("positive = 1").agg(F.max("outer")).first()[0] or 0) + 1
+    if count < 2:
+        return spark.createDataFrame([], VALIDATED)
+    fits: list[dict] = []
+
+    def add(scorer: str, fold: int, k: int | None, config: tuple, n: int, many: int, rounds: int, salt: str) -> None:
+        fits.append({"fit": len(fits), "scorer": scorer, "fold": fold, "k": k, "config": config, "bags": n, "size": many, "epochs": rounds, "salt": salt})
+
+    for fold in range(count):
         for config in configs:
-            e = Ensemble(train, background, config, bags, size, epochs, f"ablation-{fold}")
-            add(f"ablation:{config[2]}", config[0], e.consensus(held["sequence"]), e.consensus(background["sequence"]))
-        return pd.DataFrame(rows, columns=columns)
+            for k in range(inner):
+                add("inner", fold, k, config, inner_bags, inner_size, inner_epochs, f"inner-{fold}-{k}-{config[0]}")
+        for config in ablations:
+            add(f"ablation:{config[2]}", fold, None, config, bags, size, epochs, f"ablation-{fold}")
+    models = _trained(base, fits)
+    profiles, seeds = baseline_profiles(base, count)
+    plain = [{"scorer": b, "fold": fold, "k": None, "config": None} for fold in range(count) for b in BASELINES]
+
+    def first():  # noqa: ANN202
+        linear, simple = _linear_scorer(models), baseline_scorer(profiles, seeds)
+        return lambda pdf: np.hstack([linear(pdf["sequence"].tolist()), simple(pdf)])
+
+    scored = [*models, *plain]
+    got = materialize(_percentiles(base, scored, first))
+    names = spark.createDataFrame([(i, m["scorer"], m["fold"], m["config"][0] if m["config"] else "") for i, m in enumerate(scored)], "fit int, scorer string, fold long, used string")
+    got = got.join(F.broadcast(names), "fit").drop("fit")
+    by = got.where("scorer = 'inner'").groupBy("fold", "used", "family").agg(F.avg("percentile").alias("p")).groupBy("fold", "used").agg(F.avg("p").alias("p"), F.avg((F.col("p") >= 0.9).cast("double")).alias("r"))
+    compared = {(r["fold"], r["used"]): (r["p"], r["r"]) for r in by.collect()}
+    best = [min((*(-v for v in compared.get((fold, c[0]), (0.0, 0.0))), c[0], c) for c in configs) for fold in range(count)]
+    final = _trained(base, [{"fit": fold, "scorer": "ensemble", "fold": fold, "k": None, "config": b[3], "bags": bags, "size": size, "epochs": epochs, "salt": f"outer-{fold}-{b[2]}"} for fold, b in enumerate(best)])
+
+    def second():  # noqa: ANN202
+        linear = _linear_scorer(final)
+        return lambda pdf: linear(pdf["sequence"].tolist())
+
+    chosen = spark.createDataFrame([(fold, b[2], float(-b[0])) for fold, b in enumerate(best)], "fold long, config string, inner_score double")
+    last = _percentiles(base, final, second).join(F.broadcast(spark.createDataFrame([(i, m["fold"]) for i, m in enumerate(final)], "fit int, fold long")), "fit")
+    out = got.where("scorer <> 'inner'").unionByName(last.select("name", "family", "percentile", F.lit("ensemble").alias("scorer"), "fold", F.lit("").alias("used")))
+    used = F.when(F.col("scorer").startswith("ablation:"), F.col("used")).otherwise(F.col("config")).alias("config")
+    return out.join(F.broadcast(chosen), "fold").select("fold", used, "inner_score", "name", "family", "scorer", "percentile")
+
+
+def ablation_summary(validated: DataFrame, bootstraps: int = 4000, flips: int = 10_000) -> DataFrame:
+    """One row a representation of the ablation: family mean with its bootstrap intervals, and its paired comparison with core, BH over those."""
+    families = materialize(validated.where(F.col("scorer").startswith("ablation:")).groupBy(F.substring_index("scorer", ":", -1).alias("blocks"), "family").agg(F.avg("percentile").alias("p")))
+    core = families.where("blocks = 'core'").select("family", F.col("p").alias("q"))
+    rows, tests = [], []
+    for blocks in sorted(r[0] for r in families.select("blocks").distinct().collect()):
+        own = families.where(F.col("blocks") == blocks)
+        row = own.agg(F.count("*").alias("families"), F.avg("p").alias("mean_percentile")).join(bootstrap_interval(own, "family", "p", iterations=bootstraps))
+        rows.append(row.withColumn("blocks", F.lit(blocks)))
+        if blocks != "core":
+            pairs = own.join(core, "family").select("family", (F.col("p") - F.col("q")).alias("d"))
+            test = paired_comparison(pairs, "family", "d", fnv1a_py(f"feature-bootstrap|{blocks}"), fnv1a_py(f"feature-sign-flip|{blocks}"), bootstraps, flips)
+            tests.append(test.withColumn("blocks", F.lit(blocks)))
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    return union(rows).join(benjamini_hochberg(union(tests)), "blocks", "left") if tests else union(rows)
+
+
+#: Scorers to compare with: seed matches, k-mer centroid, composition, and a hash.
+BASELINES = ("seed", "centroid", "composition", "hash")
+
+
+def baseline_profiles(base: DataFrame, folds: int) -> tuple[list[tuple[np.ndarray, float, float]], list[dict[str, float]]]:
+    """By fold: (k-mer centroid, mean length, mean GC share) of the other folds' positives, and the best share of equal letters with their seeds, by seed.
+
+    Seeds have at most seven letters, so there are at most 21,845 of them.
+    """
+    width = len(feature_columns((2, 3, 4), "core"))
 
-    return items.groupBy("fold").applyInPandas(run, "fold long, config string, inner_score double, name string, family string, scorer string, percentile double")
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            x, mass = dense_features(pdf["sequence"].tolist(), (2, 3, 4), "core")
+            kmers = x[:, :-2] / np.maximum(1e-300, x[:, :-2].sum(axis=1, keepdims=True))
+            v = np.column_stack([kmers, pdf["sequence"].str.len(), x[:, -1], np.ones(len(x))])
+            for fold, at in pdf.groupby("outer").indices.items():
+                yield pd.DataFrame({"outer": fold, "i": range(v.shape[1]), "v": v[at].sum(axis=0)})
+
+    totals = np.zeros((folds, width + 1))
+    positives = base.where("positive = 1")
+    for r in positives.select("sequence", "outer").mapInPandas(sums, "outer int, i int, v double").groupBy("outer", "i").agg(F.sum("v").alias("v")).collect():
+        totals[r["outer"], r["i"]] = r["v"]
+    profiles = []
+    for fold in range(folds):
+        mean = (totals.sum(axis=0) - totals[fold]) / max(1.0, totals[:, -1].sum() - totals[fold, -1])
+        profiles.append((mean[:-3], float(mean[-3]), float(mean[-2])))
+    seed = F.substring("sequence", 2, 7).alias("seed")
+    every = [r["seed"] for r in base.select(seed).distinct().orderBy("seed").collect()]
+    train = [(r["outer"], r["seed"]) for r in positives.select("outer", seed).distinct().collect()]
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        fold = int(pdf["fold"].iloc[0])
+        known = sorted({s for f, s in train if f != fold})
+        letters = lambda texts, pad: np.array([list(s.ljust(7, pad).encode()) for s in texts], np.uint8).reshape(len(texts), 7)
+        k, size = letters(known, "#"), np.array([len(s) for s in known])
+        out = []
+        for s, row in zip(every, letters(every, "-"), strict=True):
+            out.append(float(((k == row).sum(axis=1) / np.maximum(1, np.maximum(size, len(s)))).max(initial=0.0)))
+        return pd.DataFrame({"fold": fold, "best": [out]})
 
+    spark = base.sparkSession
+    near = spark.range(folds).withColumnRenamed("id", "fold").groupBy("fold").applyInPandas(nearest, "fold int, best array<double>").collect()
+    return profiles, [dict(zip(every, r["best"], strict=True)) for r in sorted(near, key=lambda r: r["fold"])]
 
-def baselines(train: pd.DataFrame, fold: int) -> dict:
-    """Scorers to compare with: seed matches, k-mer centroid, composition, and a hash."""
-    seeds = [s[1:8] for s in train["sequence"]]
-    kmers = [sequence_kmers(s) for s in train["sequence"]]
-    center: dict[str, float] = {}
-    for v in kmers:
-        for f, x in v.items():
-            center[f] = center.get(f, 0.0) + x / len(kmers)
-    norm = np.sqrt(sum(x * x for x in center.values()))
-    length, gc = train["sequence"].str.len().mean(), np.mean([(s.count("G") + s.count("C")) / max(1, len(s)) for s in train["sequence"]])
 
-    def seed_score(df: pd.DataFrame) -> np.ndarray:
-        share = lambda a, b: sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b), 1)
-        return np.array([max(share(s[1:8], t) for t in seeds) for s in df["sequence"]])
+def baseline_scorer(profiles: list[tuple[np.ndarray, float, float]], seeds: list[dict[str, float]]):  # noqa: ANN201
+    """A function of (name, sequence): the scores of the baselines, by fold, then by scorer."""
 
-    def cosine(df: pd.DataFrame) -> np.ndarray:
+    def scores(pdf: pd.DataFrame) -> np.ndarray:
+        texts, names = pdf["sequence"].tolist(), pdf["name"].tolist()
+        x, _ = dense_features(texts, (2, 3, 4), "core")
+        kmers, gc, size = x[:, :-2], x[:, -1], np.array([len(s) for s in texts], float)
+        norm = np.sqrt((kmers * kmers).sum(axis=1))
         out = []
-        for s in df["sequence"]:
-            v = sequence_kmers(s)
-            n = np.sqrt(sum(x * x for x in v.values())) * norm
-            out.append(sum(x * center.get(f, 0.0) for f, x in v.items()) / n if n > 0 else 0.0)
-        return np.array(out)
-
-    def composition(df: pd.DataFrame) -> np.ndarray:
-        far = [(abs(len(s) - length) / max(1, length) + abs((s.count("G") + s.count("C")) / max(1, len(s)) - gc)) / 2 for s in df["sequence"]]
-        return 1 - np.minimum(1, far)
-
-    return {
-        "seed": seed_score, "centroid": cosine, "composition": composition,
-        "hash": lambda df: np.array([fnv1a_py(f"random-baseline|{fold}|{n}") / 0xFFFFFFFF for n in df["name"]]),
-    }
+        for fold, (center, length, share) in enumerate(profiles):
+            product_ = norm * np.sqrt(center @ center)
+            far = (np.abs(size - length) / max(1.0, length) + np.abs(gc - share)) / 2
+            out += [[seeds[fold][s[1:8]] for s in texts], np.where(product_ > 0, kmers @ center / np.where(product_ > 0, product_, 1), 0.0), 1 - np.minimum(1, far), fnv1a_np(f"random-baseline|{fold}|", names) / 0xFFFFFFFF]
+        return np.round(np.column_stack(out), 10)
+
+    return scores
 
 
 def sequence_kmers(s: str, sizes: tuple[int, ...] = (2, 3, 4)) -> dict[str, float]:

@@ -57,3 +57,85 @@ def test_every_unlabelled_sequence_is_ranked_by_the_whole_ensemble(spark, tables
     e = learning.Ensemble(positives, rest, learning.CONFIGS[0], 20, 800, 420, "final")
     want = dict(zip(rest["name"], e.consensus(rest["sequence"]), strict=True))
     assert all(abs(r["score"] - want[r["name"]]) < 2e-6 and r["oob_models"] == 0 and r["fallback"] for r in got)
+
+
+@pytest.mark.parametrize("sizes", [(2, 3, 4), (2, 3, 4, 5), (2, 3, 4, 5, 6, 7)])
+def test_dense_features_agree(sizes):
+    r = np.random.default_rng(6)
+    texts = ["", "A", "GU", "ACG", *("".join(r.choice(list("ACGU"), n)) for n in (4, 7, 8, 22, 300))]
+    for blocks in ("core", "composition", "positional", "terminals", "full"):
+        columns = learning.feature_columns(sizes, blocks)
+        x, mass = learning.dense_features(texts, sizes, blocks)
+        for s, row, m in zip(texts, x, mass, strict=True):
+            want = learning.sequence_features(s, sizes, blocks)
+            assert abs(want.pop("seed:" + s[1:8]) - m) < 1e-12
+            assert set(want) <= set(columns) and all(abs(row[i] - want.get(f, 0.0)) < 1e-12 for f, i in columns.items())
+
+
+def validated(entries, configs, outer, inner, bags, size, epochs, inner_size, inner_epochs):
+    """Nested validation in one process: {(fold, scorer, name): percentile} and the chosen configurations."""
+    positives, background = entries[entries["positive"] == 1], entries[entries["positive"] == 0]
+    names, out, chosen = background["name"], {}, {}
+
+    def dealt(families, k, salt):
+        ordered = sorted(set(families), key=lambda f: (learning.fnv1a_py(f"{salt}|{f}"), f))
+        return {f: i % min(k, len(ordered)) for i, f in enumerate(ordered)}
+
+    def ranked(held, mine, theirs):
+        for n, f, s in zip(held["name"], held["family"], np.round(mine, 10), strict=True):
+            t = np.round(theirs, 10)[(background["family"] != f).to_numpy()]
+            yield n, f, 1 - ((t > s).sum() + (t == s).sum() / 2) / max(1, len(t))
+
+    def by_fit(train, held, *options):
+        e = learning.Ensemble(train, background, *options)
+        return list(ranked(held, e.consensus(held["sequence"]), e.consensus(background["sequence"])))
+
+    folds = dealt(positives["family"], outer, "outer")
+    for fold in sorted(set(folds.values())):
+        at = positives["family"].map(folds)
+        train, held = positives[at != fold], positives[at == fold]
+        inside = train["family"].map(dealt(train["family"], inner, f"inner-{fold}"))
+        best = []
+        for c in configs:
+            by = {}
+            for k in sorted(set(inside)):
+                for _, f, p in by_fit(train[inside != k], train[inside == k], c, 1, inner_size, inner_epochs, f"inner-{fold}-{k}-{c[0]}"):
+                    by.setdefault(f, []).append(p)
+            means = np.array([np.mean(p) for p in by.values()])
+            best.append((-means.mean(), -(means >= 0.9).mean(), c[0], c))
+        c = min(best)[3]
+        chosen[fold] = (c[0], -min(best)[0])
+        out |= {(fold, "ensemble", n): p for n, _, p in by_fit(train, held, c, bags, size, epochs, f"outer-{fold}-{c[0]}")}
+        for a in learning.ABLATIONS:
+            out |= {(fold, f"ablation:{a[2]}", n): p for n, _, p in by_fit(train, held, a, bags, size, epochs, f"ablation-{fold}")}
+        share = lambda a, b: sum(x == y for x, y in zip(a, b)) / max(len(a), len(b), 1)
+        near = lambda df: [max(share(s[1:8], t[1:8]) for t in train["sequence"]) for s in df["sequence"]]
+        hashed = lambda df: [learning.fnv1a_py(f"random-baseline|{fold}|{n}") / 0xFFFFFFFF for n in df["name"]]  # noqa: E731, B023
+        for name, f in (("seed", near), ("hash", hashed)):
+            out |= {(fold, name, n): p for n, _, p in ranked(held, f(held), f(background))}
+    assert len(names) == len(set(names))
+    return out, chosen
+
+
+def test_nested_validation_agrees_with_one_process(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        s = "".join(r.choice(list("ACGU"), int(r.integers(9, 60))))
+        if i < 18:
+            s = s[:1] + ("GAGGUAG", "CCCUGAG", "AAAGUGC", "UUAGGCA", "GGCAUUA", "ACACGUU")[i % 6] + s[8:]
+        rows.append((f"m{i:03d}", s, s[1:8], int(i < 18), 1.0 + i % 2))
+    entries = spark.createDataFrame(rows, "name string, sequence string, family string, positive int, evidence double")
+    options = {"outer": 3, "inner": 2, "bags": 2, "size": 25, "epochs": 15, "inner_size": 15, "inner_epochs": 10}
+    assert len(learning.CONFIGS) == 8 and any(c[4] > 0 for c in learning.CONFIGS)
+    want, chosen = validated(entries.toPandas(), learning.CONFIGS, **options)
+    frame = learning.nested_validation(entries, **options)
+    frame.cache()
+    got = {(x["fold"], x["scorer"], x["name"]): x for x in frame.collect()}
+    assert all(abs(got[k]["percentile"] - p) < 1e-9 for k, p in want.items()) and len(got) == 18 * 10
+    assert all((x["config"], round(x["inner_score"], 9)) == (chosen[k[0]][0], round(chosen[k[0]][1], 9)) for k, x in got.items() if k[1] == "ensemble")
+    summary = {x["blocks"]: x for x in learning.ablation_summary(frame, 50, 100).collect()}
+    assert set(summary) == {"core", "composition", "positional", "terminals", "full"} and summary["core"]["fdr"] is None
+    assert all(x["families"] == 6 and x["mean_low"] <= x["mean_percentile"] <= x["mean_high"] for x in summary.values())
+    p = sorted(x["p_value"] for x in summary.values() if x["p_value"] is not None)
+    assert len(p) == 4 and abs(max(x["fdr"] for x in summary.values() if x["fdr"] is not None) - p[-1]) < 1e-9
