@@ -785,8 +785,6 @@ def ensemble_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def nested_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Validation of the fit by families, on a bounded sample of the labelled sequences (the 120 of each label with the smallest hashes)."""
-    order = [hashing.fnv1a(F.col("name")), F.col("name")]
-    pool = ranking.top_per_group(curated(spark, d), ["positive"], order, 120).drop("rank")
-    out = learning.nested_validation(pool, configs=learning.CONFIGS[:2], bags=1, size=60, epochs=15)
+    """Validation of the fit by families: all positives against all other sequences, with all configurations."""
+    out = learning.nested_validation(curated(spark, d))
     return out.groupBy("scorer", "fold").agg(F.count("*").alias("n"), r6(F.avg("percentile"), "percentile"))

@@ -59,6 +59,15 @@ def test_every_unlabelled_sequence_is_ranked_by_the_whole_ensemble(spark, tables
     assert all(abs(r["score"] - want[r["name"]]) < 2e-6 and r["oob_models"] == 0 and r["fallback"] for r in got)
 
 
+def test_nested_validation_has_all_positives_and_representations(spark, tables):
+    got = queries.nested_validation(spark, tables).collect()
+    count = {}
+    for r in got:
+        count[r["scorer"]] = count.get(r["scorer"], 0) + r["n"]
+    scorers = {"ensemble", "seed", "centroid", "composition", "hash"} | {f"ablation:{b}" for b in ("core", "composition", "positional", "terminals", "full")}
+    assert count == dict.fromkeys(scorers, 2)
+
+
 @pytest.mark.parametrize("sizes", [(2, 3, 4), (2, 3, 4, 5), (2, 3, 4, 5, 6, 7)])
 def test_dense_features_agree(sizes):
     r = np.random.default_rng(6)
