@@ -700,7 +700,7 @@ def sign_flip_p(spark: SparkSession, d: str) -> DataFrame:
 def random_ranking(spark: SparkSession, d: str) -> DataFrame:
     fam = _midranked(spark, d, whole=True).groupBy("family").agg(F.count("*").alias("markers"), F.avg("percentile").alias("percentile"))
     seen = fam.agg(F.avg("percentile"), F.count_if(F.col("percentile") >= 0.9)).first()
-    return resampling.random_ranking_test(fam, "family", "markers", seen[0] or 0.0, seen[1] or 0, iterations=500)
+    return resampling.random_ranking_test(fam, "family", "markers", seen[0] or 0.0, seen[1] or 0)
 
 
 # --- views and checks --------------------------------------------------------------------------------------

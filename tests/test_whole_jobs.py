@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from cohortlens.functions.hashing import counter_uniform_np
 from cohortlens.operators import learning
 from cohortlens.plans import queries
 
@@ -148,3 +149,13 @@ def test_nested_validation_agrees_with_one_process(spark):
     assert all(x["families"] == 6 and x["mean_low"] <= x["mean_percentile"] <= x["mean_high"] for x in summary.values())
     p = sorted(x["p_value"] for x in summary.values() if x["p_value"] is not None)
     assert len(p) == 4 and abs(max(x["fdr"] for x in summary.values() if x["fdr"] is not None) - p[-1]) < 1e-9
+
+
+def test_random_ranking_has_all_iterations(spark, tables):
+    got = queries.random_ranking(spark, tables).first()
+    for p in (got["p_mean"], got["p_recall"]):
+        assert abs(p * 10_001 - round(p * 10_001)) < 1e-6 and 1 <= round(p * 10_001) <= 10_001
+    fam = queries._midranked(spark, tables, whole=True).groupBy("family").agg({"percentile": "avg", "*": "count"}).orderBy("family").collect()
+    assert all(r["count(1)"] == 1 for r in fam)
+    u = counter_uniform_np(0x50A17E, 10_000 * len(fam)).reshape(10_000, len(fam)).mean(axis=1)
+    assert round(got["p_mean"] * 10_001) - 1 == (u >= np.mean([r["avg(percentile)"] for r in fam])).sum()
