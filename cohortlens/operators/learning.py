@@ -269,19 +269,18 @@ class Ensemble:
         weights = family_weights(positives["family"].tolist(), positives["evidence"].to_numpy(float))
         columns = feature_columns(self.sizes, self.blocks)
         presence = np.zeros(len(columns))
-        for part in range(0, len(positives), 256):
-            x, _ = dense_features(positives["sequence"].tolist()[part : part + 256], self.sizes, self.blocks)
-            presence += weights[part : part + 256] @ (x > 0)
+        for part in range(0, len(positives), 64):
+            x, _ = dense_features(positives["sequence"].tolist()[part : part + 64], self.sizes, self.blocks)
+            presence += weights[part : part + 64] @ (x > 0)
         self.vocabulary = sorted({f for f, p in zip(columns, presence, strict=True) if f.startswith("composition:") or p >= least} | {"seed:" + s[1:8] for s in positives["sequence"]})
         self.at = {f: i for i, f in enumerate(self.vocabulary)}
-        px, ux = self.matrix(positives["sequence"]), self.matrix(unlabelled["sequence"])
-        names = unlabelled["name"].tolist()
+        names, texts = unlabelled["name"].tolist(), unlabelled["sequence"].tolist()
         self.weights, self.biases, self.members = [], [], []
         for bag in range(bags):
             order = range(len(names)) if len(names) <= size else sorted(range(len(names)), key=lambda i: (fnv1a_py(f"{salt}|{bag}|{names[i]}"), names[i]))[:size]
             chosen = list(order)
-            x = np.vstack([px, ux[chosen]])
-            y = np.r_[np.ones(len(px)), np.zeros(len(chosen))]
+            x = self.matrix([*positives["sequence"], *(texts[i] for i in chosen)])
+            y = np.r_[np.ones(len(positives)), np.zeros(len(chosen))]
             total = weights.sum()
             row_weight = np.r_[weights, np.full(len(chosen), total * ratio / max(1, len(chosen)))]
             w, b = contrast_fit(x, y, row_weight, epochs, l2, l1, float(np.log((total + 1) / (total * ratio + 1))))
@@ -289,15 +288,15 @@ class Ensemble:
             self.biases.append(b)
             self.members.append({names[i] for i in chosen})
 
-    def matrix(self, sequences: pd.Series) -> np.ndarray:
+    def matrix(self, sequences: pd.Series | list[str]) -> np.ndarray:
         columns = feature_columns(self.sizes, self.blocks)
         kept = [f for f in self.vocabulary if f in columns]
         to, source = [self.at[f] for f in kept], [columns[f] for f in kept]
         x, texts = np.zeros((len(sequences), len(self.vocabulary))), list(sequences)
-        for part in range(0, len(texts), 256):
-            some = texts[part : part + 256]
+        for part in range(0, len(texts), 64):
+            some = texts[part : part + 64]
             dense, mass = dense_features(some, self.sizes, self.blocks)
-            x[part : part + 256, to] = dense[:, source]
+            x[part : part + 64, to] = dense[:, source]
             for i, s in enumerate(some):
                 if (j := self.at.get("seed:" + s[1:8])) is not None:
                     x[part + i, j] = mass[i]
@@ -392,9 +391,9 @@ def _linear_scorer(models: list[dict]):  # noqa: ANN202
     bias = np.array([m["bias"] for m in models])
 
     def scores(sequences: list[str]) -> np.ndarray:
-        out = np.zeros((len(sequences), len(models)))
-        for part in range(0, len(sequences), 256):
-            some = sequences[part : part + 256]
+        out = np.zeros((len(sequences), len(bias)))
+        for part in range(0, len(sequences), 64):
+            some = sequences[part : part + 64]
             for sizes, at, w, seeds in groups:
                 x, mass = dense_features(some, sizes, "full")
                 got = x @ w
@@ -413,17 +412,15 @@ def _percentiles(base: DataFrame, scored: list[dict], scorer) -> DataFrame:  # n
     inner = np.array([-1 if m["k"] is None else m["k"] for m in scored])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score_all = scorer()
         for pdf in parts:
-            s = score_all(pdf)
-            rows = []
-            for row, positive, fold, inside in zip(s, pdf["positive"], pdf["outer"], pdf["inner"], strict=True):
-                held = np.where(inner < 0, folds == fold, np.asarray(inside)[folds] == inner) if positive else None
-                rows.append([float(v) if held is None or held[i] else None for i, v in enumerate(row)])
-            yield pd.DataFrame({"name": pdf["name"], "family": pdf["family"], "positive": pdf["positive"], "scores": rows})
+            s = scorer(pdf)
+            inside = np.array(pdf["inner"].tolist()).reshape(len(pdf), -1)
+            held = np.where(inner < 0, folds == pdf["outer"].to_numpy()[:, None], inside[:, folds] == inner)
+            s[(pdf["positive"].to_numpy() == 1)[:, None] & ~held] = np.nan
+            yield pd.DataFrame({"name": pdf["name"], "family": pdf["family"], "positive": pdf["positive"], "scores": list(s)})
 
     wide = base.select("name", "sequence", "family", "positive", "outer", "inner").mapInPandas(run, "name string, family string, positive int, scores array<double>")
-    long = materialize(wide.select("name", "family", "positive", F.posexplode("scores").alias("fit", "score")).where("score is not null"))
+    long = materialize(wide.select("name", "family", "positive", F.posexplode("scores").alias("fit", "score")).where("score is not null and not isnan(score)"))
     held = long.where("positive = 1").select("fit", "name", "family", "score")
     return held_out_midrank(held, long.where("positive = 0"), ["fit"], "family").select("fit", "name", "family", "percentile")
 
@@ -464,9 +461,10 @@ def nested_validation(
     profiles, seeds = baseline_profiles(base, count)
     plain = [{"scorer": b, "fold": fold, "k": None, "config": None} for fold in range(count) for b in BASELINES]
 
-    def first():  # noqa: ANN202
-        linear, simple = _linear_scorer(models), baseline_scorer(profiles, seeds)
-        return lambda pdf: np.hstack([linear(pdf["sequence"].tolist()), simple(pdf)])
+    linear, simple = _linear_scorer(models), baseline_scorer(profiles, seeds)
+
+    def first(pdf: pd.DataFrame) -> np.ndarray:
+        return np.hstack([linear(pdf["sequence"].tolist()), simple(pdf)])
 
     scored = [*models, *plain]
     got = materialize(_percentiles(base, scored, first))
@@ -477,9 +475,10 @@ def nested_validation(
     best = [min((*(-v for v in compared.get((fold, c[0]), (0.0, 0.0))), c[0], c) for c in configs) for fold in range(count)]
     final = _trained(base, [{"fit": fold, "scorer": "ensemble", "fold": fold, "k": None, "config": b[3], "bags": bags, "size": size, "epochs": epochs, "salt": f"outer-{fold}-{b[2]}"} for fold, b in enumerate(best)])
 
-    def second():  # noqa: ANN202
-        linear = _linear_scorer(final)
-        return lambda pdf: linear(pdf["sequence"].tolist())
+    selected = _linear_scorer(final)
+
+    def second(pdf: pd.DataFrame) -> np.ndarray:
+        return selected(pdf["sequence"].tolist())
 
     chosen = spark.createDataFrame([(fold, b[2], float(-b[0])) for fold, b in enumerate(best)], "fold long, config string, inner_score double")
     last = _percentiles(base, final, second).join(F.broadcast(spark.createDataFrame([(i, m["fold"]) for i, m in enumerate(final)], "fit int, fold long")), "fit")
