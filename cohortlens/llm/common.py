@@ -1,7 +1,8 @@
 """Helpers shared by the training-data operators.
 
 Rows travel through ``mapInArrow``; inside a worker a batch is cut into slices
-of a few MB of text, so numpy temporaries stay small whatever a batch holds.
+of :data:`SLICE` bytes of text, so numpy temporaries stay small whatever a batch holds. A text
+longer than a slice is a slice of its own; kernels go through it piece by piece.
 """
 
 from __future__ import annotations
@@ -19,6 +20,16 @@ from pyspark.sql import functions as F
 M64A, M64B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 M32A, M32B = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 S33 = np.uint64(33)
+#: Bytes of text that a kernel looks at together.
+SLICE = 1 << 18
+#: Rows of an Arrow batch between Spark and a Python worker.
+BATCH_ROWS = 1000
+#: Freed memory goes back to the system: glibc's growing thresholds and Arrow's own pool would keep it in each worker.
+WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Keys of more rows than this are dealt over salts by :func:`hot_join`.
+HOT_ROWS = 256
+#: Hot keys that are broadcast at most, 24 bytes each.
+BROADCAST_KEYS = 1_000_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,14 +42,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches and workers that give memory back; settings that the session or its user made stay."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, value in WORKER_ENVIRONMENT.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests,
-    a single machine) a folder in the warehouse takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Only on one machine a folder in the warehouse may take
+    its place where that is unset; on a cluster it could be a local folder of each machine, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
@@ -54,12 +75,53 @@ def materialize(df: DataFrame) -> DataFrame:
     what came before, and whatever a retry could do differently is fixed from here on.
     """
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = new_folder(spark)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder name for :func:`release`; what is left of it goes when the application ends."""
+    path = shared_dir(spark)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p)
+    _written.append(path)
+    return path
+
+
+def hot_keys(rows: DataFrame, *keys: str) -> DataFrame | None:
+    """The keys that hold more than HOT_ROWS of the rows, with ``_salts``, over how many salts each is dealt; None if none does."""
+    return hot_of(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "_n", *keys)
+
+
+def hot_of(counts: DataFrame, count: str, *keys: str) -> DataFrame | None:
+    """:func:`hot_keys` of keys that are counted already. At most BROADCAST_KEYS are returned: the limit rises with the rows."""
+    some = counts.where(F.col(count) > HOT_ROWS)
+    for k in keys:
+        some = some.where(F.col(k).isNotNull())
+    some = materialize(some.select(*keys, F.col(count).alias("_n")))
+    total = some.agg(F.sum("_n")).first()[0]
+    if not total:
+        return None
+    most = max(HOT_ROWS, total // BROADCAST_KEYS)
+    return some.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts"))
+
+
+def hot_join(rows: DataFrame, other: DataFrame, keys: list[str], deal: Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other``, which has one row for each key, when a few keys hold many of the rows.
+
+    A key in ``hot`` (from :func:`hot_keys`) is dealt over salts by the hash of ``deal``, its row of ``other`` is repeated for each.
+    """
+    if hot is None:
+        return rows.join(other, keys, how)
+    hot = F.broadcast(hot)
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(deal), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    spread = other.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
 def written() -> int:
     """A mark for :func:`release`."""
     return len(_written)
@@ -71,10 +133,19 @@ def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> Non
     last = len(_written) - 1 if keep_last else len(_written)
     for path in _written[since:last]:
         p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        fs = p.getFileSystem(conf)
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)
     del _written[since:last]
 
 
+def settled(df: DataFrame, since: int) -> DataFrame:
+    """The frame, written, with all tables of the shared folder that were made since the mark and led to it deleted."""
+    out = materialize(df)
+    release(df.sparkSession, since, keep_last=True)
+    return out
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Exactly these columns, whatever else the table has, matched by exact name where names clash."""
     out = []
@@ -97,7 +168,7 @@ def crc_of(column: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int, max_rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE, max_rows: int = 60_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most ``max_bytes`` of one column's data (one row at least)."""
     n = batch.num_rows
     if n == 0:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,68 +17,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_by, only, slices
+from .common import held_by, materialize, mix64, only, slices
 from .ngrams import characters, letter_table, lower_table
 
 DIMENSIONS = 1024
-#: Letters have this many vectors: a to z have their own, others share what is left by hash.
-SLOTS = 256
-#: Documents learned from are about this many per language, those with the smallest hashes of their ids.
+#: Documents learned from are about this many per language, those with the smallest hashes.
 MAX_TRAINING_ROWS_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 1000
-SLICE = 1 << 20
+SEED = np.uint64(20240229)
+#: Elements of the largest temporary matrix.
+CELLS = 1 << 21
 
 
-@lru_cache(maxsize=1)
-def _slots() -> np.ndarray:
-    low = lower_table().astype(np.int64)
-    table = 27 + (low * 2654435761 % (1 << 32) >> 7) % (SLOTS - 27)
-    ascii_letter = (low >= 97) & (low <= 122)
-    table[ascii_letter] = low[ascii_letter] - 96
-    table[~letter_table()] = 0
-    return table.astype(np.uint8)
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """(letters, DIMENSIONS) of +1 and -1: each code point's own random vector, from a seeded hash; 0 stands for what is no letter."""
+    words = np.arange(DIMENSIONS // 64, dtype=np.uint64)[None, :]
+    bits = mix64(mix64(letters.astype(np.uint64)[:, None] ^ SEED) + (words + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
-@lru_cache(maxsize=1)
-def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letter vectors rotated twice, once and not; slot 0 stands for what is no letter."""
-    v = np.random.default_rng(20240229).integers(0, 2, (SLOTS, DIMENSIONS), dtype=np.int8) * 2 - 1
-    return np.roll(v, 2, axis=1), np.roll(v, 1, axis=1), v
+def _trigrams(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, trigram) of every letter of a slice: the letter and its neighbours, in 21 bits each."""
+    for chars, at, lead, tail in characters(batch, column, 1):
+        s = np.where(letter_table()[chars], lower_table()[chars], np.uint32(0)).astype(np.int64)
+        before, after = np.zeros_like(s), np.zeros_like(s)
+        before[1:], after[:-1] = s[:-1], s[1:]
+        some = np.flatnonzero(np.diff(at) > 0)
+        before[at[some]] = 0
+        after[at[some + 1] - 1] = 0
+        mid = s > 0
+        mid[:lead] = False
+        mid[len(mid) - tail :] = False
+        yield np.repeat(np.arange(batch.num_rows), np.diff(at))[mid], ((before << 42) | (s << 21) | after)[mid]
 
 
 def bundles(batch: pa.RecordBatch, column: str) -> np.ndarray:
     """(rows, DIMENSIONS): each text's bundle; zeros where a text is null or has no letter.
 
-    The trigrams of a letter are it and its neighbours; what is no letter counts as one more letter.
+    The trigrams of a letter are it and its neighbours; what is no letter counts as one more letter. Trigrams are counted by row
+    and kind (sparse); blocks of rows whose kinds fill a matrix well are multiplied, others are summed kind by kind.
     """
-    chars, at = characters(batch, column)
     out = np.zeros((batch.num_rows, DIMENSIONS), np.float32)
-    if not len(chars):
-        return out
-    s = _slots()[chars].astype(np.int32)
-    before, after = np.zeros_like(s), np.zeros_like(s)
-    before[1:], after[:-1] = s[:-1], s[1:]
-    begins = at[:-1][np.diff(at) > 0]
-    before[begins] = 0
-    after[at[1:][np.diff(at) > 0] - 1] = 0
-    rows = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(at))
-    mid = s > 0
-    code = ((before << 16) | (s << 8) | after)[mid]
-    rows = rows[mid]
-    if not len(code):
-        return out
-    seen = np.zeros(SLOTS**3, bool)
-    seen[code] = True
-    kinds = np.flatnonzero(seen)
-    place = np.zeros(SLOTS**3, np.int32)
-    place[kinds] = np.arange(len(kinds))
-    first, second, third = _letters()
-    step = max(1, (8 << 20) // DIMENSIONS)
-    count = np.bincount(rows * len(kinds) + place[code], minlength=batch.num_rows * len(kinds)).reshape(batch.num_rows, -1)
-    for k in range(0, len(kinds), step):
-        g = kinds[k : k + step]
-        bound = first[g >> 16] * second[(g >> 8) & 255] * third[g & 255]
-        out += count[:, k : k + step].astype(np.float32) @ bound.astype(np.float32)
+    for rows, codes in _trigrams(batch, column):
+        if not len(rows):
+            continue
+        kinds, place = np.unique(codes, return_inverse=True)
+        letters, parts = np.unique(np.concatenate([kinds >> 42, (kinds >> 21) & 0x1FFFFF, kinds & 0x1FFFFF]), return_inverse=True)
+        v, (first, second, third) = letter_vectors(letters), parts.reshape(3, -1)
+
+        def bound(k: np.ndarray) -> np.ndarray:
+            return np.roll(v, 2, axis=1)[first[k]] * np.roll(v, 1, axis=1)[second[k]] * v[third[k]]
+
+        pair, count = np.unique(rows * len(kinds) + place, return_counts=True)
+        rows, place = pair // len(kinds), pair % len(kinds)
+        lo, hi = int(rows[0]), int(rows[-1]) + 1
+        if len(pair) < 0.04 * (hi - lo) * len(kinds):  # many short rows: each has few of the kinds
+            step = CELLS // DIMENSIONS
+            for c in range(0, len(pair), step):
+                r, part = rows[c : c + step], bound(place[c : c + step]) * count[c : c + step, None].astype(np.float32)
+                new = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                out[r[new]] += np.add.reduceat(part, new, axis=0)
+            continue
+        step = max(1, min(CELLS // DIMENSIONS, CELLS // (hi - lo)))
+        order = np.argsort(place, kind="stable")
+        rows, place, count = rows[order], place[order], count[order]
+        for k in range(0, len(kinds), step):
+            i, j = np.searchsorted(place, [k, k + step])
+            dense = np.zeros((hi - lo, min(step, len(kinds) - k)), np.float32)
+            dense[rows[i:j] - lo, place[i:j] - k] = count[i:j]
+            out[lo:hi] += dense @ bound(np.arange(k, min(k + step, len(kinds)))).astype(np.float32)
     return out
 
 
@@ -96,24 +101,22 @@ class Profiles:
 def fit_profiles(documents: DataFrame, per_language: int = MAX_TRAINING_ROWS_PER_LANGUAGE) -> Profiles | None:
     """Language profiles from (doc_id, text, lang); rows of null lang teach nothing.
 
-    Counting rows by language gives each one the share of its ids, by hash, that makes about
-    ``per_language`` rows: rare languages teach with all they have. None without a row.
+    Counting rows by language gives each one the share of its rows, by the hash of id and text, that makes about
+    ``per_language`` rows: rare languages teach with all they have. Rows that share id and text are one. Any number of languages is
+    learned, each a vector of 4 KB on the driver and in the workers. None without a row.
     """
     rows = only(documents, "doc_id", "text", "lang").where("lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if not counts:
-        return None
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     span = float(1 << 32)
-    limits = documents.sparkSession.createDataFrame([(r["lang"], min(span, per_language / r["n"] * span)) for r in counts], "lang string, below double")
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    sample = rows.join(F.broadcast(limits), "lang").where(h < F.col("below")).select("lang", "text")
+    limits = counts.select("lang", F.least(F.lit(span), per_language / F.col("n") * span).alias("below"))
+    h = F.xxhash64("doc_id", "text")
+    met = rows.join(F.broadcast(materialize(limits)), "lang").where(F.pmod(h, F.lit(1 << 32)) < F.col("below"))
+    sample = met.groupBy("doc_id", "lang", h.alias("h")).agg(F.any_value("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", max_rows=8192):
                 unit = _unit(bundles(part, "text"))
                 langs = np.array(held_by(part, "lang").to_pylist(), dtype=object)
                 for lang in set(langs):
@@ -147,7 +150,7 @@ def predict_language(documents: DataFrame, profiles: Profiles | None, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for part in slices(batch, at, SLICE):
+            for part in slices(batch, at, max_rows=8192):
                 if known is None:
                     best, pred = np.zeros(part.num_rows), ["und"] * part.num_rows
                 else:

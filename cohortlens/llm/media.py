@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import held_by, only, slices, utf8
+from .common import SLICE, held_by, only, slices, utf8
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -125,7 +125,7 @@ def decode_png(data: bytes) -> np.ndarray:
     return unfilter(np.frombuffer(raw, np.uint8).reshape(size[0], size[1] + 1))
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=64)
 def _cosines(n: int) -> np.ndarray:
     """The first LOW rows of the orthonormal cosine transform (type II) of length n."""
     k, x = np.arange(LOW)[:, None], np.arange(n)[None, :]
@@ -173,7 +173,7 @@ def store_images(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 8 << 20):
+            for part in slices(batch, text, SLICE):
                 data, at = utf8(part, text)
                 images = []
                 for begin, end in zip(at[:-1], at[1:], strict=True):

@@ -17,18 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import M32A, M32B, held_by, materialize, mix64, only, slices, utf8
+from .common import M32A, M32B, SLICE, held_by, hot_join, hot_keys, hot_of, materialize, mix64, only, slices, utf8
 from .graph import components
 
 ROWS_PER_BAND = 5
 #: Chance that a pair right at the threshold shares no band.
 MISS = 1e-6
-#: Up to this many candidate ids (16 bytes each) are broadcast to the documents; more are joined by a shuffle.
+#: Up to this many candidate ids (24 bytes each) are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-SALTS = 8
-#: Shingles of one block of sets: a task of the block-by-block comparison takes two.
-BLOCK_SHINGLES = 500_000
-SLICE = 1 << 20
+#: Sets and shingles of one block, about: a comparison takes two blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 125_000
+#: Shingles of the comparisons that one kernel call makes, about.
+TASK_SHINGLES = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,39 +55,83 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def shingle_sets(batch: pa.RecordBatch, column: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's distinct shingles as sorted 48-bit hashes on end, and the offsets of the rows.
-
-    Words are runs of bytes other than space and \\t\\n\\v\\f\\r, A-Z lower-cased; a text of fewer than ``words`` words
-    has one shingle, its whole sequence, and none without a word.
-    """
-    data, at = utf8(batch, column)
-    rows = len(at) - 1
+def _polynomials(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, last byte, polynomial hash) of the words of rows on end; no word spans two rows."""
     values, separates = _bytes()
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
     gap = separates[data]
     some = np.flatnonzero(np.diff(at) > 0)
     before = np.empty(len(data), bool)
-    before[0], before[1:] = True, gap[:-1]
+    before[:1], before[1:] = True, gap[:-1]
     before[at[some]] = True
     after = np.empty(len(data), bool)
-    after[-1], after[:-1] = True, gap[1:]
+    after[-1:], after[:-1] = True, gap[1:]
     after[at[some + 1] - 1] = True
     begin, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after)
-    if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    up, down = _powers(1 << max(20, (len(data) - 1).bit_length()))
+    up, down = _powers(1 << max(20, (max(1, len(data)) - 1).bit_length()))
     sums = values[data]
     sums *= up[: len(data)]
     np.cumsum(sums, out=sums)
     word = sums[end]
     word[begin > 0] -= sums[begin[begin > 0] - 1]
     word *= down[begin]
-    word ^= (end - begin).astype(np.uint64)
-    word = mix64(word)
-    owner = np.searchsorted(at, begin, side="right") - 1
+    return begin, end, word
+
+
+def _long_words(data: np.ndarray) -> np.ndarray:
+    """The hashes of the words of one long text, which is read in pieces; a word may lie across pieces."""
+    out, held, size = [], 0, 0  # polynomial and length of the word that the piece before left open
+    for p in range(0, len(data), SLICE):
+        part = data[p : p + SLICE]
+        begin, end, word = _polynomials(part, np.array([0, len(part)]))
+        length = end - begin + 1
+        if size and len(begin) and begin[0] == 0:
+            word[0] = np.uint64((held + int(word[0]) * pow(int(BASE), size, 1 << 64)) % (1 << 64))
+            length[0] += size
+        elif size:
+            word, length = np.r_[np.uint64(held), word], np.r_[size, length]
+        size = 0
+        if len(end) and end[-1] == len(part) - 1 and p + len(part) < len(data):
+            held, size = int(word[-1]), int(length[-1])
+            word, length = word[:-1], length[:-1]
+        out.append(mix64(word ^ (length - 1).astype(np.uint64)))
+    return np.concatenate(out)
+
+
+def shingle_sets(batch: pa.RecordBatch, column: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct shingles as sorted 64-bit hashes on end, and the offsets of the rows (fewer than 65,536).
+
+    Words are runs of bytes other than space and \\t\\n\\v\\f\\r, A-Z lower-cased; a text of fewer than ``words`` words
+    has one shingle, its whole sequence, and none without a word. A long text is one row; it is read in pieces.
+    """
+    data, at = utf8(batch, column)
+    rows = len(at) - 1
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
     factors = [np.uint64(f) for f in np.random.default_rng(202).integers(1, 1 << 63, words, dtype=np.uint64) | np.uint64(1)]
+    if rows == 1 and len(data) > SLICE:
+        word = _long_words(data)
+        if len(word) >= words:
+            key = np.zeros(len(word) - words + 1, np.uint64)
+            for c in range(0, len(key), SLICE):
+                some = key[c : c + SLICE]
+                for j in range(words):
+                    some += word[c + j : c + j + len(some)] * factors[j]
+                mix64(some)
+            del word
+            key.sort()
+            new = np.empty(len(key), bool)
+            new[0] = True
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            if not new.all():
+                key = key[new]
+            return key, np.array([0, len(key)])
+        owner = np.zeros(len(word), np.int64)
+    else:
+        begin, end, word = _polynomials(data, at)
+        word = mix64(word ^ (end - begin).astype(np.uint64))
+        owner = np.searchsorted(at, begin, side="right") - 1
+    if not len(word):
+        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
     counts = np.bincount(owner, minlength=rows)
     first = np.r_[0, np.cumsum(counts)[:-1]]
     parts_row, parts = [], []
@@ -105,12 +149,13 @@ def shingle_sets(batch: pa.RecordBatch, column: str, words: int) -> tuple[np.nda
             h += word[first[short] + j] * factors[j]
         parts.append(h)
         parts_row.append(short)
-    key = mix64(np.concatenate(parts)) >> np.uint64(16)
-    key |= np.concatenate(parts_row).astype(np.uint64) << np.uint64(48)
-    key.sort()
-    key = key[np.r_[True, key[1:] != key[:-1]]]
-    sizes = np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=rows)
-    return key & np.uint64((1 << 48) - 1), np.r_[0, np.cumsum(sizes)]
+    key, row = mix64(np.concatenate(parts)), np.concatenate(parts_row).astype(np.uint16)
+    order = np.argsort(key)
+    order = order[np.argsort(row[order], kind="stable")]
+    key, row = key[order], row[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]
+    key, row = key[new], row[new]
+    return key, np.r_[0, np.cumsum(np.bincount(row, minlength=rows))]
 
 
 def _mix32(x: np.ndarray, spare: np.ndarray, a: np.uint32, b: np.uint32) -> None:
@@ -125,6 +170,9 @@ def _mix32(x: np.ndarray, spare: np.ndarray, a: np.uint32, b: np.uint32) -> None
 def signatures(sets: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """(rows with a shingle, size): the circulant MinHash coordinates."""
     starts = at[:-1][np.diff(at) > 0]
+    if len(starts) == 1 and len(sets) > SLICE:
+        parts = (sets[c : c + SLICE] for c in range(0, len(sets), SLICE))
+        return np.minimum.reduce([signatures(p, np.array([0, len(p)]), size) for p in parts])
     first = (sets & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     first ^= (sets >> np.uint64(32)).astype(np.uint32)
     spare, x = np.empty_like(first), np.empty_like(first)
@@ -137,22 +185,28 @@ def signatures(sets: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def fingerprints(documents: DataFrame, words: int, bands: int, key: str, text: str) -> DataFrame:
-    """(key, n, fp1, fp2, bands): set size, an order-free 128-bit fingerprint of the set, and one hash for each band."""
-    kind = documents.schema[key].dataType.simpleString()
+def _order_free(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(2, sets): two sums over each set's scrambled shingles, 128 bits that don't depend on the order."""
+    if len(starts) == 1 and len(sets) > SLICE:
+        return np.sum([_order_free(sets[c : c + SLICE], starts) for c in range(0, len(sets), SLICE)], axis=0, dtype=np.uint64)
+    return np.array([np.add.reduceat(mix64(sets * np.uint64(0xD1342543DE82EF95)), starts), np.add.reduceat(mix64(sets ^ np.uint64(0xA0761D6478BD642F)), starts)])
+
+
+def fingerprints(documents: DataFrame, words: int, bands: int) -> DataFrame:
+    """(key, h, n, fp1, fp2, bands) of (key, h, text): set size, an order-free 128-bit fingerprint of the set, and one hash for each band."""
+    kind = documents.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, SLICE):
-                sets, at = shingle_sets(part, text, words)
+            for part in slices(batch, "text"):
+                sets, at = shingle_sets(part, "text", words)
                 n = np.diff(at)
                 some = n > 0
                 fp = np.zeros((2, len(n)), np.uint64)
                 hashes = np.zeros((0, bands), np.uint64)
                 if len(sets):
                     starts = at[:-1][some]
-                    fp[0, some] = np.add.reduceat(mix64(sets * np.uint64(0xD1342543DE82EF95)), starts)
-                    fp[1, some] = np.add.reduceat(mix64(sets ^ np.uint64(0xA0761D6478BD642F)), starts)
+                    fp[:, some] = _order_free(sets, starts)
                     sig = signatures(sets, at, bands * ROWS_PER_BAND).astype(np.uint64).reshape(len(starts), bands, ROWS_PER_BAND)
                     hashes = np.tile(np.arange(bands, dtype=np.uint64), (len(starts), 1))
                     for j in range(ROWS_PER_BAND):
@@ -160,32 +214,28 @@ def fingerprints(documents: DataFrame, words: int, bands: int, key: str, text: s
                 offsets = np.r_[0, np.cumsum(some * bands)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [held_by(part, key), pa.array(n), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), lists], ["key", "n", "fp1", "fp2", "bands"]
+                    [held_by(part, "key"), held_by(part, "h"), pa.array(n), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), lists], ["key", "h", "n", "fp1", "fp2", "bands"]
                 )
 
-    return documents.mapInArrow(run, f"key {kind}, n long, fp1 long, fp2 long, bands array<long>")
+    return documents.mapInArrow(run, f"key {kind}, h long, n long, fp1 long, fp2 long, bands array<long>")
 
 
-def _sets_of(documents: DataFrame, wanted: DataFrame, n_wanted: int, words: int, key: str, text: str) -> DataFrame:
-    """(rep, n, shingles) of the wanted (rep, fp1, fp2), read from the documents again."""
-    kind = documents.schema[key].dataType.simpleString()
-    met = documents.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, documents[key] == wanted["rep"])
+def _sets_of(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the wanted (node, key, h), read from the documents again."""
+    few = wanted.count()
+    met = documents.join(F.broadcast(wanted) if few <= BROADCAST_IDS else wanted, ["key", "h"]).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, SLICE):
-                sets, at = shingle_sets(part, text, words)
-                some = np.diff(at) > 0
-                fp = np.zeros(len(some), np.uint64)
-                if len(sets):
-                    fp[some] = np.add.reduceat(mix64(sets * np.uint64(0xD1342543DE82EF95)), at[:-1][some])
+            for part in slices(batch, "text"):
+                sets, at = shingle_sets(part, "text", words)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
-                # an id may stand on rows of other texts: those are not the class that is wanted
-                keep = pa.array((fp.view(np.int64) == held_by(part, "fp1").to_numpy()) & some)
-                out = pa.RecordBatch.from_arrays([held_by(part, "rep"), pa.array(np.diff(at)), lists], ["rep", "n", "shingles"])
-                yield out.filter(keep)
+                yield pa.RecordBatch.from_arrays([held_by(part, "node"), lists], ["node", "shingles"])
 
-    return met.select("rep", "fp1", text).mapInArrow(run, f"rep {kind}, n long, shingles array<long>")
+    sets = materialize(met.mapInArrow(run, "node long, shingles array<long>"))
+    if sets.count() > few:  # rows that repeat an id and its text give the same set: one is enough
+        sets = materialize(sets.dropDuplicates(["node"]))
+    return sets
 
 
 def _alike(common: Column, n: Column, m: Column, percent: int) -> Column:
@@ -193,52 +243,56 @@ def _alike(common: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are alike."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    met = pairs.join(left, "a").join(right, "b")
+    """Those pairs (a, b) whose full sets are alike; b may be a hub of many pairs."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    met = hot_join(pairs.join(left, "a"), right, ["b"], F.col("a"), hot_keys(pairs, "b"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return met.where(_alike(common, F.size("sa"), F.size("sb"), percent)).select("a", "b").distinct()
+    return met.where(_alike(common, F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row.
+    """(key, n_shingles, component_id, kept, text_hash, stays) of every row.
 
     Rows are linked when 100 * common shingles >= ``percent`` * all shingles of both; a component's id is the smallest key in
-    it, ``kept`` marks the rows with that key. Rows without words have no shingle and are linked with
-    nothing. A null key is linked with nothing: its component is null and it is kept. Repeated rows and
-    equal texts are one class: they share the component, each row is returned. Empty tables give empty results.
+    it, ``kept`` marks the rows with that key. ``stays`` marks one text of each component: of the rows with the smallest key those
+    whose text has the smallest ``text_hash`` (64 bits), so it also decides between different texts that share a key.
+    Rows without words have no shingle and are linked with nothing. A null key is linked with nothing: its component is null,
+    it is kept and stays. Repeated rows and equal texts are one class: they share the component, each row is returned.
+    Empty tables give empty results; further columns are ignored.
 
     Equal sets are grouped before anything else, so groups of copies cost one row. In each bucket of a band all
     members are compared with the smallest (a star, not all pairs). Members of buckets that then still hold several
-    components are compared block by block within their family, the sets that buckets connect: a task takes two blocks
-    of bounded size, counts common shingles in matrices, and returns only links that join components. So no link between
-    candidates is lost, and what is returned grows with the members, not with their pairs.
+    components are compared block by block within their bucket: a task takes blocks of bounded rows and shingles, counts
+    common shingles in matrices, and returns only links that join components. So no link between candidates is
+    lost, and what is returned grows with the members, not with their pairs.
     """
-    base = only(documents, key, text)
+    base = only(documents, key, text).toDF("key", "text").select("key", F.xxhash64("text").alias("h"), "text")
     bands = bands_for(percent)
-    prints = materialize(fingerprints(base, words, bands, key, text))
-    classes = materialize(
-        prints.where("n > 0 and key is not null").groupBy("fp1", "fp2").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.min_by("bands", "key").alias("bands"))
+    prints = materialize(fingerprints(base, words, bands))
+    classes = prints.where("n > 0 and key is not null").groupBy("fp1", "fp2").agg(
+        F.min(F.struct("key", "h")).alias("first"), F.max("n").alias("n"), F.count("*").alias("rows"), F.any_value("bands").alias("bands")
     )
-    buckets = classes.select("rep", "n", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    hubs = hubs.select("band", "hub", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = buckets.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-    members = materialize(salted.join(hubs, ["band", "salt"]).select("band", "rep", "n", "hub"))
-    wanted = members.select("rep").distinct().join(classes.select("rep", "fp1"), "rep")
-    wanted = materialize(wanted)
-    sets = materialize(_sets_of(base, wanted, wanted.count(), words, key, text))
-    if _repeats(base, wanted, key):  # rows that repeat an id give the same set: one is enough
-        sets = materialize(sets.groupBy("rep").agg(F.max("n").alias("n"), F.first("shingles").alias("shingles")))
-    stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    labels = components(_confirm(stars, sets, percent))
-    labels = _settle(labels, members.select("band", "rep", "n"), sets, percent)
-    of_class = classes.select("fp1", "fp2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.select("key", "n", "fp1", "fp2").join(of_class, ["fp1", "fp2"], "left")
-    component = F.when(F.col("key").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("key")))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
+    buckets = classes.select("node", "n", F.explode("bands").alias("band"))
+    hubs = materialize(buckets.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1"))
+    members = materialize(hot_join(buckets, hubs.select("band", "hub"), ["band"], F.col("node"), hot_of(hubs, "size", "band")))
+    wanted = members.select("node").distinct().join(classes.select("node", "first.key", "first.h"), "node")
+    sets = _sets_of(base, materialize(wanted), words)
+    stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    labels = _settle(components(_confirm(stars, sets, percent)), members.select("band", "node", "n"), sets, percent)
+    labels = materialize(classes.select("node", "first").join(labels, "node"))
+    leaders = labels.groupBy("component").agg(F.min("first").alias("leader"))
+    named = hot_join(labels.select("node", "component"), leaders, ["component"], F.col("node"), hot_keys(labels, "component")).select("node", "leader")
+    of_class = classes.select("fp1", "fp2", "node", "first").join(named, "node", "left").select("fp1", "fp2", F.coalesce("leader", "first").alias("leader"))
+    rows = prints.select("key", "h", "n", "fp1", "fp2")
+    out = hot_join(rows, of_class, ["fp1", "fp2"], F.struct("key", "h"), hot_of(classes, "rows", "fp1", "fp2"), "left")
+    leader = F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.col("leader"))
+    component = F.when(F.col("key").isNotNull(), F.coalesce(leader["key"], F.col("key")))
+    return out.select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"),
+        F.col("h").alias("text_hash"), F.coalesce((leader["key"] == F.col("key")) & (leader["h"] == F.col("h")), F.lit(True)).alias("stays"),
+    )
 
 
 def common_counts(rows: np.ndarray, shingles: np.ndarray, m: int) -> np.ndarray:
@@ -263,7 +317,7 @@ def common_counts(rows: np.ndarray, shingles: np.ndarray, m: int) -> np.ndarray:
     r, k = rows[size > few], kind[size > few]
     if len(r):
         columns = np.unique(k, return_inverse=True)[1]
-        width = max(1, (8 << 20) // m)
+        width = max(1, (2 << 20) // m)
         for begin in range(0, int(columns.max()) + 1, width):
             part = (columns >= begin) & (columns < begin + width)
             x = np.zeros((m, min(width, int(columns.max()) + 1 - begin)), np.float32)
@@ -272,60 +326,74 @@ def common_counts(rows: np.ndarray, shingles: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def joining_pairs(nodes: np.ndarray, labels: np.ndarray, n: np.ndarray, flat: np.ndarray, at: np.ndarray, lower: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """The alike pairs of different labels among a few sets, as few as join what they join; only pairs across ``lower``, if given."""
+    common = common_counts(np.repeat(np.arange(len(n)), np.diff(at)), flat, len(n)).astype(np.int64)
+    alike = common * 100 >= (n[:, None] + n[None, :] - common) * percent
+    alike &= labels[:, None] != labels[None, :]
+    if lower is not None:
+        alike &= lower[:, None] != lower[None, :]
+    parent = {c: c for c in labels.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
+        x, y = root(int(labels[i])), root(int(labels[j]))
+        if x != y:
+            parent[y] = x
+            out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
 def _joining(percent: int):  # noqa: ANN202
-    """The kernel of a pair of blocks: the alike pairs of different components, as few as join what they join."""
+    """The kernel of many comparisons (band, lo, hi) of one or two blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, reps, labels = table["block"].to_numpy(), table["rep"].to_pylist(), table["component"].to_pylist()
-        n = table["n"].to_numpy()
+        band, lo, hi, block, node, component, n = (table[c].to_numpy() for c in ("band", "lo", "hi", "block", "node", "component", "n"))
         lists = table["shingles"].combine_chunks()
-        at = np.asarray(lists.offsets, np.int64)
-        flat = np.asarray(lists.values)[at[0] : at[-1]]
-        common = common_counts(np.repeat(np.arange(len(n)), np.diff(at)), flat, len(n))
-        common = np.maximum(common, common.T)
-        alike = common * 100 >= (n[:, None] + n[None, :] - common) * percent
-        alike &= block[:, None] <= block[None, :] if table["lo"][0] == table["hi"][0] else block[:, None] < block[None, :]
-        parent = {c: c for c in labels}
-
-        def root(c):  # noqa: ANN001, ANN202
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        a, b = [], []
-        for i, j in zip(*np.nonzero(alike), strict=True):
-            x, y = root(labels[i]), root(labels[j])
-            if x != y:
-                parent[y] = x
-                a.append(reps[i])
-                b.append(reps[j])
-        kind = table.schema.field("rep").type
-        return pa.Table.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+        ends, flat = np.asarray(lists.offsets, np.int64), np.asarray(lists.values)
+        order = np.lexsort((hi, lo, band))
+        keys = np.stack((band, lo, hi))[:, order]
+        cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, len(order)]
+        pairs: list[tuple[int, int]] = []
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = order[begin:end]
+            if (component[own] == component[own[0]]).all():
+                continue
+            at = np.r_[0, np.cumsum(ends[own + 1] - ends[own])]
+            sets = np.concatenate([flat[ends[i] : ends[i + 1]] for i in own.tolist()])
+            lower = block[own] == lo[own[0]] if lo[own[0]] != hi[own[0]] else None
+            pairs += joining_pairs(node[own], component[own], n[own], sets, at, lower, percent)
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
 def _settle(labels: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The labels after all links between members of one bucket that the stars have left in different components."""
-    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    labelled = materialize(labelled)
-    unsettled = labelled.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("rep").alias("first")).where("c1 <> c2")
-    unsettled = unsettled.select("band", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = labelled.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-    active = materialize(salted.join(unsettled, ["band", "salt"]).select("rep", "n", "component", "first").distinct())
-    if active.isEmpty():
+    labelled = materialize(members.join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component")))
+    unsettled = labelled.groupBy("band").agg(
+        F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("who1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("who2")
+    )
+    unsettled = unsettled.where("c1 <> c2").groupBy("who1", "who2", "size", "total").agg(F.min("band").alias("band"))  # buckets of the same members are compared once
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    unsettled = materialize(unsettled.select("band", "size", blocks.alias("blocks"), "total"))
+    work = unsettled.agg(F.sum(F.col("blocks") * F.col("total"))).first()[0]
+    if not work:
         return labels
-    family = components(active.select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    rows = active.select("rep", "n", "component").distinct().join(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
-    size = rows.groupBy("family").agg(F.sum("n").alias("total"))
-    rows = rows.join(size, "family").withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("total")
+    active = hot_join(labelled, unsettled.select("band", "blocks"), ["band"], F.col("node"), hot_of(unsettled, "size", "band"))
+    rows = active.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = rows.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component", "n")
-    kind = labels.schema["node"].dataType.simpleString()
-    paired = materialize(keyed).join(sets.select("rep", "shingles"), "rep")
-    found = materialize(paired.groupBy("family", "lo", "hi").applyInArrow(_joining(percent), f"a {kind}, b {kind}"))
+    keyed = materialize(rows.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "n"))
+    paired = keyed.join(sets, "node")
+    task = F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(max(1, -(-int(work) // TASK_SHINGLES)))).alias("task")
+    found = materialize(paired.groupBy(task).applyInArrow(_joining(percent), "a long, b long"))
     if found.isEmpty():
         return labels
     named = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -334,10 +402,4 @@ def _settle(labels: DataFrame, members: DataFrame, sets: DataFrame, percent: int
     joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
     lone = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
     known = labels.unionByName(lone.withColumn("component", F.col("node")))
-    return materialize(known.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-
-
-def _repeats(documents: DataFrame, wanted: DataFrame, key: str) -> bool:
-    """Whether a wanted id stands on several rows."""
-    met = documents.select(F.col(key).alias("rep")).join(wanted.select("rep"), "rep")
-    return not met.groupBy("rep").count().where("count > 1").isEmpty()
+    return materialize(hot_join(known, joined, ["component"], F.col("node"), hot_keys(known, "component"), "left").select("node", F.coalesce("to", "component").alias("component")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear_text
-from .common import held_by, materialize, only, slices, utf8
+from .common import SLICE, held_by, materialize, only, slices, utf8
 
 #: Posteriors are rounded to this many places; documents of equal posteriors have equal rates.
 PLACES = 4
@@ -34,6 +34,25 @@ def fit_domains(documents: DataFrame, labels: DataFrame, label: str, max_rows: i
     return linear_text.fit(linear_text.labelled_sample(documents, marked, max_rows), sizes=(3, 4), bits=18, fold=False, ridge=1e-3)
 
 
+def word_counts(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """How many runs of bytes other than space and \\t\\n\\v\\f\\r each row has; a long text is read in pieces."""
+    data, at = utf8(batch, column)
+    out = np.zeros(batch.num_rows, np.int64)
+    some = np.flatnonzero(np.diff(at) > 0)
+    for p in range(0, len(data), SLICE):
+        part = data[max(0, p - 1) : p + SLICE]  # with the byte before
+        gap = (part == 32) | ((part >= 9) & (part <= 13))
+        begins = ~gap
+        begins[1:] &= gap[:-1]
+        starts = at[some][(at[some] >= p) & (at[some] < p + SLICE)] - max(0, p - 1)
+        begins[starts] = ~gap[starts]
+        if p:
+            begins[0] = False
+        at_begins = np.flatnonzero(begins) + max(0, p - 1)
+        out += np.bincount(np.searchsorted(at, at_begins, side="right") - 1, minlength=batch.num_rows)
+    return out
+
+
 def score_domains(documents: DataFrame, model: linear_text.LinearText | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep``, ``tokens`` (words of the text) and ``posteriors`` in the order of the model's labels."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -46,21 +65,12 @@ def score_domains(documents: DataFrame, model: linear_text.LinearText | None, ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, at, linear_text.SLICE):
+            for part in slices(batch, at):
                 p = model.posteriors(part, at) if model else np.zeros((part.num_rows, 0))
                 if p.shape[1]:
                     p = p.round(PLACES)
-                data, ends = utf8(part, at)
-                gap = (data <= 32) & ((data == 32) | ((data >= 9) & (data <= 13)))
-                begins = ~gap
-                if len(data):
-                    inner = begins[1:] & ~gap[:-1]
-                    row_starts = ends[:-1][np.diff(ends) > 0]
-                    begins[1:] &= ~inner
-                    begins[row_starts] = ~gap[row_starts]
-                total = np.r_[0, np.cumsum(begins)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * p.shape[1], pa.int32()), pa.array(p.ravel(), pa.float64()))
-                yield pa.RecordBatch.from_arrays([*(held_by(part, k) for k in kept), pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()), lists], [*kept, "tokens", "posteriors"])
+                yield pa.RecordBatch.from_arrays([*(held_by(part, k) for k in kept), pa.array(word_counts(part, at), pa.int64()), lists], [*kept, "tokens", "posteriors"])
 
     return plain.mapInArrow(run, schema).toDF(*keep, "tokens", "posteriors")
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from .common import utf8
+from .common import SLICE, utf8
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,15 +31,35 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
-def characters(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """All code points on end, and where each row begins (with the end of the last)."""
+def _decoded(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+
+
+def characters(batch: pa.RecordBatch, column: str, overlap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(code points on end, where each row begins with the end of the last, lead, tail) of a slice.
+
+    A long text comes in pieces of about a slice. Each has up to ``overlap`` characters of the pieces
+    before and after, ``lead`` and ``tail`` of them, so that whatever looks that far sees all it needs.
+    """
     data, at = utf8(batch, column)
-    if not len(data):
-        return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-    seen = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=seen[1:])
-    chars = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    return chars, seen[at]
+    if batch.num_rows > 1 or len(data) <= 2 * SLICE:
+        seen = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=seen[1:])
+        yield _decoded(data), seen[at], 0, 0
+        return
+
+    def whole(p: int) -> int:
+        """The next position at which a character begins."""
+        while p < len(data) and data[p] & 0xC0 == 0x80:
+            p += 1
+        return p
+
+    for begin in range(0, len(data), SLICE):
+        first, end = whole(begin), whole(min(begin + SLICE, len(data)))
+        before, after = whole(max(0, first - 4 * overlap)), whole(min(end + 4 * overlap, len(data)))
+        lead, tail = _decoded(data[before:first])[-overlap:] if overlap else [], _decoded(data[end:after])[:overlap]
+        chars = np.concatenate([lead, _decoded(data[first:end]), tail]).astype(np.uint32)
+        yield chars, np.array([0, len(chars)]), len(lead), len(tail)
 
 
 def hashed(chars: np.ndarray, at: np.ndarray, sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:

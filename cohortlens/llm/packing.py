@@ -8,6 +8,8 @@ rest goes on. What is left open when the partitions end is merged in rounds of g
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,6 +31,13 @@ FAN_IN = 64
 LONG_TEXT = 4 << 20
 
 
+@lru_cache(maxsize=1)
+def _plain(path: str):  # noqa: ANN202
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids as the tokenizer file at ``path`` gives them without special tokens added.
@@ -37,12 +46,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     which gives equal ids several times faster; texts that spell a special token, and
     vocabularies without ranks, go through the file itself.
     """
-    import os
-
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_file(path)
-    specials = [t.content for t in plain.get_added_tokens_decoder().values()]
+    with open(path, "rb") as f:
+        specials = [t["content"] for t in json.load(f).get("added_tokens", [])]
     ranks = os.path.splitext(path)[0] + ".tiktoken"
     fast = None
     if os.path.exists(ranks):
@@ -55,7 +60,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
     def whole(text: str) -> np.ndarray:
         if fast is None or any(s in text for s in specials):
-            return np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(_plain(path).encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     def encode(text: str) -> np.ndarray:
@@ -133,14 +138,14 @@ class Packer:
         self.open = []
 
 
-COLUMNS = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "ids"]
+COLUMNS = ["key", "doc_row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "ids"]
 
 
 def _table(rows: list[tuple], task: int, kind: pa.DataType, with_ids: bool) -> pa.RecordBatch:
     blobs = [ids.astype("<u4").tobytes() for _, _, ids, _, _, _ in rows]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()),
+            pa.array([r[0][0] for r in rows], kind), pa.array([r[0][1] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()),
             pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()),
             pa.array([r[5] for r in rows], pa.int64()), pa.array([task] * len(rows), pa.int64()),
             pa.array(blobs if with_ids else [None] * len(rows), pa.binary()),
@@ -156,9 +161,9 @@ def _merging(level: int, single: bool, capacity: int, with_ids: bool) -> Callabl
         table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
         group, ready = table["task"][0].as_py() // FAN_IN, []
         packer = Packer(capacity, 1, (level << 58) | (group << 36), ready.extend)
-        columns = (table[c].to_pylist() for c in ("key", "start", "doc_tokens", "ids"))
-        for key, start, total, ids in zip(*columns, strict=True):
-            packer.add(key, start, np.frombuffer(ids, "<u4"), total)
+        columns = (table[c].to_pylist() for c in ("key", "doc_row", "start", "doc_tokens", "ids"))
+        for key, row, start, total, ids in zip(*columns, strict=True):
+            packer.add((key, row), start, np.frombuffer(ids, "<u4"), total)
         if single:
             packer.split_last()
         left = [r for w in packer.open for r in w[2]]
@@ -172,9 +177,9 @@ def pack(
     documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, windows: int = OPEN_WINDOWS,
     with_ids: bool = False, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """The pieces of all documents: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids).
+    """The pieces of all documents: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset, doc_row, ids).
 
-    A document is its ids and then ``end_id``; a null or empty text is ``end_id`` alone. Every id
+    ``doc_row`` numbers the rows of the input, so pieces of rows that share a key, or have none, can be told apart. A document is its ids and then ``end_id``; a null or empty text is ``end_id`` alone. Every id
     lies in one piece; pieces of a sequence lie end to end from offset 0. All sequences hold ``capacity`` ids but for the
     last few, which hold a power of two each. ``ids`` has the piece's ids (little-endian, 4 bytes each) if
     ``with_ids``, else null. Repeated rows and null keys are packed like any other; an empty table gives
@@ -188,19 +193,20 @@ def pack(
         raise ValueError("capacity must be a power of two")
     base = only(documents, key, text)
     kind = base.schema[key].dataType.simpleString()
-    schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task long, ids binary"
+    schema = f"key {kind}, doc_row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, ready = encoder(tokenizer), TaskContext.get().partitionId(), []
         packer = Packer(capacity, windows, task << 36, ready.extend)
         tail = np.array([end_id], np.uint32)
-        kinds = None
+        kinds, n = None, task << 36
         for batch in batches:
             kinds = held_by(batch, key).type
-            for part in slices(batch, text, 4 << 20):
+            for part in slices(batch, text, 1 << 20):
                 for k, t in zip(held_by(part, key).to_pylist(), held_by(part, text).to_pylist(), strict=True):
                     ids = np.concatenate([encode(t), tail]) if t else tail
-                    packer.add(k, 0, ids, len(ids))
+                    packer.add((k, n), 0, ids, len(ids))
+                    n += 1
                 if ready:
                     yield _table(ready, -1, kinds, with_ids)
                     ready.clear()
@@ -224,4 +230,4 @@ def pack(
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.withColumnRenamed("key", key).select(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
+    return out.withColumnRenamed("key", key).select(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "doc_row", "ids")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, media, minhash, mixing, mtree, packing, suffix_repeats, toxicity, url_rules, warc
-from .common import crc_of, only
+from .common import crc_of, only, prepare, settled, written
 
 #: The rules of op4 as (action, host, path): fixed values.
 RULES = [
@@ -23,8 +24,21 @@ RULES = [
 QUALITY_TARGETS = {0: 0.05, 1: 0.95}
 
 
+def whole_job(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result written; the tables it made on its way are deleted."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        before = written()
+        return settled(query(spark, sf_dir), before)
+
+    return run
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+    found = minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +101,7 @@ def byte_bpe() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: whole_job(f) for name, f in globals().items() if name.startswith("op")}
 
 
 SQL: dict[str, str] = {}

@@ -17,16 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_by, materialize, mix64, only, slices, utf8
+from .common import SLICE, held_by, hot_join, hot_of, materialize, mix64, only, slices, utf8
 from .minhash import _powers
 
 LEAST = 200
 GRAM = 32
-SLICE = 1 << 20
 #: Bytes of contexts that one kernel call takes, about, and distinct contexts of one anchor that stay together.
-KERNEL_BYTES = 2 << 20
-CHUNK = 16384
-SALTS = 16
+KERNEL_BYTES = 1 << 19
+CHUNK = 4096
 #: Up to this many text keys (16 bytes each) are broadcast to prune the documents before they are shuffled.
 BROADCAST_KEYS = 500_000
 #: Width of the first ranks: seven symbols of nine bits make a key.
@@ -215,15 +213,26 @@ def segments(data: np.ndarray, at: np.ndarray, least: int, gram: int) -> tuple[n
 
 
 def _with_key(documents: DataFrame, text: str) -> DataFrame:
-    """The documents with their text's key (d, n): equal texts, equal keys."""
+    """The documents with their text's key (d, n), 128 bits: a 64-bit hash, and the length in bytes over a 32-bit hash of another kind."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    return documents.withColumn("d", F.xxhash64(raw)).withColumn("n", F.octet_length(raw).cast("int"))
+    return documents.withColumn("d", F.xxhash64(raw)).withColumn("n", F.shiftleft(F.octet_length(raw).cast("long"), 32).bitwiseOR(F.hash(raw).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
+def pieces(part: pa.RecordBatch, text: str, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, row offsets, position in the row) of a slice: as it is, or a long text in pieces that overlap so that each window lies in one."""
+    data, at = utf8(part, text)
+    if part.num_rows > 1 or len(data) <= 2 * SLICE:
+        yield data, at, 0
+        return
+    for begin in range(0, len(data) - least + 1, SLICE):
+        some = data[begin : begin + SLICE + least - 1]
+        yield some, np.array([0, len(some)]), begin
 
 
 def repeat_spans(documents: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
     """(d, n, begins, ends): for each distinct text with repeats the maximal runs of bytes they cover.
 
-    ``documents`` has a text column and its key (d, n) from ``xxhash64`` and the length; null counts as the empty
+    ``documents`` has a text column and its key (d, n) from :func:`_with_key`; null counts as the empty
     text. A byte is covered if a string of ``least`` bytes over it also starts anywhere else, in the same text or
     another row's. Texts shorter than ``least`` have no window. Spans are judged on the input, overlaps count.
 
@@ -238,21 +247,19 @@ def repeat_spans(documents: DataFrame, least: int = LEAST, text: str = "text") -
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, SLICE):
-                data, at = utf8(part, text)
-                row, first, last, anchor, context = segments(data, at, least, gram)
                 d, n = held_by(part, "d").to_numpy(), held_by(part, "n").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(context), pa.array(d[row]), pa.array(n[row]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                    ["anchor", "context", "d", "n", "first", "last"],
-                )
-
-    schema = "anchor long, context long, d long, n int, first int, last int"
-    found = materialize(rows.where(F.col("n") >= least).mapInArrow(find, schema))
-    again = found.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
-    again = again.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    # an anchor inside a passage that many texts share is one key with a large part of the rows: its rows are dealt over salts
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("d", "first"), F.lit(SALTS)).cast("int"))
-    shared = materialize(salted.join(again, ["anchor", "salt"], "left_semi").drop("salt"))
+                for data, at, begin in pieces(part, text, least):
+                    row, first, last, anchor, context = segments(data, at, least, gram)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor), pa.array(context), pa.array(d[row]), pa.array(n[row]), pa.array((first + begin).astype(np.int32)), pa.array((last + begin).astype(np.int32))],
+                        ["anchor", "context", "d", "n", "first", "last"],
+                    )
+
+    schema = "anchor long, context long, d long, n long, first int, last int"
+    found = materialize(rows.where(F.octet_length(text) >= least).mapInArrow(find, schema))
+    again = materialize(found.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"))
+    # an anchor inside a passage that many texts share is one key with a large part of the rows
+    shared = materialize(hot_join(found, again.select("anchor"), ["anchor"], F.struct("d", "first"), hot_of(again, "k", "anchor"), "left_semi"))
     kinds = shared.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min_by(F.struct("d", "n", "first", "last"), "d").alias("at"))
     kinds = materialize(kinds.select("anchor", "context", "copies", "at.*"))
     per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("m"))
@@ -273,7 +280,7 @@ def repeat_spans(documents: DataFrame, least: int = LEAST, text: str = "text") -
             begins, ends = [b.tolist() for b, _ in pairs], [e.tolist() for _, e in pairs]
             yield pa.RecordBatch.from_arrays([held_by(batch, "d"), held_by(batch, "n"), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["d", "n", "begins", "ends"])
 
-    return materialize(spread.mapInArrow(merge, "d long, n int, begins array<long>, ends array<long>"))
+    return materialize(spread.mapInArrow(merge, "d long, n long, begins array<long>, ends array<long>"))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -295,12 +302,12 @@ def _contexts(rows: DataFrame, asked: DataFrame, least: int, text: str) -> DataF
         for batch in batches:
             for part in slices(batch, text, SLICE):
                 data, at = utf8(part, text)
-                whole, out = data.tobytes(), {k: [] for k in (*names, "bytes")}
+                whole, out = memoryview(data), {k: [] for k in (*names, "bytes")}
                 for begin, places in zip(at[:-1].tolist(), held_by(part, "places").to_pylist(), strict=True):
                     for p in places:
                         for k in names:
                             out[k].append(p[k])
-                        out["bytes"].append(whole[begin + p["first"] : begin + p["last"] + least])
+                        out["bytes"].append(bytes(whole[begin + p["first"] : begin + p["last"] + least]))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
@@ -370,7 +377,7 @@ def digest_removed(documents: DataFrame, least: int = LEAST, key: str = "doc_id"
             out: dict[str, list] = {k: [] for k in ("d", "n", "n_removed", "n_spans", "kept_sha256")}
             for part in slices(batch, text, SLICE):
                 data, at = utf8(part, text)
-                whole = data.tobytes()
+                whole = memoryview(data)
                 columns = (held_by(part, c).to_pylist() for c in ("d", "n", "begins", "ends"))
                 for i, (d, n, begins, ends) in enumerate(zip(*columns, strict=True)):
                     kept, h = int(at[i]), hashlib.sha256()
@@ -380,14 +387,14 @@ def digest_removed(documents: DataFrame, least: int = LEAST, key: str = "doc_id"
                     h.update(whole[kept : int(at[i + 1])])
                     for k, v in zip(out, (d, n, sum(ends) - sum(begins), len(begins), h.hexdigest()), strict=True):
                         out[k].append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
-    cleaned = met.select("d", "n", text, "begins", "ends").mapInArrow(remove, "d long, n int, n_removed long, n_spans long, kept_sha256 string")
+    cleaned = met.select("d", "n", text, "begins", "ends").mapInArrow(remove, "d long, n long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
     narrow = base.select(key, "d", "n", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("whole"))
     return narrow.join(cleaned, ["d", "n"], "left").select(
-        key, F.col("n").cast("long").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"),
+        key, F.shiftright("n", 32).alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"),
         F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
     )
 
@@ -407,7 +414,7 @@ def remove_repeats(documents: DataFrame, least: int = LEAST, text: str = "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at_name, 8 << 20):
+            for part in slices(batch, at_name, SLICE):
                 texts = held_by(part, at_name).to_pylist()
                 for i, (begins, ends) in enumerate(zip(held_by(part, "begins").to_pylist(), held_by(part, "ends").to_pylist(), strict=True)):
                     if begins:

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cohortlens.llm import graph, minhash
+from cohortlens.llm import common, graph, minhash
 
 SCHEMA = "doc_id long, text string, kept string"
 
@@ -36,9 +36,13 @@ def brute(rows, k, percent):
     return [(d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block", [500_000, 300])
+@pytest.mark.parametrize("block", [512, 3])
 def test_equals_all_pairs(spark, prose, block, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    if block == 3:  # every key is hot, every text long, every call of the kernel takes one comparison
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
+        monkeypatch.setattr(minhash, "TASK_SHINGLES", 100)
+        monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
     r = random.Random(5)
     rows, i = [], 100
     for family in range(4):
@@ -54,8 +58,50 @@ def test_equals_all_pairs(spark, prose, block, monkeypatch):
     rows += [(200, ""), (201, " \t\n"), (202, "one"), (203, "ONE"), (204, "one two"), (205, "é É x"), (206, "é É X"), (7, rows[0][1]), (7, rows[0][1]), (300, prose(99, 3000)), (301, prose(99, 3000) + " end")]
     df = spark.createDataFrame([(d, t, "z") for d, t in rows], SCHEMA)
     for k, percent in ((3, 85), (5, 80)):
-        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, k, percent).collect())
+        found = minhash.near_duplicates(df, k, percent).collect()
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found)
         assert got == sorted((d, n, c, d == c) for d, n, c in brute(rows, k, percent))
+        left = {(r["doc_id"], r["text_hash"], r["component_id"]) for r in found if r["stays"] and r["n_shingles"]}
+        assert len(left) == len({c for _, n, c in brute(rows, k, percent) if n})
+
+
+def test_ids_that_repeat_with_other_texts(spark, prose):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(3, a), (7, a), (7, b), (9, b + " x1"), (9, b + " x1 x2"), (5, c), (5, c + " y"), (5, c + " z")]
+    df = spark.createDataFrame([(d, t, "z") for d, t in rows], SCHEMA)
+    found = minhash.near_duplicates(df).collect()
+    assert [r["component_id"] for r in sorted(found, key=lambda r: (r["doc_id"], r["n_shingles"]))] == [3, 5, 5, 5, 3, 7, 7, 7]
+    assert sorted(r["doc_id"] for r in found if r["stays"]) == [3, 5, 7]
+
+
+def test_long_texts_are_read_in_pieces(prose, monkeypatch):
+    text = "  " + prose(3, 900) + " " + "w" * 700 + "\n" + prose(4, 300).upper() + " end"
+    other = prose(5, 200) + "  " + "v" * 5000
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in (text, other, "q" * 3000, " " * 3000)]
+    whole = [(minhash.shingle_sets(b, "text", 3)) for b in batches]
+    for size in (64, 177, 1000):
+        monkeypatch.setattr(minhash, "SLICE", size)
+        for b, (sets, at) in zip(batches, whole):
+            got, ends = minhash.shingle_sets(b, "text", 3)
+            assert (got == sets).all() and (ends == at).all()
+            if len(sets):
+                monkeypatch.setattr(minhash, "SLICE", 1 << 20)
+                want = minhash.signatures(sets, at, 16), minhash._order_free(sets, at[:1])
+                monkeypatch.setattr(minhash, "SLICE", size)
+                assert (minhash.signatures(sets, at, 16) == want[0]).all() and (minhash._order_free(sets, at[:1]) == want[1]).all()
+
+
+def test_comparisons_of_many_short_sets_are_small():
+    import resource
+
+    r = np.random.default_rng(4)
+    m = 2 * minhash.BLOCK_ROWS
+    sets = [np.sort(r.choice(np.arange(i % 7 * 25, i % 7 * 25 + 25), 20, replace=False)) for i in range(m)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    at = np.arange(0, 20 * m + 1, 20)
+    pairs = minhash.joining_pairs(np.arange(m), np.arange(m), np.full(m, 20), np.concatenate(sets), at, None, 60)
+    assert pairs and all(a % 7 == b % 7 for a, b in pairs) and len(pairs) < m
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150_000
 
 
 def test_nulls_and_empty(spark):
