@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import minhash, mixing, packing, suffix_repeats, toxicity
-from cohortlens.llm.common import materialize, release, written
+from cohortlens.llm.common import materialize, prepare, settled, written
 from cohortlens.llm.queries import QUALITY_TARGETS, byte_bpe
 
-#: Up to this many ids (8 bytes each) are broadcast to drop their documents; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
+#: Up to this many rows (16 bytes each) are broadcast to drop them from the documents; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,6 +21,7 @@ def own_columns(stage: Stage) -> Stage:
     """The stage, blind to all columns but doc_id, text and n_chars: the others come back as they were, whatever their names."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
         names = docs.columns
         plain = [n if n in ("doc_id", "text", "n_chars") and names.index(n) == i else f"column_{i}" for i, n in enumerate(names)]
         return stage(spark, docs.toDF(*plain), sf_dir).toDF(*names)
@@ -38,14 +38,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @own_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id; of rows that are wholly equal one."""
+    """One document of each group stays: a row with the smallest id; of rows that are wholly equal one.
+
+    Rows are dropped by id and text, so rows that share an id and not a text are judged apart. Texts without words and
+    rows without id stay.
+    """
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = materialize(docs.dropDuplicates(["doc_id", "text"]))
     found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = materialize(found.where("not kept").select("doc_id").distinct())
-    if gone.count() <= BROADCAST_IDS:
+    gone = materialize(found.where("not stays").select("doc_id", "text_hash").distinct())
+    if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left_anti").select(docs.columns)
 
 
 @own_columns
@@ -66,8 +70,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents."""
-    return packing.pack(docs, byte_bpe()).drop("ids")
+    """The packed pieces of all documents, with their ids; ``doc_row`` tells the copies of a document apart."""
+    prepare(spark)
+    return packing.pack(docs, byte_bpe(), with_ids=True)
 
 
 STAGES = [
@@ -87,8 +92,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         before = written()
-        docs = materialize(stage(spark, docs, sf_dir))
-        release(spark, before, keep_last=True)
+        docs = settled(stage(spark, docs, sf_dir), before)
     return docs
 
 
