@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_by, materialize, only, slices, utf8
+from .common import held_by, materialize, only, release, slices, utf8, written
 from .ngrams import characters, distinct, hashed, letter_table, lower_table
 
 #: Rows, and bytes of text, that a model is fitted on, about: the labelled rows with the smallest hashes.
@@ -132,6 +132,14 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int = MAX
     return rows.select("text", F.col("label").cast("int").alias("label"))
 
 
+def fit_labelled(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, **options: object) -> LinearText | None:
+    """:func:`fit` on the :func:`labelled_sample`, whose tables are deleted."""
+    before = written()
+    model = fit(labelled_sample(documents, labels, max_rows), **options)
+    release(documents.sparkSession, before)
+    return model
+
+
 def _summed(batches: Iterator[pa.RecordBatch], bits: int, lists: bool) -> dict[int, np.ndarray]:
     """How many rows of each label have each n-gram, and at the end how many rows there are: from rows' lists, or from partial sums."""
     out: dict[int, np.ndarray] = {}

@@ -31,7 +31,7 @@ PULL = 1e-4
 def fit_domains(documents: DataFrame, labels: DataFrame, label: str, max_rows: int = 4000) -> linear_text.LinearText | None:
     """A domain classifier from ``labels`` (doc_id, ``label``), on at most ``max_rows`` labelled documents. Case and punctuation count."""
     marked = only(labels, "doc_id", label).withColumnRenamed(label, "label")
-    return linear_text.fit(linear_text.labelled_sample(documents, marked, max_rows), sizes=(3, 4), bits=18, fold=False, ridge=1e-3)
+    return linear_text.fit_labelled(documents, marked, max_rows, sizes=(3, 4), bits=18, fold=False, ridge=1e-3)
 
 
 def word_counts(batch: pa.RecordBatch, column: str) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, held_by, hot_join, hot_of, materialize, mix64, only, slices, utf8
+from .common import SLICE, held_by, hot_join, hot_of, materialize, mix64, only, settled, slices, utf8, written
 from .minhash import _powers
 
 LEAST = 200
@@ -241,6 +241,7 @@ def repeat_spans(documents: DataFrame, least: int = LEAST, text: str = "text") -
     anchor, many anchors a task. An anchor of more than CHUNK distinct contexts is dealt over chunks; windows that
     no other of their chunk equals are then compared across chunks by 128-bit digests, one narrow row each.
     """
+    before = written()
     gram = min(GRAM, least)
     rows = documents.select("d", "n", text)
 
@@ -262,12 +263,13 @@ def repeat_spans(documents: DataFrame, least: int = LEAST, text: str = "text") -
     shared = materialize(hot_join(found, again.select("anchor"), ["anchor"], F.struct("d", "first"), hot_of(again, "k", "anchor"), "left_semi"))
     kinds = shared.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min_by(F.struct("d", "n", "first", "last"), "d").alias("at"))
     kinds = materialize(kinds.select("anchor", "context", "copies", "at.*"))
-    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("m"))
-    many = per_anchor.where("m > 1").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
-    asked = materialize(kinds.join(many, "anchor").withColumn("chunk", F.pmod("context", "chunks").cast("int")).drop("m"))
+    per_anchor = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("m")))
+    sized = hot_join(kinds, per_anchor, ["anchor"], F.col("context"), hot_of(per_anchor, "m", "anchor"))
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    asked = materialize(sized.where("m > 1").withColumn("chunks", chunks).withColumn("chunk", F.pmod("context", "chunks").cast("int")).drop("m"))
     spans = materialize(_scan(_contexts(rows, asked, least, text), least))
     # anchors of one context: all its windows are in every copy
-    single = kinds.join(per_anchor.where("m = 1"), "anchor").select(
+    single = sized.where("m = 1").select(
         "anchor", "context", F.array(F.lit(0).cast("long")).alias("begins"), F.array((F.col("last") - F.col("first") + least).cast("long")).alias("ends")
     )
     inside = spans.unionByName(single).select("anchor", "context", F.explode(F.arrays_zip("begins", "ends")).alias("s"))
@@ -280,7 +282,7 @@ def repeat_spans(documents: DataFrame, least: int = LEAST, text: str = "text") -
             begins, ends = [b.tolist() for b, _ in pairs], [e.tolist() for _, e in pairs]
             yield pa.RecordBatch.from_arrays([held_by(batch, "d"), held_by(batch, "n"), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["d", "n", "begins", "ends"])
 
-    return materialize(spread.mapInArrow(merge, "d long, n long, begins array<long>, ends array<long>"))
+    return settled(spread.mapInArrow(merge, "d long, n long, begins array<long>, ends array<long>"), before)
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:

@@ -13,7 +13,7 @@ THRESHOLD = 0.5
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = linear_text.MAX_TRAINING_ROWS) -> linear_text.LinearText | None:
     """Learn from the documents that ``labels`` (doc_id, toxic) marks, at most ``max_rows`` of them."""
-    return linear_text.fit(linear_text.labelled_sample(documents, only(labels, "doc_id", "toxic").withColumnRenamed("toxic", "label"), max_rows))
+    return linear_text.fit_labelled(documents, only(labels, "doc_id", "toxic").withColumnRenamed("toxic", "label"), max_rows)
 
 
 def score_toxicity(documents: DataFrame, model: linear_text.LinearText | None, text: str = "text") -> DataFrame:

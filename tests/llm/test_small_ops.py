@@ -117,6 +117,25 @@ def test_warc_roundtrip(spark, prose):
     assert warc.roundtrip(df.limit(0)).count() == 0
 
 
+def test_archives_are_closed_by_bytes(spark, prose, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 5000)
+    path = common.shared_dir(spark)
+    rows = [(i, f"http://a/{i}", prose(i, 500 if i % 7 else 4000)) for i in range(60)] + [(1, "http://other", prose(1, 500)), (None, "http://null", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    warc.write_warc(df, path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
+    assert len(files) > 3 and all(20_000 * 0.1 < f["length"] < 60_000 for f in files)
+    for f in files:
+        plain = gzip.decompress(bytes(f["content"]))  # any reader of gzip opens it
+        assert [h["warc-record-id"] for h, _ in warc.parse_warc(plain)] == [h["warc-record-id"] for h, _ in warc.parse_warc(bytes(f["content"]))]
+    got = warc.assemble(warc.read_warc(spark, path)).collect()
+    assert {(r["metadata"]["page_id"], r["capture"]["target_uri"]) for r in got} == {(i, u) for i, u, _ in rows} and len(got) == 62
+    assert {bytes(r["capture"]["payload"]).decode() for r in got if r["capture"]["record_type"] == "response"} == {t for _, _, t in rows}
+
+
 def test_transactions_are_nested(spark):
     path = common.shared_dir(spark)
     df = spark.createDataFrame([(1, "http://a/x", "é" * 10), (2, "http://b", "é" * 10)], "page_id long, url string, html string")
@@ -158,8 +177,10 @@ def test_top_k_equals_brute_force(spark):
     queries = {i: v for i, v in vectors.items() if i % 50 == 0 or i in (2001, 950)}
     asked = df.where("vec_id % 50 = 0 or vec_id in (2001, 950)")
     for size in (8192, 150):
-        got = sorted(tuple(x) for x in mtree.top_k(df, asked, 10, size).collect())
+        tally = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        got = sorted(tuple(x) for x in mtree.top_k(df, asked, 10, size, tally).collect())
         assert got == brute_top(vectors, queries, 10)
+        assert 0 < tally[0].value < 0.5 * tally[1].value  # of all pairs
     assert mtree.top_k(df.limit(0), asked, 10).count() == 0 and mtree.top_k(df, asked.limit(0), 10).count() == 0
 
 
