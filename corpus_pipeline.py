@@ -45,8 +45,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = materialize(docs.dropDuplicates(["doc_id", "text"]))
+    before = written()
     found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = materialize(found.where("not stays").select("doc_id", "text_hash").distinct())
+    gone = settled(found.where("not stays").select("doc_id", "text_hash").distinct(), before)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left_anti").select(docs.columns)
