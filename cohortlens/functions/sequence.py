@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,28 +18,39 @@ def seed(x: Column) -> Column:
     return F.substring(x, 2, 7)
 
 
-def kmers(x: Column, sizes: list[int]) -> Column:
-    """All substrings of the given sizes, in order; none where the sequence is shorter."""
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often a lambda inside looks at it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _letters(x: Column) -> Column:
+    return F.filter(F.split(x, ""), lambda c: c != "")
 
-    def of(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) - k + 1))
-        return F.when(F.length(x) >= k, F.transform(starts, lambda i: F.substring(x, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.array(*map(of, sizes)))
+def _each_kmer(letters: Column, k: int, f: Callable[[Column, Column], Column]) -> Column:
+    """``f(k-mer, position from 1)`` of all k-mers of an array of letters, in order; none where there are fewer letters."""
+    n = F.size(letters)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1))
+    return F.when(n >= k, F.transform(starts, lambda i: f(F.array_join(F.slice(letters, i, F.lit(k)), ""), i))).otherwise(F.array().cast("array<string>"))
+
+
+def kmers(x: Column, sizes: list[int]) -> Column:
+    """All substrings of the given sizes, in order; none where the sequence is shorter. The work grows with the length, not its square."""
+    return _bound(_letters(x), lambda s: F.flatten(F.array(*(_each_kmer(s, k, lambda m, i: m) for k in sizes))))
 
 
 def positional_kmers(x: Column, sizes: list[int]) -> Column:
     """K-mers tagged by where their middle lies: first third ``5p``, second ``center``, last ``3p``."""
 
-    def tagged(k: int) -> Column:
-        def tag(i: Column) -> Column:
-            middle = (i - 1 + F.lit(k / 2)) / F.greatest(F.lit(1), F.length(x))
+    def tagged(letters: Column, k: int) -> Column:
+        def tag(kmer: Column, i: Column) -> Column:
+            middle = (i - 1 + F.lit(k / 2)) / F.greatest(F.lit(1), F.size(letters))
             region = F.when(middle < 1 / 3, "5p").when(middle < 2 / 3, "center").otherwise("3p")
-            return F.concat(F.lit("positional:"), region, F.lit(":"), F.substring(x, i, F.lit(k)))
+            return F.concat(F.lit("positional:"), region, F.lit(":"), kmer)
 
-        return F.when(F.length(x) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) - k + 1)), tag)).otherwise(F.array().cast("array<string>"))
+        return _each_kmer(letters, k, tag)
 
-    return F.flatten(F.array(*map(tagged, sizes)))
+    return _bound(_letters(x), lambda s: F.flatten(F.array(*(tagged(s, k) for k in sizes))))
 
 
 def terminal_motifs(x: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:

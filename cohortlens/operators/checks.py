@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranking import global_rank
+
 
 def header_contract(df: DataFrame, first: list[str]) -> None:
     """The first columns must have these names, and no name may occur twice."""
@@ -48,13 +50,18 @@ def tolerance_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str
 
 
 def rank_violations(df: DataFrame, rank: str, score: str | None = None, by: list[str] | None = None, slack: float = 1e-12) -> DataFrame:
-    """Rows where ranks are not 1, 2, 3 ... or a score rises from one rank to the next."""
-    w = Window.partitionBy(*(by or [])).orderBy(rank)
-    out = df.withColumn("_n", F.row_number().over(w)).withColumn("_before", F.lag(score or rank).over(w))
-    bad = F.col("_n") != F.col(rank)
+    """Rows where ranks are not 1, 2, 3 ... or a score rises from one rank to the next, within ``by`` or in the whole frame."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(rank)
+        out = df.withColumn("_at", F.row_number().over(w)).withColumn("_prior", F.lag(score or rank).over(w))
+    else:  # neighbours meet by their number
+        numbered = global_rank(df, [rank, *([score] if score else [])], "_at")
+        prior = numbered.select((F.col("_at") + 1).alias("_at"), F.col(score or rank).alias("_prior"))
+        out = numbered.join(prior, "_at", "left")
+    bad = F.col("_at") != F.col(rank)
     if score:
-        bad = bad | (F.col(score) > F.col("_before") + slack)
-    return out.where(bad).drop("_n", "_before")
+        bad = bad | F.coalesce(F.col(score) > F.col("_prior") + slack, F.lit(False))
+    return out.where(bad).select(*(f"`{c}`" for c in df.columns))
 
 
 def same_frame(a: DataFrame, b: DataFrame) -> bool:

@@ -133,7 +133,7 @@ def cross_validated_newton(long: DataFrame, feature: str = "feature", label: str
 # --- positive-unlabelled ensembles ----------------------------------------------------------------
 
 
-#: Positives that a ranking is fitted on at most.
+#: Positives that a fit learns from at most, those with the smallest hashes: the default of a parameter. All are scored.
 MAX_POSITIVES = 500
 RANKED = "name string, score double, oob_models int, fallback boolean, median double, q25 double, q75 double, top_1 double, top_5 double, top_10 double, top_20 double, features array<string>"
 
@@ -577,15 +577,15 @@ def sequence_kmers(s: str, sizes: tuple[int, ...] = (2, 3, 4)) -> dict[str, floa
     return {f: v / total for f, v in out.items()}
 
 
-def rank_candidates(entries: DataFrame, config: tuple = CONFIGS[0], bags: int = 20, size: int = 800, epochs: int = 420, salt: str = "final") -> DataFrame:
+def rank_candidates(entries: DataFrame, config: tuple = CONFIGS[0], bags: int = 20, size: int = 800, epochs: int = 420, salt: str = "final", max_positives: int = MAX_POSITIVES) -> DataFrame:
     """(name, score, oob_models, fallback, median, q25, q75, top_1, top_5, top_10, top_20, features): out-of-bag scores of all unlabelled entries.
 
-    Fitted on at most MAX_POSITIVES positives, those with the smallest hashes, and bags of ``size`` unlabelled entries drawn
+    Fitted on at most ``max_positives`` positives, those with the smallest hashes, and bags of ``size`` unlabelled entries drawn
     from all of them; bags are fitted in parallel. The models, a bounded number of weights, then score every entry
     where it is; stability is the spread of an entry's percentile over the bags it was not in.
     """
     base = entries.select("name", "sequence", "family", F.col("positive").cast("int").alias("positive"), F.col("evidence").cast("double").alias("evidence"))
-    positives = base.where("positive = 1").orderBy(fnv1a(F.concat(F.lit(f"{salt}|"), F.col("name"))), "name").limit(MAX_POSITIVES).toPandas().sort_values("name")
+    positives = base.where("positive = 1").orderBy(fnv1a(F.concat(F.lit(f"{salt}|"), F.col("name"))), "name").limit(max_positives).toPandas().sort_values("name")
     rest = base.where("positive = 0")
     schema = "name string, score double, oob_models int, fallback boolean, features array<string>, logits array<double>"
 

@@ -48,13 +48,28 @@ def auc_inference(aucs: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", by: list[str] | None = None, name: str = "fdr") -> DataFrame:
-    """Adds the step-up false discovery rate; without ``by`` the frame is one family of hypotheses, a table of rankings."""
-    keys = by or []
-    up = Window.partitionBy(*keys).orderBy(p)
-    every = Window.partitionBy(*keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("_k", F.row_number().over(up)).withColumn("_n", F.count("*").over(every))
-    return ranked.withColumn(name, F.min(F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("_k"))).over(down)).drop("_k", "_n")
+    """Adds the step-up false discovery rate, within ``by`` or over the whole frame; null p-values are no hypotheses and have none.
+
+    Equal p-values have equal rates, so what is ordered are the distinct ones with their counts. Over a whole frame they are
+    sorted by ranges: sums and minima within the ranges, and one row for each range to go on from.
+    """
+    if by:
+        w = Window.partitionBy(*by)
+        k = F.count(p).over(w.orderBy(p).rangeBetween(Window.unboundedPreceding, 0))
+        ranked = df.withColumn("_q", F.least(F.lit(1.0), F.col(p) * F.count(p).over(w) / k))
+        return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.min("_q").over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))).drop("_q")
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    parts = materialize(counts.repartitionByRange("_p").withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part")
+    whole = Window.orderBy("_part")  # one row a part
+    sizes = parts.groupBy("_part").agg(F.sum("_c").alias("_size"))
+    sizes = sizes.withColumn("_before", F.sum("_size").over(whole) - F.col("_size")).withColumn("_n", F.sum("_size").over(Window.partitionBy()))
+    k = F.col("_before") + F.sum("_c").over(own.orderBy("_p"))
+    rated = parts.join(F.broadcast(sizes), "_part").withColumn("_q", F.least(F.lit(1.0), F.col("_p") * F.col("_n") / k))
+    least = rated.groupBy("_part").agg(F.min("_q").alias("_m")).withColumn("_after", F.min("_m").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)))
+    q = F.min("_q").over(own.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    rates = rated.join(F.broadcast(least), "_part").select("_p", F.least(q, F.coalesce("_after", F.lit(1.0))).alias(name))
+    return df.join(rates, df[p] == rates["_p"], "left").drop("_p")
 
 
 def distinct_fdr(df: DataFrame, key: Column, p: str = "p_value") -> DataFrame:
@@ -66,7 +81,10 @@ def distinct_fdr(df: DataFrame, key: Column, p: str = "p_value") -> DataFrame:
 
 
 def sequential_rank(df: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
+    """Ranks 1, 2, 3 ... within ``by``, or of the whole frame; ``order`` must be total."""
+    if not by:
+        return global_rank(df, order, name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
@@ -125,9 +143,16 @@ def recall_at(df: DataFrame, by: list[str], percentile: str = "percentile", cuts
 
 
 def hash_folds(df: DataFrame, key: Column, folds: int, by: list[str] | None = None, salt: str = "", name: str = "fold") -> DataFrame:
-    """Round-robin folds in the order of the hash of salt and key, then the key, within each class."""
-    order = [fnv1a(F.concat(F.lit(salt), key)), key]
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)) - 1) % folds)
+    """Round-robin folds in the order of the hash of salt and key, then the key, within each class.
+
+    Classes may be few and large, so the order is one over all rows; a row's place in its class is its rank less the class's first.
+    """
+    keyed = df.withColumn("_all", F.lit(0)).withColumn("_key", key).withColumn("_h", fnv1a(F.concat(F.lit(salt), F.col("_key"))))
+    classes = by or ["_all"]
+    ranked = global_rank(keyed, [*classes, "_h", "_key"], "_r")
+    first = ranked.groupBy(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(classes))).agg(F.min("_r").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(classes)]
+    return ranked.join(first, same).select(*(f"`{c}`" for c in df.columns), ((F.col("_r") - F.col("_first")) % folds).alias(name))
 
 
 def hash_bags(df: DataFrame, key: str, bags: int, size: int, salt: str) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import sequence as S
 
@@ -85,22 +90,74 @@ def cosine_to(vectors: DataFrame, target: DataFrame, entity: str = "entity") ->
 def cosine_pairs(left: DataFrame, right: DataFrame, entity: str = "entity") -> DataFrame:
     """(a, b, cosine) of entities that share a feature, through the features: pairs without any are 0 and not listed.
 
-    ``right`` is a curated reference set; its size bounds how often a feature's row is repeated.
+    ``right`` is a curated reference set; its size bounds how often a feature's row is repeated. For the best few of each left
+    entity :func:`nearest_of` needs no pair of rows.
     """
     unit = lambda df, n: df.withColumn("_u", F.col("value") / F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(entity)))).select(F.col(entity).alias(n), "feature", F.col("_u").alias(f"_{n}"))
     met = unit(left, "a").join(unit(right, "b"), "feature")
     return met.groupBy("a", "b").agg(F.sum(F.col("_a") * F.col("_b")).alias("cosine"))
 
 
-def motif_enrichment(positive: DataFrame, background: DataFrame, weights: DataFrame, least: float = 2.0, top: int = 30) -> DataFrame:
-    """(motif, presence, enrichment): log2 of smoothed weighted presence in positives over that in the background; the top positive ones."""
+#: Cells (features and references) of a reference matrix that is broadcast at most.
+REFERENCE_CELLS = 5_000_000
+
+
+def nearest_of(left: DataFrame, right: DataFrame, k: int, entity: str = "entity", places: int = 9) -> DataFrame:
+    """(a, b, cosine, rank): the ``k`` nearest references of each left entity, those of no common feature left out.
+
+    Both are (entity, feature, value). A left entity's vector is one row, the references are one broadcast matrix; each Arrow batch is
+    multiplied with it and keeps k a row, ties (in ``places``) to the smaller reference. Reference sets of more than
+    REFERENCE_CELLS cells go through :func:`cosine_pairs`.
+    """
+    rows = right.groupBy(entity).agg(F.collect_list(F.struct("feature", "value")).alias("v"))
+    cells = right.agg(F.count_distinct("feature") * F.count_distinct(entity)).first()[0]
+    if cells > REFERENCE_CELLS:
+        w = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", places)), F.col("b"))
+        return cosine_pairs(left, right, entity).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    held = rows.orderBy(entity).collect()
+    at = {f: i for i, f in enumerate(sorted({x["feature"] for r in held for x in r["v"]}))}
+    unit = np.zeros((len(held), max(1, len(at))))
+    for i, r in enumerate(held):
+        for x in r["v"]:
+            unit[i, at[x["feature"]]] = x["value"]
+    unit /= np.maximum(np.sqrt((unit * unit).sum(axis=1, keepdims=True)), 1e-300)
+    shared = left.sparkSession.sparkContext.broadcast((at, unit, [r[entity] for r in held]))
+    kinds = left.schema[entity].dataType.simpleString(), right.schema[entity].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, unit, names = shared.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                x, norm = np.zeros((part.num_rows, unit.shape[1])), np.zeros(part.num_rows)
+                for i, v in enumerate(part.column(1).to_pylist()):
+                    norm[i] = np.sqrt(sum(e["value"] ** 2 for e in v))
+                    for e in v:
+                        if e["feature"] in at:
+                            x[i, at[e["feature"]]] = e["value"]
+                cos = (x @ unit.T) / np.maximum(norm[:, None], 1e-300)
+                order = np.argsort(-cos.round(places), axis=1, kind="stable")[:, :k]
+                i, rank = np.nonzero(np.take_along_axis(cos, order, axis=1) > 0)
+                best = order[i, rank]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(i)), pa.array([names[j] for j in best.tolist()], b_type), pa.array(cos[i, best]), pa.array(rank + 1, pa.int32())], ["a", "b", "cosine", "rank"]
+                )
+
+    b_type = to_arrow_type(right.schema[entity].dataType)
+    wide = left.groupBy(entity).agg(F.collect_list(F.struct("feature", "value")).alias("v"))
+    return wide.mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}, cosine double, rank int")
+
+
+def motif_enrichment(positive: DataFrame, background: DataFrame, weights: DataFrame, least: float = 2.0, top: int | None = 30) -> DataFrame:
+    """(motif, presence, enrichment): log2 of smoothed weighted presence in positives over that in the background; the top positive ones, or all."""
     p = weighted_presence(positive, weights)
     totals = weights.agg(F.sum("weight").alias("_w"))
     size = background.agg(F.count_distinct("entity").alias("_n"))
     b = background.select("entity", "feature").distinct().groupBy("feature").agg(F.count("*").alias("_b"))
     met = p.where(F.col("presence") >= least).join(b, "feature", "left").join(F.broadcast(totals)).join(F.broadcast(size))
     ratio = ((F.col("presence") + 0.5) / (F.col("_w") + 1)) / ((F.coalesce("_b", F.lit(0)) + 0.5) / (F.col("_n") + 1))
-    return met.select(F.col("feature").alias("motif"), "presence", F.log2(ratio).alias("enrichment")).where("enrichment > 0").orderBy(F.desc("enrichment"), F.desc("presence"), "motif").limit(top)
+    found = met.select(F.col("feature").alias("motif"), "presence", F.log2(ratio).alias("enrichment")).where("enrichment > 0")
+    return found if top is None else found.orderBy(F.desc("enrichment"), F.desc("presence"), "motif").limit(top)
 
 
 def motif_coverage(df: DataFrame, motifs: DataFrame, sizes: list[int], entity: str = "entity", seq: str = "sequence") -> DataFrame:

@@ -50,6 +50,22 @@ def panel_matrix(long: DataFrame, panel: DataFrame) -> DataFrame:
     return out.withColumn("value", stats.log1p_scale(F.col("value")))
 
 
+def apply_policy(markers: DataFrame, policy: DataFrame) -> DataFrame:
+    """The markers that a training policy uses, with its weight as ``evidence``; the two must name the same markers, each once.
+
+    ``markers`` has ``name``, ``policy`` is (name, training_weight, use_in_training: sim or nao). Other flags and weights
+    that are not above 0 are errors too.
+    """
+    _, problems = matching.one_to_one(markers, policy, "name")
+    flag, weight = F.lower(F.trim("use_in_training")), F.col("training_weight").try_cast("double")
+    odd = policy.where(~F.coalesce(flag.isin("sim", "nao"), F.lit(False)) | ~F.coalesce(weight > 0, F.lit(False)))
+    bad = problems.unionByName(odd.select("name", F.lit("unknown flag or weight").alias("problem"))).orderBy("name").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['name']}: {r['problem']}" for r in bad))
+    used = policy.where(flag == "sim").select("name", weight.alias("evidence"))
+    return markers.drop("evidence").join(used, "name")
+
+
 def rank_sequences(entries: DataFrame, **options: object) -> DataFrame:
     """Model 1: candidates by out-of-bag score, ties by name, with ranks and percentiles; entries as in ``learning.rank_candidates``."""
     out = materialize(learning.rank_candidates(entries, **options))

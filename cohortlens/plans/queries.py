@@ -2,8 +2,7 @@
 
 Doubles are rounded to six places, counts are 64-bit. ``embeddings`` stands for a log-scale sample x feature matrix
 with label 0 as the case class, ``events`` for linear measurements with even users as cases, the A, C, G and U of
-``documents`` for sequences, and ``labels.quality`` for curated positives. Queries with SQL see the first 22 letters, as
-their SQL does; those without see whole texts.
+whole ``documents`` texts for sequences, and ``labels.quality`` for curated positives.
 """
 
 from __future__ import annotations
@@ -65,10 +64,9 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
 EVT = """evt AS (SELECT event_id AS sample, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS label, event_type AS feature, value FROM events)"""
 
 
-def entries(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """(entity, name, sequence, family, positive) of the documents: of the whole texts, or of the 22 letters that the SQL frames take."""
-    letters = sequence.normalize_sequence(F.col("text"))
-    docs = table(spark, d, "documents").select("doc_id", (letters if whole else F.left(letters, F.lit(22))).alias("sequence"))
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    """(entity, name, sequence, family, positive) of the documents' whole texts."""
+    docs = table(spark, d, "documents").select("doc_id", sequence.normalize_sequence(F.col("text")).alias("sequence"))
     marked = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     joined = docs.join(marked, "doc_id", "left")
     return joined.select(
@@ -77,22 +75,22 @@ def entries(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     )
 
 
-def reused_entries(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def reused_entries(spark: SparkSession, d: str) -> DataFrame:
     """The same, written once: for queries that read it on several branches, so texts are normalised once."""
-    return materialize(entries(spark, d, whole))
+    return materialize(entries(spark, d))
 
 
-SEQ = """seq AS (SELECT d.doc_id AS entity, 'd' || d.doc_id AS name, left(regexp_replace(translate(upper(coalesce(d.text, '')), 'T', 'U'), '[^ACGU]', '', 'g'), 22) AS sequence,
+SEQ = """seq AS (SELECT d.doc_id AS entity, 'd' || d.doc_id AS name, regexp_replace(translate(upper(coalesce(d.text, '')), 'T', 'U'), '[^ACGU]', '', 'g') AS sequence,
  CASE WHEN coalesce(l.quality, 0) = 1 THEN 1 ELSE 0 END AS positive FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
 fam AS (SELECT *, substr(sequence, 2, 7) AS family FROM seq)"""
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("entity"), F.left(sequence.normalize_sequence(F.col("text")), F.lit(22)).alias("sequence"))
+    return b.select(F.col("item_id").alias("entity"), sequence.normalize_sequence(F.col("text")).alias("sequence"))
 
 
-REF = """ref AS (SELECT item_id AS entity, left(regexp_replace(translate(upper(coalesce(text, '')), 'T', 'U'), '[^ACGU]', '', 'g'), 22) AS sequence FROM benchmark)"""
+REF = """ref AS (SELECT item_id AS entity, regexp_replace(translate(upper(coalesce(text, '')), 'T', 'U'), '[^ACGU]', '', 'g') AS sequence FROM benchmark)"""
 
 
 def kmer_sql(source: str, sizes: tuple[int, ...]) -> str:
@@ -293,9 +291,10 @@ def replication_verdict(spark: SparkSession, d: str) -> DataFrame:
     return v.select("feature", "src", r6("directed", "directed"), F.col("ok").cast("int").alias("replicated"), (F.col("ok") & (F.col("directed") >= 0.6)).cast("int").alias("practical"))
 
 
-@query(f"WITH {CEN}, {VERDICT} SELECT feature::INT AS feature FROM v WHERE src = 'plain' AND {OK} INTERSECT SELECT feature::INT FROM v WHERE src = 'centred' AND {OK}")
+@query(f"WITH {CEN}, {VERDICT} SELECT feature::INT AS feature FROM v WHERE src = 'plain' AND directed > 0.51 INTERSECT SELECT feature::INT FROM v WHERE src = 'centred' AND directed > 0.51")
 def robust_intersection(spark: SparkSession, d: str) -> DataFrame:
-    v = verdicts(spark, d).where("ok")
+    """Features on the expected side in both analyses; none of this noise is replicated outright."""
+    v = verdicts(spark, d).where("directed > 0.51")
     return v.where("src = 'plain'").select("feature").intersect(v.where("src = 'centred'").select("feature"))
 
 
@@ -355,8 +354,8 @@ def heldout_midrank(spark: SparkSession, d: str) -> DataFrame:
     return _midranked(spark, d).select("entity", "rank", r6("percentile", "percentile"))
 
 
-def _midranked(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    s = reused_entries(spark, d, whole).withColumn("score", F.round(sequence.gc_fraction(F.col("sequence")), 6)).select("entity", "family", "positive", "score").withColumn("pool_", F.lit(0))
+def _midranked(spark: SparkSession, d: str) -> DataFrame:
+    s = reused_entries(spark, d).withColumn("score", F.round(sequence.gc_fraction(F.col("sequence")), 6)).select("entity", "family", "positive", "score").withColumn("pool_", F.lit(0))
     return ranking.held_out_midrank(s.where("positive = 1"), s.where("positive = 0"), ["pool_"], "family")
 
 
@@ -481,9 +480,10 @@ def semi_candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_known(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    pending = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(pending, "c_custkey", "left_anti")
 
 
 @query("SELECT DISTINCT lower(trim(doc_id::VARCHAR)) AS id FROM documents WHERE doc_id::VARCHAR IN (SELECT lower(trim(item_id::VARCHAR)) FROM benchmark)")
@@ -597,8 +597,7 @@ c AS (SELECT a.entity, b.entity AS reference, sum(a.n * b.n) / any_value(na.s *
 SELECT entity, reference, round(cosine, 6) AS cosine, k::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(cosine, 9) DESC, reference) AS k FROM c) WHERE k <= 3""")
 def nearest_references(spark: SparkSession, d: str) -> DataFrame:
     mine, ref = (sequences.kmer_counts(x, [3]).withColumnRenamed("n", "value") for x in (entries(spark, d), references(spark, d)))
-    near = sequences.cosine_pairs(mine, ref)
-    top = ranking.top_per_group(near, ["a"], [F.desc(F.round("cosine", 9)), F.col("b")], 3)
+    top = sequences.nearest_of(mine, ref, 3)
     return top.select(F.col("a").alias("entity"), F.col("b").alias("reference"), r6("cosine", "cosine"), big("rank", "rank"))
 
 
@@ -623,7 +622,7 @@ top AS (SELECT * FROM mot WHERE enrichment > 0 ORDER BY enrichment DESC, round(p
 def motifs(e: DataFrame) -> DataFrame:
     k = sequences.kmer_counts(e, [3, 4])
     background = k.join(e.where("positive = 0").select("entity"), "entity", "left_semi")
-    found = sequences.motif_enrichment(k, background, balanced(e), top=1_000_000)
+    found = sequences.motif_enrichment(k, background, balanced(e), top=None)
     return found.select("motif", "presence", F.round("enrichment", 9).alias("enrichment")).orderBy(F.desc("enrichment"), F.desc(F.round("presence", 6)), "motif").limit(30)
 
 
@@ -698,7 +697,7 @@ def sign_flip_p(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def random_ranking(spark: SparkSession, d: str) -> DataFrame:
-    fam = _midranked(spark, d, whole=True).groupBy("family").agg(F.count("*").alias("markers"), F.avg("percentile").alias("percentile"))
+    fam = _midranked(spark, d).groupBy("family").agg(F.count("*").alias("markers"), F.avg("percentile").alias("percentile"))
     seen = fam.agg(F.avg("percentile"), F.count_if(F.col("percentile") >= 0.9)).first()
     return resampling.random_ranking_test(fam, "family", "markers", seen[0] or 0.0, seen[1] or 0)
 
@@ -772,7 +771,7 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 
 def curated(spark: SparkSession, d: str) -> DataFrame:
     """A pool of sequences, written once: distinct ones that are not empty, positive if any document with it is."""
-    e = entries(spark, d, whole=True).where(F.length("sequence") > 0).groupBy("sequence").agg(F.max("positive").alias("positive"), F.min("name").alias("name"))
+    e = entries(spark, d).where(F.length("sequence") > 0).groupBy("sequence").agg(F.max("positive").alias("positive"), F.min("name").alias("name"))
     return materialize(e.select("name", "sequence", sequence.seed(F.col("sequence")).alias("family"), "positive", F.lit(1.0).alias("evidence")))
 
 

@@ -36,7 +36,7 @@ def read_table(spark: SparkSession, path: str, sep: str = ",", strict: bool = Fa
             raise ValueError(f"{path}: empty or repeated column names")
         bad = row_widths(spark, path, sep).where(F.col("width") != len(names)).limit(1).collect()
         if bad:
-            raise ValueError(f"{path}: a row has {bad[0]['width']} cells, the header {len(names)}")
+            raise ValueError(f"{path}: {bad[0]['line']!r} has {bad[0]['width']} cells, the header {len(names)}")
     # a name that repeats means its last column
     last = {n: i for i, n in enumerate(names)}
     raw = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("header", True).option("enforceSchema", True)
@@ -45,9 +45,9 @@ def read_table(spark: SparkSession, path: str, sep: str = ",", strict: bool = Fa
 
 
 def row_widths(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """(width) of every non-blank line; separators inside quotes don't count."""
+    """(line, width) of every non-blank line, its beginning and its cells; separators inside quotes don't count."""
     unquoted = F.regexp_replace("value", r'"([^"]|"")*"', "")
-    return spark.read.text(path).where(F.trim("value") != "").select((F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep))) + 1).alias("width"))
+    return spark.read.text(path).where(F.trim("value") != "").select(F.left("value", F.lit(60)).alias("line"), (F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep))) + 1).alias("width"))
 
 
 def filled(df: DataFrame) -> DataFrame:
@@ -77,10 +77,14 @@ def read_id_mapping(spark: SparkSession, path: str, taxid: str = "9606") -> tupl
 
 
 def read_fasta(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """(name, accession, sequence) of records whose name starts with ``prefix`` and whose cleaned sequence is not empty."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.split(F.regexp_extract("value", r"^([^\r\n]*)", 1), r"\s+")
-    body = F.regexp_replace(F.regexp_extract("value", r"(?s)^[^\r\n]*[\r\n]+(.*)$", 1), r"\s", "")
+    """(name, accession, sequence) of records whose name starts with ``prefix`` and whose cleaned sequence is not empty.
+
+    A record begins with ``>`` at the beginning of a line; one inside a header is a letter like any other.
+    """
+    records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+    value = F.regexp_replace("value", "^>", "")  # the first of a file
+    head = F.split(F.regexp_extract(value, r"^([^\r\n]*)", 1), r"\s+")
+    body = F.regexp_replace(F.regexp_extract(value, r"(?s)^[^\r\n]*[\r\n]+(.*)$", 1), r"\s", "")
     out = records.select(
         F.element_at(head, 1).alias("name"), F.coalesce(F.try_element_at(head, F.lit(2)), F.lit("")).alias("accession"),
         F.regexp_replace(F.translate(F.upper(body), "T", "U"), "[^ACGU]", "").alias("sequence"),
@@ -97,7 +101,9 @@ def read_or(spark: SparkSession, path: str, fallback: list[tuple], schema: str)
     """A table, or the given rows where the path does not exist."""
     try:
         return read_table(spark, path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame(fallback, schema)
 
 

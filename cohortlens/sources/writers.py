@@ -71,14 +71,21 @@ def escape_html(x: str) -> str:
     return x
 
 
-def dashboard(title: str, views: dict[str, DataFrame], most: int = 5000) -> str:
-    """A static page: each view's first rows as a table, with all rows embedded as JSON."""
+def dashboard(title: str, views: dict[str, DataFrame], shown: int = 100) -> str:
+    """A static page with each view's first rows, as a table and as JSON; :func:`write_dashboard` puts whole views beside it."""
     parts, payload = [], {}
     for name, df in views.items():
-        rows = [r.asDict(recursive=True) for r in df.limit(most).collect()]
-        payload[name] = rows
+        rows = payload[name] = [r.asDict(recursive=True) for r in df.limit(shown).collect()]
         head = "".join(f"<th>{escape_html(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{escape_html(str(r[c]))}</td>" for c in df.columns) + "</tr>" for r in rows[:100])
-        parts.append(f"<h2>{escape_html(name)}</h2><table><tr>{head}</tr>{body}</table>")
+        body = "".join("<tr>" + "".join(f"<td>{escape_html(str(r[c]))}</td>" for c in df.columns) + "</tr>" for r in rows)
+        link = f"data/{name.replace(' ', '_')}"
+        parts.append(f'<h2>{escape_html(name)}</h2><p><a href="{escape_html(link)}">all rows</a></p><table><tr>{head}</tr>{body}</table>')
     data = json.dumps(payload, default=str).replace("</", "<\\/")
     return f"<!doctype html><meta charset=utf-8><title>{escape_html(title)}</title><h1>{escape_html(title)}</h1>{''.join(parts)}<script type=application/json id=data>{data}</script>"
+
+
+def write_dashboard(spark: SparkSession, title: str, views: dict[str, DataFrame], path: str) -> None:
+    """The page below ``path/page`` and every view, with all its rows, as JSON lines below ``path/data``."""
+    for name, df in views.items():
+        df.write.json(f"{path.rstrip('/')}/data/{name.replace(' ', '_')}")
+    write_report(spark, [dashboard(title, views)], f"{path.rstrip('/')}/page")

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame as a committed Parquet table and read it again, so all uses see the same rows and partitions.
-
-    The folder is below ``spark.checkpoint.dir``; where that is unset (tests, one machine), in the warehouse.
-    """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+def new_folder(spark: SparkSession) -> str:
+    """A folder name below ``spark.checkpoint.dir``; only on one machine, where that is unset, in the warehouse. It goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame as a committed Parquet table and read it again, so all uses see the same rows and partitions."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

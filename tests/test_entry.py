@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables of the smallest scale are not here")
 
 #: Queries whose Spark and SQL results are compared here; all are compared by the driver.
-SAMPLE = ["feature_association", "welch_hedges", "pareto_front", "heldout_midrank", "exact_or_family_join", "motif_enrichment", "bootstrap_ci", "counter_uniforms", "transpose_aggregate", "replication_verdict"]
+SAMPLE = ["feature_association", "welch_hedges", "pareto_front", "heldout_midrank", "exact_or_family_join", "motif_enrichment", "bootstrap_ci", "counter_uniforms", "transpose_aggregate", "replication_verdict", "hash_folds", "nearest_references", "feature_blocks", "series_matrix", "external_metrics"]
 
 
 def plain(v):

@@ -76,3 +76,35 @@ def test_sinks(spark, tmp_path):
     assert writers.file_digests(spark, str(tmp_path / "f.bin")).first()["sha256"] == "BA7816BF8F01CFEA414140DE5DAE2223B00361A396177A9CB410FF61F20015AD"
     page = writers.dashboard("t<", {"v": df})
     assert "t&lt;" in page and "a\\\"b,c" in page
+
+
+def test_dashboard_writes_whole_views(spark, tmp_path):
+    df = spark.range(250).selectExpr("id", "'x' AS t")
+    assert writers.dashboard("d", {"v": df}).count("<tr>") == 101
+    writers.write_dashboard(spark, "d", {"all of it": df}, str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d/data/all_of_it")).count() == 250
+    assert spark.read.text(str(tmp_path / "d/page"), wholetext=True).count() == 1
+
+
+def test_fasta_and_missing_sources(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">x1 A1 a > b\nACGT\nAC\n>y2\nNN\n>x3\r\nuu\r\n")
+    got = [tuple(r) for r in readers.read_fasta(spark, str(tmp_path / "a.fa"), "x").orderBy("name").collect()]
+    assert got == [("x1", "A1", "ACGUAC"), ("x3", "", "UU")]
+    assert readers.read_or(spark, str(tmp_path / "none"), [("q",)], "a string").collect()[0][0] == "q"
+    (tmp_path / "bad.csv").write_text("a,a\n1,2\n3\n")
+    with pytest.raises(ValueError, match="repeated"):
+        readers.read_table(spark, str(tmp_path / "bad.csv"), strict=True)
+    (tmp_path / "wide.csv").write_text('a,b\n1,"2,3"\nodd\n')
+    with pytest.raises(ValueError, match="'odd' has 1 cells"):
+        readers.read_table(spark, str(tmp_path / "wide.csv"), strict=True)
+
+
+def test_training_policy(spark):
+    from cohortlens.plans import pipelines
+
+    markers = spark.createDataFrame([("a",), ("b",)], "name string")
+    policy = lambda *rows: spark.createDataFrame(list(rows), "name string, training_weight string, use_in_training string")
+    assert [tuple(r) for r in pipelines.apply_policy(markers, policy(("a", "2", "sim"), ("b", "1", "nao"))).collect()] == [("a", 2.0)]
+    for bad in ([("a", "2", "sim")], [("a", "2", "sim"), ("b", "0", "sim")], [("a", "2", "sim"), ("b", "1", "perhaps")], [("a", "2", "sim"), ("b", "1", "sim"), ("c", "1", "sim")]):
+        with pytest.raises(ValueError):
+            pipelines.apply_policy(markers, policy(*bad))
