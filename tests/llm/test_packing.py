@@ -67,7 +67,12 @@ def test_empty(spark):
 def test_best_fit():
     out = []
     p = packing.Packer(8, 2, 0, out.append)
-    for name, n in (("a", 5), ("b", 6), ("c", 2), ("d", 4)):  # c fits b's window best, d tops up a's
+    seen = lambda rows: [(r[0], r[1], len(r[2])) for r in rows]
+    for name, n in (("a", 5), ("b", 6), ("c", 2), ("d", 4)):  # c fits b's window best and fills it; d opens another
         p.add(name, 0, np.arange(n, dtype=np.uint32), n)
-    assert [[(r[0], r[1], len(r[2])) for r in rows] for rows in out] == [[("b", 0, 6), ("c", 0, 2)]] or out
-    assert sum(len(r[2]) for rows in out for r in rows) % 8 == 0
+    assert [seen(rows) for rows in out] == [[("b", 0, 6), ("c", 0, 2)]]
+    assert [(w[0], seen(w[2])) for w in p.open] == [(3, [("a", 0, 5)]), (4, [("d", 0, 4)])]
+    for name, n in (("e", 4), ("f", 7), ("g", 6), ("h", 2)):  # e fills d's window, f opens one; g fits none: the fullest, f's, takes its first token and is emitted
+        p.add(name, 0, np.arange(n, dtype=np.uint32), n)
+    assert [seen(rows) for rows in out[1:]] == [[("d", 0, 4), ("e", 0, 4)], [("f", 0, 7), ("g", 0, 1)]]
+    assert [(w[0], seen(w[2])) for w in p.open] == [(1, [("a", 0, 5), ("h", 0, 2)]), (3, [("g", 1, 5)])]

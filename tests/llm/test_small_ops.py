@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,8 +264,9 @@ def test_mixing(spark, prose):
     gram = (p * share[:, None]).T @ p
     dual = np.linalg.solve(gram, np.array([0.5, 0.5]) - (p * share[:, None]).sum(0))
     want = 1 + p @ dual
-    if (want > 0).all():
-        assert np.abs(want - rate).max() < 5e-3
+    assert (want > 0).all()  # so the bound at 0 is idle and the closed form is the answer
+    assert np.abs(want - rate).max() < 5e-3
+    assert mixing.word_counts(pa.RecordBatch.from_arrays([pa.array([" a  b\t", None, "", "x" * 50])], ["t"]), "t").tolist() == [2, 0, 0, 1]
     assert mixing.mix(docs, None, {0: 1.0}, ["doc_id"]).where("rate = 1").count() == 303
     assert mixing.mix(docs.limit(0), model, {0: 1.0}, ["doc_id"]).count() == 0
 
@@ -291,3 +293,127 @@ def test_tables_are_released(spark):
     assert b.count() == 4 and common.written() == mark + 1
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(a.inputFiles()[0]).count()
+
+
+# --- classifiers against plain versions ---
+
+
+def texts_batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+
+ODD = ["", None, "a", "ab", "Straße ÉTÉ 漢字 x", "ŁÓDŹ! 12 łódź", "q" * 70, " . ", "one two three one two"]
+
+
+def plain_ngrams(text, sizes):
+    folded = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "")
+    return {folded[i : i + n] for n in sizes for i in range(len(folded) - n + 1)}
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 7])
+def test_features_are_the_distinct_ngrams(piece, prose, monkeypatch):
+    from cohortlens.llm import ngrams
+
+    texts = [*ODD, prose(1, 30), prose(2, 8) + " é漢" * 9]
+    monkeypatch.setattr(ngrams, "SLICE", piece)
+    number = {}
+    for t in texts:  # each text alone: long ones come in pieces
+        rows, buckets = linear_text.features(texts_batch([t]), "text", (4, 5, 6), 30, True)
+        want = plain_ngrams(t, (4, 5, 6))
+        assert len(buckets) == len(want) and not rows.any()
+        number[t] = set(buckets.tolist())
+    rows, buckets = linear_text.features(texts_batch(texts), "text", (4, 5, 6), 30, True)
+    assert [set(buckets[rows == i].tolist()) for i in range(len(texts))] == [number[t] for t in texts]
+
+
+def test_fit_equals_a_plain_version(spark, prose):
+    rows = [(t, y) for _, t, y in labelled(prose, 60)] + [("", 0), (None, 1)]
+    sample = spark.createDataFrame(rows, "text string, label int")
+    model = linear_text.fit(sample, sizes=(4,), bits=22)
+    sets = [plain_ngrams(t, (4,)) for t, _ in rows]
+    y = np.array([y for _, y in rows])
+    grams = sorted(set().union(*sets))
+    x = np.array([[g in s for g in grams] for s in sets], float)
+    inside, total = x[y == 1].sum(0), x.sum(0)
+    ratio = np.log((1 + inside) / (1 + y.sum())) - np.log((1 + total - inside) / (1 + len(y) - y.sum()))
+    ratio[(total < max(4, 0.02 * min(y.sum(), len(y) - y.sum()))) | (np.abs(ratio) < 1.5)] = 0
+    x, w, b, m1, m2 = x * ratio, np.zeros(len(grams)), np.log(y.mean() / (1 - y.mean())), np.zeros(len(grams) + 1), np.zeros(len(grams) + 1)
+    for t in range(1, 81):
+        g = 1 / (1 + np.exp(-(x @ w + b))) - y
+        slope = np.r_[x.T @ g / len(y) + 5e-4 * w, g.mean()]
+        m1, m2 = 0.9 * m1 + 0.1 * slope, 0.99 * m2 + 0.01 * slope**2
+        step = 0.03 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+        w, b = w - step[:-1] * (ratio != 0), b - step[-1]
+    want = 1 / (1 + np.exp(-(x @ w + b)))
+    got = model.posteriors(texts_batch([t for t, _ in rows]), "text")[:, 1]
+    assert np.abs(got - want).max() < 1e-4
+
+
+def plain_bundle(text):
+    s = [c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else None for c in text or ""]
+    v = {c: langid.letter_vectors(np.array([ord(c) if c else 0]))[0].astype(int) for c in {*s, None}}
+    out = np.zeros(langid.DIMENSIONS)
+    for i, c in enumerate(s):
+        if c:
+            before, after = s[i - 1] if i else None, s[i + 1] if i + 1 < len(s) else None
+            out += np.roll(v[before], 2) * np.roll(v[c], 1) * v[after]
+    return out
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 1 << 12])
+def test_bundles_equal_a_plain_version(cells, prose, monkeypatch):
+    from cohortlens.llm import ngrams
+
+    monkeypatch.setattr(langid, "CELLS", cells)
+    texts = [*ODD, *(prose(i, 40) for i in range(4)), *(prose(i, 1) for i in range(300))]
+    want = np.array([plain_bundle(t) for t in texts])
+    assert (langid.bundles(texts_batch(texts), "text") == want).all()
+    monkeypatch.setattr(ngrams, "SLICE", 11)
+    for t in texts[:12]:
+        assert (langid.bundles(texts_batch([t]), "text")[0] == plain_bundle(t)).all()
+
+
+def test_more_than_a_thousand_languages(spark):
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} x", f"l{i:04d}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.fit_profiles(docs)
+    assert len(profiles.languages) == 1200
+    assert langid.predict_language(docs, profiles).where("lang <> lang_pred").count() == 0
+
+
+def test_short_and_long_texts_stay_small(prose):
+    """Many short texts, and one long one, through the kernels, in a process of their own."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from cohortlens.llm import common, langid, linear_text, minhash, mixing, suffix_repeats
+from cohortlens.llm.common import slices
+words = np.array(["%x" % (i * 2654435761 % 99991) for i in range(5000)])
+rng = np.random.default_rng(1)
+short = pa.RecordBatch.from_arrays([pa.array(rng.choice(words, 60_000).tolist())], ["text"])
+long = pa.RecordBatch.from_arrays([pa.array([" ".join(rng.choice(words, 4_000_000).tolist())])], ["text"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for batch in (short, long):
+    for part in slices(batch, "text"):
+        if sys.argv[1] == "op1":
+            sets, at = minhash.shingle_sets(part, "text", 5)
+            minhash.signatures(sets, at, 20)
+        elif sys.argv[1] == "op5":
+            linear_text.features(part, "text", (4, 5, 6), 20, True)
+        elif sys.argv[1] == "op6":
+            langid.bundles(part, "text")
+        elif sys.argv[1] == "op3":
+            mixing.word_counts(part, "text")
+        else:
+            for data, at, begin in suffix_repeats.pieces(part, "text", 200):
+                suffix_repeats.segments(data, at, 200, 32)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for name, most in (("op1", 250), ("op3", 100), ("op5", 350), ("op6", 200), ("op9", 120)):
+        out = subprocess.run([sys.executable, "-c", code, name], cwd=root, env=os.environ | common.WORKER_ENVIRONMENT, capture_output=True, text=True, check=True)
+        assert int(out.stdout) < most, (name, out.stdout)
