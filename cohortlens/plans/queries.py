@@ -677,22 +677,22 @@ def stable_hash(spark: SparkSession, d: str) -> DataFrame:
 AUCS = f"a AS (SELECT feature, round(auc, 9) AS v FROM {AUC_SQL.format(src='emb')}), q AS (SELECT list(v ORDER BY feature) AS vs, count(*)::BIGINT AS n FROM a)"
 
 
-@query(f"""WITH {EMB}, {AUCS}, i AS (SELECT it, j, n, vs[1 + floor({uniform_sql(0x54C043, '(it * n + j)')} * n)::BIGINT] AS x FROM q, range(500) t(it), range(1000) s(j) WHERE j < n),
+@query(f"""WITH {EMB}, {AUCS}, i AS (SELECT it, j, n, vs[1 + floor({uniform_sql(0x54C043, '(it * n + j)')} * n)::BIGINT] AS x FROM q, range(4000) t(it), range(1000) s(j) WHERE j < n),
 m AS (SELECT it, avg(x) AS m, avg((x >= 0.9)::INT) AS r FROM i GROUP BY it)
 SELECT round(quantile_cont(m, 0.025), 6) AS mean_low, round(quantile_cont(m, 0.975), 6) AS mean_high, round(quantile_cont(r, 0.025), 6) AS recall_low, round(quantile_cont(r, 0.975), 6) AS recall_high FROM m""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     a = ranking.auc(samples(spark, d), ["feature"]).select("feature", F.round("auc", 9).alias("v"))
-    out = resampling.bootstrap_interval(a, "feature", "v", iterations=500)
+    out = resampling.bootstrap_interval(a, "feature", "v")
     return out.select(*(r6(c, c) for c in out.columns))
 
 
 @query(f"""WITH {CEN}, a AS (SELECT feature, round(x.auc - y.auc, 9) AS v FROM {AUC_SQL.format(src='cen')} x JOIN {AUC_SQL.format(src='emb')} y USING (feature)), q AS (SELECT list(v ORDER BY feature) AS vs, count(*)::BIGINT AS n, avg(v) AS o FROM a),
-i AS (SELECT it, o, avg(CASE WHEN {uniform_sql(12345, '(it * n + j)')} < 0.5 THEN vs[1 + j] ELSE -vs[1 + j] END) AS m FROM q, range(1000) t(it), range(1000) s(j) WHERE j < n GROUP BY it, o)
+i AS (SELECT it, o, avg(CASE WHEN {uniform_sql(12345, '(it * n + j)')} < 0.5 THEN vs[1 + j] ELSE -vs[1 + j] END) AS m FROM q, range(10000) t(it), range(1000) s(j) WHERE j < n GROUP BY it, o)
 SELECT round((SELECT o FROM q), 6) AS mean_delta, sum((round(abs(m), 12) >= round(abs(o), 12))::INT)::BIGINT AS hits, (SELECT sum((v > 1e-12)::INT) FROM a)::BIGINT AS improved, (SELECT sum((v < -1e-12)::INT) FROM a)::BIGINT AS worsened FROM i""")
 def sign_flip_p(spark: SparkSession, d: str) -> DataFrame:
     a = ranking.auc(centered(spark, d), ["feature"]).join(ranking.auc(samples(spark, d), ["feature"]).select("feature", F.col("auc").alias("b")), "feature")
-    out = resampling.paired_comparison(a.select("feature", F.round(F.col("auc") - F.col("b"), 9).alias("v")), "feature", "v", 1, 12345, 10, 1000)
-    return out.select(r6("mean_delta", "mean_delta"), big(F.round(F.col("p_value") * 1001 - 1), "hits"), "improved", "worsened")
+    out = resampling.paired_comparison(a.select("feature", F.round(F.col("auc") - F.col("b"), 9).alias("v")), "feature", "v", 1, 12345)
+    return out.select(r6("mean_delta", "mean_delta"), big(F.round(F.col("p_value") * 10_001 - 1), "hits"), "improved", "worsened")
 
 
 @query(None)
