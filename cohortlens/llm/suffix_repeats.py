@@ -242,6 +242,31 @@ def repeat_spans(documents: DataFrame, least: int = LEAST, text: str = "text") -
     no other of their chunk equals are then compared across chunks by 128-bit digests, one narrow row each.
     """
     before = written()
+    rows, shared, sized = _segments_of(documents, least, text)
+    asked = materialize(sized.where("m > 1"))
+    spans = materialize(_scan(_contexts(rows, asked, least, text), least))
+    # anchors of one context: all its windows are in every copy
+    single = sized.where("m = 1").select(
+        "anchor", "context", F.array(F.lit(0).cast("long")).alias("begins"), F.array((F.col("last") - F.col("first") + least).cast("long")).alias("ends")
+    )
+    inside = spans.unionByName(single).select("anchor", "context", F.explode(F.arrays_zip("begins", "ends")).alias("s"))
+    part = shared.join(inside, ["anchor", "context"]).select("d", "n", (F.col("first") + F.col("s.begins")).alias("b"), (F.col("first") + F.col("s.ends")).alias("e"))
+    spread = part.distinct().groupBy("d", "n").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("s"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [merge_spans(np.array([x["b"] for x in s], np.int64), np.array([x["e"] for x in s], np.int64)) for s in held_by(batch, "s").to_pylist()]
+            begins, ends = [b.tolist() for b, _ in pairs], [e.tolist() for _, e in pairs]
+            yield pa.RecordBatch.from_arrays([held_by(batch, "d"), held_by(batch, "n"), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["d", "n", "begins", "ends"])
+
+    return settled(spread.mapInArrow(merge, "d long, n long, begins array<long>, ends array<long>"), before)
+
+
+def _segments_of(documents: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, shared, sized): the texts; their segments whose anchor is met more than once; the distinct contexts of these.
+
+    A context has its copies counted, one place to cut it from, how many contexts its anchor has (m) and the chunk it is dealt to.
+    """
     gram = min(GRAM, least)
     rows = documents.select("d", "n", text)
 
@@ -266,23 +291,7 @@ def repeat_spans(documents: DataFrame, least: int = LEAST, text: str = "text") -
     per_anchor = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("m")))
     sized = hot_join(kinds, per_anchor, ["anchor"], F.col("context"), hot_of(per_anchor, "m", "anchor"))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    asked = materialize(sized.where("m > 1").withColumn("chunks", chunks).withColumn("chunk", F.pmod("context", "chunks").cast("int")).drop("m"))
-    spans = materialize(_scan(_contexts(rows, asked, least, text), least))
-    # anchors of one context: all its windows are in every copy
-    single = sized.where("m = 1").select(
-        "anchor", "context", F.array(F.lit(0).cast("long")).alias("begins"), F.array((F.col("last") - F.col("first") + least).cast("long")).alias("ends")
-    )
-    inside = spans.unionByName(single).select("anchor", "context", F.explode(F.arrays_zip("begins", "ends")).alias("s"))
-    part = shared.join(inside, ["anchor", "context"]).select("d", "n", (F.col("first") + F.col("s.begins")).alias("b"), (F.col("first") + F.col("s.ends")).alias("e"))
-    spread = part.distinct().groupBy("d", "n").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("s"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [merge_spans(np.array([x["b"] for x in s], np.int64), np.array([x["e"] for x in s], np.int64)) for s in held_by(batch, "s").to_pylist()]
-            begins, ends = [b.tolist() for b, _ in pairs], [e.tolist() for _, e in pairs]
-            yield pa.RecordBatch.from_arrays([held_by(batch, "d"), held_by(batch, "n"), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["d", "n", "begins", "ends"])
-
-    return settled(spread.mapInArrow(merge, "d long, n long, begins array<long>, ends array<long>"), before)
+    return rows, shared, sized.withColumn("chunks", chunks).withColumn("chunk", F.pmod("context", "chunks").cast("int"))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -316,18 +325,23 @@ def _contexts(rows: DataFrame, asked: DataFrame, least: int, text: str) -> DataF
     return materialize(met.select(text, "places").mapInArrow(cut, "anchor long, context long, copies long, chunk int, chunks int, bytes binary"))
 
 
+def _group_numbers(table: pa.Table) -> np.ndarray:
+    """A number for each row, one for each (anchor, chunk)."""
+    keys = table["anchor"].to_numpy().astype(np.int64), table["chunk"].to_numpy().astype(np.int64)
+    order = np.lexsort(keys)
+    new = np.r_[True, (keys[0][order][1:] != keys[0][order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])]
+    groups = np.empty(len(order), np.int64)
+    groups[order] = np.cumsum(new)
+    return groups
+
+
 def _scan(contexts: DataFrame, least: int) -> DataFrame:
     """(anchor, context, begins, ends): the repeats within each context, from the suffix arrays of the (anchor, chunk) groups."""
     total = contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(1, -(-int(total) // KERNEL_BYTES))
 
     def kernel(table: pa.Table) -> pa.Table:
-        names, texts = table.select(["anchor", "context"]), table["bytes"].to_pylist()
-        keys = table["anchor"].to_numpy().astype(np.int64), table["chunk"].to_numpy().astype(np.int64)
-        order = np.lexsort(keys)
-        new = np.r_[True, (keys[0][order][1:] != keys[0][order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])]
-        groups = np.empty(len(order), np.int64)
-        groups[order] = np.cumsum(new)
+        names, texts, groups = table.select(["anchor", "context"]), table["bytes"].to_pylist(), _group_numbers(table)
         pairs = repeats_in_contexts(texts, groups, table["copies"].to_numpy(), least)
         loose, seen = [], set()
         for t, group, chunks, (b, e) in zip(texts, groups.tolist(), table["chunks"].to_pylist(), pairs, strict=True):
@@ -361,6 +375,62 @@ def _scan(contexts: DataFrame, least: int) -> DataFrame:
     return spans.drop("loose").unionByName(more)
 
 
+# --- repeat groups ------------------------------------------------------------------------------
+
+
+def repeat_groups(documents: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(group_id, length, key, begin): the groups of repeated strings of ``least`` bytes and more, one row for each occurrence.
+
+    ``group_id`` is the hex digest (128 bits) of the repeated bytes, so a string is one group, and all its occurrences in all
+    rows are in it: copies of a row, rows that share a key and rows without one included. Groups are the maximal repeats
+    within the segments of an anchor, whose contexts are at most 2 * ``least`` bytes long, about: a longer repeat gives a group
+    for each of its segments. Anchors of more than CHUNK distinct contexts give a group for each of their repeated windows
+    of ``least`` bytes. Null texts, short texts and empty tables have no groups.
+    """
+    before = written()
+    base = materialize(_with_key(only(documents, key, text), text))
+    rows, shared, sized = _segments_of(base.select("d", "n", text), least, text)
+    contexts = _contexts(rows, materialize(sized), least, text)
+    kind = "group_id string, length int, anchor long, context long, begin int"
+
+    def digest(b: bytes) -> str:
+        return hashlib.blake2b(b, digest_size=16).hexdigest()
+
+    def table_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["group_id", "length", "anchor", "context", "begin"])
+
+    def kernel(table: pa.Table) -> pa.Table:
+        texts, copies = table["bytes"].to_pylist(), table["copies"].to_pylist()
+        anchors, contexts = table["anchor"].to_pylist(), table["context"].to_pylist()
+        array = suffix_array(texts, _group_numbers(table), [np.arange(len(t) - least + 1) for t in texts], least)
+        found = [(digest(t), len(t), anchors[i], contexts[i], 0) for i, t in enumerate(texts) if copies[i] > 1]
+        for length, first, last in maximal_repeats(array, least):
+            places = list(zip(array["text"][first : last + 1].tolist(), array["offset"][first : last + 1].tolist(), strict=True))
+            i, o = places[0]
+            name = digest(texts[i][o : o + length])
+            found += [(name, length, anchors[i], contexts[i], o) for i, o in places]
+        return pa.Table.from_batches([table_of(found)])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, context, t in zip(*(held_by(batch, c).to_pylist() for c in ("anchor", "context", "bytes")), strict=True):
+                yield table_of([(digest(t[w : w + least]), least, anchor, context, w) for w in range(len(t) - least + 1)])
+
+    total = contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-int(total) // KERNEL_BYTES)))).alias("bucket")
+    found = contexts.where("chunks = 1").groupBy(bucket).applyInArrow(kernel, kind)
+    many = contexts.where("chunks > 1")
+    if not many.isEmpty():
+        each = materialize(many.select("anchor", "context", "copies", "bytes").mapInArrow(windows, kind))
+        counted = each.join(many.select("anchor", "context", "copies"), ["anchor", "context"])
+        again = counted.groupBy("group_id").agg(F.sum("copies").alias("k")).where("k > 1").select("group_id")
+        found = found.unionByName(each.join(again, "group_id", "left_semi"))
+    met = shared.distinct().join(materialize(found), ["anchor", "context"]).select("group_id", "length", "d", "n", (F.col("first") + F.col("begin")).alias("begin"))
+    return settled(met.distinct().join(base.select(key, "d", "n"), ["d", "n"]).select("group_id", "length", key, "begin"), before)
+
+
 # --- what becomes of the documents --------------------------------------------------------------
 
 

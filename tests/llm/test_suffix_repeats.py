@@ -47,6 +47,39 @@ def test_equals_brute_force(spark, prose, chunk, monkeypatch):
     assert got == collections.Counter((i % 45, *x[:4]) for i, x in enumerate(brute(texts, S.LEAST)))
 
 
+@pytest.mark.parametrize("chunk", [16384, 3])
+def test_repeat_groups_hold_all_occurrences(spark, prose, chunk, monkeypatch):
+    """Every group is one string with all its occurrences anywhere; together they cover what brute force says is repeated."""
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    texts = corpus(prose)
+    raw = [(t or "").encode() for t in texts]
+    rows = [(i, t, "k") for i, t in enumerate(texts)]
+    found = collections.defaultdict(list)
+    df = spark.createDataFrame(rows, "doc_id long, text string, d string").repartition(3)
+    for r in S.repeat_groups(df).collect():
+        found[r["group_id"]].append((r["length"], r["doc_id"], r["begin"]))
+    cover = [bytearray(len(b)) for b in raw]
+    assert len({raw[m[0][1]][m[0][2] : m[0][2] + m[0][0]] for m in found.values()}) == len(found) > 0
+    for members in found.values():
+        n, i, p = members[0]
+        string = raw[i][p : p + n]
+        everywhere = sorted((n, j, q) for j, b in enumerate(raw) for q in range(len(b) - n + 1) if b.startswith(string, q))
+        assert n >= S.LEAST and sorted(members) == everywhere and len(members) > 1
+        for _, j, q in members:
+            cover[j][q : q + n] = b"\1" * n
+    assert [sum(c) for c in cover] == [x[1] for x in brute(texts, S.LEAST)]
+    if chunk > 3:
+        assert max(m[0][0] for m in found.values()) > S.LEAST
+
+
+def test_repeat_groups_of_odd_rows(spark, prose):
+    p = prose(5, 60)
+    schema = "doc_id long, text string"
+    got = {(r["doc_id"], r["begin"]) for r in S.repeat_groups(spark.createDataFrame([(None, p), (1, p), (1, "x" + p), (2, None), (3, ""), (4, "short")], schema)).collect()}
+    assert {i for i, _ in got} == {None, 1} and {(None, 0), (1, 0), (1, 1)} <= got
+    assert S.repeat_groups(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_removal_keeps_columns_and_characters(spark, prose):
     p = "é" + prose(5, 60)
     texts = ["a" + p + "b", "ü" + p + "c", None, "x"]
