@@ -11,7 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names, scores
+from ..functions import formats, names, scores
 from ..operators import checks, matching, matrix, sequences
 from ..sources import readers, writers
 from ..storage import materialize, new_folder
@@ -215,6 +215,19 @@ def parsed_pairs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", F.inline(scores.parse_pairs(text)))
 
 
+@query("""WITH x AS (SELECT o_orderkey, o_totalprice AS p, (o_totalprice + 0.001) / 700000 AS share FROM orders)
+SELECT o_orderkey, printf('%.2f', p) AS price, regexp_replace(printf('%.6e', share / 1000000), 'e-0', 'e-') AS p_value, printf('%.2f', 100 * share) || '%' AS share,
+CASE WHEN share >= 0.4 THEN '+' ELSE '' END || printf('%.2f', 100 * (share - 0.4)) AS gain, replace(format('{:,}', o_orderkey * 1000), ',', '.') AS grouped, CASE WHEN share >= 0.4 THEN printf('%.2f', share * 25) ELSE printf('%.4f', share * 25) END AS cell FROM x""")
+def number_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers as reports and pages write them."""
+    price = F.col("o_totalprice")
+    share = (price + 0.001) / 700000
+    return table(spark, d, "orders").select(
+        "o_orderkey", formats.fixed(price).alias("price"), formats.exponential(share / 1000000).alias("p_value"), formats.percent(share).alias("share"), formats.points(share - 0.4).alias("gain"),
+        formats.grouped(F.col("o_orderkey") * 1000).alias("grouped"), formats.display_value(share * 25).alias("cell"),
+    )
+
+
 # --- feature blocks -------------------------------------------------------------------------------------
 
 

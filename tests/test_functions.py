@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortlens.functions import hashing, names, scores, sequence, stats
+from cohortlens.functions import formats, hashing, names, scores, sequence, stats
 
 
 def one(spark, *columns):
@@ -75,3 +75,12 @@ def test_scores(spark):
     assert abs(row[0] - (0.6 * 0.6 + 0.3 + 0.05)) < 1e-12 and row[1] == "none" and row[2:5] == (3.0, 1.0, 1.0) and row[5] == 0.7 and row[6] == 0.3
     assert [tuple(x) for x in row[7]] == [("a", 0.8), ("b", None)]
     assert math.isclose(one(spark, stats.sigmoid(F.lit(36.0)))[0], 1.0)
+
+
+def test_number_formats(spark):
+    df = spark.createDataFrame([(1.5e-7, 0.0), (0.034, -0.00001), (1234.5678, 12.0), (None, None)], "x double, y double")
+    got = df.select(formats.fixed(F.col("x"), 3), formats.exponential(F.col("x")), formats.percent(F.col("x")), formats.points(F.col("y")), formats.grouped(F.col("x") * 1000), formats.display_value(F.col("x"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("0.000", "1.500000e-7", "0.00%", "+0.00", "0", "0.0000"), ("0.034", "3.400000e-2", "3.40%", "-0.00", "34", "0.0340"),
+        ("1234.568", "1.234568e+3", "123456.78%", "+1200.00", "1.234.567", "1234.57"), (None,) * 6,
+    ]
