@@ -32,7 +32,7 @@ def test_pool_has_whole_texts(spark, tables):
 
 
 def test_random_ranking_sees_whole_texts(spark, tables):
-    got = {r["entity"]: r["percentile"] for r in queries._midranked(spark, tables, whole=True).collect()}
+    got = {r["entity"]: r["percentile"] for r in queries._midranked(spark, tables).collect()}
     share = {k: round(sum(c in "GC" for c in s) / max(1, len(s)), 6) for k, s in ((k, letters(t)) for k, t in TEXTS.items())}
     family = {k: letters(t)[1:8] for k, t in TEXTS.items()}
     for k in (1, 7):
@@ -155,7 +155,7 @@ def test_random_ranking_has_all_iterations(spark, tables):
     got = queries.random_ranking(spark, tables).first()
     for p in (got["p_mean"], got["p_recall"]):
         assert abs(p * 10_001 - round(p * 10_001)) < 1e-6 and 1 <= round(p * 10_001) <= 10_001
-    fam = queries._midranked(spark, tables, whole=True).groupBy("family").agg({"percentile": "avg", "*": "count"}).orderBy("family").collect()
+    fam = queries._midranked(spark, tables).groupBy("family").agg({"percentile": "avg", "*": "count"}).orderBy("family").collect()
     assert all(r["count(1)"] == 1 for r in fam)
     u = counter_uniform_np(0x50A17E, 10_000 * len(fam)).reshape(10_000, len(fam)).mean(axis=1)
     assert round(got["p_mean"] * 10_001) - 1 == (u >= np.mean([r["avg(percentile)"] for r in fam])).sum()
