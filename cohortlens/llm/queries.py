@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, minhash, mixing, mtree, packing, suffix_repeats, toxicity, url_rules, warc
+from . import centroids, hard_negatives, langid, media, minhash, mixing, mtree, packing, range_join, suffix_repeats, toxicity, url_rules, warc
 from .common import crc_of, only, prepare, settled, written
 
 #: The rules of op4 as (action, host, path): fixed values.
@@ -93,6 +93,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, size=64, scale=64)
+
+
+def op12_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.93)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, positives=5, k=5, percent=80, scale=256, relabel=7)
+
+
 def byte_bpe() -> str:
     """The tokenizer file that the packing query names."""
     import public_tokenizers
@@ -160,3 +172,46 @@ s AS (SELECT r, sum(gone)::BIGINT AS n_removed, sum((gone = 1 AND before = 0)::I
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN s USING (r)
 """
+
+#: A vector takes part where no component is null or not finite.
+_FINITE = "embedding IS NOT NULL AND len(embedding) = len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)])"
+
+
+def _centroid_sql(k: int, rounds: int) -> str:
+    """Assignments and moves of centroids, one after the other."""
+    steps = [
+        f"e AS (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND {_FINITE})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM e QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} AS (SELECT r, vec_id, e.v, c, list_inner_product(e.v, e.v) - 2 * list_inner_product(e.v, k.v) + list_inner_product(k.v, k.v) AS d FROM e CROSS JOIN c{i} k QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"
+        )
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT c, i, floor(sum(x) / count(*)) AS x FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY c, i)")
+            steps.append(f"c{i + 1} AS (SELECT k.c, coalesce(n.v, k.v) AS v FROM c{i} k LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM m{i} GROUP BY c) n ON k.c = n.c)")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, a.c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string([x::BIGINT FOR x IN k.v], ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k ON a.c = k.c
+"""
+
+
+SQL["op11_centroids"] = _centroid_sql(16, 3)
+
+SQL["op12_range_join"] = f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE} AND len([x FOR x IN embedding IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r(vec_id, component_id) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, r.component_id FROM r JOIN l ON r.vec_id = l.x)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = m.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT vec_id, min(component_id) AS component_id FROM r GROUP BY vec_id) m
+"""
+
+SQL["op13_hard_negatives"] = f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM e a JOIN e c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other))::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5
+"""
