@@ -8,6 +8,7 @@ confirmed on their full sets.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,13 @@ BLOCK_ROWS, BLOCK_SHINGLES = 512, 125_000
 #: Shingles of the comparisons that one kernel call makes, about.
 TASK_SHINGLES = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that are its hash as they are, one to one; longer words are hashed by a cryptographic function.
+SHORT = 8
+#: Long words whose hashes a worker remembers.
+REMEMBERED = 200_000
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+SEPARATORS = (32, 9, 10, 11, 12, 13)
+_remembered: dict[bytes, int] = {}
 
 
 def bands_for(percent: int, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
@@ -39,25 +47,30 @@ def bands_for(percent: int, rows: int = ROWS_PER_BAND, miss: float = MISS) -> in
 
 @lru_cache(maxsize=1)
 def _bytes() -> tuple[np.ndarray, np.ndarray]:
-    """A random 64-bit value for each byte (A-Z as a-z), and which bytes separate words."""
-    values = np.random.default_rng(101).integers(1, 1 << 63, 256, dtype=np.uint64)
-    values[65:91] = values[97:123]
+    """Each byte with A-Z as a-z, and which bytes separate words."""
     separates = np.zeros(256, bool)
-    separates[[32, 9, 10, 11, 12, 13]] = True
-    return values, separates
+    separates[list(SEPARATORS)] = True
+    return np.frombuffer(LOWER, np.uint8), separates
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    up, down = np.full(n, BASE), np.full(n, inverse)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+def _long_hash(word: bytes) -> int:
+    """64 bits of the BLAKE2b digest of a word; a table of bounded size spares most of the work, for words of bounded size."""
+    found = _remembered.get(word)
+    if found is None:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(_remembered) >= REMEMBERED:
+                _remembered.clear()
+            _remembered[word] = found
+    return found
 
 
-def _polynomials(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, last byte, polynomial hash) of the words of rows on end; no word spans two rows."""
-    values, separates = _bytes()
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of the words of rows on end; no word spans two rows.
+
+    Words of up to SHORT bytes are told apart with certainty at equal length: their bytes, as one number, are scrambled one to one.
+    """
+    lower, separates = _bytes()
     gap = separates[data]
     some = np.flatnonzero(np.diff(at) > 0)
     before = np.empty(len(data), bool)
@@ -66,34 +79,43 @@ def _polynomials(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after = np.empty(len(data), bool)
     after[-1:], after[:-1] = True, gap[1:]
     after[at[some + 1] - 1] = True
-    begin, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after)
-    up, down = _powers(1 << max(20, (max(1, len(data)) - 1).bit_length()))
-    sums = values[data]
-    sums *= up[: len(data)]
-    np.cumsum(sums, out=sums)
-    word = sums[end]
-    word[begin > 0] -= sums[begin[begin > 0] - 1]
-    word *= down[begin]
-    return begin, end, word
+    begin, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
+    low = np.zeros(len(data) + SHORT, np.uint8)
+    np.take(lower, data, out=low[: len(data)])
+    size = end - begin
+    eight = np.ndarray((len(data),), "<u8", low.data, strides=(1,))  # the eight bytes from each byte on
+    word = eight[begin]
+    unused = np.uint64(8) * (SHORT - np.minimum(size, SHORT)).astype(np.uint64)
+    word <<= unused  # bytes beyond the word fall out
+    mix64(word)
+    word += size.astype(np.uint64) * BASE
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw = low.tobytes()
+        word[long] = [_long_hash(raw[i:j]) for i, j in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
+    return begin, mix64(word)
 
 
 def _long_words(data: np.ndarray) -> np.ndarray:
-    """The hashes of the words of one long text, which is read in pieces; a word may lie across pieces."""
-    out, held, size = [], 0, 0  # polynomial and length of the word that the piece before left open
-    for p in range(0, len(data), SLICE):
-        part = data[p : p + SLICE]
-        begin, end, word = _polynomials(part, np.array([0, len(part)]))
-        length = end - begin + 1
-        if size and len(begin) and begin[0] == 0:
-            word[0] = np.uint64((held + int(word[0]) * pow(int(BASE), size, 1 << 64)) % (1 << 64))
-            length[0] += size
-        elif size:
-            word, length = np.r_[np.uint64(held), word], np.r_[size, length]
-        size = 0
-        if len(end) and end[-1] == len(part) - 1 and p + len(part) < len(data):
-            held, size = int(word[-1]), int(length[-1])
-            word, length = word[:-1], length[:-1]
-        out.append(mix64(word ^ (length - 1).astype(np.uint64)))
+    """The hashes of the words of one long text, which is read in pieces that end between words."""
+    _, separates = _bytes()
+    out, p = [], 0
+    while p < len(data):
+        end = min(p + SLICE, len(data))
+        if end < len(data):
+            gaps = np.flatnonzero(separates[data[p:end]])
+            if len(gaps):
+                end = p + int(gaps[-1]) + 1
+            else:  # one word longer than a piece
+                while end < len(data) and not (met := separates[data[end : end + SLICE]]).any():
+                    end = min(end + SLICE, len(data))
+                end += int(met.argmax()) if end < len(data) else 0
+                if end - p > SHORT:
+                    out.append(mix64(np.array([_long_hash(data[p:end].tobytes().translate(LOWER))], np.uint64)))
+                    p = end
+                    continue
+        out.append(_words(data[p:end], np.array([0, end - p]))[1])
+        p = end
     return np.concatenate(out)
 
 
@@ -127,8 +149,7 @@ def shingle_sets(batch: pa.RecordBatch, column: str, words: int) -> tuple[np.nda
             return key, np.array([0, len(key)])
         owner = np.zeros(len(word), np.int64)
     else:
-        begin, end, word = _polynomials(data, at)
-        word = mix64(word ^ (end - begin).astype(np.uint64))
+        begin, word = _words(data, at)
         owner = np.searchsorted(at, begin, side="right") - 1
     if not len(word):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)

@@ -162,12 +162,20 @@ class Routing:
         return [(c, t) for c in np.flatnonzero((trees > 0) & (bound >= floor - slack)).tolist() for t in range(int(trees[c])) if (c, t) != (best, 0)]
 
 
+def one_an_id(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v) with the smallest vector of each id. Vectors are shuffled only where an id repeats; the check shuffles ids."""
+    vectors = materialize(vectors.select("vec_id", "v"))
+    if vectors.groupBy("vec_id").count().where("count > 1").isEmpty():
+        return vectors
+    return materialize(vectors.groupBy("vec_id").agg(F.min("v").alias("v")))
+
+
 def build_index(vectors: DataFrame, tree_rows: int = TREE_ROWS) -> tuple[DataFrame, Routing]:
     """The pages of all trees, written to the shared folder, and the routing to them.
 
     ``vectors`` is (vec_id, v array<long>). Each goes to its nearest pivot; the vectors of a pivot are dealt by the hash of the id
     over trees of about ``tree_rows``, so equal vectors, however many, spread over trees. Vectors of different lengths are
-    in different trees. Of rows that share an id within a tree the smallest vector counts.
+    in different trees. Ids are expected once, see :func:`one_an_id`.
     """
     spark = vectors.sparkSession
     pivots = choose_pivots(vectors, vectors.count(), tree_rows)
@@ -254,13 +262,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int =
 
     Both inputs are (vec_id long, v array<long>), as :func:`quantize` makes them; sums of products must fit 64 bits. Null ids and
     null vectors take no part; a query meets vectors of its own length and never its own id; with fewer than k others it gets all.
-    Rows that repeat an id count once. Empty inputs give an empty result.
+    Rows that repeat an id count once, the one with the smallest vector. Empty inputs give an empty result.
 
     A query's first tree gives a k-th best score; it then goes to those trees only whose bound reaches it. Both passes are joins of
     pages with bounded blocks of queries. Each tree returns at most k rows a query, a window per query merges them. ``tally``,
     two accumulators, gets the inner products that were computed, and those of all pairs.
     """
-    vectors = only(vectors, "vec_id", "v").where("vec_id is not null and v is not null")
+    vectors = one_an_id(only(vectors, "vec_id", "v").where("vec_id is not null and v is not null"))
     queries = only(queries, "vec_id", "v").where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = materialize(queries.withColumnRenamed("vec_id", "query_id"))
     pages, routing = build_index(vectors, tree_rows)

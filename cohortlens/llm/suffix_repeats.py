@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, held_by, hot_join, hot_of, materialize, mix64, only, settled, slices, utf8, written
-from .minhash import _powers
 
 LEAST = 200
 GRAM = 32
@@ -30,6 +30,16 @@ BROADCAST_KEYS = 500_000
 #: Width of the first ranks: seven symbols of nine bits make a key.
 FIRST = 7
 PLACE = np.uint64((1 << 28) - 1)
+#: Odd base of the rolling hash that places anchors: equal hashes only bring segments together, they decide nothing.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    up, down = np.full(n, BASE), np.full(n, inverse)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
 # --- the kernel -------------------------------------------------------------------------------

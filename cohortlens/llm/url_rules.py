@@ -42,8 +42,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 
     Null or malformed urls have empty host and path and meet no rule, but for a rule of an empty
     host none exists (such rules are ignored, as are rules with a null part). Rows that repeat are
-    judged and returned each. Very long hosts give one expression per label; paths are cut only at
-    the lengths that rules have. Empty tables give empty results; further columns are ignored.
+    judged and returned each. Hosts are cut only to the numbers of labels that rules have, paths only to
+    the lengths that rules have, so a very long url costs no more expressions than a short one. Empty tables give empty results; further columns are ignored.
     """
     rules = (
         only(rules, "action", "host", "path")
@@ -51,8 +51,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .withColumn("host", F.translate("host", UPPER, LOWER))
         .distinct()
     )
-    facts = rules.agg(F.count("*"), F.collect_set(F.length("path"))).first()
-    n_rules, lengths = facts[0], sorted(facts[1] or [])
+    facts = rules.agg(F.count("*"), F.collect_set(F.length("path")), F.collect_set(labels_of("host"))).first()
+    n_rules, lengths, depths = facts[0], sorted(facts[1] or []), sorted(facts[2] or [])
     known = rules.select(
         digest_of(F.col("host"), F.col("path")).alias("rule_digest"),
         F.struct(
@@ -66,11 +66,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     # repeats of a row are counted first; what follows keeps this partitioning, so it is the one shuffle
     rows = only(pages, "page_id", "url").groupBy("page_id", "url").agg(F.count("*").alias("n"))
     split = rows.withColumn("host", host).withColumn("path", path)
-    labels = F.split("host", r"\.")
-    suffixes = F.when(F.col("host") != "", F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )).otherwise(F.array().cast("array<string>"))
+    suffixes = F.array_compact(F.array(*(F.when((F.col("host") != "") & (labels_of("host") >= n), F.substring_index("host", ".", -n)) for n in depths)).cast("array<string>"))
     sizes = F.array(*(F.lit(n) for n in lengths)).cast("array<int>")
     prefixes = F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("host_part"), p.alias("path_part")))))
@@ -92,5 +88,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     ).drop("_n")
 
 
+def labels_of(host: str) -> Column:
+    """Labels of a host: one more than its dots."""
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."), F.lit(""))) + 1
+
+
 def digest_of(host: Column, path: Column) -> Column:
     return F.sha2(F.concat_ws("\n", host, path).cast("binary"), 256)

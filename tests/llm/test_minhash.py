@@ -139,3 +139,24 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(10, 40)] + [(1, 2), (5, 5), (None, 3), (60, 50), (50, 55)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 10 for i in range(10, 41)}, 1: 1, 2: 1, 50: 50, 55: 50, 60: 50}
+
+
+def test_words_are_told_apart(spark):
+    """Words of 1,024 letters that every polynomial modulo 2^64 confuses, and words across the pieces of a long text."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a + " u v"), (2, b + " u v"), (3, "x" + a + b + " u v"), (4, "x" + b + a + " u v"), (5, a + " U v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 3, 85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+@pytest.mark.parametrize("size", [5, 16, 64, 1000])
+def test_long_texts_are_read_whole(size, monkeypatch):
+    monkeypatch.setattr(minhash, "SLICE", size)
+    r = random.Random(size)
+    for n in (1, 2, 9, 60):
+        text = "".join(r.choice([" ", "\n", "\t "]) + "".join(r.choice("abCDé") for _ in range(r.choice([1, 3, 7, 8, 9, 17, 40, 2 * size]))) for _ in range(n))
+        for t in (text, text.strip(), text + " "):
+            data = np.frombuffer(t.encode(), np.uint8)
+            whole = minhash._words(data, np.array([0, len(data)]))[1]
+            assert minhash._long_words(data).tolist() == whole.tolist() and len(set(whole.tolist())) == len({re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in re.split(r"[\x20\x09-\x0d]+", t) if w})

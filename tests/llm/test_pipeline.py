@@ -54,6 +54,14 @@ def test_rows_that_share_an_id_are_judged_apart(spark, prose, tmp_path):
     assert [x for x in left if x[0] != 5] == sorted([(3, a), (7, b), (None, a), (11, None), (11, ""), (12, None)], key=str)
 
 
+def test_only_wholly_equal_rows_are_repeats(spark, prose, tmp_path):
+    t, n, w = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, t, "x"), (1, t, "y"), (1, t, "y"), (None, n, "p"), (None, n, "q"), (None, n, "q"), (2, w, "z"), (3, w, "z")]
+    docs = spark.createDataFrame([(i, s, "en", o, 1) for i, s, o in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect()), key=str)
+    assert left == sorted([(1, t, "x"), (1, t, "y"), (None, n, "p"), (None, n, "q"), (None, n, "q"), (2, w, "z")], key=str)
+
+
 def jaccard_clusters(rows):
     """Components of documents (id, text) of a word-5-gram similarity of 0.8, all pairs."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for _, t in rows]

@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -44,6 +45,17 @@ def test_url_rules(spark, most, monkeypatch):
     assert {r["verdict"] for r in url_rules.judge_urls(pages, url_rules.rules_frame(spark, RULES).limit(0), "block").collect()} == {"block"}
 
 
+def test_one_very_long_host(spark):
+    """A host of 250,000 labels costs no more expressions than a short one."""
+    hosts = {1: "a." * 250_000 + "example.com", 2: "." * 300_000 + "net", 3: "com" + "." * 100_000, 4: "." * 5 + "EXAMPLE.com"}
+    pages = spark.createDataFrame([(i, f"http://{h}/en/x") for i, h in hosts.items()], "page_id long, url string")
+    rules = url_rules.rules_frame(spark, [*RULES, ("block", "..com", "/"), ("allow", "..net", "/en/")])
+    began = time.time()
+    got = {r["page_id"]: (r["host"], r["rule"]) for r in url_rules.judge_urls(pages, rules).collect()}
+    assert time.time() - began < 20
+    assert got == {i: (h.lower(), {1: "example.com/en/", 2: "..net/en/", 3: None, 4: "example.com/en/"}[i]) for i, h in hosts.items()}
+
+
 # --- media ---
 
 
@@ -185,6 +197,17 @@ def test_top_k_equals_brute_force(spark):
     assert mtree.top_k(df.limit(0), asked, 10).count() == 0 and mtree.top_k(df, asked.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("size", [8192, 20])
+def test_an_id_of_two_vectors_counts_once(spark, size):
+    r = np.random.default_rng(6)
+    rows = [(i, r.integers(-500, 500, 4).tolist()) for i in range(200)] + [(500, [900, 0, 0, 0]), (500, [0, 800, 0, 0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    asked = spark.createDataFrame([(900, [10, 10, 0, 0]), (901, [10, 0, 0, 0])], "vec_id long, v array<long>")
+    vectors = {i: np.array(min(w for j, w in rows if j == i)) for i, _ in rows}
+    got = sorted(tuple(x) for x in mtree.top_k(df, asked, 10, size).collect())
+    assert got == brute_top(vectors, {900: np.array([10, 10, 0, 0]), 901: np.array([10, 0, 0, 0])}, 10)
+
+
 def test_bounds_avoid_work():
     r = np.random.default_rng(5)
     x = (r.normal(size=(40, 16)) * 1000)[r.integers(0, 40, 3000)] + r.normal(size=(3000, 16)) * 5
