@@ -38,13 +38,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @own_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: a row with the smallest id; of rows that are wholly equal one.
+    """One document of each group stays: a row with the smallest id; of rows that are wholly equal, id included, one.
 
-    Rows are dropped by id and text, so rows that share an id and not a text are judged apart. Texts without words and
-    rows without id stay.
+    Rows are dropped by id and text, so rows that share an id and not a text are judged apart, and rows that share both but differ in
+    another column stay or go together. Texts without words stay. Rows without id are left as they are, equal ones too.
     """
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = materialize(docs.dropDuplicates(["doc_id", "text"]))
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = materialize(docs.where("doc_id is not null").dropDuplicates().unionByName(docs.where("doc_id is null")))
     before = written()
     found = minhash.near_duplicates(docs, words=5, percent=80)
     gone = settled(found.where("not stays").select("doc_id", "text_hash").distinct(), before)
