@@ -53,15 +53,20 @@ def counter_uniform(seed: int, i: Column) -> Column:
     return w.bitwiseXOR(F.shiftrightunsigned(w, 14)) / F.lit(4294967296.0)
 
 
-def counter_uniform_np(seed: int, n: int) -> np.ndarray:
-    """The first ``n`` draws of the same generator."""
+def counter_uniform_at(seed: int, i: np.ndarray) -> np.ndarray:
+    """Draws number ``i`` of the same generator."""
     m = np.uint64(MASK)
-    s = (np.uint64(seed) + (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(COUNTER_STEP)) & m
+    s = (np.uint64(seed) + (i.astype(np.uint64) + np.uint64(1)) * np.uint64(COUNTER_STEP)) & m
     v = ((s ^ (s >> np.uint64(15))) * (s | np.uint64(1))) & m
     w = v ^ ((v + (((v ^ (v >> np.uint64(7))) * (v | np.uint64(61))) & m)) & m)
     return (w ^ (w >> np.uint64(14))).astype(float) / 4294967296.0
 
 
+def counter_uniform_np(seed: int, n: int) -> np.ndarray:
+    """The first ``n`` draws of the same generator."""
+    return counter_uniform_at(seed, np.arange(n))
+
+
 class CongruentialDraws:
     """The sequential generator state -> state * 1664525 + 1013904223 mod 2^32; draws are state / 2^32."""
 
@@ -72,6 +77,16 @@ class CongruentialDraws:
         self.state = (self.state * LCG_FACTOR + LCG_INCREMENT) & MASK
         return self.state / 4294967296.0
 
+    def skip(self, n: int) -> CongruentialDraws:
+        """The same after n draws, without making them: steps of powers of two."""
+        factor, add = LCG_FACTOR, LCG_INCREMENT
+        while n:
+            if n & 1:
+                self.state = (self.state * factor + add) & MASK
+            factor, add = (factor * factor) & MASK, (add * (factor + 1)) & MASK
+            n >>= 1
+        return self
+
     def shuffle(self, items: list) -> list:
         """Fisher-Yates from the end, in place."""
         for i in range(len(items) - 1, 0, -1):

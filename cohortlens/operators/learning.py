@@ -1,7 +1,7 @@
 """Model fits: batch-gradient and Newton logistic regressions, positive-unlabelled ensembles, nested validation.
 
-A fit's data is bounded (an expression column, or a few hundred short sequences); fits are independent work items, so
-they are dealt over the cluster as groups of a frame and run in numpy.
+Batch gradients and Newton steps are sums over rows where they lie. The fits of ensembles learn from a bounded number of sequences; they are independent
+work items, dealt over the cluster as groups of a frame and run in numpy.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import CongruentialDraws, fnv1a, fnv1a_np, fnv1a_py
 from ..storage import materialize
-from .ranking import benjamini_hochberg, global_rank, hash_bags, held_out_midrank, percentile_rank
+from .ranking import auc, benjamini_hochberg, global_rank, hash_bags
 from .resampling import bootstrap_interval, paired_comparison
 
 
@@ -42,6 +43,32 @@ def stratified_split(keys: list[tuple[object, int]], share: float = 0.2, seed: i
     return out
 
 
+def split_frame(rows: DataFrame, key: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """(key, label, split): :func:`stratified_split` of the rows in order of their key, without collecting keys; keys are unique.
+
+    Keys are ranked within their class by ranges. The shuffle of a class is one stream of draws by definition: a task for each class runs it
+    over places, not rows, starting where the classes before end, and returns the places that are test rows.
+    """
+    spark = rows.sparkSession
+    ranked = materialize(global_rank(rows.select(key, label), [F.col(label), F.col(key)], "_r"))
+    sizes = ranked.groupBy(label).agg(F.min("_r").alias("_first"), F.count("*").alias("_n"), F.min(key).alias("_key"))
+    facts = sizes.orderBy("_key").collect()  # a row a class
+    if not facts:
+        return rows.select(key, label, F.lit("").alias("split"))
+    before = np.cumsum([0, *(max(0, r["_n"] - 1) for r in facts)])
+    classes = [(int(r["_first"]), int(r["_n"]), int(b)) for r, b in zip(facts, before, strict=False)]
+
+    def shuffled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for first, n, skip in pdf.itertuples(index=False):
+                places = CongruentialDraws(seed).skip(skip).shuffle(list(range(n)))[: round(n * share)]
+                for begin in range(0, len(places), 100_000):
+                    yield pd.DataFrame({"_r": np.array(places[begin : begin + 100_000], np.int64) + first})
+
+    test = spark.createDataFrame(classes, "first long, n long, skip long").repartition(len(classes), "first").mapInPandas(shuffled, "_r long")
+    return ranked.join(test.withColumn("split", F.lit("test")), "_r", "left").select(key, label, F.coalesce("split", F.lit("train")).alias("split"))
+
+
 def gradient_logistic(x: np.ndarray, y: np.ndarray, epochs: int = 1800, rate: float = 0.035, l2: float = 0.001) -> tuple[np.ndarray, float]:
     """Full-batch gradient descent with a fixed number of epochs, not to convergence; the bias has no penalty."""
     w, b = np.zeros(x.shape[1]), 0.0
@@ -51,17 +78,72 @@ def gradient_logistic(x: np.ndarray, y: np.ndarray, epochs: int = 1800, rate: fl
     return w, float(b)
 
 
-def fit_gradient_logistic(wide: DataFrame, features: list[str], label: str, **options: float) -> DataFrame:
-    """(feature, mean, sd, weight, bias) of a standardised batch fit, made in one task on an executor; the matrix is the training set."""
+class GradientBlock:
+    """Rows of the standardised training matrix, and what they add to a step."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], mean: np.ndarray, sd: np.ndarray):
+        parts = [np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float) for b in batches if b.num_rows]
+        rows = np.concatenate(parts) if parts else np.zeros((0, len(mean) + 1))
+        self.x, self.y = (rows[:, :-1] - mean) / sd, rows[:, -1]
+
+    def partial(self, weights: np.ndarray) -> np.ndarray:
+        """Sums of the gradient by the weights and, last, by the bias."""
+        e = sigmoid(self.x @ weights[:-1] + weights[-1]) - self.y
+        return np.r_[self.x.T @ e, e.sum()]
+
+
+def descended(weights: np.ndarray, total: np.ndarray, n: int, rate: float, l2: float) -> np.ndarray:
+    """The weights, the bias last, after one step; the bias has no penalty."""
+    return weights - rate * (total / n + l2 * np.r_[weights[:-1], 0.0])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[features].to_numpy(float)
-        mean, sd = x.mean(axis=0), x.std(axis=0, ddof=1) if len(x) > 1 else np.ones(x.shape[1])
-        sd = np.where(sd > 0, sd, 1.0)
-        w, b = gradient_logistic((x - mean) / sd, pdf[label].to_numpy(float), **options)
-        return pd.DataFrame({"feature": features, "mean": mean, "sd": sd, "weight": w, "bias": b})
 
-    return wide.groupBy(F.lit(0).alias("_g")).applyInPandas(run, "feature string, mean double, sd double, weight double, bias double")
+#: Bytes of a training matrix up to which one task holds it for all epochs.
+HELD_BYTES = 256 << 20
+
+
+def fit_gradient_logistic(wide: DataFrame, features: list[str], label: str, epochs: int = 1800, rate: float = 0.035, l2: float = 0.001, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """(feature, mean, sd, weight, bias) of a standardised full-batch fit with a fixed number of epochs, as :func:`gradient_logistic` makes it.
+
+    Rows with a null or not finite cell take no part. An epoch needs the gradient of all rows. A matrix of more than ``held_bytes`` is dealt over the
+    slots and stored; every epoch is one job in which each task adds up its rows' gradient, a row a task, and the driver takes the step. A
+    smaller one is read by one task that takes all steps, since a job an epoch would cost more than the epoch. Both give the same weights.
+    """
+    spark = wide.sparkSession
+    rows = wide.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate([*features, label])))
+    for c in rows.columns:
+        rows = rows.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = materialize(rows)
+    moments = rows.agg(F.count("*"), *(f(c) for c in rows.columns[:-1] for f in (F.avg, F.stddev_samp))).first()
+    n, schema = moments[0], "feature string, mean double, sd double, weight double, bias double"
+    if not n:
+        return spark.createDataFrame([], schema)
+    mean = np.array(moments[1::2], float)
+    sd = np.array([x if x is not None and x > 0 else 1.0 for x in moments[2::2]], float)
+    zero = np.zeros(len(features) + 1)
+    if 8 * n * (len(features) + 1) <= held_bytes:
+
+        def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, weights = GradientBlock(batches, mean, sd), zero
+            for _ in range(epochs):
+                weights = descended(weights, block.partial(weights), n, rate, l2)
+            yield pa.RecordBatch.from_pydict({"w": weights})
+
+        weights = np.array([r["w"] for r in rows.coalesce(1).mapInArrow(descend, "w double").collect()])  # one for each feature
+    else:
+        dealt, weights = materialize(rows.repartition(spark.sparkContext.defaultParallelism)), zero
+        for _ in range(epochs):
+            now = weights
+
+            def step(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+                total = zero.copy()
+                for batch in batches:
+                    total += GradientBlock(iter([batch]), mean, sd).partial(now)
+                yield pa.RecordBatch.from_pydict({"g": [total.tobytes()]})
+
+            parts = [np.frombuffer(r["g"]) for r in dealt.mapInArrow(step, "g binary").collect()]  # a row a task
+            weights = descended(weights, np.sum(parts, axis=0), n, rate, l2)
+    model = zip(features, mean.tolist(), sd.tolist(), weights[:-1].tolist(), strict=True)
+    return spark.createDataFrame([(*m, float(weights[-1])) for m in model], schema)
 
 
 def score(wide: DataFrame, model: dict, threshold: float | None = None) -> DataFrame:
@@ -105,29 +187,72 @@ def tie_auc(scores: np.ndarray, y: np.ndarray) -> float:
     return float((ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / max(1, n1 * n0))
 
 
+def _probability(z: Column) -> Column:
+    return F.when(z < -35, 0.0).when(z > 35, 1.0).otherwise(1 / (1 + F.exp(-z)))
+
+
+def newton_fits(rows: DataFrame, models: DataFrame, l2: float = 0.01, iterations: int = 50, tolerance: float = 1e-8, few: int = 200_000) -> DataFrame:
+    """(feature, k, n, center, scale, weight, bias) of univariate fits, all at once.
+
+    ``rows`` is (feature, y, fold, value), ``models`` (feature, k): a model of ``k`` learns from the rows of its feature in other folds, of all where ``k`` is
+    null. Each iteration is one aggregate of gradients and Hessians by model; models that have converged leave it. Up to ``few`` models are broadcast
+    to the rows, more are joined by the feature.
+    """
+    def met(some: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(some) if some.count() <= few else some, "feature").where("k is null or k <> fold")
+
+    first = met(models).groupBy("feature", "k").agg(F.count("*").alias("n"), F.avg("value").alias("center"), F.stddev_samp("value").alias("scale"))
+    start = {"scale": F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0), "weight": F.lit(0.0), "bias": F.lit(0.0), "active": F.lit(True)}
+    fits = materialize(first.withColumns(start))
+    x = (F.col("value") - F.col("center")) / F.col("scale")
+    state = ["n", "center", "scale", "weight", "bias"]
+    for _ in range(iterations):
+        active = fits.where("active")
+        if active.isEmpty():
+            break
+        at = met(active).withColumn("x", x).withColumn("p", _probability(F.col("weight") * F.col("x") + F.col("bias")))
+        at = at.withColumn("e", F.col("p") - F.col("y")).withColumn("c", F.col("p") * (1 - F.col("p")))
+        sums = at.groupBy("feature", "k").agg(
+            *(F.first(s).alias(s) for s in state), F.sum(F.col("e") * F.col("x")).alias("gw"), F.sum("e").alias("gb"),
+            F.sum(F.col("c") * F.col("x") * F.col("x")).alias("ww"), F.sum("c").alias("bb"), F.sum(F.col("c") * F.col("x")).alias("wb"),
+        )
+        penalty = l2 * F.greatest(F.lit(1), F.col("n"))
+        sums = sums.withColumns({"gw": F.col("gw") + penalty * F.col("weight"), "ww": F.col("ww") + penalty})
+        det = F.col("ww") * F.col("bb") - F.col("wb") * F.col("wb")
+        usable = F.coalesce((F.abs(det) >= 1e-12) & (F.abs(det) < float("inf")), F.lit(False)) & ~F.isnan(det)
+        step = lambda a, b: F.when(usable, (a * F.col("gw") - b * F.col("gb")) / F.when(usable, det)).otherwise(0.0)
+        moved = sums.withColumns({"dw": step(F.col("bb"), F.col("wb")), "db": step(-F.col("wb"), -F.col("ww")), "usable": usable})
+        moved = moved.withColumns({"weight": F.col("weight") - F.col("dw"), "bias": F.col("bias") - F.col("db"), "active": F.col("usable") & (F.greatest(F.abs("dw"), F.abs("db")) >= tolerance)})
+        fits = materialize(fits.where("not active").unionByName(moved.select("feature", "k", *state, "active")))
+    return fits.select("feature", "k", *state)
+
+
 def cross_validated_newton(long: DataFrame, feature: str = "feature", label: str = "label", fold: str = "fold", value: str = "value") -> DataFrame:
     """Per feature: the full fit's weight and bias, and out-of-fold AUC, accuracy, F1 and prediction count.
 
-    Fit per distinct feature set, not per candidate that shares it. Each group is one feature's column over the samples.
+    Fit per distinct feature set, not per candidate that shares it. No task holds a feature's column: fits are aggregates (:func:`newton_fits`) and the AUC
+    comes from counts. A fold in which a feature lacks a class is an error.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, y, f = pdf[value].to_numpy(float), pdf[label].to_numpy(float), pdf[fold].to_numpy()
-        p = np.zeros(len(v))
-        for k in np.unique(f):
-            test = f == k
-            if len(np.unique(y[test])) != 2:
-                raise ValueError(f"fold {k} lacks a class")
-            w, b, c, s = newton_logistic(v[~test], y[~test])
-            p[test] = sigmoid(w * (v[test] - c) / s + b)
-        w, b, c, s = newton_logistic(v, y)
-        hit = p >= 0.5
-        tp, fp, fn = float((hit & (y == 1)).sum()), float((hit & (y == 0)).sum()), float((~hit & (y == 1)).sum())
-        row = (pdf[feature].iloc[0], w, b, c, s, tie_auc(p, y), float((hit == (y == 1)).mean()), 2 * tp / max(1, 2 * tp + fp + fn), len(p))
-        return pd.DataFrame([row], columns=["feature", "weight", "bias", "center", "scale", "cv_auc", "cv_accuracy", "cv_f1", "n"])
-
-    kind = long.schema[feature].dataType.simpleString()
-    return long.groupBy(feature).applyInPandas(run, f"feature {kind}, weight double, bias double, center double, scale double, cv_auc double, cv_accuracy double, cv_f1 double, n long")
+    rows = materialize(long.select(F.col(feature).alias("feature"), F.col(label).cast("double").alias("y"), F.col(fold).alias("fold"), F.col(value).cast("double").alias("value")))
+    held = rows.groupBy("feature", "fold").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+    held = materialize(held)
+    if bad := held.where("n1 = 0 or n0 = 0").first():
+        raise ValueError(f"fold {bad['fold']} lacks a class")
+    models = held.select("feature", F.col("fold").alias("k"))
+    models = models.unionByName(held.select("feature").distinct().withColumn("k", F.lit(None).cast(held.schema["fold"].dataType)))
+    fits = newton_fits(rows, materialize(models))
+    out = fits.where("k is not null").select("feature", F.col("k").alias("fold"), "center", "scale", "weight", "bias")
+    small = out.count() <= 200_000
+    z = F.col("weight") * (F.col("value") - F.col("center")) / F.col("scale") + F.col("bias")
+    scored = materialize(rows.join(F.broadcast(out) if small else out, ["feature", "fold"]).select("feature", "y", _probability(z).alias("p")))
+    hit, true = F.col("p") >= 0.5, F.col("y") == 1
+    tp, fp, fn = F.count_if(hit & true), F.count_if(hit & ~true), F.count_if(~hit & true)
+    rates = scored.groupBy("feature").agg(
+        F.avg((hit == true).cast("double")).alias("cv_accuracy"), (2 * tp / F.greatest(F.lit(1), 2 * tp + fp + fn)).cast("double").alias("cv_f1"), F.count("*").alias("n")
+    )
+    areas = auc(scored, ["feature"], "y", "p").select("feature", F.col("auc").alias("cv_auc"))
+    full = fits.where("k is null").select("feature", "weight", "bias", "center", "scale")
+    return full.join(areas, "feature").join(rates, "feature").select("feature", "weight", "bias", "center", "scale", "cv_auc", "cv_accuracy", "cv_f1", "n")
 
 
 # --- positive-unlabelled ensembles ----------------------------------------------------------------
@@ -137,20 +262,25 @@ def cross_validated_newton(long: DataFrame, feature: str = "feature", label: str
 MAX_POSITIVES = 500
 RANKED = "name string, score double, oob_models int, fallback boolean, median double, q25 double, q75 double, top_1 double, top_5 double, top_10 double, top_20 double, features array<string>"
 
-#: The representations and penalties that selection chooses from: fixed values.
+#: The configurations that selection chooses from, as (id, k-mer sizes, blocks, L2, L1, weight of unlabelled to positive, least presence), and those
+#: of the ablation, in which only the block changes. Ids are part of salts and of ties. Fixed values.
 CONFIGS = (
-    ("k234_core_l2_003_u050", (2, 3, 4), "core", 0.03, 0.0, 0.5, 2.0),
-    ("k234_composition_l2_003_u050", (2, 3, 4), "composition", 0.03, 0.0, 0.5, 2.0),
-    ("k234_positional_l2_003_u050", (2, 3, 4), "positional", 0.03, 0.0, 0.5, 2.0),
-    ("k234_terminals_l2_003_u050", (2, 3, 4), "terminals", 0.03, 0.0, 0.5, 2.0),
-    ("k234_full_l2_003_u050", (2, 3, 4), "full", 0.03, 0.0, 0.5, 2.0),
-    ("k234_full_elastic_l1_001", (2, 3, 4), "full", 0.03, 0.01, 0.5, 2.0),
-    ("k2345_full_l2_003_u050", (2, 3, 4, 5), "full", 0.03, 0.0, 0.5, 2.0),
-    ("k234567_full_elastic_l1_001", (2, 3, 4, 5, 6, 7), "full", 0.05, 0.01, 0.4, 2.0),
+    ("k234_core_mature_l2_003_u050", (2, 3, 4), "core", 0.03, 0.0, 0.5, 2.0),
+    ("k234_composition_mature_l2_003_u050", (2, 3, 4), "composition", 0.03, 0.0, 0.5, 2.0),
+    ("k234_positional_mature_l2_003_u050", (2, 3, 4), "positional", 0.03, 0.0, 0.5, 2.0),
+    ("k234_terminals_mature_l2_003_u050", (2, 3, 4), "terminals", 0.03, 0.0, 0.5, 2.0),
+    ("k234_full_mature_l2_003_u050", (2, 3, 4), "full", 0.03, 0.0, 0.5, 2.0),
+    ("k234_full_mature_elastic_l1_001", (2, 3, 4), "full", 0.03, 0.01, 0.5, 2.0),
+    ("k2345_full_mature_l2_003_u050", (2, 3, 4, 5), "full", 0.03, 0.0, 0.5, 2.0),
+    ("k234567_full_mature_elastic_l1_001", (2, 3, 4, 5, 6, 7), "full", 0.05, 0.01, 0.4, 2.0),
+)
+ABLATIONS = (
+    ("ablation_k234_core", (2, 3, 4), "core", 0.03, 0.0, 0.5, 2.0),
+    ("ablation_k234_composition", (2, 3, 4), "composition", 0.03, 0.0, 0.5, 2.0),
+    ("ablation_k234_positional", (2, 3, 4), "positional", 0.03, 0.0, 0.5, 2.0),
+    ("ablation_k234_terminals", (2, 3, 4), "terminals", 0.03, 0.0, 0.5, 2.0),
+    ("ablation_k234_full", (2, 3, 4), "full", 0.03, 0.0, 0.5, 2.0),
 )
-
-#: The representations that the ablation compares: only the block of features changes.
-ABLATIONS = tuple((f"ablation_k234_{blocks}", (2, 3, 4), blocks, 0.03, 0.0, 0.5, 2.0) for blocks in ("core", "composition", "positional", "terminals", "full"))
 
 
 def sequence_features(s: str, sizes: tuple[int, ...], blocks: str) -> dict[str, float]:
@@ -316,21 +446,21 @@ def inner_folds(families: DataFrame, outer: int, inner: int) -> DataFrame:
 
     placed = dealt(families.select("family").distinct().withColumn("_all", F.lit(0)), F.lit("outer"), "_all", outer, "outer").drop("_all")
     pairs = placed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1)))).where("fold <> outer")
-    inside = dealt(pairs, F.concat(F.lit("inner-"), F.col("fold").cast("string")), "fold", inner, "inner")
+    inside = dealt(pairs, F.concat(F.lit("inner-"), (F.col("fold") + 1).cast("string")), "fold", inner, "inner")
     lists = inside.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("fold", "inner"))).alias("_m"))
     return placed.join(lists, "family", "left").select("family", "outer", F.transform(F.sequence(F.lit(0), F.lit(outer - 1)), lambda f: F.coalesce(F.try_element_at("_m", f), F.lit(-1))).alias("inner"))
 
 
-def _trained(base: DataFrame, fits: list[dict]) -> list[dict]:
+def _trained(base: DataFrame, fits: list[dict], max_positives: int) -> list[dict]:
     """The fits that have positives, each with its ``weights`` by feature and ``bias``: means over its bags.
 
-    A fit learns from MAX_POSITIVES of its positives and ``size`` unlabelled entries a bag, those with the smallest hashes of all.
+    A fit learns from ``max_positives`` of its positives and ``size`` unlabelled entries a bag, those with the smallest hashes of all.
     """
     draws: dict[tuple, int] = {}
     uses = []
     for fit in fits:
         place = (fit["fold"], fit["k"])
-        uses.append((draws.setdefault((f"positives-{fit['fold']}-{fit['k']}", MAX_POSITIVES, 1, place), len(draws)), fit["fit"], -1))
+        uses.append((draws.setdefault((f"positives-{fit['fold']}-{fit['k']}", max_positives, 1, place), len(draws)), fit["fit"], -1))
         uses += [(draws.setdefault((f"{fit['salt']}|{bag}", fit["size"], 0, None), len(draws)), fit["fit"], bag) for bag in range(fit["bags"])]
 
     def smallest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -406,23 +536,120 @@ def _linear_scorer(models: list[dict]):  # noqa: ANN202
     return scores
 
 
+#: Background scores of one range of a fit's scores, about, and entries whose scores are packed together.
+RANGE_SCORES, PACKED_ROWS = 1 << 20, 8192
+PACKED = "fit int, part int, held boolean, scores binary, families binary, counts binary, names array<string>"
+
+
+def _packed(scores: np.ndarray, family: np.ndarray, held: np.ndarray, positive: np.ndarray, names: np.ndarray, edges: np.ndarray) -> Iterator[dict]:
+    """The scores of some entries by all fits as PACKED rows: background scores sorted and counted, held-out ones with their names, by range."""
+    rest = ~positive
+    for fit in range(scores.shape[1]):
+        s, f = scores[rest, fit], family[rest]
+        order = np.lexsort((f, s))
+        s, f = s[order], f[order]
+        new = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (f[1:] != f[:-1])]) if len(s) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[new, len(s)]).astype(np.int32)
+        s, f = s[new], f[new]
+        cuts = np.r_[0, np.searchsorted(s, edges[fit], side="left"), len(s)]
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[part], cuts[part + 1])
+            yield {"fit": fit, "part": part, "held": False, "scores": s[own].tobytes(), "families": f[own].tobytes(), "counts": count[own].tobytes() if (count[own] > 1).any() else b"", "names": []}
+        mine = np.flatnonzero(held[:, fit])
+        parts = np.searchsorted(edges[fit], scores[mine, fit], side="right")
+        for part in np.unique(parts).tolist():
+            at = mine[parts == part]
+            yield {"fit": fit, "part": part, "held": True, "scores": scores[at, fit].tobytes(), "families": family[at].tobytes(), "counts": b"", "names": names[at].tolist()}
+
+
+def _counted(s: np.ndarray, f: np.ndarray, count: np.ndarray, held: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(4, held): background weight above and at each held-out score, of all and of its own family."""
+    order = np.argsort(s, kind="stable")
+    s, f, count = s[order], f[order], count[order]
+    levels = np.unique(s)
+    total = np.r_[0, np.cumsum(count)]
+    left, right = np.searchsorted(s, held, side="left"), np.searchsorted(s, held, side="right")
+    width = 2 * len(levels) + 2
+    keys = f.astype(np.int64) * width + 2 * np.searchsorted(levels, s) + 1
+    order = np.argsort(keys, kind="stable")
+    keys, within = keys[order], np.r_[0, np.cumsum(count[order])]
+    at = np.searchsorted(levels, held)
+    exact = np.isin(held, levels)
+    key = own.astype(np.int64) * width + 2 * at
+    first, last = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key + exact, side="right")
+    end = np.searchsorted(keys, (own.astype(np.int64) + 1) * width, side="left")
+    return np.array([total[-1] - total[right], total[right] - total[left], within[end] - within[last], within[last] - within[first]])
+
+
 def _percentiles(base: DataFrame, scored: list[dict], scorer) -> DataFrame:  # noqa: ANN001
-    """(fit, name, family, percentile) of the positives that a fit holds out, among all background entries of other families."""
+    """(fit, name, family, percentile) of the positives that a fit holds out, among all background entries of other families.
+
+    Each task scores entries where they are and packs the scores of each fit, sorted and counted, into one row a range of scores; a range, about
+    RANGE_SCORES of them, is where held-out scores are placed among the others by binary search. So no entry becomes a row for each fit, no
+    window holds a fit, and neither side is broadcast. Ranges come from a sample of the background and only decide what meets where.
+    """
     folds = np.array([m["fold"] for m in scored])
     inner = np.array([-1 if m["k"] is None else m["k"] for m in scored])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["name", "sequence", "family_id", "positive", "outer", "inner"]
+    background = base.where("positive = 0")
+    pools = materialize(background.groupBy("family_id").agg(F.count("*").alias("mates")))
+    n = pools.agg(F.sum("mates")).first()[0] or 0
+    ranges = max(1, -(-n // RANGE_SCORES))
+    edges = np.zeros((len(scored), 0))
+    if ranges > 1:
+
+        def sampled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                yield pd.DataFrame({"scores": list(scorer(pdf))})
+
+        some = background.where(F.pmod(F.xxhash64("name"), F.lit(n)) < 64 * ranges).select(columns)  # about 64 entries a range
+        seen = np.array([r[0] for r in some.mapInPandas(sampled, "scores array<double>").collect()]).reshape(-1, len(scored))
+        edges = np.quantile(seen, np.arange(1, ranges) / ranges, axis=0).T if len(seen) else edges
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for pdf in parts:
-            s = scorer(pdf)
+            positive = pdf["positive"].to_numpy() == 1
             inside = np.array(pdf["inner"].tolist()).reshape(len(pdf), -1)
-            held = np.where(inner < 0, folds == pdf["outer"].to_numpy()[:, None], inside[:, folds] == inner)
-            s[(pdf["positive"].to_numpy() == 1)[:, None] & ~held] = np.nan
-            yield pd.DataFrame({"name": pdf["name"], "family": pdf["family"], "positive": pdf["positive"], "scores": list(s)})
-
-    wide = base.select("name", "sequence", "family", "positive", "outer", "inner").mapInPandas(run, "name string, family string, positive int, scores array<double>")
-    long = materialize(wide.select("name", "family", "positive", F.posexplode("scores").alias("fit", "score")).where("score is not null and not isnan(score)"))
-    held = long.where("positive = 1").select("fit", "name", "family", "score")
-    return held_out_midrank(held, long.where("positive = 0"), ["fit"], "family").select("fit", "name", "family", "percentile")
+            out = np.where(inner < 0, folds == pdf["outer"].to_numpy()[:, None], inside[:, folds] == inner) & positive[:, None]
+            held.append((scorer(pdf), pdf["family_id"].to_numpy(np.int32), out, positive, pdf["name"].to_numpy(object)))
+            if sum(len(h[1]) for h in held) >= PACKED_ROWS:
+                yield pd.DataFrame(_packed(*(np.concatenate(x) for x in zip(*held, strict=True)), edges))
+                held = []
+        if held and any(len(h[1]) for h in held):
+            yield pd.DataFrame(_packed(*(np.concatenate(x) for x in zip(*held, strict=True)), edges))
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        column = lambda rows, name, kind: np.frombuffer(b"".join(rows[name]), kind)
+        rest, mine = pdf[~pdf["held"]], pdf[pdf["held"]]
+        s, f = column(rest, "scores", np.float64), column(rest, "families", np.int32)
+        count = np.concatenate([np.frombuffer(c, np.int32) if c else np.ones(len(x) // 8, np.int32) for c, x in zip(rest["counts"], rest["scores"], strict=True)] or [np.zeros(0, np.int32)]).astype(np.int64)
+        held, own = column(mine, "scores", np.float64), column(mine, "families", np.int32)
+        above, tied, mates, same = _counted(s, f, count, held, own)
+        names = [x for row in mine["names"] for x in row]
+        found = pd.DataFrame({"family_id": own, "name": names, "greater": above, "tied": tied, "own_greater": mates, "own_tied": same})
+        if ranges > 1:  # what ranges below have to add; of all under -2
+            kinds = np.unique(np.r_[f, own])
+            sums = np.bincount(np.searchsorted(kinds, f), count, len(kinds)).astype(np.int64)
+            total = pd.DataFrame({"family_id": np.r_[kinds, -2].astype(np.int32), "name": None, "greater": np.r_[sums, count.sum()], "tied": 0, "own_greater": 0, "own_tied": 0})
+            found = pd.concat([found, total])
+        return found.assign(fit=int(pdf["fit"].iloc[0]), part=int(pdf["part"].iloc[0]))[["fit", "part", "family_id", "name", "greater", "tied", "own_greater", "own_tied"]]
+
+    found = base.select(columns).mapInPandas(pack, PACKED).groupBy("fit", "part").applyInPandas(
+        place, "fit int, part int, family_id int, name string, greater long, tied long, own_greater long, own_tied long"
+    )
+    found = materialize(found)
+    held = found.where("name is not null")
+    if ranges > 1:
+        higher = Window.partitionBy("fit", "family_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+        totals = found.where("name is null").select("fit", "part", "family_id", F.coalesce(F.sum("greater").over(higher), F.lit(0)).alias("above"))
+        every = totals.where("family_id = -2").select("fit", "part", F.col("above").alias("above_all"))
+        held = held.join(every, ["fit", "part"]).join(totals, ["fit", "part", "family_id"])
+        held = held.withColumns({"greater": F.col("greater") + F.col("above_all"), "own_greater": F.col("own_greater") + F.col("above")})
+    families = base.where("positive = 1").select("family_id", "family").distinct().join(pools, "family_id", "left")
+    worse = F.col("greater") - F.col("own_greater") + (F.col("tied") - F.col("own_tied")) / 2
+    pool = F.greatest(F.lit(1), F.lit(n) - F.coalesce("mates", F.lit(0)))
+    return held.join(families, "family_id").select("fit", "name", "family", (1 - worse / pool).alias("percentile"))
 
 
 VALIDATED = "fold long, config string, inner_score double, name string, family string, scorer string, percentile double"
@@ -430,19 +657,23 @@ VALIDATED = "fold long, config string, inner_score double, name string, family s
 
 def nested_validation(
     entries: DataFrame, configs: tuple = CONFIGS, outer: int = 5, inner: int = 3, bags: int = 3, inner_bags: int = 1, size: int = 650, epochs: int = 150,
-    inner_size: int = 450, inner_epochs: int = 70, ablations: tuple = ABLATIONS,
+    inner_size: int = 450, inner_epochs: int = 70, ablations: tuple = ABLATIONS, max_positives: int = MAX_POSITIVES,
 ) -> DataFrame:
-    """(fold, config, inner_score, name, family, scorer, percentile) of nested family validation with the paired ablation.
+    """(fold, config, inner_score, name, family, scorer, percentile) of nested family validation with the paired ablation; folds count from 1.
 
     ``entries`` is (name, sequence, family, positive, evidence). Inner selection is by (mean family percentile, recall at 10 %, id);
-    then come the selected fit, the baseline scorers, and the ablation of all representations with one salt. What a fit learns from is
-    bounded, fits run in parallel; all positives are scored against all background where they lie. :func:`ablation_summary` compares.
+    then come the selected fit, the baseline scorers (k-mers of the selected sizes), and the ablation of all representations with one salt. A fit
+    learns from at most ``max_positives`` positives, fits run in parallel; all positives are scored against all background where they lie.
+    :func:`ablation_summary` compares.
     """
     spark = entries.sparkSession
     base = entries.select("name", "sequence", "family", F.col("positive").cast("int").alias("positive"), F.col("evidence").cast("double").alias("evidence"))
-    folds = inner_folds(base.where("positive = 1"), outer, inner).withColumn("positive", F.lit(1))
-    none = F.array_repeat(F.lit(-1), outer)
-    base = materialize(base.join(F.broadcast(folds), ["family", "positive"], "left").withColumn("outer", F.coalesce("outer", F.lit(-1))).withColumn("inner", F.coalesce("inner", none)))
+    folds = materialize(inner_folds(base.where("positive = 1"), outer, inner).coalesce(1).withColumn("family_id", F.monotonically_increasing_id().cast("int")))
+    none, mine = F.array_repeat(F.lit(-1), outer), F.col("positive") == 1
+    base = base.join(F.broadcast(folds), "family", "left").withColumns({
+        "outer": F.when(mine, F.col("outer")).otherwise(-1), "inner": F.when(mine, F.col("inner")).otherwise(none), "family_id": F.coalesce("family_id", F.lit(-1)),
+    })
+    base = materialize(base)
     count = (base.where("positive = 1").agg(F.max("outer")).first()[0] or 0) + 1
     if count < 2:
         return spark.createDataFrame([], VALIDATED)
@@ -454,37 +685,36 @@ def nested_validation(
     for fold in range(count):
         for config in configs:
             for k in range(inner):
-                add("inner", fold, k, config, inner_bags, inner_size, inner_epochs, f"inner-{fold}-{k}-{config[0]}")
+                add("inner", fold, k, config, inner_bags, inner_size, inner_epochs, f"inner-{fold + 1}-{k}-{config[0]}")
         for config in ablations:
-            add(f"ablation:{config[2]}", fold, None, config, bags, size, epochs, f"ablation-{fold}")
-    models = _trained(base, fits)
-    profiles, seeds = baseline_profiles(base, count)
-    plain = [{"scorer": b, "fold": fold, "k": None, "config": None} for fold in range(count) for b in BASELINES]
+            add(f"ablation:{config[2]}", fold, None, config, bags, size, epochs, f"outer-feature-ablation-{fold + 1}")
+    models = _trained(base, fits, max_positives)
+    linear = _linear_scorer(models)
 
-    linear, simple = _linear_scorer(models), baseline_scorer(profiles, seeds)
+    def placed(scored: list[dict], scorer) -> DataFrame:  # noqa: ANN001
+        names = [(i, m["scorer"], m["fold"], m["config"][0] if m["config"] else "") for i, m in enumerate(scored)]
+        named = spark.createDataFrame(names, "fit int, scorer string, fold long, used string")
+        return materialize(_percentiles(base, scored, scorer).join(F.broadcast(named), "fit").drop("fit"))
 
     def first(pdf: pd.DataFrame) -> np.ndarray:
-        return np.hstack([linear(pdf["sequence"].tolist()), simple(pdf)])
+        return linear(pdf["sequence"].tolist())
 
-    scored = [*models, *plain]
-    got = materialize(_percentiles(base, scored, first))
-    names = spark.createDataFrame([(i, m["scorer"], m["fold"], m["config"][0] if m["config"] else "") for i, m in enumerate(scored)], "fit int, scorer string, fold long, used string")
-    got = got.join(F.broadcast(names), "fit").drop("fit")
+    got = placed(models, first)
     by = got.where("scorer = 'inner'").groupBy("fold", "used", "family").agg(F.avg("percentile").alias("p")).groupBy("fold", "used").agg(F.avg("p").alias("p"), F.avg((F.col("p") >= 0.9).cast("double")).alias("r"))
     compared = {(r["fold"], r["used"]): (r["p"], r["r"]) for r in by.collect()}
     best = [min((*(-v for v in compared.get((fold, c[0]), (0.0, 0.0))), c[0], c) for c in configs) for fold in range(count)]
-    final = _trained(base, [{"fit": fold, "scorer": "ensemble", "fold": fold, "k": None, "config": b[3], "bags": bags, "size": size, "epochs": epochs, "salt": f"outer-{fold}-{b[2]}"} for fold, b in enumerate(best)])
-
-    selected = _linear_scorer(final)
+    final = [{"fit": fold, "scorer": "ensemble", "fold": fold, "k": None, "config": b[3], "bags": bags, "size": size, "epochs": epochs, "salt": f"outer-{fold + 1}-{b[2]}"} for fold, b in enumerate(best)]
+    final = _trained(base, final, max_positives)
+    plain = [{"scorer": b, "fold": fold, "k": None, "config": None} for fold in range(count) for b in BASELINES]
+    selected, simple = _linear_scorer(final), baseline_scorer(*baseline_profiles(base, [b[3][1] for b in best]))
 
     def second(pdf: pd.DataFrame) -> np.ndarray:
-        return selected(pdf["sequence"].tolist())
+        return np.hstack([selected(pdf["sequence"].tolist()), simple(pdf)])
 
     chosen = spark.createDataFrame([(fold, b[2], float(-b[0])) for fold, b in enumerate(best)], "fold long, config string, inner_score double")
-    last = _percentiles(base, final, second).join(F.broadcast(spark.createDataFrame([(i, m["fold"]) for i, m in enumerate(final)], "fit int, fold long")), "fit")
-    out = got.where("scorer <> 'inner'").unionByName(last.select("name", "family", "percentile", F.lit("ensemble").alias("scorer"), "fold", F.lit("").alias("used")))
+    out = got.where("scorer <> 'inner'").unionByName(placed([*final, *plain], second))
     used = F.when(F.col("scorer").startswith("ablation:"), F.col("used")).otherwise(F.col("config")).alias("config")
-    return out.join(F.broadcast(chosen), "fold").select("fold", used, "inner_score", "name", "family", "scorer", "percentile")
+    return out.join(F.broadcast(chosen), "fold").select((F.col("fold") + 1).alias("fold"), used, "inner_score", "name", "family", "scorer", "percentile")
 
 
 def ablation_summary(validated: DataFrame, bootstraps: int = 4000, flips: int = 10_000) -> DataFrame:
@@ -508,29 +738,42 @@ def ablation_summary(validated: DataFrame, bootstraps: int = 4000, flips: int =
 BASELINES = ("seed", "centroid", "composition", "hash")
 
 
-def baseline_profiles(base: DataFrame, folds: int) -> tuple[list[tuple[np.ndarray, float, float]], list[dict[str, float]]]:
-    """By fold: (k-mer centroid, mean length, mean GC share) of the other folds' positives, and the best share of equal letters with their seeds, by seed.
+def baseline_profiles(base: DataFrame, sizes: list[tuple[int, ...]]) -> tuple[list[tuple[tuple[int, ...], np.ndarray, float, float]], list[dict[str, float]]]:
+    """By fold: (k-mer sizes, k-mer centroid, mean length, mean GC share) of the other folds' positives, and the best share of equal letters with their seeds, by seed.
 
-    Seeds have at most seven letters, so there are at most 21,845 of them.
+    ``sizes`` are the k-mer sizes of each fold. Seeds have at most seven letters, so there are at most 21,845 of them.
     """
-    width = len(feature_columns((2, 3, 4), "core"))
+    folds, kinds = len(sizes), sorted(set(sizes))
+    widths = [len(feature_columns(k, "core")) + 1 for k in kinds]
 
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = [np.zeros((folds, w)) for w in widths]
         for pdf in parts:
-            x, mass = dense_features(pdf["sequence"].tolist(), (2, 3, 4), "core")
-            kmers = x[:, :-2] / np.maximum(1e-300, x[:, :-2].sum(axis=1, keepdims=True))
-            v = np.column_stack([kmers, pdf["sequence"].str.len(), x[:, -1], np.ones(len(x))])
-            for fold, at in pdf.groupby("outer").indices.items():
-                yield pd.DataFrame({"outer": fold, "i": range(v.shape[1]), "v": v[at].sum(axis=0)})
-
-    totals = np.zeros((folds, width + 1))
+            texts, fold = pdf["sequence"].tolist(), pdf["outer"].to_numpy()
+            for begin in range(0, len(texts), 64):
+                some = texts[begin : begin + 64]
+                for kind, out in zip(kinds, total, strict=True):
+                    x, _ = dense_features(some, kind, "core")
+                    kmers = x[:, :-2] / np.maximum(1e-300, x[:, :-2].sum(axis=1, keepdims=True))
+                    v = np.column_stack([kmers, [len(s) for s in some], x[:, -1], np.ones(len(x))])
+                    np.add.at(out, fold[begin : begin + 64], v)
+        for i, out in enumerate(total):
+            yield pd.DataFrame({"kind": i, "outer": range(folds), "v": [row.tobytes() for row in out]})
+
+    totals = [np.zeros((folds, w)) for w in widths]
     positives = base.where("positive = 1")
-    for r in positives.select("sequence", "outer").mapInPandas(sums, "outer int, i int, v double").groupBy("outer", "i").agg(F.sum("v").alias("v")).collect():
-        totals[r["outer"], r["i"]] = r["v"]
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(v=[np.sum([np.frombuffer(v) for v in pdf["v"]], axis=0).tobytes()])
+
+    parts = positives.select("sequence", "outer").mapInPandas(sums, "kind int, outer int, v binary")
+    for r in parts.groupBy("kind", "outer").applyInPandas(added, "kind int, outer int, v binary").collect():  # a row a fold and kind
+        totals[r["kind"]][r["outer"]] = np.frombuffer(r["v"])
     profiles = []
     for fold in range(folds):
-        mean = (totals.sum(axis=0) - totals[fold]) / max(1.0, totals[:, -1].sum() - totals[fold, -1])
-        profiles.append((mean[:-3], float(mean[-3]), float(mean[-2])))
+        own = totals[kinds.index(sizes[fold])]
+        mean = (own.sum(axis=0) - own[fold]) / max(1.0, own[:, -1].sum() - own[fold, -1])
+        profiles.append((sizes[fold], mean[:-3], float(mean[-3]), float(mean[-2])))
     seed = F.substring("sequence", 2, 7).alias("seed")
     every = [r["seed"] for r in base.select(seed).distinct().orderBy("seed").collect()]
     train = [(r["outer"], r["seed"]) for r in positives.select("outer", seed).distinct().collect()]
@@ -550,19 +793,27 @@ def baseline_profiles(base: DataFrame, folds: int) -> tuple[list[tuple[np.ndarra
     return profiles, [dict(zip(every, r["best"], strict=True)) for r in sorted(near, key=lambda r: r["fold"])]
 
 
-def baseline_scorer(profiles: list[tuple[np.ndarray, float, float]], seeds: list[dict[str, float]]):  # noqa: ANN201
+def baseline_scorer(profiles: list[tuple[tuple[int, ...], np.ndarray, float, float]], seeds: list[dict[str, float]]):  # noqa: ANN201
     """A function of (name, sequence): the scores of the baselines, by fold, then by scorer."""
 
     def scores(pdf: pd.DataFrame) -> np.ndarray:
         texts, names = pdf["sequence"].tolist(), pdf["name"].tolist()
-        x, _ = dense_features(texts, (2, 3, 4), "core")
-        kmers, gc, size = x[:, :-2], x[:, -1], np.array([len(s) for s in texts], float)
-        norm = np.sqrt((kmers * kmers).sum(axis=1))
+        near = {kind: np.zeros((len(texts), len(profiles))) for kind in {p[0] for p in profiles}}
+        gc, size = np.zeros(len(texts)), np.array([len(s) for s in texts], float)
+        for begin in range(0, len(texts), 64):
+            some = slice(begin, begin + 64)
+            for kind, out in near.items():
+                x, _ = dense_features(texts[some], kind, "core")
+                kmers, gc[some] = x[:, :-2], x[:, -1]
+                norm = np.sqrt((kmers * kmers).sum(axis=1))
+                for fold, (own, center, _, _) in enumerate(profiles):
+                    if own == kind:
+                        both = norm * np.sqrt(center @ center)
+                        out[some, fold] = np.where(both > 0, kmers @ center / np.where(both > 0, both, 1), 0.0)
         out = []
-        for fold, (center, length, share) in enumerate(profiles):
-            product_ = norm * np.sqrt(center @ center)
+        for fold, (kind, _, length, share) in enumerate(profiles):
             far = (np.abs(size - length) / max(1.0, length) + np.abs(gc - share)) / 2
-            out += [[seeds[fold][s[1:8]] for s in texts], np.where(product_ > 0, kmers @ center / np.where(product_ > 0, product_, 1), 0.0), 1 - np.minimum(1, far), fnv1a_np(f"random-baseline|{fold}|", names) / 0xFFFFFFFF]
+            out += [[seeds[fold][s[1:8]] for s in texts], near[kind][:, fold], 1 - np.minimum(1, far), fnv1a_np(f"random-baseline|{fold + 1}|", names) / 0xFFFFFFFF]
         return np.round(np.column_stack(out), 10)
 
     return scores
@@ -604,7 +855,6 @@ def rank_candidates(entries: DataFrame, config: tuple = CONFIGS[0], bags: int =
     members = [frozenset(m["names"]) for m in models]
 
     def score_part(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean = weights.mean(axis=0)
         for pdf in parts:
             x = ensemble.matrix(pdf["sequence"])
             logits = x @ weights.T + biases
@@ -612,7 +862,7 @@ def rank_candidates(entries: DataFrame, config: tuple = CONFIGS[0], bags: int =
             count = outside.sum(axis=1)
             use = np.where(count[:, None] > 0, outside, True)
             best = []
-            for row in x * mean:
+            for row in x * (use @ weights / use.sum(axis=1, keepdims=True)):  # by the models that score the entry
                 top = np.argsort(-row, kind="stable")[:10]
                 best.append([ensemble.vocabulary[j] for j in top if row[j] > 0])
             held = [[float(z) if o else None for z, o in zip(a, b, strict=True)] for a, b in zip(logits, outside, strict=True)]
@@ -620,7 +870,10 @@ def rank_candidates(entries: DataFrame, config: tuple = CONFIGS[0], bags: int =
 
     scored = rest.select("name", "sequence").mapInPandas(score_part, schema)
     each = scored.select("name", F.posexplode("logits").alias("bag", "logit")).where("logit is not null")
-    p = percentile_rank(each, [F.col("logit"), F.desc("name")], ["bag"])
+    ranked = materialize(global_rank(each, ["bag", "logit", "name"]))  # by ranges over all bags: no bag is one task's window
+    sizes = ranked.groupBy("bag").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    at = (F.col("rank") - F.col("first")) / F.greatest(F.lit(1), F.col("n") - 1)
+    p = ranked.join(F.broadcast(sizes), "bag").select("name", F.when(F.col("n") == 1, 1.0).otherwise(at).alias("percentile"))
     q = lambda x: F.percentile("percentile", x)
     share = lambda c: F.avg((F.col("percentile") >= c).cast("double"))
     spread = p.groupBy("name").agg(q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), share(0.99).alias("top_1"), share(0.95).alias("top_5"), share(0.9).alias("top_10"), share(0.8).alias("top_20"))

@@ -100,6 +100,16 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") ->
     return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_n", "_size", "_before")
 
 
+def running_total(df: DataFrame, order: list[Column | str], value: str, name: str = "before") -> DataFrame:
+    """The sum of ``value`` over all rows before, in a total order, by ranges as in :func:`global_rank`."""
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))  # one row a part
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    total = F.coalesce(F.sum(value).over(earlier), F.lit(0))
+    return parts.withColumn("_own", total).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
 def percentile_rank(df: DataFrame, order: list[Column], by: list[str], name: str = "percentile") -> DataFrame:
     """Position / (n - 1) in the given total order; a single row has 1."""
     w = Window.partitionBy(*by)

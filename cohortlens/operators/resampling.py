@@ -6,10 +6,16 @@ independent rows: no sequential state, any partitioning gives the same numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import counter_uniform
+from ..functions.hashing import counter_uniform, counter_uniform_at
+from ..storage import materialize
+from .ranking import running_total
 
 
 def _numbered(values: DataFrame, order: str, value: str) -> tuple[DataFrame, int]:
@@ -47,27 +53,72 @@ def bootstrap_interval(values: DataFrame, order: str, value: str, seed: int = 0x
     )
 
 
+#: Draws that a task makes at a time, draws of one piece of a family, and draws of one task, about.
+DRAWS, PIECE, TASK_DRAWS = 1 << 20, 1 << 16, 1 << 27
+
+
 def random_ranking_test(counts: DataFrame, order: str, count: str, observed_mean: float, observed_hits: int, seed: int = 0x50A17E, iterations: int = 10_000) -> DataFrame:
-    """One row: p-values that families of the given marker counts, each the mean of that many uniform draws, do as well."""
-    packed, n = _numbered(counts, order, count)
-    per = packed.select("vs", F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x).alias("m"))
-    starts = F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), lambda j: F.aggregate(F.slice("vs", 1, j), F.lit(0).cast("long"), lambda a, x: a + x))
-    per = per.withColumn("starts", starts)
-    rows = values = _iterations(per, n, iterations)
-
-    def family(j: Column) -> Column:
-        size, first = F.element_at("vs", j + 1).cast("int"), F.element_at("starts", j + 1)
-        draws = F.transform(F.sequence(F.lit(0), size - 1), lambda i: counter_uniform(seed, F.col("iteration") * F.col("m") + first + i))
-        return F.aggregate(draws, F.lit(0.0), lambda a, x: a + x) / size
-
-    values = rows.withColumn("f", F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), family))
-    mean = F.aggregate("f", F.lit(0.0), lambda a, x: a + x) / n
-    hits = F.size(F.filter("f", lambda x: x >= 0.9))
-    return values.agg(
-        ((F.count_if(mean >= observed_mean) + 1) / (iterations + 1)).alias("p_mean"), ((F.count_if(hits >= observed_hits) + 1) / (iterations + 1)).alias("p_recall")
+    """One row: p-values that families of the given marker counts, each the mean of that many uniform draws, do as well.
+
+    Families are in the order of their key; a running total gives the number of a family's first draw. Families are dealt over tasks,
+    large ones in pieces, and each task adds up its families' means and hits by iteration: one row an iteration and task. No row
+    meets each iteration and nothing of a family's size is held.
+    """
+    spark = counts.sparkSession
+    rows = counts.select(F.col(order).alias("key"), F.col(count).cast("long").alias("size"))
+    n, m = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if not n:
+        return spark.createDataFrame([(1.0, 1.0)], "p_mean double, p_recall double")
+    numbered = materialize(running_total(rows, ["key"], "size", "first").withColumn("family", F.monotonically_increasing_id()))
+    steps = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / PIECE) - 1)
+    pieces = numbered.where("size > 0").select("family", "size", "first", F.explode(steps).alias("piece"))
+    pieces = pieces.select("family", "size", (F.col("first") + F.col("piece") * PIECE).alias("first"), F.least(F.lit(PIECE).cast("long"), F.col("size") - F.col("piece") * PIECE).alias("length"))
+    tasks = max(1, min(-(-iterations * m // TASK_DRAWS), n * (1 + m // PIECE)))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, hits = np.zeros(iterations), np.zeros(iterations, np.int64)
+        names = ["iteration", "family", "size", "total", "hits"]
+        for batch in batches:
+            family, size, first, length = (np.asarray(c) for c in batch.columns)
+            for begin, end in _bounded(length, DRAWS):
+                own = length[begin:end]
+                ends = np.cumsum(own)
+                starts = ends - own
+                at = np.repeat(first[begin:end] - starts, own) + np.arange(ends[-1])
+                whole = own == size[begin:end]
+                step = max(1, DRAWS // len(at))
+                for i in range(0, iterations, step):
+                    some = np.arange(i, min(i + step, iterations))
+                    sums = np.add.reduceat(counter_uniform_at(seed, some[:, None] * m + at[None, :]), starts, axis=1)
+                    means = sums[:, whole] / own[whole]
+                    total[some] += means.sum(axis=1)
+                    hits[some] += (means >= 0.9).sum(axis=1)
+                    for j in np.flatnonzero(~whole).tolist():
+                        k = len(some)
+                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(k, family[begin + j])), pa.array(np.full(k, size[begin + j])), pa.array(sums[:, j]), pa.array(np.zeros(k, np.int64))], names)
+        none = pa.nulls(iterations, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations)), none, none, pa.array(total), pa.array(hits)], names)
+
+    dealt = pieces.repartition(tasks, F.xxhash64("first"))
+    drawn = materialize(dealt.mapInArrow(draw, "iteration long, family long, size long, total double, hits long"))
+    large = drawn.where("family is not null").groupBy("iteration", "family").agg((F.sum("total") / F.first("size")).alias("total"))
+    large = large.select("iteration", "total", (F.col("total") >= 0.9).cast("long").alias("hits"))
+    each = drawn.where("family is null").select("iteration", "total", "hits").unionByName(large).groupBy("iteration").agg((F.sum("total") / n).alias("mean"), F.sum("hits").alias("hits"))
+    return each.agg(
+        ((F.count_if(F.col("mean") >= observed_mean) + 1) / (iterations + 1)).alias("p_mean"), ((F.count_if(F.col("hits") >= observed_hits) + 1) / (iterations + 1)).alias("p_recall")
     )
 
 
+def _bounded(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``most`` in all, or one row."""
+    ends, begin = np.cumsum(lengths), 0
+    while begin < len(lengths):
+        end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right"))
+        end = max(end, begin + 1)
+        yield begin, end
+        begin = end
+
+
 def paired_comparison(deltas: DataFrame, order: str, delta: str, bootstrap_seed: int, flip_seed: int, bootstraps: int = 4000, flips: int = 10_000) -> DataFrame:
     """One row: mean paired difference, its bootstrap interval, two-sided sign-flip p-value, and families improved, tied and worsened."""
     packed, n = _numbered(deltas, order, delta)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import sequence as S
+from ..storage import materialize
+from .learning import dense_features, feature_columns
+from .ranking import global_rank
 
 
 def kmer_counts(df: DataFrame, sizes: list[int], entity: str = "entity", seq: str = "sequence") -> DataFrame:
@@ -87,65 +90,69 @@ def cosine_to(vectors: DataFrame, target: DataFrame, entity: str = "entity") ->
     return sums.join(F.broadcast(norm)).select(entity, F.when(product > 0, F.col("_d") / F.when(product > 0, product)).otherwise(0.0).alias("cosine"))
 
 
-def cosine_pairs(left: DataFrame, right: DataFrame, entity: str = "entity") -> DataFrame:
-    """(a, b, cosine) of entities that share a feature, through the features: pairs without any are 0 and not listed.
-
-    ``right`` is a curated reference set; its size bounds how often a feature's row is repeated. For the best few of each left
-    entity :func:`nearest_of` needs no pair of rows.
-    """
-    unit = lambda df, n: df.withColumn("_u", F.col("value") / F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(entity)))).select(F.col(entity).alias(n), "feature", F.col("_u").alias(f"_{n}"))
-    met = unit(left, "a").join(unit(right, "b"), "feature")
-    return met.groupBy("a", "b").agg(F.sum(F.col("_a") * F.col("_b")).alias("cosine"))
-
-
-#: Cells (features and references) of a reference matrix that is broadcast at most.
-REFERENCE_CELLS = 5_000_000
+#: Cells (features and references) of a matrix of references that is broadcast at most.
+REFERENCE_CELLS = 4_000_000
 
 
-def nearest_of(left: DataFrame, right: DataFrame, k: int, entity: str = "entity", places: int = 9) -> DataFrame:
-    """(a, b, cosine, rank): the ``k`` nearest references of each left entity, those of no common feature left out.
+def nearest_sequences(left: DataFrame, right: DataFrame, sizes: list[int], k: int, with_seed: bool = True, places: int = 9) -> DataFrame:
+    """(a, b, cosine, rank): the ``k`` references nearest to each left sequence by k-mer counts, and the seed with a mass of 2 if wanted.
 
-    Both are (entity, feature, value). A left entity's vector is one row, the references are one broadcast matrix; each Arrow batch is
-    multiplied with it and keeps k a row, ties (in ``places``) to the smaller reference. Reference sets of more than
-    REFERENCE_CELLS cells go through :func:`cosine_pairs`.
+    Both are (entity, sequence) of A, C, G and U; references of no common feature are left out, ties (in ``places``) go to the smaller reference.
+    A sequence's vector is made where the sequence is. References go in blocks of bounded size, each one broadcast matrix that a pass over the
+    left side multiplies with; a pass keeps ``k`` a sequence, and the passes' best are merged. So no pair becomes a row, whatever either side's size.
     """
-    rows = right.groupBy(entity).agg(F.collect_list(F.struct("feature", "value")).alias("v"))
-    cells = right.agg(F.count_distinct("feature") * F.count_distinct(entity)).first()[0]
-    if cells > REFERENCE_CELLS:
-        w = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", places)), F.col("b"))
-        return cosine_pairs(left, right, entity).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    held = rows.orderBy(entity).collect()
-    at = {f: i for i, f in enumerate(sorted({x["feature"] for r in held for x in r["v"]}))}
-    unit = np.zeros((len(held), max(1, len(at))))
-    for i, r in enumerate(held):
-        for x in r["v"]:
-            unit[i, at[x["feature"]]] = x["value"]
-    unit /= np.maximum(np.sqrt((unit * unit).sum(axis=1, keepdims=True)), 1e-300)
-    shared = left.sparkSession.sparkContext.broadcast((at, unit, [r[entity] for r in held]))
-    kinds = left.schema[entity].dataType.simpleString(), right.schema[entity].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, unit, names = shared.value
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                x, norm = np.zeros((part.num_rows, unit.shape[1])), np.zeros(part.num_rows)
-                for i, v in enumerate(part.column(1).to_pylist()):
-                    norm[i] = np.sqrt(sum(e["value"] ** 2 for e in v))
-                    for e in v:
-                        if e["feature"] in at:
-                            x[i, at[e["feature"]]] = e["value"]
-                cos = (x @ unit.T) / np.maximum(norm[:, None], 1e-300)
-                order = np.argsort(-cos.round(places), axis=1, kind="stable")[:, :k]
-                i, rank = np.nonzero(np.take_along_axis(cos, order, axis=1) > 0)
-                best = order[i, rank]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(i)), pa.array([names[j] for j in best.tolist()], b_type), pa.array(cos[i, best]), pa.array(rank + 1, pa.int32())], ["a", "b", "cosine", "rank"]
-                )
-
-    b_type = to_arrow_type(right.schema[entity].dataType)
-    wide = left.groupBy(entity).agg(F.collect_list(F.struct("feature", "value")).alias("v"))
-    return wide.mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}, cosine double, rank int")
+    spark, kinds = left.sparkSession, tuple(sorted(sizes))
+    width = len(feature_columns(kinds, "core")) - 2
+    per = max(1, REFERENCE_CELLS // width)
+    ranked = right.select("entity", "sequence")
+    n = ranked.count()
+    blocks = -(-n // per)
+    if blocks > 1:  # blocks in order of the reference, so ties are the same however many there are
+        ranked = materialize(global_rank(ranked, ["entity", "sequence"], "_r"))
+    kind_a, kind_b = left.schema["entity"].dataType.simpleString(), right.schema["entity"].dataType.simpleString()
+    b_type = to_arrow_type(right.schema["entity"].dataType)
+
+    def made(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        x, mass = dense_features(texts, kinds, "core")
+        x, mass = x[:, :-2], mass if with_seed else np.zeros(len(texts))
+        norm = np.sqrt((x * x).sum(axis=1) + mass * mass)
+        norm = np.where(norm > 0, norm, 1.0)
+        return x / norm[:, None], mass / norm, [t[1:8] for t in texts]
+
+    def best(block: list) -> DataFrame:
+        names = [r["entity"] for r in block]
+        unit, seed_mass, seeds = made([r["sequence"] for r in block])
+        known: dict[str, list[int]] = {}
+        for i, s in enumerate(seeds):
+            known.setdefault(s, []).append(i)
+        shared = spark.sparkContext.broadcast((names, unit, seed_mass, known))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, unit, seed_mass, known = shared.value
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 64):
+                    part = batch.slice(begin, 64)
+                    x, mass, own = made(part.column(1).to_pylist())
+                    cos = x @ unit.T
+                    for i, s in enumerate(own):
+                        if mass[i] and s in known:
+                            cos[i, known[s]] += mass[i] * seed_mass[known[s]]
+                    order = np.argsort(-cos.round(places), axis=1, kind="stable")[:, :k]
+                    i, rank = np.nonzero(np.take_along_axis(cos, order, axis=1) > 0)
+                    j = order[i, rank]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array([names[x] for x in j.tolist()], b_type), pa.array(cos[i, j]), pa.array(rank + 1, pa.int32())], ["a", "b", "cosine", "rank"])
+
+        return left.select("entity", "sequence").mapInArrow(run, f"a {kind_a}, b {kind_b}, cosine double, rank int")
+
+    if blocks <= 1:
+        return best(ranked.orderBy("entity", "sequence").collect())
+    left = materialize(left.select("entity", "sequence"))
+    found = None
+    for at in range(blocks):
+        part = best(ranked.where((F.col("_r") > at * per) & (F.col("_r") <= (at + 1) * per)).orderBy("_r").collect())
+        found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", places)), F.col("b"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def motif_enrichment(positive: DataFrame, background: DataFrame, weights: DataFrame, least: float = 2.0, top: int | None = 30) -> DataFrame:

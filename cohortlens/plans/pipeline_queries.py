@@ -265,7 +265,7 @@ def feature_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {REF}, k AS (SELECT entity, feature, count(*) AS n FROM ({kmer_sql('ref', (3,))}) GROUP BY ALL), s AS (SELECT entity, sqrt(sum(n * n)) AS s FROM k GROUP BY 1)
 SELECT a.entity AS a, b.entity AS b, round(sum(a.n * b.n) / any_value(x.s * y.s), 6) AS cosine FROM k a JOIN k b ON a.feature = b.feature AND a.entity < b.entity JOIN s x ON x.entity = a.entity JOIN s y ON y.entity = b.entity
-GROUP BY 1, 2 ORDER BY sum(a.n * b.n) / any_value(x.s * y.s) DESC, 1, 2 LIMIT 20""")
+GROUP BY 1, 2 ORDER BY round(sum(a.n * b.n) / any_value(x.s * y.s), 9) DESC, 1, 2 LIMIT 20""")
 def marker_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The most alike pairs of references, a report of twenty."""
     return reports.marker_pairs(references(spark, d), [3]).select("a", "b", r6("cosine", "cosine"))

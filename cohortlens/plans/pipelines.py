@@ -34,13 +34,12 @@ def train_baseline(wide: DataFrame, label: str = "classe", id_column: str = "sam
     """(model, scored): the batch logistic model on a stratified split and the scores of the test rows."""
     features = [c for c in wide.columns if c not in (id_column, label)]
     logged = wide.select(id_column, label, *(stats.log1p_scale(F.col(f"`{c}`").cast("double")).alias(c) for c in features))
-    keys = [(r[0], int(r[1])) for r in wide.select(id_column, label).orderBy(id_column).collect()]  # ids of a training matrix
-    split = wide.sparkSession.createDataFrame(list(learning.stratified_split(keys).items()), "id string, split string")
-    parts = logged.join(split, F.col(id_column).cast("string") == split["id"])
+    split = materialize(learning.split_frame(wide, id_column, label).select(id_column, "split"))
+    parts = logged.join(split, id_column)
     model = learning.fit_gradient_logistic(parts.where("split = 'train'"), features, label, **options)
     rows = {r["feature"]: r for r in model.collect()}
     spec = {"features": features, "means": [rows[f]["mean"] for f in features], "stds": [rows[f]["sd"] for f in features], "weights": [rows[f]["weight"] for f in features], "bias": next(iter(rows.values()))["bias"]}
-    raw = wide.join(split, F.col(id_column).cast("string") == split["id"]).where("split = 'test'")
+    raw = wide.join(split, id_column).where("split = 'test'")
     return model, learning.score(raw, spec).select(id_column, label, "probability", "predicted")
 
 

@@ -97,6 +97,11 @@ def kmer_sql(source: str, sizes: tuple[int, ...]) -> str:
     return " UNION ALL ".join(f"SELECT entity, substr(sequence, i::INT, {k}) AS feature FROM (SELECT entity, sequence, unnest(range(1, greatest(length(sequence) - {k} + 2, 1))) AS i FROM {source})" for k in sizes)
 
 
+def seeded_sql(source: str, sizes: tuple[int, ...]) -> str:
+    """The same with the seed, which counts twice."""
+    return f"{kmer_sql(source, sizes)} UNION ALL SELECT entity, 'seed:' || substr(sequence, 2, 7) FROM {source}, range(2)"
+
+
 AUC_SQL = """(SELECT feature, (sum(CASE WHEN label = 1 THEN ar END) - sum(label) * (sum(label) + 1) / 2.0) / greatest(1.0, sum(label)::DOUBLE * sum(1 - label)) AS auc,
  sum(label)::DOUBLE AS n1, sum(1 - label)::DOUBLE AS n0
  FROM (SELECT feature, label, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS ar FROM {src}) GROUP BY feature)"""
@@ -591,13 +596,12 @@ def centroid_similarity(spark: SparkSession, d: str) -> DataFrame:
     return sequences.cosine_to(vectors, target).select("entity", r6("cosine", "cosine"))
 
 
-@query(f"""WITH {SEQ}, {REF}, a AS (SELECT entity, feature, count(*) AS n FROM ({kmer_sql('fam', (3,))}) GROUP BY ALL), b AS (SELECT entity, feature, count(*) AS n FROM ({kmer_sql('ref', (3,))}) GROUP BY ALL),
+@query(f"""WITH {SEQ}, {REF}, a AS (SELECT entity, feature, count(*) AS n FROM ({seeded_sql('fam', (3,))}) GROUP BY ALL), b AS (SELECT entity, feature, count(*) AS n FROM ({seeded_sql('ref', (3,))}) GROUP BY ALL),
 na AS (SELECT entity, sqrt(sum(n * n)) AS s FROM a GROUP BY 1), nb AS (SELECT entity, sqrt(sum(n * n)) AS s FROM b GROUP BY 1),
 c AS (SELECT a.entity, b.entity AS reference, sum(a.n * b.n) / any_value(na.s * nb.s) AS cosine FROM a JOIN b USING (feature) JOIN na ON na.entity = a.entity JOIN nb ON nb.entity = b.entity GROUP BY 1, 2)
 SELECT entity, reference, round(cosine, 6) AS cosine, k::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(cosine, 9) DESC, reference) AS k FROM c) WHERE k <= 3""")
 def nearest_references(spark: SparkSession, d: str) -> DataFrame:
-    mine, ref = (sequences.kmer_counts(x, [3]).withColumnRenamed("n", "value") for x in (entries(spark, d), references(spark, d)))
-    top = sequences.nearest_of(mine, ref, 3)
+    top = sequences.nearest_sequences(entries(spark, d), references(spark, d), [3], 3)
     return top.select(F.col("a").alias("entity"), F.col("b").alias("reference"), r6("cosine", "cosine"), big("rank", "rank"))
 
 
@@ -764,9 +768,8 @@ def gd_logistic(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
-    keys = [(r[0], int(r[1])) for r in table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).orderBy("doc_id").collect()]
-    split = learning.stratified_split(keys)
-    return spark.createDataFrame([(k, s) for k, s in split.items()], "doc_id long, split string")
+    rows = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    return learning.split_frame(rows, "doc_id", "q").select("doc_id", "split")
 
 
 def curated(spark: SparkSession, d: str) -> DataFrame:

@@ -24,11 +24,10 @@ def one_class_ranking(candidates: DataFrame, markers: DataFrame, sizes: list[int
     """The historical one-class ranking: (entity, score, nearest, ...) of candidates by likeness to weighted markers.
 
     Both are (entity, sequence); markers have ``weight``. The score is half the cosine with the weighted centroid, and nearest
-    marker, motif coverage and seed match for the rest. Pairs meet through shared k-mers; markers are a curated list.
+    marker, motif coverage and seed match for the rest.
     """
     mine, theirs = sequences.kmer_vectors(candidates, sizes), sequences.kmer_vectors(markers, sizes)
-    near = sequences.cosine_pairs(mine, theirs)
-    best = ranking.top_per_group(near, ["a"], [F.desc("cosine"), F.col("b")], top)
+    best = sequences.nearest_sequences(candidates, markers, sizes, top, with_seed=False)
     nearest = best.groupBy(F.col("a").alias("entity")).agg(
         F.max("cosine").alias("nearest"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "b", "cosine"))), lambda x: F.concat(x["b"].cast("string"), F.lit(":"), F.round(x["cosine"], 4).cast("string"))), "; ").alias("nearest_markers")
     )
@@ -45,9 +44,9 @@ def one_class_ranking(candidates: DataFrame, markers: DataFrame, sizes: list[int
 
 
 def marker_pairs(markers: DataFrame, sizes: list[int], top: int = 20) -> DataFrame:
-    """The most alike unordered pairs of markers."""
-    v = sequences.kmer_vectors(markers, sizes)
-    return sequences.cosine_pairs(v, v).where("a < b").orderBy(F.desc("cosine"), "a", "b").limit(top)
+    """The most alike unordered pairs of markers: each is among the ``top`` + 1 nearest, itself included, of its first one."""
+    near = sequences.nearest_sequences(markers, markers, sizes, top + 1, with_seed=False)
+    return near.where("a < b").orderBy(F.desc(F.round("cosine", 9)), "a", "b").limit(top).select("a", "b", "cosine")
 
 
 def signal_summary(weights: DataFrame, by: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import counter_uniform_np
@@ -35,6 +36,52 @@ def test_split_is_stratified():
     assert sum(v == "test" for v in split.values()) == 12 and sum(v == "test" for k, v in split.items() if k % 3 == 0) == 4
 
 
+@pytest.mark.parametrize("held_bytes", [1 << 20, 0])
+def test_gradient_fit_is_the_same_dealt_over_tasks(spark, held_bytes):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(900, 3)) * [1, 5, 0]  # a column without spread
+    y = (x[:, 0] + r.normal(size=900) > 0).astype(float)
+    rows = [(*map(float, v), float(t), "z") for v, t in zip(x, y, strict=True)]
+    odd = [(None, 1.0, 1.0, 1.0, "z"), (float("nan"), 1.0, 1.0, 0.0, "z"), (1.0, 2.0, float("inf"), 0.0, "z"), (1.0, 1.0, 1.0, None, "z")]
+    df = spark.createDataFrame(rows + odd, "a double, b double, `c.d` double, y double, weight string")
+    got = {m["feature"]: m for m in learning.fit_gradient_logistic(df, ["a", "b", "c.d"], "y", epochs=40, held_bytes=held_bytes).collect()}
+    sd = np.where(x.std(0, ddof=1) > 0, x.std(0, ddof=1), 1.0)
+    w, b = learning.gradient_logistic((x - x.mean(0)) / sd, y, epochs=40)
+    assert all(abs(got[f]["weight"] - v) < 1e-9 and abs(got[f]["bias"] - b) < 1e-9 for f, v in zip(["a", "b", "c.d"], w, strict=True))
+    assert learning.fit_gradient_logistic(df.limit(0), ["a"], "y").count() == 0
+
+
+def test_newton_fits_equal_one_fit_a_feature(spark):
+    r = np.random.default_rng(10)
+    rows, want = [], {}
+    for f in range(4):
+        v, fold = r.normal(size=90).round(1), np.arange(90) % 3
+        y = (r.random(90) < 1 / (1 + np.exp(-f * v))).astype(float) if f < 3 else (v > 0).astype(float)  # the last is separable
+        v = np.zeros(90) if f == 0 else v  # the first has no spread
+        rows += [(f"f{f}", int(t), int(k), float(x)) for x, t, k in zip(v, y, fold, strict=True)]
+        p = np.zeros(90)
+        for k in range(3):
+            w, b, c, s = learning.newton_logistic(v[fold != k], y[fold != k])
+            p[fold == k] = learning.sigmoid(w * (v[fold == k] - c) / s + b)
+        hit = p >= 0.5
+        want[f"f{f}"] = (*learning.newton_logistic(v, y), learning.tie_auc(p, y), (hit == (y == 1)).mean(), 2 * (hit & (y == 1)).sum() / max(1, hit.sum() + y.sum()))
+    df = spark.createDataFrame(rows, "feature string, label int, fold int, value double")
+    got = {x["feature"]: x for x in learning.cross_validated_newton(df).collect()}
+    assert set(got) == set(want)
+    for f, x in want.items():
+        assert np.allclose([got[f][c] for c in ("weight", "bias", "center", "scale", "cv_auc", "cv_accuracy", "cv_f1")], x, atol=1e-6), f
+    with pytest.raises(ValueError, match="lacks a class"):
+        learning.cross_validated_newton(df.where("fold > 0 or label = 1"))
+
+
+def test_split_of_a_frame_is_the_sequential_one(spark):
+    keys = [(i * 3 % 101, (i * 7) % 3) for i in range(101)]
+    df = spark.createDataFrame(keys, "id long, label int")
+    got = {r["id"]: r["split"] for r in learning.split_frame(df, "id", "label", 0.3, 9).collect()}
+    assert got == learning.stratified_split(sorted(keys), 0.3, 9)
+    assert learning.split_frame(df.limit(0), "id", "label").count() == 0
+
+
 def test_vectors_agree_with_the_frame_version(spark):
     s = "UGAGGUAGUAGGUUGUAUAGUU"
     df = spark.createDataFrame([("e", s)], "entity string, sequence string")
@@ -67,7 +114,7 @@ def test_ensemble_and_nested_validation(spark):
     assert learning.choose_configuration(nested).count() == 1
 
 
-def test_resampling(spark):
+def test_resampling(spark, monkeypatch):
     values = [0.2, 0.95, 0.5, 0.9]
     df = spark.createDataFrame(list(enumerate(values)), "k int, v double")
     u = counter_uniform_np(7, 50 * 4).reshape(50, 4)
@@ -78,7 +125,12 @@ def test_resampling(spark):
     p = resampling.paired_comparison(df, "k", "v", 8, 9, 20, 100).first()
     assert abs(p["p_value"] - ((np.abs(flips) >= np.mean(values)).sum() + 1) / 101) < 0.02 and p["improved"] == 4
     counts = spark.createDataFrame([(0, 2), (1, 1)], "k int, c long")
-    got = resampling.random_ranking_test(counts, "k", "c", 0.5, 1, 5, 40).first()
+    for piece, draws in ((1 << 16, 1 << 20), (1, 3)):  # whole families, and families in pieces
+        monkeypatch.setattr(resampling, "PIECE", piece)
+        monkeypatch.setattr(resampling, "DRAWS", draws)
+        got = resampling.random_ranking_test(counts, "k", "c", 0.5, 1, 5, 40).first()
+        assert resampling.random_ranking_test(counts.where("k = 0"), "k", "c", 0.0, 0, 5, 40).first()["p_mean"] == 1
+    assert resampling.random_ranking_test(counts.limit(0), "k", "c", 0.5, 1, 5, 40).first()["p_mean"] == 1
     u = counter_uniform_np(5, 40 * 3).reshape(40, 3)
     fam = np.column_stack([u[:, :2].mean(1), u[:, 2]])
     assert abs(got["p_mean"] - ((fam.mean(1) >= 0.5).sum() + 1) / 41) < 1e-9 and abs(got["p_recall"] - (((fam >= 0.9).sum(1) >= 1).sum() + 1) / 41) < 1e-9

@@ -82,6 +82,15 @@ def test_dense_features_agree(sizes):
             assert set(want) <= set(columns) and all(abs(row[i] - want.get(f, 0.0)) < 1e-12 for f, i in columns.items())
 
 
+def share_gc(s):
+    return sum(c in "GC" for c in s) / max(1, len(s))
+
+
+def cosine(a, b):
+    norm = sum(x * x for x in a.values()) ** 0.5 * sum(x * x for x in b.values()) ** 0.5
+    return sum(x * b.get(f, 0.0) for f, x in a.items()) / norm if norm else 0.0
+
+
 def validated(entries, configs, outer, inner, bags, size, epochs, inner_size, inner_epochs):
     """Nested validation in one process: {(fold, scorer, name): percentile} and the chosen configurations."""
     positives, background = entries[entries["positive"] == 1], entries[entries["positive"] == 0]
@@ -104,30 +113,38 @@ def validated(entries, configs, outer, inner, bags, size, epochs, inner_size, in
     for fold in sorted(set(folds.values())):
         at = positives["family"].map(folds)
         train, held = positives[at != fold], positives[at == fold]
-        inside = train["family"].map(dealt(train["family"], inner, f"inner-{fold}"))
+        inside = train["family"].map(dealt(train["family"], inner, f"inner-{fold + 1}"))
         best = []
         for c in configs:
             by = {}
             for k in sorted(set(inside)):
-                for _, f, p in by_fit(train[inside != k], train[inside == k], c, 1, inner_size, inner_epochs, f"inner-{fold}-{k}-{c[0]}"):
+                for _, f, p in by_fit(train[inside != k], train[inside == k], c, 1, inner_size, inner_epochs, f"inner-{fold + 1}-{k}-{c[0]}"):
                     by.setdefault(f, []).append(p)
             means = np.array([np.mean(p) for p in by.values()])
             best.append((-means.mean(), -(means >= 0.9).mean(), c[0], c))
         c = min(best)[3]
-        chosen[fold] = (c[0], -min(best)[0])
-        out |= {(fold, "ensemble", n): p for n, _, p in by_fit(train, held, c, bags, size, epochs, f"outer-{fold}-{c[0]}")}
+        chosen[fold + 1] = (c[0], -min(best)[0])
+        out |= {(fold + 1, "ensemble", n): p for n, _, p in by_fit(train, held, c, bags, size, epochs, f"outer-{fold + 1}-{c[0]}")}
         for a in learning.ABLATIONS:
-            out |= {(fold, f"ablation:{a[2]}", n): p for n, _, p in by_fit(train, held, a, bags, size, epochs, f"ablation-{fold}")}
+            out |= {(fold + 1, f"ablation:{a[2]}", n): p for n, _, p in by_fit(train, held, a, bags, size, epochs, f"outer-feature-ablation-{fold + 1}")}
         share = lambda a, b: sum(x == y for x, y in zip(a, b)) / max(len(a), len(b), 1)
         near = lambda df: [max(share(s[1:8], t[1:8]) for t in train["sequence"]) for s in df["sequence"]]
-        hashed = lambda df: [learning.fnv1a_py(f"random-baseline|{fold}|{n}") / 0xFFFFFFFF for n in df["name"]]  # noqa: E731, B023
-        for name, f in (("seed", near), ("hash", hashed)):
-            out |= {(fold, name, n): p for n, _, p in ranked(held, f(held), f(background))}
+        hashed = lambda df: [learning.fnv1a_py(f"random-baseline|{fold + 1}|{n}") / 0xFFFFFFFF for n in df["name"]]  # noqa: E731, B023
+        vectors = [learning.sequence_kmers(s, c[1]) for s in train["sequence"]]
+        center = {f: sum(v.get(f, 0.0) for v in vectors) / len(vectors) for v in vectors for f in v}
+        length, gc = train["sequence"].str.len().mean(), np.mean([share_gc(s) for s in train["sequence"]])
+        composed = lambda df: [1 - min(1, (abs(len(s) - length) / max(1, length) + abs(share_gc(s) - gc)) / 2) for s in df["sequence"]]  # noqa: E731, B023
+        central = lambda df: [cosine(learning.sequence_kmers(s, c[1]), center) for s in df["sequence"]]  # noqa: E731, B023
+        for name, f in (("seed", near), ("hash", hashed), ("centroid", central), ("composition", composed)):
+            out |= {(fold + 1, name, n): p for n, _, p in ranked(held, f(held), f(background))}
     assert len(names) == len(set(names))
     return out, chosen
 
 
-def test_nested_validation_agrees_with_one_process(spark):
+@pytest.mark.parametrize("scores", [1 << 20, 9])
+def test_nested_validation_agrees_with_one_process(spark, scores, monkeypatch):
+    monkeypatch.setattr(learning, "RANGE_SCORES", scores)  # small: each fit's scores are in several ranges
+    monkeypatch.setattr(learning, "PACKED_ROWS", min(scores, 8192))
     r = np.random.default_rng(8)
     rows = []
     for i in range(60):
@@ -137,7 +154,7 @@ def test_nested_validation_agrees_with_one_process(spark):
         rows.append((f"m{i:03d}", s, s[1:8], int(i < 18), 1.0 + i % 2))
     entries = spark.createDataFrame(rows, "name string, sequence string, family string, positive int, evidence double")
     options = {"outer": 3, "inner": 2, "bags": 2, "size": 25, "epochs": 15, "inner_size": 15, "inner_epochs": 10}
-    assert len(learning.CONFIGS) == 8 and any(c[4] > 0 for c in learning.CONFIGS)
+    assert len({c[0] for c in learning.CONFIGS}) == 8 and any(c[4] > 0 for c in learning.CONFIGS)
     want, chosen = validated(entries.toPandas(), learning.CONFIGS, **options)
     frame = learning.nested_validation(entries, **options)
     frame.cache()
@@ -159,3 +176,48 @@ def test_random_ranking_has_all_iterations(spark, tables):
     assert all(r["count(1)"] == 1 for r in fam)
     u = counter_uniform_np(0x50A17E, 10_000 * len(fam)).reshape(10_000, len(fam)).mean(axis=1)
     assert round(got["p_mean"] * 10_001) - 1 == (u >= np.mean([r["avg(percentile)"] for r in fam])).sum()
+
+
+def test_ranks_of_tied_scores():
+    """Few distinct scores, so that ranges, packs and families share ties."""
+    r = np.random.default_rng(3)
+    s, f, c = r.integers(0, 6, 300) / 4, r.integers(-1, 5, 300).astype(np.int32), r.integers(1, 4, 300)
+    held, own = r.integers(-1, 8, 40) / 4, r.integers(0, 6, 40).astype(np.int32)
+    got = learning._counted(s, f, c, held, own)
+    for i, (h, o) in enumerate(zip(held, own, strict=True)):
+        assert got[:, i].tolist() == [c[s > h].sum(), c[s == h].sum(), c[(s > h) & (f == o)].sum(), c[(s == h) & (f == o)].sum()]
+
+
+def test_out_of_bag_ranking_agrees_with_one_process(spark):
+    """Bags leave most entries out, so the number of models, the scores, the spread and the contributions differ by entry."""
+    r = np.random.default_rng(9)
+    rows = []
+    for i in range(70):
+        s = "".join(r.choice(list("ACGU"), int(r.integers(9, 40))))
+        if i < 15:
+            s = s[:1] + ("GAGGUAG", "CCCUGAG", "AAAGUGC")[i % 3] + s[8:]
+        rows.append((f"m{i:03d}", s, s[1:8], int(i < 15), 1.0 + i % 2))
+    entries = spark.createDataFrame(rows, "name string, sequence string, family string, positive int, evidence double")
+    got = {x["name"]: x for x in learning.rank_candidates(entries, learning.CONFIGS[4], 4, 30, 25, "s").collect()}
+    frame = entries.toPandas()
+    positives, rest = frame[frame["positive"] == 1], frame[frame["positive"] == 0].reset_index(drop=True)
+    e = learning.Ensemble(positives, rest, learning.CONFIGS[4], 4, 30, 25, "s")
+    x = e.matrix(rest["sequence"])
+    logits = x @ np.array(e.weights).T + np.array(e.biases)
+    percentiles = {n: [] for n in rest["name"]}
+    for b in range(4):
+        eligible = sorted((logits[i, b], n) for i, n in enumerate(rest["name"]) if n not in e.members[b])
+        for place, (_, n) in enumerate(eligible):
+            percentiles[n].append(place / (len(eligible) - 1))
+    assert len({x["oob_models"] for x in got.values()}) > 2 and any(x["fallback"] for x in got.values())
+    for i, n in enumerate(rest["name"]):
+        out = [b for b in range(4) if n not in e.members[b]]
+        use = out or list(range(4))
+        assert got[n]["oob_models"] == len(out) and got[n]["fallback"] == (not out)
+        assert abs(got[n]["score"] - logits[i, use].mean()) < 1e-9
+        if out:
+            assert abs(got[n]["median"] - np.quantile(percentiles[n], 0.5)) < 1e-9 and abs(got[n]["q25"] - np.quantile(percentiles[n], 0.25)) < 1e-9
+            assert abs(got[n]["top_10"] - np.mean([p >= 0.9 for p in percentiles[n]])) < 1e-9
+        share = x[i] * np.mean([e.weights[b] for b in use], axis=0)
+        best = [e.vocabulary[j] for j in np.argsort(-share, kind="stable")[:10] if share[j] > 0]
+        assert got[n]["features"] == best
