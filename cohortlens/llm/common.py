@@ -22,8 +22,8 @@ M32A, M32B = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 S33 = np.uint64(33)
 #: Bytes of text that a kernel looks at together.
 SLICE = 1 << 18
-#: Rows of an Arrow batch between Spark and a Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch between Spark and a Python worker, about.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Freed memory goes back to the system: glibc's growing thresholds and Arrow's own pool would keep it in each worker.
 WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Keys of more rows than this are dealt over salts by :func:`hot_join`.
@@ -46,6 +46,8 @@ def prepare(spark: SparkSession) -> None:
     """Small Arrow batches and workers that give memory back; settings that the session or its user made stay."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     for name, value in WORKER_ENVIRONMENT.items():
         spark.sparkContext.environment.setdefault(name, value)
 

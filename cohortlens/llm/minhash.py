@@ -34,7 +34,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of a word that are its hash as they are, one to one; longer words are hashed by a cryptographic function.
 SHORT = 8
 #: Long words whose hashes a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 20_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEPARATORS = (32, 9, 10, 11, 12, 13)
 _remembered: dict[bytes, int] = {}
@@ -58,7 +58,7 @@ def _long_hash(word: bytes) -> int:
     found = _remembered.get(word)
     if found is None:
         found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
+        if len(word) <= 32:
             if len(_remembered) >= REMEMBERED:
                 _remembered.clear()
             _remembered[word] = found
