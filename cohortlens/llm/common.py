@@ -46,7 +46,7 @@ def prepare(spark: SparkSession) -> None:
     """Small Arrow batches and workers that give memory back; settings that the session or its user made stay."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":  # Spark's default
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's default
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     for name, value in WORKER_ENVIRONMENT.items():
         spark.sparkContext.environment.setdefault(name, value)
