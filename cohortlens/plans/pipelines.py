@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, scores, stats
 from ..operators import checks, learning, matching, matrix, ranking, resampling
 from ..storage import materialize
+from .ledger import Ledger
 
 
 def build_matrix(cases: DataFrame, controls: DataFrame, mapping: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
@@ -150,26 +151,63 @@ def robust_flags(primary: DataFrame, centred: DataFrame) -> DataFrame:
     return out.withColumns({"robust": both("replicated_exact"), "strict": both("unambiguous"), "practical_both": both("practical")}).drop("_replicated_exact", "_practical", "_unambiguous")
 
 
-def sensitivity(entries: DataFrame, variants: dict[str, dict[str, float]], **options: object) -> DataFrame:
+def changed_entries(entries: DataFrame, weights: dict[str, float], variant: str = "variant") -> DataFrame:
+    """Entries with markers dropped (weight 0) or re-weighted. A name that is no marker is an error."""
+    lacking = checks.contained(list(weights), entries.where("positive = 1"), "name")
+    if lacking:
+        raise ValueError(f"{variant}: {lacking}")
+    if not weights:
+        return entries
+    table = entries.sparkSession.createDataFrame(list(weights.items()), "name string, _w double")
+    return entries.join(F.broadcast(table), "name", "left").withColumn("evidence", F.coalesce("_w", "evidence")).where(F.coalesce("_w", F.lit(1.0)) > 0).drop("_w")
+
+
+def sensitivity(entries: DataFrame, variants: dict[str, dict[str, float]], ledger: Ledger | None = None, **options: object) -> DataFrame:
     """(variant, family, percentile) of nested validation with markers dropped (weight 0) or re-weighted, variant by variant.
 
-    A variant must change the markers it names, each once; a name that is not there is an error.
+    A variant must change the markers it names, each once; a name that is not there is an error. With a ``ledger`` a variant that is
+    finished is read from it, so a run that was stopped goes on where it was; weights and options are part of a variant's key.
     """
     out = None
     for variant, weights in variants.items():
-        lacking = checks.contained(list(weights), entries.where("positive = 1"), "name")
-        if lacking:
-            raise ValueError(f"{variant}: {lacking}")
-        changed = entries
-        if weights:
-            table = entries.sparkSession.createDataFrame(list(weights.items()), "name string, _w double")
-            changed = entries.join(F.broadcast(table), "name", "left").withColumn("evidence", F.coalesce("_w", "evidence")).where(F.coalesce("_w", F.lit(1.0)) > 0).drop("_w")
-        got = learning.nested_validation(changed, **options).where("scorer = 'ensemble'").groupBy("family").agg(F.avg("percentile").alias("percentile"))
+        changed = changed_entries(entries, weights, variant)
+
+        def part(changed: DataFrame = changed) -> DataFrame:
+            return learning.nested_validation(changed, **options).where("scorer = 'ensemble'").groupBy("family").agg(F.avg("percentile").alias("percentile"))
+
+        got = ledger.run(f"sensitivity {variant}", part, [weights, {k: str(v) for k, v in options.items()}]) if ledger else part()
         got = got.withColumn("variant", F.lit(variant))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def sensitivity_ranks(entries: DataFrame, long: DataFrame, features: DataFrame, external: DataFrame, variants: dict[str, dict[str, float]], ledger: Ledger, **options: object) -> DataFrame:
+    """(variant, cut, found, replicated, practical): Models 1 and 2 of each variant, and what the external data replicate of their first candidates.
+
+    ``features`` is (name, features as ``;`` list) for Model 2, ``external`` an external validation that is not made anew: its verdicts are
+    put in the variant's order. Each model of each variant is a part of the ledger.
+    """
+    out = None
+    for variant, weights in variants.items():
+        key = [weights, {k: str(v) for k, v in options.items()}]
+        changed = changed_entries(entries, weights, variant)
+        first = ledger.run(f"model 1 {variant}", lambda changed=changed: rank_sequences(changed, **options).select("name", "rank", "percentile"), key)
+        candidates = first.join(features, "name").select(F.col("name").alias("candidate"), "features", F.col("percentile").alias("sequence_score"))
+        second = ledger.run(f"model 2 {variant}", lambda candidates=candidates: validate_candidates(long, candidates).select("candidate", "integrated", "integrated_rank"), key)
+        got = reordered_cutoffs(second, external, "integrated").withColumn("variant", F.lit(variant))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def reordered_cutoffs(ranked: DataFrame, external: DataFrame, score: str, cuts: tuple[int, ...] = (10, 20, 50, 100)) -> DataFrame:
+    """(cut, found, replicated, practical): the first K by a score, sorted anew, and what of them the external data replicate exactly."""
+    top = ranked.orderBy(F.desc(score), "candidate").limit(max(cuts))
+    top = ranking.sequential_rank(top, [F.desc(score), F.col("candidate")], name="_k")
+    met = top.join(external.select("candidate", "method", "replicated_exact", "practical"), "candidate", "left")
+    cut = met.withColumn("cut", F.explode(F.array(*map(F.lit, cuts)))).where(F.col("_k") <= F.col("cut"))
+    return cut.groupBy("cut").agg(F.count_if(F.col("method") == "exact").alias("found"), F.count_if("replicated_exact").alias("replicated"), F.count_if("practical").alias("practical"))
+
+
 def compare_variants(results: DataFrame, reference: str, other: str, seed: int = 1) -> DataFrame:
     """Paired differences of two variants over the families both have."""
     a = results.where(F.col("variant") == reference).select("family", F.col("percentile").alias("a"))

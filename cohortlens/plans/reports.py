@@ -108,14 +108,6 @@ def shift_audit(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     return matrix.global_shift(matrix.class_profile(long)), ranking.auc(means, ["feature"])
 
 
-def reordered_cutoffs(ranked: DataFrame, external: DataFrame, score: str, cuts: tuple[int, ...] = (10, 20, 50, 100)) -> DataFrame:
-    """(cut, found, replicated, practical): the first K by a score, sorted anew, and what of them the external data replicate exactly."""
-    top = ranking.sequential_rank(ranked, [F.desc(score), F.col("candidate")], name="_k").where(F.col("_k") <= max(cuts))
-    met = top.join(external.select("candidate", "method", "replicated_exact", "practical"), "candidate", "left")
-    cut = met.withColumn("cut", F.explode(F.array(*map(F.lit, cuts)))).where(F.col("_k") <= F.col("cut"))
-    return cut.groupBy("cut").agg(F.count_if(F.col("method") == "exact").alias("found"), F.count_if("replicated_exact").alias("replicated"), F.count_if("practical").alias("practical"))
-
-
 def deliverables(primary: DataFrame, centred: DataFrame) -> DataFrame:
     """The consolidated metric table (section, metric, value, analysis) of both external analyses and their intersection."""
     flags = robust_flags(primary, centred)

@@ -14,10 +14,10 @@ def csv_cell(x: Column) -> Column:
     return F.when(s.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
 
 
-def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
+def write_csv(df: DataFrame, path: str, files: int | None = None, mode: str = "errorifexists") -> None:
     """A table with header; one file where ``files`` is 1 (a ranking), else as many as partitions."""
     out = df.coalesce(files) if files else df
-    out.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    out.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

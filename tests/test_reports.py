@@ -28,7 +28,7 @@ def test_audit_deliverables_and_views(spark, made):
     assert len(rows) == 10 and all(r["passed"] for r in rows)
     page = reports.dashboard(integrated, primary, centred)
     assert "hsa-miR-1-5p" in page and page.startswith("<!doctype html>")
-    cuts = {r["cut"]: r["found"] for r in reports.reordered_cutoffs(integrated, primary, "integrated", (1, 3)).collect()}
+    cuts = {r["cut"]: r["found"] for r in pipelines.reordered_cutoffs(integrated, primary, "integrated", (1, 3)).collect()}
     assert cuts == {1: 1, 3: 2}
 
 
