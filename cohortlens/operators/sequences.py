@@ -2,23 +2,63 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import sequence as S
 from ..storage import materialize
-from .learning import dense_features, feature_columns
+from .learning import CODES, dense_features, feature_columns
 from .ranking import global_rank
 
 
-def kmer_counts(df: DataFrame, sizes: list[int], entity: str = "entity", seq: str = "sequence") -> DataFrame:
-    """(entity, feature, n): k-mers of the sequence with their counts."""
-    return df.select(entity, F.explode(S.kmers(F.col(seq), sizes)).alias("feature")).groupBy(entity, "feature").agg(F.count("*").alias("n"))
+def kmer_counts(df: DataFrame, sizes: list[int], entity: str = "entity", seq: str = "sequence", keep: list[str] | None = None) -> DataFrame:
+    """(entity, feature, n), and the columns ``keep``: k-mers of the sequence with their counts; a null sequence has none.
+
+    A sequence is counted where it is, so what is shuffled is a row for each of its different k-mers, not for each letter. Rows that share
+    the entity and what is kept are counted together.
+    """
+    keys = [entity, *(keep or [])]
+    rows = df.select(*keys, seq)
+    names = {k: ["".join(p) for p in product("ACGU", repeat=k)] for k in sizes}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {k: pa.array(n) for k, n in names.items()}
+        for batch in batches:
+            at, features, counts = [], [], []
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                for k in sizes:
+                    found, n = counted_kmers(text or "", k)
+                    at.append(np.full(len(n), i))
+                    features.append(known[k].take(pa.array(found)) if isinstance(found, np.ndarray) else pa.array(found, pa.string()))
+                    counts.append(n)
+            if at:
+                rows = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(rows) for j in range(len(keys))), pa.concat_arrays(features), pa.array(np.concatenate(counts))], [*keys, "feature", "n"])
+
+    schema = T.StructType([*(rows.schema[c] for c in keys), T.StructField("feature", T.StringType()), T.StructField("n", T.LongType())])
+    return rows.mapInArrow(run, schema).groupBy(*keys, "feature").agg(F.sum("n").alias("n"))
+
+
+def counted_kmers(text: str, k: int) -> tuple[np.ndarray | list[str], np.ndarray]:
+    """The different k-mers of a text and their counts: as numbers in the order of A, C, G and U, or as text where there are other letters."""
+    letters = CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+    if len(letters) and letters.max() > 3:
+        found = Counter(text[i : i + k] for i in range(len(text) - k + 1))
+        return list(found), np.array(list(found.values()), np.int64)
+    codes = np.zeros(max(0, len(letters) - k + 1), np.int64)
+    for j in range(k):
+        codes = codes * 4 + letters[j : j + len(codes)]
+    n = np.bincount(codes, minlength=1)
+    found = np.flatnonzero(n)
+    return found, n[found].astype(np.int64)
 
 
 def kmer_vectors(df: DataFrame, sizes: list[int], entity: str = "entity", seq: str = "sequence", with_seed: bool = False) -> DataFrame:
@@ -170,7 +210,7 @@ def motif_enrichment(positive: DataFrame, background: DataFrame, weights: DataFr
 def motif_coverage(df: DataFrame, motifs: DataFrame, sizes: list[int], entity: str = "entity", seq: str = "sequence") -> DataFrame:
     """(entity, coverage): enrichment of the motifs a sequence contains over that of all; joined on the sequence's own k-mers."""
     total = motifs.agg(F.sum("enrichment").alias("_t"))
-    held = df.select(entity, F.explode(F.array_distinct(S.kmers(F.col(seq), sizes))).alias("motif"))
+    held = kmer_counts(df, sizes, entity, seq).select(entity, F.col("feature").alias("motif"))
     sums = held.join(motifs.select("motif", "enrichment"), "motif").groupBy(entity).agg(F.sum("enrichment").alias("_s"))
     out = df.select(entity).distinct().join(sums, entity, "left").join(F.broadcast(total))
     return out.select(entity, F.when(F.col("_t") > 0, F.coalesce("_s", F.lit(0.0)) / F.col("_t")).otherwise(0.0).alias("coverage"))

@@ -540,8 +540,7 @@ def score_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SEQ}, k AS (SELECT DISTINCT entity, feature FROM ({kmer_sql('fam', (2, 3))})) SELECT feature, count(*) AS entities, sum(positive)::BIGINT AS positives FROM k JOIN fam USING (entity) GROUP BY feature""")
 def kmer_presence(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d)
-    k = e.select("positive", F.explode(F.array_distinct(sequence.kmers(F.col("sequence"), [2, 3]))).alias("feature"))
+    k = sequences.kmer_counts(entries(spark, d), [2, 3], keep=["positive"])
     return k.groupBy("feature").agg(F.count("*").alias("entities"), F.sum("positive").alias("positives"))
 
 

@@ -186,6 +186,19 @@ def test_one_class_ranking_equals_a_plain_version(spark, monkeypatch):
         assert got[20]["nearest_markers"].startswith("6:1.0;")
 
 
+def test_kmers_are_counted_where_the_sequence_is(spark):
+    texts = [(1, "ACGUACGUA", "x"), (1, "CGU", "x"), (2, None, "y"), (3, "AC", "y"), (4, "ANGA", "y"), (4, "", "y")]
+    df = spark.createDataFrame(texts, "entity int, sequence string, side string")
+    got = {(x["entity"], x["side"], x["feature"]): x["n"] for x in sequences.kmer_counts(df, [2, 3], keep=["side"]).collect()}
+    want = {}
+    for e, s, side in texts:
+        for k in (2, 3):
+            for i in range(len(s or "") - k + 1):
+                want[(e, side, s[i : i + k])] = want.get((e, side, s[i : i + k]), 0) + 1
+    assert got == want
+    assert sequences.kmer_counts(df.limit(0), [2]).columns == ["entity", "feature", "n"]
+
+
 def test_nearest_sequences_with_seeds_in_blocks(spark, monkeypatch):
     r = np.random.default_rng(6)
     word = lambda n: "".join(r.choice(list("ACGU"), n))
