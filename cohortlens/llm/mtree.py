@@ -24,8 +24,8 @@ from .common import materialize, only, settled, written
 TREE_ROWS = 8192
 PAGE = 64
 QUERY_BLOCK = 4096
-#: Pivots at most, and vectors they are chosen from.
-PIVOTS, PIVOT_SAMPLE = 256, 4096
+#: Pivots at most, one for each tree until then, and vectors they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 4096, 16384
 TREE = ["size", "cell", "tree"]
 PAGES = "size int, cell int, tree int, node long, leaf boolean, vectors binary, parent_distance array<double>, radius array<double>, child array<long>, ids array<array<long>>"
 

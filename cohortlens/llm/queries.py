@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import centroids, hard_negatives, langid, media, minhash, mixing, mtree, packing, range_join, suffix_repeats, toxicity, url_rules, warc
-from .common import crc_of, only, prepare, settled, written
+from .common import crc_of, materialize, only, prepare, settled, written
 
 #: The rules of op4 as (action, host, path): fixed values.
 RULES = [
@@ -81,7 +81,8 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.image_features(media.store_images(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    stored = materialize(media.store_images(spark.read.parquet(f"{sf_dir}/documents.parquet")))  # what follows reads the written bytes
+    return media.image_features(stored)
 
 
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
