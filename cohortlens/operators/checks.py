@@ -79,3 +79,28 @@ def suite(spark: SparkSession, checks: dict[str, DataFrame]) -> DataFrame:
     """(check, violations, passed) for named violation queries."""
     rows = [df.agg(F.lit(name).alias("check"), F.count("*").alias("violations")) for name, df in checks.items()]
     return reduce(DataFrame.unionByName, rows).withColumn("passed", F.col("violations") == 0)
+
+
+def fused_suite(tables: dict[str, DataFrame], rows: dict[str, tuple[str, str]], keys: dict[str, tuple[str, list[str]]] | None = None, references: dict[str, tuple[str, str, str, str]] | None = None) -> DataFrame:
+    """(check, table, checked, violations, passed): expectations over several tables, fused so that a table is scanned once for all its row checks.
+
+    ``rows``: name to (table, violation as SQL over its columns; a violation that is null is none). ``keys``: name to (table, columns), which
+    must not repeat; the surplus rows are violations, nulls are values like others. ``references``: name to (table, column, other table, other column): rows
+    whose value the other lacks; nulls refer to nothing. Row checks are one aggregate a table; keys are counted, references anti-joined.
+    """
+    parts = []
+    for table in dict.fromkeys(t for t, _ in rows.values()):
+        own = {name: v for name, (t, v) in rows.items() if t == table}
+        one = tables[table].agg(F.count("*").alias("checked"), *(F.count_if(F.expr(v)).alias(f"v{i}") for i, v in enumerate(own.values())))
+        each = F.array(*(F.struct(F.lit(name).alias("check"), F.col(f"v{i}").alias("violations")) for i, name in enumerate(own)))
+        parts.append(one.select("checked", F.explode(each).alias("c")).select("c.check", F.lit(table).alias("table"), "checked", "c.violations"))
+    for name, (table, columns) in (keys or {}).items():
+        counts = tables[table].groupBy(*columns).agg(F.count("*").alias("n"))
+        sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("checked"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
+        parts.append(sums.select(F.lit(name).alias("check"), F.lit(table).alias("table"), "checked", "violations"))
+    for name, (table, column, other, known) in (references or {}).items():
+        values = tables[table].where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_k")).agg(F.count("*").alias("n"))  # hot values are one row
+        held = tables[other].select(F.col(known).alias("_k"), F.lit(True).alias("_held")).where("_k is not null").distinct()
+        met = values.join(held, "_k", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("checked"), F.coalesce(F.sum(F.when(F.col("_held").isNull(), F.col("n"))), F.lit(0)).alias("violations"))
+        parts.append(met.select(F.lit(name).alias("check"), F.lit(table).alias("table"), "checked", "violations"))
+    return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("violations") == 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning, matrix, ranking
+from ..operators import checks, learning, matrix, ranking
 from ..sources import dialects, writers
 from ..storage import new_folder
 from . import pipelines, reports
@@ -243,6 +243,51 @@ def audit_suite(spark: SparkSession, d: str) -> DataFrame:
     return reports.audit(spark, ranked, integrated, external, metrics).select("check", "violations")
 
 
+#: Row checks by table: name and violation, in SQL that Spark and DuckDB both read.
+ROW_CHECKS = {
+    "region": {"has a key": "r_regionkey IS NULL", "has a name": "coalesce(r_name, '') = ''"},
+    "nation": {"has a key": "n_nationkey IS NULL", "has a name": "coalesce(n_name, '') = ''", "region is not negative": "n_regionkey < 0"},
+    "customer": {"has a key": "c_custkey IS NULL", "has a name": "coalesce(c_name, '') = ''", "balance is there": "c_acctbal IS NULL", "balance is not negative": "c_acctbal < 0", "segment is upper case": "c_mktsegment <> upper(c_mktsegment)"},
+    "supplier": {"has a key": "s_suppkey IS NULL", "has a name": "coalesce(s_name, '') = ''", "balance is not negative": "s_acctbal < 0"},
+    "part": {"has a key": "p_partkey IS NULL", "size is 1 to 50": "p_size < 1 OR p_size > 50", "price is above 0": "p_retailprice <= 0", "brand begins so": "p_brand NOT LIKE 'Brand#%'", "has a type": "coalesce(p_type, '') = ''"},
+    "orders": {"has a key": "o_orderkey IS NULL", "price is above 0": "o_totalprice <= 0", "status is F, O or P": "o_orderstatus NOT IN ('F', 'O', 'P')", "has a date": "o_orderdate IS NULL", "priority begins with its number": "o_orderpriority NOT LIKE '1-%' AND o_orderpriority NOT LIKE '2-%' AND o_orderpriority NOT LIKE '3-%' AND o_orderpriority NOT LIKE '4-%' AND o_orderpriority NOT LIKE '5-%'"},
+    "lineitem": {"has an order": "l_orderkey IS NULL", "line number is above 0": "l_linenumber < 1", "quantity is 1 to 50": "l_quantity < 1 OR l_quantity > 50", "price is above 0": "l_extendedprice <= 0", "discount is a share": "l_discount < 0 OR l_discount > 1", "discount is at most 5 in 100": "l_discount > 0.05",
+                 "tax is a share": "l_tax < 0 OR l_tax > 1", "flag is A, N or R": "l_returnflag NOT IN ('A', 'N', 'R')", "status is F or O": "l_linestatus NOT IN ('F', 'O')", "has a date": "l_shipdate IS NULL"},
+    "events": {"has a key": "event_id IS NULL", "has a time": "ts IS NULL", "has a user": "user_id IS NULL", "value is there": "value IS NULL", "value is not negative": "value < 0", "value is at most 100": "value > 100", "has a type": "coalesce(event_type, '') = ''"},
+    "documents": {"has a key": "doc_id IS NULL", "has a text": "coalesce(text, '') = ''", "length is that of the text": "n_chars <> length(text)", "has a language": "lang IS NULL", "has a source": "coalesce(source, '') = ''", "is not one word": "text NOT LIKE '% %'"},
+    "embeddings": {"has a key": "vec_id IS NULL", "has a vector": "embedding IS NULL", "has a label": "label IS NULL", "label is 0 to 9": "label < 0 OR label > 9"},
+    "pages": {"has a key": "page_id IS NULL", "has a scheme": "url NOT LIKE '%://%'", "has a body": "coalesce(html, '') = ''"},
+    "benchmark": {"has a key": "item_id IS NULL", "has a text": "coalesce(text, '') = ''"},
+    "labels": {"has a key": "doc_id IS NULL", "quality is 0 or 1": "quality IS NULL OR quality NOT IN (0, 1)", "toxic is 0 or 1": "toxic IS NULL OR toxic NOT IN (0, 1)", "toxic is of low quality": "toxic = 1 AND quality = 1"},
+    "conversations": {"has a key": "conv_id IS NULL", "turn is not negative": "turn < 0", "role is known": "role NOT IN ('user', 'assistant', 'system')", "has a text": "coalesce(text, '') = ''"},
+}
+KEY_CHECKS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"],
+    "events": ["event_id"], "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
+}
+REFERENCES = [
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"), ("documents", "doc_id", "labels", "doc_id"),
+]
+
+
+def _audit_sql() -> str:
+    rows = [f"SELECT '{t}: {name}' AS \"check\", (SELECT count(*) FROM {t}) AS checked, (SELECT count(*) FROM {t} WHERE {bad}) AS violations" for t, own in ROW_CHECKS.items() for name, bad in own.items()]
+    rows += [f"SELECT '{t}: key is unique', (SELECT count(*) FROM {t}), (SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(k)} FROM {t}))" for t, k in KEY_CHECKS.items()]
+    rows += [f"SELECT '{a}: {x} is in {b}', (SELECT count(*) FROM {a} WHERE {x} IS NOT NULL), (SELECT count(*) FROM {a} WHERE {x} NOT IN (SELECT {y} FROM {b} WHERE {y} IS NOT NULL))" for a, x, b, y in REFERENCES]
+    return " UNION ALL ".join(rows)
+
+
+@query(_audit_sql())
+def fused_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Expectations over all tables, some of which their rows break: a scan for all row checks of a table."""
+    out = checks.fused_suite(
+        {t: table(spark, d, t) for t in ROW_CHECKS}, {f"{t}: {name}": (t, bad) for t, own in ROW_CHECKS.items() for name, bad in own.items()},
+        {f"{t}: key is unique": (t, k) for t, k in KEY_CHECKS.items()}, {f"{a}: {x} is in {b}": (a, x, b, y) for a, x, b, y in REFERENCES},
+    )
+    return out.select("check", "checked", "violations")
+
+
 @query("""WITH v AS (SELECT DISTINCT c_nationkey AS fold, 'k' || (c_nationkey * 5 % 4) AS config, (c_nationkey * 7 % 26) / 26.0 AS inner_score FROM customer)
 SELECT config, count(*) AS selected, round(avg(inner_score), 6) AS inner_score FROM v GROUP BY 1 ORDER BY 2 DESC, avg(inner_score) DESC, 1 LIMIT 1""")
 def chosen_configuration(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import learning, sequences
+from cohortlens.operators import checks, learning, sequences
 from cohortlens.plans import ledger, pipelines, reports
 from cohortlens.sources import dialects
 from cohortlens.streaming import csv_sink
@@ -186,6 +186,20 @@ def test_one_class_ranking_equals_a_plain_version(spark, monkeypatch):
         assert got[20]["nearest_markers"].startswith("6:1.0;")
 
 
+def test_planted_faults_are_found(spark):
+    a = spark.createDataFrame([(1, 5.0, "x"), (1, -1.0, "y"), (2, None, None), (None, 3.0, "x"), (None, 4.0, "z")], "k int, v double, o string")
+    b = spark.createDataFrame([("x",), ("x",), (None,)], "o string")
+    out = checks.fused_suite(
+        {"a": a, "b": b}, {"not negative": ("a", "v < 0"), "there": ("a", "v is null"), "b is there": ("b", "o is null"), "never": ("a", "v > 100")}, {"unique": ("a", ["k"]), "pairs": ("a", ["k", "v"])}, {"known": ("a", "o", "b", "o")}
+    )
+    got = {r["check"]: (r["table"], r["checked"], r["violations"], r["passed"]) for r in out.collect()}
+    assert got == {
+        "not negative": ("a", 5, 1, False), "there": ("a", 5, 1, False), "never": ("a", 5, 0, True), "b is there": ("b", 3, 1, False), "unique": ("a", 5, 2, False), "pairs": ("a", 5, 0, True), "known": ("a", 4, 2, False),
+    }
+    empty = checks.fused_suite({"a": a.limit(0)}, {"x": ("a", "v < 0")}, {"u": ("a", ["k"])}, {"r": ("a", "o", "a", "o")})
+    assert {(r["checked"], r["violations"]) for r in empty.collect()} == {(0, 0)}
+
+
 def test_kmers_are_counted_where_the_sequence_is(spark):
     texts = [(1, "ACGUACGUA", "x"), (1, "CGU", "x"), (2, None, "y"), (3, "AC", "y"), (4, "ANGA", "y"), (4, "", "y")]
     df = spark.createDataFrame(texts, "entity int, sequence string, side string")
