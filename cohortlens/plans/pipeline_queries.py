@@ -107,9 +107,12 @@ def json_document(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_json(spark, path, "n long, top long, first string")
 
 
-@query("SELECT * FROM (VALUES ('a', '1'), ('b', '2')) t(name, value)")
+@query("SELECT n_nationkey::VARCHAR AS name, n_name AS value FROM nation UNION ALL SELECT 'a', '1' UNION ALL SELECT 'b', '2'")
 def optional_source(spark: SparkSession, d: str) -> DataFrame:
-    return readers.read_or(spark, new_folder(spark), [("a", "1"), ("b", "2")], "name string, value string")
+    """A table that is there, and the given rows where one is not."""
+    path, fallback, schema = new_folder(spark), [("a", "1"), ("b", "2")], "name string, value string"
+    writers.write_csv(table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.col("n_name").alias("value")), path)
+    return readers.read_or(spark, path, fallback, schema).unionByName(readers.read_or(spark, new_folder(spark), fallback, schema))
 
 
 @query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
@@ -163,14 +166,19 @@ def projected_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT * FROM (SELECT 'priorities of two orders' AS "check", (SELECT count(*) FROM (VALUES (0), (1)) t(l) WHERE (SELECT count(*) FROM labels WHERE quality = l) < 100) AS violations
-UNION ALL SELECT 'same frame', 0 UNION ALL SELECT 'known segments', 1)""")
+UNION ALL SELECT 'reproduced by its CSV', 0 UNION ALL SELECT 'reproduced by a changed table', (SELECT count(*) FROM customer WHERE c_acctbal < 0) UNION ALL SELECT 'known segments', 1)""")
 def contract_checks(spark: SparkSession, d: str) -> DataFrame:
     labels, c = table(spark, d, "labels"), table(spark, d, "customer")
     checks.header_contract(labels, ["doc_id", "quality"])
     unknown = checks.contained(["BUILDING", "no such segment"], c, "c_mktsegment")
+    path = new_folder(spark)
+    writers.write_csv(c, path)
+    again = readers.read_table(spark, path)
+    again = again.select(*(F.col(f.name).cast(f.dataType) for f in c.schema))
+    changed = c.withColumn("c_acctbal", F.abs("c_acctbal"))
     out = checks.suite(spark, {
         "priorities of two orders": checks.group_sizes(labels, "quality", 100),
-        "same frame": spark.range(0 if checks.same_frame(c, c.orderBy("c_custkey")) else 1),
+        "reproduced by its CSV": spark.range(0 if checks.same_frame(c, again) else 1), "reproduced by a changed table": c.exceptAll(changed),
         "known segments": spark.createDataFrame([(u,) for u in unknown], "segment string"),
     })
     return out.select("check", "violations")

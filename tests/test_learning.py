@@ -180,12 +180,21 @@ def test_build_matrix(spark):
     assert common.count() == 2
 
 
-def test_baseline_pipeline(spark):
+def test_baseline_pipeline_equals_a_plain_version(spark):
     r = np.random.default_rng(5)
-    rows = [(f"s{i}", i % 2, float(r.random() + (i % 2) * 3), float(r.random())) for i in range(60)]
-    _, scored = pipelines.train_baseline(spark.createDataFrame(rows, "sample_id string, classe int, f1 double, f2 double"), epochs=300)
-    got = scored.collect()
-    assert len(got) == 12 and sum(x["predicted"] == x["classe"] for x in got) >= 11
+    rows = [(f"s{i:02d}", i % 2, float(r.random() + (i % 2) * 3), float(r.random())) for i in range(60)]
+    model, scored = pipelines.train_baseline(spark.createDataFrame(rows, "sample_id string, classe int, f1 double, f2 double"), epochs=300)
+    split = learning.stratified_split([(i, y) for i, y, _, _ in sorted(rows)])
+    x, y = np.log1p([t[2:] for t in sorted(rows)]), np.array([t[1] for t in sorted(rows)], float)
+    train = np.array([split[t[0]] == "train" for t in sorted(rows)])
+    mean, sd = x[train].mean(0), x[train].std(0, ddof=1)
+    w, b = learning.gradient_logistic((x[train] - mean) / sd, y[train], epochs=300)
+    fitted = {m["feature"]: m for m in model.collect()}
+    assert np.allclose([fitted[f]["weight"] for f in ("f1", "f2")], w, atol=1e-9) and abs(fitted["f1"]["bias"] - b) < 1e-9
+    p = learning.sigmoid((x - mean) / sd @ w + b)
+    got = {t["sample_id"]: (t["probability"], t["predicted"]) for t in scored.collect()}
+    assert set(got) == {i for i, s in split.items() if s == "test"}
+    assert all(abs(got[t[0]][0] - q) < 2e-6 and got[t[0]][1] == int(q >= 0.5) for t, q in zip(sorted(rows), p, strict=True) if t[0] in got)
 
 
 def test_sensitivity(spark):
