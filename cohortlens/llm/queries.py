@@ -89,6 +89,11 @@ def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.digest_removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=200)
 
 
+def repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of repeated strings themselves, with all their occurrences."""
+    return suffix_repeats.repeat_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=200)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe())
     return pieces.drop("ids")
@@ -114,7 +119,7 @@ def byte_bpe() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: whole_job(f) for name, f in globals().items() if name.startswith("op")}
+    return {name: whole_job(f) for name, f in globals().items() if name.startswith("op")} | {"repeat_groups": whole_job(repeat_groups)}
 
 
 SQL: dict[str, str] = {}

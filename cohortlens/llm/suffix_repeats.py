@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE, held_by, hot_join, hot_of, materialize, mix64, only, settled, slices, utf8, written
@@ -391,7 +391,7 @@ def _scan(contexts: DataFrame, least: int) -> DataFrame:
 def repeat_groups(documents: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(group_id, length, key, begin): the groups of repeated strings of ``least`` bytes and more, one row for each occurrence.
 
-    ``group_id`` is the hex digest (128 bits) of the repeated bytes, so a string is one group, and all its occurrences in all
+    ``group_id`` names a repeated string (128 bits, in hex), a string is one group, and all its occurrences in all
     rows are in it: copies of a row, rows that share a key and rows without one included. Groups are the maximal repeats
     within the segments of an anchor, whose contexts are at most 2 * ``least`` bytes long, about: a longer repeat gives a group
     for each of its segments. Anchors of more than CHUNK distinct contexts give a group for each of their repeated windows
@@ -438,7 +438,32 @@ def repeat_groups(documents: DataFrame, least: int = LEAST, key: str = "doc_id",
         again = counted.groupBy("group_id").agg(F.sum("copies").alias("k")).where("k > 1").select("group_id")
         found = found.unionByName(each.join(again, "group_id", "left_semi"))
     met = shared.distinct().join(materialize(found), ["anchor", "context"]).select("group_id", "length", "d", "n", (F.col("first") + F.col("begin")).alias("begin"))
-    return settled(met.distinct().join(base.select(key, "d", "n"), ["d", "n"]).select("group_id", "length", key, "begin"), before)
+    return settled(_joined(materialize(met.distinct())).join(base.select(key, "d", "n"), ["d", "n"]).select("group_id", "length", key, "begin"), before)
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """(group_id, length, d, n, begin): the groups that overlap or touch in all of their occurrences, made one.
+
+    Two groups have the same occurrences if these lie alike around the first one; that is compared by two hashes over all of them, so no
+    group is collected. Around one first text, groups of the same occurrences are laid end to end; what is joined is a string that occurs wherever its
+    first part does. Groups of many occurrences meet their one row over salts.
+    """
+    where = F.struct("d", "n", "begin")
+    firsts = materialize(found.groupBy("group_id", "length").agg(F.min(where).alias("f"), F.count("*").alias("k")))
+    hot = hot_of(firsts, "k", "group_id")
+    place = [F.col("d"), F.col("n"), F.col("begin") - F.col("f.begin")]
+    around = hot_join(found, firsts.select("group_id", "f", "k"), ["group_id"], F.struct("d", "n", "begin"), hot)
+    alike = around.groupBy("group_id").agg(F.bit_xor(F.xxhash64(*place)).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), *place)).alias("s2"))
+    same = ["fd", "fn", "k", "s1", "s2"]
+    laid = firsts.join(alike, "group_id").select("group_id", F.col("f.d").alias("fd"), F.col("f.n").alias("fn"), "k", "s1", "s2", F.col("f.begin").alias("at"), (F.col("f.begin") + F.col("length")).alias("end"))
+    along = Window.partitionBy(*same).orderBy("at", F.desc("end"), "group_id")
+    reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    laid = laid.withColumn("new", (F.col("at") > F.coalesce(reached, F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(along))
+    whole = laid.groupBy(*same, "run").agg(F.min("at").alias("at"), (F.max("end") - F.min("at")).cast("int").alias("length"), F.min_by("group_id", F.struct("at", "group_id")).alias("group_id"))
+    name = F.left(F.sha2(F.concat_ws("/", *same, "at", "length"), 256), F.lit(32))
+    whole = whole.select("group_id", name.alias("name"), "length")
+    out = hot_join(found.drop("length"), whole, ["group_id"], F.struct("d", "n", "begin"), hot)
+    return out.select(F.col("name").alias("group_id"), "length", "d", "n", "begin")
 
 
 # --- what becomes of the documents --------------------------------------------------------------

@@ -72,6 +72,18 @@ def test_repeat_groups_hold_all_occurrences(spark, prose, chunk, monkeypatch):
         assert max(m[0][0] for m in found.values()) > S.LEAST
 
 
+@pytest.mark.parametrize("chunk", [16384, 1])
+def test_a_long_passage_is_one_group(spark, prose, chunk, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    long, other = prose(40, 900), prose(41, 120)
+    texts = ["a" + long + "b" + prose(1, 80), prose(2, 90) + "c" + long + "d", "e" + other + "f", prose(3, 50) + "g" + other, "h" + other + "i" + prose(4, 60)]
+    got = collections.defaultdict(set)
+    for r in S.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[(r["group_id"], r["length"])].add((r["doc_id"], r["begin"]))
+    at = lambda part, which: {(i, texts[i].index(part)) for i in which}
+    assert sorted((n, sorted(m)) for (_, n), m in got.items()) == sorted([(len(long), sorted(at(long, (0, 1)))), (len(other), sorted(at(other, (2, 3, 4))))])
+
+
 def test_repeat_groups_of_odd_rows(spark, prose):
     p = prose(5, 60)
     schema = "doc_id long, text string"
