@@ -333,46 +333,70 @@ def feature_columns(sizes: tuple[int, ...], blocks: str) -> dict[str, int]:
     return {f: i for i, f in enumerate(out)}
 
 
+#: Letters whose features are made together, about.
+LETTERS = 1 << 19
+
+
 def dense_features(sequences: list[str], sizes: tuple[int, ...], blocks: str) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`sequence_features` of sequences of A, C, G and U as rows of a matrix, and the value of each one's seed."""
+    """:func:`sequence_features` of sequences of A, C, G and U as rows of a matrix, and the value of each one's seed.
+
+    The letters of many sequences are looked at together; a k-mer that would reach into the next sequence is none.
+    """
     x, mass = np.zeros((len(sequences), len(feature_columns(sizes, blocks)))), np.zeros(len(sequences))
-    for row, (i, s) in zip(x, enumerate(sequences), strict=True):
-        letters = CODES[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]
-        n = len(letters)
-        if n and letters.max() > 3:
-            raise ValueError("a sequence has letters besides A, C, G and U")
-        codes, code = {1: letters}, letters
-        for k in range(2, max(4, *sizes) + 1):
-            code = code[: max(0, n - k + 1)] * 4 + letters[k - 1 :]
-            codes[k] = code
-        total, at = 2 + sum(len(codes[k]) for k in sizes), 0
-        mass[i] = 2 / total
-        for k in sizes:
-            row[at : at + 4**k] = np.bincount(codes[k], minlength=4**k) / total
-            at += 4**k
-        share = np.bincount(letters, minlength=4) / max(1, n)
-        row[at], row[at + 1] = min(1.0, n / 30), share[2] + share[1]
-        at += 2
-        if blocks in ("composition", "full"):
-            held = share[share > 0]
-            row[at : at + 4], row[at + 4] = share, -(held * np.log2(held)).sum() / 2
-            at += 5
-        if blocks in ("positional", "full"):
-            tagged = [k for k in sizes if k <= 4]
-            count = max(1, sum(len(codes[k]) for k in tagged))
-            for k in tagged:
-                middle = (np.arange(len(codes[k])) + k / 2) / max(1, n)
-                region = (middle >= 1 / 3).astype(np.int64) + (middle >= 2 / 3)
-                row[at : at + 3 * 4**k] = np.bincount(region * 4**k + codes[k], minlength=3 * 4**k) / count
-                at += 3 * 4**k
-        if blocks in ("terminals", "full"):
-            for k in (2, 3, 4):
-                if n >= k:
-                    row[at + codes[k][0]] = row[at + 4**k + codes[k][-1]] = 0.25
-                at += 2 * 4**k
+    ends, begin = np.cumsum([len(s) for s in sequences]), 0
+    while begin < len(sequences):
+        end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + LETTERS, side="right"))
+        end = max(end, begin + 1)
+        mass[begin:end] = _fill_features(sequences[begin:end], sizes, blocks, x[begin:end])
+        begin = end
     return x, mass
 
 
+def _fill_features(sequences: list[str], sizes: tuple[int, ...], blocks: str, x: np.ndarray) -> np.ndarray:
+    letters = CODES[np.frombuffer("".join(sequences).encode("ascii", "replace"), np.uint8)]
+    if len(letters) and letters.max() > 3:
+        raise ValueError("a sequence has letters besides A, C, G and U")
+    m, n = len(sequences), np.array([len(s) for s in sequences], np.int64)
+    first = np.cumsum(n) - n
+    row = np.repeat(np.arange(m), n)
+    place = np.arange(len(letters)) - np.repeat(first, n)
+    left = np.repeat(n, n) - place
+    codes, code = {1: (row, letters, place)}, letters
+    plain = {1: letters}
+    for k in range(2, max(4, *sizes) + 1):
+        code = code[: max(0, len(letters) - k + 1)] * 4 + letters[k - 1 :]
+        own = np.flatnonzero(left[: len(code)] >= k)
+        codes[k], plain[k] = (row[own], code[own], place[own]), code
+    counts = lambda k, kinds=1, kind=0: np.bincount((codes[k][0] * kinds + kind) * 4**k + codes[k][1], minlength=m * kinds * 4**k).reshape(m, kinds * 4**k)
+    many = lambda ks: sum(np.maximum(0, n - k + 1) for k in ks)
+    total, at = (2 + many(sizes))[:, None], 0
+    for k in sizes:
+        np.divide(counts(k), total, out=x[:, at : at + 4**k])
+        at += 4**k
+    share = counts(1) / np.maximum(1, n)[:, None]
+    x[:, at], x[:, at + 1] = np.minimum(1.0, n / 30), share[:, 2] + share[:, 1]
+    at += 2
+    if blocks in ("composition", "full"):
+        x[:, at : at + 4], x[:, at + 4] = share, -(share * np.log2(np.where(share > 0, share, 1.0))).sum(axis=1) / 2
+        at += 5
+    if blocks in ("positional", "full"):
+        tagged = [k for k in sizes if k <= 4]
+        held = np.maximum(1, many(tagged))[:, None]
+        for k in tagged:
+            r, _, p = codes[k]
+            middle = (p + k / 2) / np.maximum(1, n)[r]
+            region = (middle >= 1 / 3).astype(np.int64) + (middle >= 2 / 3)
+            np.divide(counts(k, 3, region), held, out=x[:, at : at + 3 * 4**k])
+            at += 3 * 4**k
+    if blocks in ("terminals", "full"):
+        for k in (2, 3, 4):
+            some = np.flatnonzero(n >= k)
+            x[some, at + plain[k][first[some]]] = 0.25
+            x[some, at + 4**k + plain[k][first[some] + n[some] - k]] = 0.25
+            at += 2 * 4**k
+    return (2 / total)[:, 0]
+
+
 def family_weights(families: list[str], evidence: np.ndarray) -> np.ndarray:
     sizes = pd.Series(families).map(pd.Series(families).value_counts()).to_numpy(float)
     balanced = evidence / sizes
