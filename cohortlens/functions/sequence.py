@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 def normalize_sequence(x: Column) -> Column:
     """Upper case, T as U, everything but A, C, G and U dropped; null is empty.
 
-    Runs of other letters go first, so the rest of the work is on a quarter of a text; two letters are kept for it because their upper case holds an A or T.
+    Runs of letters other than these, in either case, go first, so the rest of the work is on a quarter of a text.
     """
-    some = F.regexp_replace(x, "[^ACGTUacgtu\u1e97\u1e9a]+", "")
-    return F.coalesce(F.regexp_replace(F.translate(F.upper(some), "T", "U"), "[^ACGU]+", ""), F.lit(""))
+    return F.coalesce(F.translate(F.upper(F.regexp_replace(x, "[^ACGTUacgtu]+", "")), "T", "U"), F.lit(""))
 
 
 def seed(x: Column) -> Column:
