@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import centroids, hard_negatives, range_join, vectors
 
@@ -155,6 +156,42 @@ def test_clusters_cost_less_than_all_pairs(spark):
     assert plain == [8000] and split[0] < 2000  # two blocks make three comparisons; tight cells are linked without any
 
 
+def test_large_cells_repeat_no_vectors_on_disk(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=24).tolist(), i % 2) for i in range(500)]  # no clusters: all lie within reach of all borders
+    rows += [(1000 + i, (np.array(rows[i % 300][1]) + 0.1 * r.normal(size=24)).tolist(), i % 2) for i in range(100)]
+    monkeypatch.setattr(range_join, "HOME_BLOCK", 40)
+    monkeypatch.setattr(range_join, "CHUNK_ROWS", 150)
+    monkeypatch.setattr(range_join, "SLAB_BYTES", 60 * 24 * 8, raising=False)  # five slabs of a label
+    kept, write = [], range_join.materialize
+
+    def counted(df):
+        out = write(df)
+        wide = [c for c in ("u", "v", "p") if c in out.columns]
+        kept.append(out.agg(*[F.sum(F.length(c)) for c in wide]).first()[0] or 0 if wide else 0)
+        return out
+
+    monkeypatch.setattr(range_join, "materialize", counted)
+    found = range_join.near_duplicates(table(spark, rows), 0.93, 32)
+    assert sorted((tuple(x) for x in found.collect()), key=str) == links_plainly(rows, 0.93)
+    assert sum(kept) <= 3 * len(rows) * 24 * 8  # were 13 times the vectors and more
+
+
+def test_links_of_single_precision_tiles_are_those_of_double_precision(monkeypatch):
+    r = np.random.default_rng(3)
+    heart = r.normal(size=(6, 8))
+    u = range_join.units((heart[r.integers(6, size=150)] + r.choice([0.001, 0.3], size=(150, 1)) * r.normal(size=(150, 8))).astype(np.float32))
+    w = r.integers(1, 9, 150)
+    monkeypatch.setattr(range_join, "TILE", 16)
+    linked = u @ u.T >= 0.93
+    np.fill_diagonal(linked, False)
+    of_u, of_v, pairs = range_join.compare(u, None, w, w, 0.93)
+    assert of_u.tolist() == (linked @ w).tolist() and all(linked[a, b] for a, b in pairs)
+    of_u, of_v, pairs = range_join.compare(u[:70], u[70:], w[:70], w[70:], 0.93)
+    assert of_u.tolist() == (linked[:70, 70:] @ w[70:]).tolist() and of_v.tolist() == (w[:70] @ linked[:70, 70:]).tolist()
+    assert all(linked[a, 70 + b] for a, b in pairs)
+
+
 def test_a_pair_meets_once_and_always():
     r = np.random.default_rng(2)
     x = r.normal(size=(300, 4))
