@@ -266,12 +266,26 @@ def _alike(common: Column, n: Column, m: Column, percent: int) -> Column:
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets are alike; b may be a hub of many pairs."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(pairs.select("b").distinct(), "b", "left_semi")
     met = hot_join(pairs.join(left, "a"), right, ["b"], F.col("a"), hot_keys(pairs, "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     return met.where(_alike(common, F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
+def _star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join all that the alike ones among the stars (node a, hub b) join.
+
+    A node is compared with its smallest hub first, and with its other hubs only where that has left it in another component.
+    """
+    own = stars.groupBy("a").agg(F.min("b").alias("own"))
+    links = materialize(_confirm(own.withColumnRenamed("own", "b"), sets, percent))
+    labels = components(links)
+    named, other = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+    rest = stars.join(own, "a").where("b <> own").join(named, "a", "left").join(other, "b", "left")
+    rest = materialize(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    return links if rest.isEmpty() else materialize(links.unionByName(_confirm(rest, sets, percent)))
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept, text_hash, stays) of every row.
 
@@ -301,7 +315,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, key
     wanted = members.select("node").distinct().join(classes.select("node", "first.key", "first.h"), "node")
     sets = _sets_of(base, materialize(wanted), words)
     stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    labels = _settle(components(_confirm(stars, sets, percent)), members.select("band", "node", "n"), sets, percent)
+    labels = _settle(components(_star_links(stars, sets, percent)), members.select("band", "node", "n"), sets, percent)
     labels = materialize(classes.select("node", "first").join(labels, "node"))
     leaders = labels.groupBy("component").agg(F.min("first").alias("leader"))
     named = hot_join(labels.select("node", "component"), leaders, ["component"], F.col("node"), hot_keys(labels, "component")).select("node", "leader")

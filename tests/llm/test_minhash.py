@@ -160,3 +160,15 @@ def test_long_texts_are_read_whole(size, monkeypatch):
             data = np.frombuffer(t.encode(), np.uint8)
             whole = minhash._words(data, np.array([0, len(data)]))[1]
             assert minhash._long_words(data).tolist() == whole.tolist() and len(set(whole.tolist())) == len({re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in re.split(r"[\x20\x09-\x0d]+", t) if w})
+
+
+def test_stars_of_settled_components_are_not_confirmed_again(spark, monkeypatch):
+    sets = [(i, [*range(100), 1000 + i]) for i in range(12)] + [(i, [*range(500, 600), 1000 + i]) for i in range(12, 16)] + [(20, [*range(800, 900)])]
+    stars = [(i, 0) for i in range(1, 12)] + [(i, 1) for i in range(2, 12)] + [(i, 0) for i in range(13, 16)] + [(i, 12) for i in range(13, 16)] + [(20, 12)]
+    asked, confirm = [], minhash._confirm
+    monkeypatch.setattr(minhash, "_confirm", lambda pairs, *more: asked.append(pairs.count()) or confirm(pairs, *more))
+    of_sets = spark.createDataFrame(sets, "node long, shingles array<long>")
+    found = minhash._star_links(spark.createDataFrame(stars, "a long, b long"), of_sets, 85)
+    labels = {r["node"]: r["component"] for r in minhash.components(found).collect()}
+    assert labels == {**dict.fromkeys(range(12), 0), **dict.fromkeys(range(12, 16), 12)}
+    assert asked == [15, 3]  # of 28 stars
