@@ -30,6 +30,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 125_000
 #: Shingles of the comparisons that one kernel call makes, about.
 TASK_SHINGLES = 500_000
+#: 64-bit words of a parity sketch, a power of two; sketches of one block, and of the comparisons that one kernel call makes, about.
+SKETCH_WORDS, SKETCH_ROWS, TASK_SKETCHES = 32, 1024, 2048
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of a word that are its hash as they are, one to one; longer words are hashed by a cryptographic function.
 SHORT = 8
@@ -213,6 +215,24 @@ def _order_free(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.array([np.add.reduceat(mix64(sets * np.uint64(0xD1342543DE82EF95)), starts), np.add.reduceat(mix64(sets ^ np.uint64(0xA0761D6478BD642F)), starts)])
 
 
+def parity_sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, SKETCH_WORDS): a bit is the parity of the number of a set's shingles that fall on it.
+
+    Two sketches differ in no more bits than their sets in shingles: shingles of both fall on the same bit and cancel out.
+    """
+    rows = len(at) - 1
+    if rows == 1 and len(sets) > SLICE:
+        return np.bitwise_xor.reduce([parity_sketches(p := sets[c : c + SLICE], np.array([0, len(p)])) for c in range(0, len(sets), SLICE)])
+    out = np.zeros(rows * SKETCH_WORDS, np.uint64)
+    if len(sets):
+        width = np.uint64(SKETCH_WORDS.bit_length() - 1)
+        place = np.repeat(np.arange(rows), np.diff(at)) * SKETCH_WORDS + (sets >> (np.uint64(64) - width)).astype(np.int64)  # ascends as the sets do
+        bit = np.uint64(1) << (sets >> (np.uint64(58) - width) & np.uint64(63))
+        first = np.r_[0, np.flatnonzero(np.diff(place)) + 1]
+        out[place[first]] = np.bitwise_xor.reduceat(bit, first)
+    return out.reshape(rows, SKETCH_WORDS)
+
+
 def fingerprints(documents: DataFrame, words: int, bands: int) -> DataFrame:
     """(key, h, n, fp1, fp2, bands) of (key, h, text): set size, an order-free 128-bit fingerprint of the set, and one hash for each band."""
     kind = documents.schema["key"].dataType.simpleString()
@@ -242,7 +262,7 @@ def fingerprints(documents: DataFrame, words: int, bands: int) -> DataFrame:
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the wanted (node, key, h), read from the documents again."""
+    """(node, n, sketch, shingles) of the wanted (node, key, h), read from the documents again."""
     few = wanted.count()
     met = documents.join(F.broadcast(wanted) if few <= BROADCAST_IDS else wanted, ["key", "h"]).select("node", "text")
 
@@ -251,9 +271,11 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for part in slices(batch, "text"):
                 sets, at = shingle_sets(part, "text", words)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([held_by(part, "node"), lists], ["node", "shingles"])
+                bits = pa.array(parity_sketches(sets, at).ravel().view(np.int64))
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * SKETCH_WORDS), bits)
+                yield pa.RecordBatch.from_arrays([held_by(part, "node"), pa.array(np.diff(at)), sketches, lists], ["node", "n", "sketch", "shingles"])
 
-    sets = materialize(met.mapInArrow(run, "node long, shingles array<long>"))
+    sets = materialize(met.mapInArrow(run, "node long, n long, sketch array<long>, shingles array<long>"))
     if sets.count() > few:  # rows that repeat an id and its text give the same set: one is enough
         sets = materialize(sets.dropDuplicates(["node"]))
     return sets
@@ -263,10 +285,30 @@ def _alike(common: Column, n: Column, m: Column, percent: int) -> Column:
     return common * 100 >= (n + m - common) * percent
 
 
+def _may_be_alike(differing: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles, of which at least so many are in one only, can be alike: what fails is not."""
+    return _alike((n + m - F.greatest(differing, F.abs(n - m))) / 2, n, m, percent)
+
+
+def _only_of(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in the written table ``wanted``; few keys are broadcast, so that other rows are not shuffled."""
+    ids = wanted.select(key).distinct()
+    return rows.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
+def _possible(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stars (a, b) but for those that their sketches rule out: no alike pair is lost, and no full set is moved."""
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")).join(stars.select("b").distinct(), "b", "left_semi")
+    met = hot_join(stars.join(left, "a"), right, ["b"], F.col("a"), hot_keys(stars, "b"))
+    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return met.where(_may_be_alike(differing, F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets are alike; b may be a hub of many pairs."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(pairs.select("b").distinct(), "b", "left_semi")
+    left = _only_of(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), pairs, "a")
+    right = _only_of(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), pairs, "b")
     met = hot_join(pairs.join(left, "a"), right, ["b"], F.col("a"), hot_keys(pairs, "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     return met.where(_alike(common, F.size("sa"), F.size("sb"), percent)).select("a", "b")
@@ -277,7 +319,7 @@ def _star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A node is compared with its smallest hub first, and with its other hubs only where that has left it in another component.
     """
-    own = stars.groupBy("a").agg(F.min("b").alias("own"))
+    own = materialize(stars.groupBy("a").agg(F.min("b").alias("own")))
     links = materialize(_confirm(own.withColumnRenamed("own", "b"), sets, percent))
     labels = components(links)
     named, other = labels.toDF("a", "ca"), labels.toDF("b", "cb")
@@ -299,8 +341,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, key
     Equal sets are grouped before anything else, so groups of copies cost one row. In each bucket of a band all
     members are compared with the smallest (a star, not all pairs). Members of buckets that then still hold several
     components are compared block by block within their bucket: a task takes blocks of bounded rows and shingles, counts
-    common shingles in matrices, and returns only links that join components. So no link between candidates is
-    lost, and what is returned grows with the members, not with their pairs.
+    common shingles in matrices, and returns only links that join components. Before full sets are moved, short sketches
+    bound from below how many shingles two sets don't share, and leave out what that rules out. So no link between
+    candidates is lost, and what is returned grows with the members, not with their pairs.
     """
     base = only(documents, key, text).toDF("key", "text").select("key", F.xxhash64("text").alias("h"), "text")
     bands = bands_for(percent)
@@ -315,7 +358,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, key
     wanted = members.select("node").distinct().join(classes.select("node", "first.key", "first.h"), "node")
     sets = _sets_of(base, materialize(wanted), words)
     stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    labels = _settle(components(_star_links(stars, sets, percent)), members.select("band", "node", "n"), sets, percent)
+    possible = materialize(_possible(stars, sets, percent))
+    labels = _settle(components(_star_links(possible, sets, percent)), members.select("band", "node", "n"), sets, percent)
     labels = materialize(classes.select("node", "first").join(labels, "node"))
     leaders = labels.groupBy("component").agg(F.min("first").alias("leader"))
     named = hot_join(labels.select("node", "component"), leaders, ["component"], F.col("node"), hot_keys(labels, "component")).select("node", "leader")
@@ -385,21 +429,61 @@ def joining_pairs(nodes: np.ndarray, labels: np.ndarray, n: np.ndarray, flat: np
     return out
 
 
+def _compared(table: pa.Table) -> Iterator[np.ndarray]:
+    """The rows of each comparison (band, lo, hi) of a table that holds several components."""
+    component, *keys = (table[c].to_numpy() for c in ("component", "band", "lo", "hi"))
+    order = np.lexsort(keys[::-1])
+    keys = np.stack(keys)[:, order]
+    cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, len(order)]
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = order[begin:end]
+        if (component[own] != component[own[0]]).any():
+            yield own
+
+
+def with_possible_partner(sketches: np.ndarray, labels: np.ndarray, n: np.ndarray, lower: np.ndarray | None, percent: int) -> np.ndarray:
+    """Which of a few sets may be alike with one of another label, by their sketches; only across ``lower``, if given."""
+    rows = np.arange(len(n)) if lower is None else np.flatnonzero(lower)
+    columns = rows if lower is None else np.flatnonzero(~lower)
+    out = np.zeros(len(n), bool)
+    words = np.ascontiguousarray(sketches[columns].T)
+    for begin in range(0, len(rows), 256):
+        some = rows[begin : begin + 256]
+        differing = np.zeros((len(some), len(columns)), np.int64)
+        for k in range(SKETCH_WORDS):
+            differing += np.bitwise_count(sketches[some, k][:, None] ^ words[k])
+        both, apart = n[some][:, None] + n[columns], np.abs(n[some][:, None] - n[columns])
+        most = both - np.maximum(differing, apart)  # twice the shingles in common, at most
+        may = (most * 100 >= (2 * both - most) * percent) & (labels[some][:, None] != labels[columns])
+        out[some] |= may.any(axis=1)
+        out[columns] |= may.any(axis=0)
+    return out
+
+
+def _thinning(percent: int):  # noqa: ANN202
+    """The kernel of many comparisons of sketches: the members that they leave to be compared on full sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lo, hi, block, component, n = (table[c].to_numpy() for c in ("lo", "hi", "block", "component", "n"))
+        sketches = np.asarray(table["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(-1, SKETCH_WORDS)
+        left = np.zeros(len(n), bool)
+        for own in _compared(table):
+            lower = block[own] == lo[own[0]] if lo[own[0]] != hi[own[0]] else None
+            left[own] = with_possible_partner(sketches[own], component[own], n[own], lower, percent)
+        return table.select(["band", "node", "n", "component"]).filter(pa.array(left))
+
+    return run
+
+
 def _joining(percent: int):  # noqa: ANN202
     """The kernel of many comparisons (band, lo, hi) of one or two blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        band, lo, hi, block, node, component, n = (table[c].to_numpy() for c in ("band", "lo", "hi", "block", "node", "component", "n"))
+        lo, hi, block, node, component, n = (table[c].to_numpy() for c in ("lo", "hi", "block", "node", "component", "n"))
         lists = table["shingles"].combine_chunks()
         ends, flat = np.asarray(lists.offsets, np.int64), np.asarray(lists.values)
-        order = np.lexsort((hi, lo, band))
-        keys = np.stack((band, lo, hi))[:, order]
-        cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, len(order)]
         pairs: list[tuple[int, int]] = []
-        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = order[begin:end]
-            if (component[own] == component[own[0]]).all():
-                continue
+        for own in _compared(table):
             at = np.r_[0, np.cumsum(ends[own + 1] - ends[own])]
             sets = np.concatenate([flat[ends[i] : ends[i + 1]] for i in own.tolist()])
             lower = block[own] == lo[own[0]] if lo[own[0]] != hi[own[0]] else None
@@ -410,24 +494,49 @@ def _joining(percent: int):  # noqa: ANN202
     return run
 
 
-def _settle(labels: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The labels after all links between members of one bucket that the stars have left in different components."""
-    labelled = materialize(members.join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component")))
+def _comparisons(labelled: DataFrame, most_rows: int, most_shingles: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(band, lo, hi, block, node, component, n) of all comparisons of two blocks within the buckets (band, node, n, component) of several components.
+
+    A block holds so many rows and shingles, about. The second table has each bucket's size, blocks and shingles; both are None if there are none.
+    """
     unsettled = labelled.groupBy("band").agg(
         F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("who1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("who2")
     )
     unsettled = unsettled.where("c1 <> c2").groupBy("who1", "who2", "size", "total").agg(F.min("band").alias("band"))  # buckets of the same members are compared once
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    unsettled = materialize(unsettled.select("band", "size", blocks.alias("blocks"), "total"))
-    work = unsettled.agg(F.sum(F.col("blocks") * F.col("total"))).first()[0]
-    if not work:
-        return labels
+    blocks = F.ceil(F.col("size") / most_rows)
+    if most_shingles:
+        blocks = F.greatest(blocks, F.ceil(F.col("total") / most_shingles))
+    unsettled = materialize(unsettled.select("band", "size", blocks.cast("int").alias("blocks"), "total"))
+    if unsettled.isEmpty():
+        return None, None
     active = hot_join(labelled, unsettled.select("band", "blocks"), ["band"], F.col("node"), hot_of(unsettled, "size", "band"))
     rows = active.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = materialize(rows.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "n"))
-    paired = keyed.join(sets, "node")
-    task = F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(max(1, -(-int(work) // TASK_SHINGLES)))).alias("task")
+    keyed = rows.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "n")
+    return materialize(keyed), unsettled
+
+
+def _tasks(work: int, most: int) -> Column:
+    """Deals comparisons (band, lo, hi) to tasks of so much work each, about."""
+    return F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(max(1, -(-int(work) // most)))).alias("task")
+
+
+def _settle(labels: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The labels after all links between members of one bucket that the stars have left in different components.
+
+    Sketches are compared first; full sets are moved only for members that may be alike with one of another component.
+    """
+    labelled = materialize(members.join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component")))
+    keyed, unsettled = _comparisons(labelled, SKETCH_ROWS)
+    if keyed is None:
+        return labels
+    task = _tasks(unsettled.agg(F.sum(F.col("blocks") * F.col("size"))).first()[0], TASK_SKETCHES)
+    thinned = keyed.join(sets.select("node", "sketch"), "node").groupBy(task).applyInArrow(_thinning(percent), "band long, node long, n long, component long")
+    keyed, unsettled = _comparisons(materialize(thinned.distinct()), BLOCK_ROWS, BLOCK_SHINGLES)
+    if keyed is None:
+        return labels
+    task = _tasks(unsettled.agg(F.sum(F.col("blocks") * F.col("total"))).first()[0], TASK_SHINGLES)
+    paired = keyed.join(_only_of(sets.select("node", "shingles"), keyed, "node"), "node")
     found = materialize(paired.groupBy(task).applyInArrow(_joining(percent), "a long, b long"))
     if found.isEmpty():
         return labels

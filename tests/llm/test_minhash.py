@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -172,3 +173,53 @@ def test_stars_of_settled_components_are_not_confirmed_again(spark, monkeypatch)
     labels = {r["node"]: r["component"] for r in minhash.components(found).collect()}
     assert labels == {**dict.fromkeys(range(12), 0), **dict.fromkeys(range(12, 16), 12)}
     assert asked == [15, 3]  # of 28 stars
+
+
+def test_full_sets_move_only_where_sketches_leave_a_link_open(spark, prose):
+    rows, r = [], random.Random(8)
+    for family in range(3):  # texts that share buckets, hardly any of them a link
+        base = prose(family, 700).split()
+        for _ in range(40):
+            w = list(base)
+            for p in r.sample(range(len(w)), 33):
+                w[p] = "z%d" % r.randrange(10**6)
+            rows.append((len(rows), " ".join(w), "z"))
+    rows += [(500 + i, rows[40 * i][1] + " end", "z") for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def shuffled():
+        time.sleep(0.2)  # the store takes in no more than a few states a second
+        spark.range(1).count()
+        bus.waitUntilEmpty()
+        return sum(x.totalShuffleWrite() for x in (lambda found: (found.apply(i) for i in range(found.size())))(store.executorList(False)))
+
+    before = shuffled()
+    found = minhash.near_duplicates(df, 3, 85).collect()
+    moved = shuffled() - before
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in found) == sorted(brute([x[:2] for x in rows], 3, 85))
+    assert moved < 8 * sum(x["n_shingles"] for x in found)  # all full sets once
+
+
+def test_sketches_rule_out_no_link(monkeypatch):
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2))]
+    for changed in (0, 5, 20, 24, 25, 26, 30, 60, 200, 300):
+        for _ in range(6):
+            kept = r.permutation(sets[0])[changed:]
+            sets.append(np.unique(np.r_[kept, r.integers(0, 1 << 63, r.integers(0, changed + 1), dtype=np.uint64) * np.uint64(2)]))
+    sets.append(sets[0][:0])
+    n, at = np.array([len(s) for s in sets]), np.r_[0, np.cumsum([len(s) for s in sets])]
+    sketches = minhash.parity_sketches(np.concatenate(sets), at)
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    alike = (common * 100 >= (n[:, None] + n - common) * 85) & ~np.eye(len(n), dtype=bool) & (common > 0)
+    differing = np.bitwise_count(sketches[:, None] ^ sketches).sum(axis=2)
+    assert (differing <= n[:, None] + n - 2 * common).all() and alike.any()
+    lower = np.arange(len(n)) % 3 == 0
+    for some in (None, lower):
+        true = alike if some is None else alike & (lower[:, None] != lower)
+        got = minhash.with_possible_partner(sketches, np.arange(len(n)), n, some, 85)
+        assert got[true.any(axis=1)].all() and not got[-8:-1].any()
+    assert not minhash.with_possible_partner(sketches, np.zeros(len(n)), n, None, 85).any()
+    monkeypatch.setattr(minhash, "SLICE", 50)
+    assert (minhash.parity_sketches(sets[0], at[:2]) == sketches[:1]).all()
