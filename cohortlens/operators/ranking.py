@@ -51,13 +51,15 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_value", by: list[str] | None =
     """Adds the step-up false discovery rate, within ``by`` or over the whole frame; null p-values are no hypotheses and have none.
 
     Equal p-values have equal rates, so what is ordered are the distinct ones with their counts. Over a whole frame they are
-    sorted by ranges: sums and minima within the ranges, and one row for each range to go on from.
+    sorted by ranges: sums and minima within the ranges, and one row for each range to go on from. The rows are written first: rates
+    come back by the p-value, and one that is computed twice, from sums of doubles in another order, may differ in its last bit.
     """
     if by:
         w = Window.partitionBy(*by)
         k = F.count(p).over(w.orderBy(p).rangeBetween(Window.unboundedPreceding, 0))
         ranked = df.withColumn("_q", F.least(F.lit(1.0), F.col(p) * F.count(p).over(w) / k))
         return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.min("_q").over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))).drop("_q")
+    df = materialize(df)
     counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
     parts = materialize(counts.repartitionByRange("_p").withColumn("_part", F.spark_partition_id()))
     own = Window.partitionBy("_part")

@@ -34,6 +34,16 @@ def test_benjamini_hochberg(spark):
     assert [round(r["fdr"], 12) for r in ranking.benjamini_hochberg(df).orderBy("i").collect()] == [0.03, 0.04, 0.04]
 
 
+def test_benjamini_hochberg_of_values_that_differ_when_computed_again(spark):
+    """Sums of doubles end in another bit when their parts come in another order."""
+    p = F.udf(lambda i: (i + 1 + random.random()) / 40, "double").asNondeterministic()
+    rows = ranking.benjamini_hochberg(spark.range(30).withColumn("p_value", p("id"))).collect()
+    assert len(rows) == 30 and all(r["fdr"] is not None for r in rows)
+    ordered = sorted(r["p_value"] for r in rows)
+    for r in rows:
+        assert abs(r["fdr"] - min(1.0, *(q * 30 / k for k, q in enumerate(ordered, 1) if q >= r["p_value"]))) < 1e-12
+
+
 def test_percentile_rank_of_one(spark):
     df = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("b", 3)], "g string, v int")
     got = [(r["g"], r["percentile"]) for r in ranking.percentile_rank(df, [F.col("v")], ["g"]).orderBy("g", "v").collect()]
