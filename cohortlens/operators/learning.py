@@ -475,17 +475,8 @@ def inner_folds(families: DataFrame, outer: int, inner: int) -> DataFrame:
     return placed.join(lists, "family", "left").select("family", "outer", F.transform(F.sequence(F.lit(0), F.lit(outer - 1)), lambda f: F.coalesce(F.try_element_at("_m", f), F.lit(-1))).alias("inner"))
 
 
-def _trained(base: DataFrame, fits: list[dict], max_positives: int) -> list[dict]:
-    """The fits that have positives, each with its ``weights`` by feature and ``bias``: means over its bags.
-
-    A fit learns from ``max_positives`` of its positives and ``size`` unlabelled entries a bag, those with the smallest hashes of all.
-    """
-    draws: dict[tuple, int] = {}
-    uses = []
-    for fit in fits:
-        place = (fit["fold"], fit["k"])
-        uses.append((draws.setdefault((f"positives-{fit['fold']}-{fit['k']}", max_positives, 1, place), len(draws)), fit["fit"], -1))
-        uses += [(draws.setdefault((f"{fit['salt']}|{bag}", fit["size"], 0, None), len(draws)), fit["fit"], bag) for bag in range(fit["bags"])]
+def _drawn(base: DataFrame, draws: dict[tuple, int]) -> DataFrame:
+    """(draw, name): for each draw (salt, size, positive or not, outer and inner fold it leaves out) the names with the smallest hashes of all."""
 
     def smallest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, pd.DataFrame] = {}
@@ -501,13 +492,25 @@ def _trained(base: DataFrame, fits: list[dict], max_positives: int) -> list[dict
         for draw, rows in best.items():
             yield rows.assign(draw=draw)[["draw", "hash", "name"]]
 
-    spark = base.sparkSession
-    sizes = spark.createDataFrame([(i, key[1]) for key, i in draws.items()], "draw int, size int")
-    used = spark.createDataFrame(uses, "draw int, fit int, bag int")
+    sizes = base.sparkSession.createDataFrame([(i, key[1]) for key, i in draws.items()], "draw int, size int")
     found = base.select("name", "positive", "outer", "inner").mapInPandas(smallest, "draw int, hash long, name string").join(F.broadcast(sizes), "draw")
     w = Window.partitionBy("draw").orderBy("hash", "name")
-    drawn = found.withColumn("_k", F.row_number().over(w)).where("_k <= size").select("draw", "name")
-    rows = materialize(drawn.join(base.select("name", "sequence", "family", "evidence"), "name"))
+    return found.withColumn("_k", F.row_number().over(w)).where("_k <= size").select("draw", "name")
+
+
+def _trained(base: DataFrame, fits: list[dict], max_positives: int) -> list[dict]:
+    """The fits that have positives, each with its ``weights`` by feature and ``bias``: means over its bags.
+
+    A fit learns from ``max_positives`` of its positives and ``size`` unlabelled entries a bag, those with the smallest hashes of all.
+    """
+    draws: dict[tuple, int] = {}
+    uses = []
+    for fit in fits:
+        place = (fit["fold"], fit["k"])
+        uses.append((draws.setdefault((f"positives-{fit['fold']}-{fit['k']}", max_positives, 1, place), len(draws)), fit["fit"], -1))
+        uses += [(draws.setdefault((f"{fit['salt']}|{bag}", fit["size"], 0, None), len(draws)), fit["fit"], bag) for bag in range(fit["bags"])]
+    used = base.sparkSession.createDataFrame(uses, "draw int, fit int, bag int")
+    rows = materialize(_drawn(base, draws).join(base.select("name", "sequence", "family", "evidence"), "name"))
     spec = {f["fit"]: f for f in fits}
 
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -651,7 +654,7 @@ def _percentiles(base: DataFrame, scored: list[dict], scorer) -> DataFrame:  # n
         held, own = column(mine, "scores", np.float64), column(mine, "families", np.int32)
         above, tied, mates, same = _counted(s, f, count, held, own)
         names = [x for row in mine["names"] for x in row]
-        found = pd.DataFrame({"family_id": own, "name": names, "greater": above, "tied": tied, "own_greater": mates, "own_tied": same})
+        found = pd.DataFrame({"family_id": own, "name": np.array(names, object), "greater": above, "tied": tied, "own_greater": mates, "own_tied": same})
         if ranges > 1:  # what ranges below have to add; of all under -2
             kinds = np.unique(np.r_[f, own])
             sums = np.bincount(np.searchsorted(kinds, f), count, len(kinds)).astype(np.int64)
@@ -676,6 +679,18 @@ def _percentiles(base: DataFrame, scored: list[dict], scorer) -> DataFrame:  # n
     return held.join(families, "family_id").select("fit", "name", "family", (1 - worse / pool).alias("percentile"))
 
 
+def _in_folds(entries: DataFrame, outer: int, inner: int) -> tuple[DataFrame, int]:
+    """The entries, written, with numbers of the positives' families, their outer and inner folds (-1: none), and how many outer folds there are."""
+    base = entries.select("name", "sequence", "family", F.col("positive").cast("int").alias("positive"), F.col("evidence").cast("double").alias("evidence"))
+    folds = materialize(inner_folds(base.where("positive = 1"), outer, inner).coalesce(1).withColumn("family_id", F.monotonically_increasing_id().cast("int")))
+    none, mine = F.array_repeat(F.lit(-1), outer), F.col("positive") == 1
+    base = base.join(F.broadcast(folds), "family", "left").withColumns({
+        "outer": F.when(mine, F.col("outer")).otherwise(-1), "inner": F.when(mine, F.col("inner")).otherwise(none), "family_id": F.coalesce("family_id", F.lit(-1)),
+    })
+    base = materialize(base)
+    return base, (base.where("positive = 1").agg(F.max("outer")).first()[0] or 0) + 1
+
+
 VALIDATED = "fold long, config string, inner_score double, name string, family string, scorer string, percentile double"
 
 
@@ -691,14 +706,7 @@ def nested_validation(
     :func:`ablation_summary` compares.
     """
     spark = entries.sparkSession
-    base = entries.select("name", "sequence", "family", F.col("positive").cast("int").alias("positive"), F.col("evidence").cast("double").alias("evidence"))
-    folds = materialize(inner_folds(base.where("positive = 1"), outer, inner).coalesce(1).withColumn("family_id", F.monotonically_increasing_id().cast("int")))
-    none, mine = F.array_repeat(F.lit(-1), outer), F.col("positive") == 1
-    base = base.join(F.broadcast(folds), "family", "left").withColumns({
-        "outer": F.when(mine, F.col("outer")).otherwise(-1), "inner": F.when(mine, F.col("inner")).otherwise(none), "family_id": F.coalesce("family_id", F.lit(-1)),
-    })
-    base = materialize(base)
-    count = (base.where("positive = 1").agg(F.max("outer")).first()[0] or 0) + 1
+    base, count = _in_folds(entries, outer, inner)
     if count < 2:
         return spark.createDataFrame([], VALIDATED)
     fits: list[dict] = []
@@ -741,6 +749,233 @@ def nested_validation(
     return out.join(F.broadcast(chosen), "fold").select((F.col("fold") + 1).alias("fold"), used, "inner_score", "name", "family", "scorer", "percentile")
 
 
+# --- fits over all positives ----------------------------------------------------------------------
+
+
+#: Rows whose features are looked at together in a fit over all positives.
+FIT_ROWS = 256
+
+
+class ContrastRows:
+    """Some training rows: full features, seeds, and a weight in each place (a fold and bag); adds up what they give to a step of all models there."""
+
+    def __init__(self, x: np.ndarray, mass: np.ndarray, seed: np.ndarray, y: np.ndarray, weight: np.ndarray):
+        self.x, self.y, self.weight = x, y, weight
+        order = np.argsort(seed, kind="stable")
+        self.seeded = order[seed[order] >= 0]  # rows whose seed some fold knows, in its order
+        own = seed[self.seeded]
+        self.mass, self.first = mass[self.seeded][:, None], np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else own
+        self.seed, self.kinds = own, own[self.first]
+
+    def presence(self, first: np.ndarray) -> np.ndarray:
+        """(places, features): the weight of the positives that have a feature, of the places named."""
+        return (self.weight[:, first] * self.y[:, None]).T @ (self.x > 0)
+
+    def add_gradient(self, fits: ContrastFits, out: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        n = len(fits.configs)
+        here = np.repeat(self.weight.any(axis=0), n)
+        use = np.flatnonzero(here)
+        z = np.tile(fits.bias[use], (len(self.x), 1))
+        parts = [(p, np.flatnonzero(m[use]), np.flatnonzero(m & here)) for p, m in fits.parts]
+        for p, at, models in parts:
+            z[:, at] += self.x[:, p] @ fits.w[p, models]
+        if len(self.seeded):
+            z[self.seeded] += self.mass * fits.s[self.seed][:, use]
+        e = np.repeat(self.weight, n, axis=1)[:, use] * (sigmoid(z) - self.y[:, None])
+        for p, at, models in parts:
+            out[0][p, models] += self.x[:, p].T @ e[:, at]
+        if len(self.seeded):
+            out[1][np.ix_(self.kinds, use)] += np.add.reduceat(self.mass * e[self.seeded], self.first, axis=0)
+        out[2][use] += e.sum(axis=0)
+
+
+class ContrastFits:
+    """Models of some places and configurations, a column each (by place, then configuration), as :func:`contrast_fit` takes them from step to step.
+
+    ``known`` says which seeds the positives of a place have, ``total`` is their evidence, ``drawn`` how many unlabelled entries its bag has.
+    """
+
+    def __init__(self, configs: tuple, known: np.ndarray, total: np.ndarray, drawn: np.ndarray, presence: np.ndarray):
+        self.configs, columns = configs, feature_columns(configs[0][1], "full")
+        names, n = list(columns), len(total)
+        own = [set(feature_columns(c[1], c[2])) for c in configs]
+        cuts = [0, *(i for i in range(1, len(names)) if [names[i] in o for o in own] != [names[i - 1] in o for o in own]), len(names)]
+        self.parts = [(slice(a, b), np.tile([names[a] in o for o in own], n)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        plain = np.array([f.startswith("composition:") for f in names])
+        # sums of the same weights in another order differ by less than 1e-9
+        wide = np.column_stack([(plain | (presence[place] >= c[6] - 1e-9)) & [f in o for f in names] for place in range(n) for c, o in zip(configs, own, strict=True)])
+        self.open, self.known = wide, np.repeat(known, len(configs), axis=1)
+        of = lambda i: np.tile([c[i] for c in configs], n)
+        self.l2, self.l1, ratio, whole = of(3), of(4), of(5), np.repeat(total, len(configs))
+        self.total = np.maximum(1.0, whole + whole * ratio * np.repeat(drawn > 0, len(configs)))
+        self.w, self.s, self.bias = np.zeros(wide.shape), np.zeros(self.known.shape), np.log((whole + 1) / (whole * ratio + 1))
+
+    def zeros(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(self.w.shape), np.zeros(self.s.shape), np.zeros(self.bias.shape)
+
+    def step(self, gradient: tuple[np.ndarray, np.ndarray, np.ndarray], epoch: int, rate: float = 0.8) -> None:
+        step = rate / np.sqrt(1 + epoch / 80)
+
+        def moved(w: np.ndarray, g: np.ndarray, kept: np.ndarray) -> np.ndarray:
+            w = w - step * (g / self.total + self.l2 * w)
+            return np.where(kept, np.sign(w) * np.maximum(0.0, np.abs(w) - step * self.l1), 0.0)
+
+        self.w, self.s = moved(self.w, gradient[0], self.open), moved(self.s, gradient[1], self.known)
+        self.bias = self.bias - step * gradient[2] / self.total
+
+
+def _packed_counts(x: np.ndarray, mass: np.ndarray, sizes: tuple[int, ...]) -> dict:
+    """Rows of full features as counts of few bytes: they are k-mer counts over a row's total, and quarters; composition is kept as it is."""
+    n = sum(4**k for k in sizes)
+    total = np.rint(2 / mass)
+    held = np.maximum(1, np.rint(x[:, :n] * total[:, None])[:, : sum(4**k for k in sizes if k <= 4)].sum(axis=1))
+    counts = np.column_stack([x[:, :n] * total[:, None], x[:, n + 7 : -672] * held[:, None], x[:, -672:] * 4])
+    kind = next(k for k in ("uint8", "uint16", "uint32") if counts.max(initial=0) <= np.iinfo(k).max)
+    return {"kind": kind, "counts": np.rint(counts).astype(kind).tobytes(), "plain": x[:, n : n + 7].tobytes(), "total": np.column_stack([total, held]).tobytes()}
+
+
+def _unpacked_counts(row: dict, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The same features and the values of the seeds."""
+    n = sum(4**k for k in sizes)
+    plain, total = np.frombuffer(row["plain"]).reshape(-1, 7), np.frombuffer(row["total"]).reshape(-1, 2)
+    counts = np.frombuffer(row["counts"], row["kind"]).reshape(len(plain), -1)
+    x = np.empty((len(plain), counts.shape[1] + 7))
+    np.divide(counts[:, :n], total[:, :1], out=x[:, :n])
+    x[:, n : n + 7] = plain
+    np.divide(counts[:, n:-672], total[:, 1:], out=x[:, n + 7 : -672])
+    np.divide(counts[:, -672:], 4.0, out=x[:, -672:])
+    return x, 2 / total[:, 0]
+
+
+def _whole_fits(base: DataFrame, count: int, configs: tuple, bags: int, size: int, epochs: int, salt: str, held_bytes: int = HELD_BYTES) -> list[dict]:
+    """The models of every outer fold and configuration, each from all positives of the other folds and its bags: no fit leaves a positive out.
+
+    ``salt`` names a fold's bags by {fold}, from 1. Configurations share their k-mer sizes. Rows of a fold that take no more than ``held_bytes`` are held by one task for all epochs;
+    more are dealt over the cluster as packed counts, and an epoch of all models is one job, a row a task, whose step the driver takes. Both give the same models.
+    """
+    spark, sizes = base.sparkSession, configs[0][1]
+    if {c[1] for c in configs} != {sizes} or 4 < max(sizes):
+        raise ValueError("configurations must share k-mer sizes of up to 4")
+    places = [(fold, bag) for fold in range(count) for bag in range(bags)]
+    positives = base.where("positive = 1")
+    mates = positives.groupBy("family").agg(F.count("*").alias("mates"))
+    mine = positives.join(mates, "family").select("name", "sequence", "outer", F.lit(-1).alias("draw"), F.col("evidence"), (F.col("evidence") / F.col("mates")).alias("balanced"))
+    draws = {(f"{salt.format(fold=fold + 1)}|{bag}", size, 0, None): i for i, (fold, bag) in enumerate(places)}
+    rest = _drawn(base, draws).join(base.select("name", "sequence"), "name").select("name", "sequence", F.lit(-1).alias("outer"), "draw", F.lit(0.0).alias("evidence"), F.lit(0.0).alias("balanced"))
+    seed = F.substring("sequence", 2, 7).alias("seed")
+    rows = materialize(mine.unionByName(rest).select("*", seed))
+    facts = {(r["outer"], r["draw"]): r for r in rows.groupBy("outer", "draw").agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence"), F.sum("balanced").alias("balanced")).collect()}
+    over = lambda name, fold: sum(r[name] for (outer, draw), r in sorted(facts.items()) if draw < 0 and outer != fold)
+    total = np.array([over("evidence", fold) for fold, _ in places])
+    scale = total / np.array([max(1e-12, over("balanced", fold)) for fold, _ in places])
+    drawn = np.array([facts[-1, i]["n"] if (-1, i) in facts else 0 for i in range(len(places))])
+    ratio = {c[5] for c in configs}
+    if len(ratio) != 1:
+        raise ValueError("configurations must share the weight of unlabelled entries")
+    light = total * ratio.pop() / np.maximum(1, drawn)
+    seeds = rows.where("draw < 0").select("seed", "outer").distinct().collect()  # seeds have up to seven letters
+    names = {s: i for i, s in enumerate(sorted({r["seed"] for r in seeds}))}
+    known = np.zeros((len(names), len(places)), bool)
+    for r in seeds:
+        known[names[r["seed"]]] |= [fold != r["outer"] for fold, _ in places]
+
+    def chunks(pdf: pd.DataFrame) -> Iterator[tuple]:
+        """(features, seed values, seeds, labels, weights by place) of the rows, some at a time."""
+        for begin in range(0, len(pdf), FIT_ROWS):
+            some = pdf.iloc[begin : begin + FIT_ROWS]
+            outer, draw = some["outer"].to_numpy()[:, None], some["draw"].to_numpy()[:, None]
+            x, mass = dense_features(some["sequence"].tolist(), sizes, "full")
+            weight = np.where(draw < 0, some["balanced"].to_numpy()[:, None] * scale * (outer != [fold for fold, _ in places]), light * (draw == np.arange(len(places))))
+            yield x, mass, np.array([names.get(s, -1) for s in some["seed"]], np.int64), (draw[:, 0] < 0).astype(float), weight
+
+    def described(fits: ContrastFits, some: list[int]) -> list[tuple]:
+        """(fold, configuration, means over the bags) of the places."""
+        out, n = [], len(fits.configs)
+        for fold in sorted({places[i][0] for i in some}):
+            for c in range(n):
+                at = [j * n + c for j, i in enumerate(some) if places[i][0] == fold]
+                out.append((fold, c, fits.w[:, at].mean(axis=1).tobytes(), fits.s[:, at].mean(axis=1).tobytes(), float(fits.bias[at].mean()), fits.open[:, at[0]].tobytes(), fits.known[:, at[0]].tobytes()))
+        return out
+
+    kind = "fold int, config int, w binary, s binary, bias double, open binary, known binary"
+    largest = max(sum(r["n"] for (outer, draw), r in facts.items() if (draw < 0 and outer != fold) or (draw >= 0 and places[draw][0] == fold)) for fold in range(count))
+    if 8 * largest * len(feature_columns(sizes, "full")) <= held_bytes:
+
+        def fit_fold(pdf: pd.DataFrame) -> pd.DataFrame:
+            some = [i for i, (fold, _) in enumerate(places) if fold == pdf["fold"].iloc[0]]
+            held = [ContrastRows(*c[:4], c[4][:, some]) for c in chunks(pdf.sort_values(["draw", "name"]))]
+            presence = np.repeat(sum(c.presence(np.array([0])) for c in held), len(some), axis=0)
+            fits = ContrastFits(configs, known[:, some], total[some], drawn[some], presence)
+            for epoch in range(epochs):
+                gradient = fits.zeros()
+                for c in held:
+                    c.add_gradient(fits, gradient)
+                fits.step(gradient, epoch)
+            return pd.DataFrame(described(fits, some), columns=[c.split()[0] for c in kind.split(", ")])
+
+        fold_of = F.array(*(F.lit(fold) for fold, _ in places))
+        dealt = rows.withColumn("fold", F.explode(F.when(F.col("draw") < 0, F.array_except(F.sequence(F.lit(0), F.lit(count - 1)), F.array("outer"))).otherwise(F.array(F.element_at(fold_of, F.greatest("draw", F.lit(0)) + 1)))))
+        found = dealt.repartition(count, "fold").groupBy("fold").applyInPandas(fit_fold, kind).collect()
+    else:
+
+        def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                for x, mass, seed, y, weight in chunks(pdf):
+                    yield pd.DataFrame([{**_packed_counts(x, mass, sizes), "seed": seed.tobytes(), "y": y.tobytes(), "weight": weight.tobytes()}])
+
+        stored = rows.repartitionByRange("draw", "outer", "seed", "name").sortWithinPartitions("draw", "outer", "seed", "name")
+        stored = materialize(stored.mapInPandas(pack, "kind string, counts binary, plain binary, total binary, seed binary, y binary, weight binary"))
+        stored = stored.coalesce(spark.sparkContext.defaultParallelism)
+        read = lambda batch: (ContrastRows(*_unpacked_counts(r, sizes), np.frombuffer(r["seed"], np.int64), np.frombuffer(r["y"]), np.frombuffer(r["weight"]).reshape(-1, len(places))) for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+        first = np.arange(0, len(places), bags)
+
+        def count_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((count, len(feature_columns(sizes, "full"))))
+            for batch in batches:
+                for c in read(batch):
+                    out += c.presence(first)
+            yield pa.RecordBatch.from_pydict({"p": [out.tobytes()]})
+
+        presence = sum(np.frombuffer(r["p"]) for r in stored.mapInArrow(count_presence, "p binary").collect()).reshape(count, -1)
+        fits = ContrastFits(configs, known, total, drawn, np.repeat(presence, bags, axis=0))
+        for epoch in range(epochs):
+            sent = spark.sparkContext.broadcast(fits)
+
+            def add(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+                out = sent.value.zeros()
+                for batch in batches:
+                    for c in read(batch):
+                        c.add_gradient(sent.value, out)
+                yield pa.RecordBatch.from_pydict({n: [g.tobytes()] for n, g in zip(("w", "s", "b"), out, strict=True)})
+
+            got = stored.mapInArrow(add, "w binary, s binary, b binary").collect()  # a row a task
+            fits.step(tuple(sum(np.frombuffer(r[n]) for r in got).reshape(z.shape) for n, z in zip(("w", "s", "b"), fits.zeros(), strict=True)), epoch)
+            sent.destroy()
+        found = spark.createDataFrame(described(fits, list(range(len(places)))), kind).collect()
+    models, columns, texts = [], list(feature_columns(sizes, "full")), list(names)
+    for r in sorted(found, key=lambda r: (r["fold"], r["config"])):
+        weights = {f: v for f, v, o in zip(columns, np.frombuffer(r["w"]).tolist(), np.frombuffer(r["open"], bool).tolist(), strict=True) if o}
+        weights |= {f"seed:{s}": v for s, v, o in zip(texts, np.frombuffer(r["s"]).tolist(), np.frombuffer(r["known"], bool).tolist(), strict=True) if o}
+        models.append({"fit": len(models), "fold": r["fold"], "k": None, "config": configs[r["config"]], "weights": weights, "bias": r["bias"]})
+    return models
+
+
+def ablation_validation(entries: DataFrame, outer: int = 5, bags: int = 3, size: int = 650, epochs: int = 150, ablations: tuple = ABLATIONS, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """(fold, config, name, family, scorer, percentile) of the paired ablation alone: the same folds, bags and salts as in :func:`nested_validation`, but all positives of the other folds are learnt from.
+
+    The ablation takes nothing from the selection, so no inner fits are made. Every positive is scored against all background. :func:`ablation_summary` compares.
+    """
+    spark = entries.sparkSession
+    base, count = _in_folds(entries, outer, 1)
+    if count < 2:
+        return spark.createDataFrame([], VALIDATED).drop("inner_score")
+    models = _whole_fits(base, count, ablations, bags, size, epochs, "outer-feature-ablation-{fold}", held_bytes)
+    linear = _linear_scorer(models)
+    named = spark.createDataFrame([(m["fit"], m["fold"] + 1, m["config"][0], f"ablation:{m['config'][2]}") for m in models], "fit int, fold long, config string, scorer string")
+    found = _percentiles(base, models, lambda pdf: linear(pdf["sequence"].tolist()))
+    return materialize(found.join(F.broadcast(named), "fit").select("fold", "config", "name", "family", "scorer", "percentile"))
+
+
 def ablation_summary(validated: DataFrame, bootstraps: int = 4000, flips: int = 10_000) -> DataFrame:
     """One row a representation of the ablation: family mean with its bootstrap intervals, and its paired comparison with core, BH over those."""
     families = materialize(validated.where(F.col("scorer").startswith("ablation:")).groupBy(F.substring_index("scorer", ":", -1).alias("blocks"), "family").agg(F.avg("percentile").alias("p")))

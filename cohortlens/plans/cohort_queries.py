@@ -311,5 +311,5 @@ def one_class_ranking(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def ablation_comparison(spark: SparkSession, d: str) -> DataFrame:
     """The five representations of the ablation: family means with intervals, and their paired comparison with core."""
-    out = learning.ablation_summary(learning.nested_validation(curated(spark, d), configs=learning.CONFIGS[:1]))
+    out = learning.ablation_summary(learning.ablation_validation(curated(spark, d)))
     return out.select("blocks", "families", r6("mean_percentile", "mean_percentile"), r6("mean_delta", "mean_delta"), r6("p_value", "p_value"), r6("fdr", "fdr"))

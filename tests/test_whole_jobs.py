@@ -5,7 +5,7 @@ import pytest
 
 from cohortlens.functions.hashing import counter_uniform_np
 from cohortlens.operators import learning
-from cohortlens.plans import queries
+from cohortlens.plans import cohort_queries, queries
 
 TEXTS = {1: "GATTACA" * 10, 2: "GATTACA" * 4 + "CCCC", 3: "acgt! " * 2, 4: "ac", 5: "xyz", 6: None, 7: "GGUUAACC" * 6}
 
@@ -221,3 +221,55 @@ def test_out_of_bag_ranking_agrees_with_one_process(spark):
         share = x[i] * np.mean([e.weights[b] for b in use], axis=0)
         best = [e.vocabulary[j] for j in np.argsort(-share, kind="stable")[:10] if share[j] > 0]
         assert got[n]["features"] == best
+
+
+def whole_ablation(entries, configs, outer, bags, size, epochs):
+    """The ablation in one process, fitted on all positives of the other folds: {(fold, scorer, name): percentile}."""
+    positives, background = entries[entries["positive"] == 1], entries[entries["positive"] == 0]
+    ordered = sorted(set(positives["family"]), key=lambda f: (learning.fnv1a_py(f"outer|{f}"), f))
+    at, out = positives["family"].map({f: i % outer for i, f in enumerate(ordered)}), {}
+    for fold in range(outer):
+        train, held = positives[at != fold], positives[at == fold]
+        for c in configs:
+            e = learning.Ensemble(train, background, c, bags, size, epochs, f"outer-feature-ablation-{fold + 1}")
+            theirs = np.round(e.consensus(background["sequence"]), 10)
+            for n, f, s in zip(held["name"], held["family"], np.round(e.consensus(held["sequence"]), 10), strict=True):
+                t = theirs[(background["family"] != f).to_numpy()]
+                out[fold + 1, f"ablation:{c[2]}", n] = 1 - ((t > s).sum() + (t == s).sum() / 2) / max(1, len(t))
+    return out
+
+
+@pytest.mark.parametrize("held_bytes", [learning.HELD_BYTES, 0])
+def test_ablation_agrees_with_one_process(spark, held_bytes, monkeypatch):
+    """Held by a task for each fold, and as packed rows with a job for each epoch; some sequences count over 255 of a k-mer, some have no seed of seven letters."""
+    monkeypatch.setattr(learning, "FIT_ROWS", 16)
+    r = np.random.default_rng(11)
+    rows = []
+    for i in range(90):
+        s = "".join(r.choice(list("ACGU"), int(r.integers(9, 60))))
+        s = s[:1] + ("GAGGUAG", "CCCUGAG", "AAAGUGC", "UUAGGCA")[i % 4] + s[8:] if i < 20 else {88: "GA", 89: s + "AC" * 700, 30: s + "U" * 300}.get(i, s)
+        rows.append((f"m{i:03d}", s, s[1:8], int(i < 40 or i > 87), 1.0 + 0.137 * (i % 5)))
+    entries = spark.createDataFrame(rows, "name string, sequence string, family string, positive int, evidence double")
+    options = {"outer": 3, "bags": 2, "size": 25, "epochs": 15}
+    want = whole_ablation(entries.toPandas(), learning.ABLATIONS, **options)
+    got = {(x["fold"], x["scorer"], x["name"]): x["percentile"] for x in learning.ablation_validation(entries, held_bytes=held_bytes, **options).collect()}
+    assert got.keys() == want.keys() and len(got) == 42 * 5 and all(abs(got[k] - p) < 1e-9 for k, p in want.items())
+
+
+def test_ablation_learns_from_every_positive(spark, tmp_path):
+    """Over 500 positives in every fit."""
+    r = np.random.default_rng(12)
+    texts = ["".join(r.choice(list("ACGT"), int(r.integers(12, 40)), p=[0.3, 0.2, 0.2, 0.3] if i < 700 else [0.25] * 4)) for i in range(780)]
+    d = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 700)) for i in range(780)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    got = {x["blocks"]: x for x in cohort_queries.ablation_comparison(spark, d).collect()}
+    entries = queries.curated(spark, d).toPandas()
+    assert (entries["positive"] == 1).sum() * 4 // 5 > 500
+    want = whole_ablation(entries, learning.ABLATIONS[:1], 5, 3, 650, 150)
+    by = entries.set_index("name")["family"]
+    families = {}
+    for (_, _, name), p in want.items():
+        families.setdefault(by[name], []).append(p)
+    assert got["core"]["families"] == len(families) and abs(got["core"]["mean_percentile"] - np.mean([np.mean(p) for p in families.values()])) < 2e-6
+    assert set(got) == {c[2] for c in learning.ABLATIONS}
