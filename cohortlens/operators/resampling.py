@@ -6,42 +6,53 @@ independent rows: no sequential state, any partitioning gives the same numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import counter_uniform, counter_uniform_at
+from ..functions.hashing import counter_uniform_at
 from ..storage import materialize
 from .ranking import running_total
 
 
-def _numbered(values: DataFrame, order: str, value: str) -> tuple[DataFrame, int]:
-    """(k, value) with k from 0 in the order of a key; the frame is a ranking of families, bounded by the caller."""
+def _numbered(values: DataFrame, order: str, value: str) -> tuple[np.ndarray, bool]:
+    """The values in the order of a key, and whether one is null; the frame is a ranking of families, bounded by the caller."""
     packed = values.agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(value).alias("v")))).alias("a")).select(F.transform("a", lambda x: x["v"]).alias("vs"))
-    n = packed.select(F.size("vs")).first()[0]
-    return packed, n
+    vs = packed.first()["vs"]
+    return np.array(vs, float), None in vs
 
 
-def _iterations(packed: DataFrame, n: int, iterations: int) -> DataFrame:
-    spark = packed.sparkSession
-    return spark.range(iterations).withColumnRenamed("id", "iteration").join(F.broadcast(packed)) if n else spark.range(0).withColumnRenamed("id", "iteration").join(packed)
+def _drawn(spark: SparkSession, vs: np.ndarray, gaps: bool, seed: int, iterations: int, take: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """(iteration, mean, recall): the mean over all positions of what ``take`` makes of a draw there, and the share of 0.9 and more.
 
+    Iterations are dealt over tasks; positions are added one after another, for many iterations at once, so sums are those of a loop.
+    """
+    n = len(vs)
+    if not n:
+        return spark.range(0).select(F.col("id").alias("iteration"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("recall"))
 
-def bootstrap_means(values: DataFrame, order: str, value: str, seed: int, iterations: int) -> DataFrame:
-    """(iteration, mean, recall): means of n draws with replacement and their share of values of 0.9 and more."""
-    packed, n = _numbered(values, order, value)
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.column(0).to_numpy()
+            total, hits = np.zeros(len(some)), np.zeros(len(some), np.int64)
+            for j in range(n):
+                x = take(counter_uniform_at(seed, some * n + j), j)
+                total += x
+                hits += x >= 0.9
+            mean = total / n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean, mask=np.isnan(mean) if gaps else None), pa.array(hits / n)], ["iteration", "mean", "recall"])
 
-    def pick(j: Column) -> Column:
-        u = counter_uniform(seed, F.col("iteration") * n + j)
-        return F.element_at("vs", F.floor(u * n).cast("int") + 1)
+    tasks = max(1, min(iterations, -(-iterations * n // FEW_DRAWS)))
+    return spark.range(0, iterations, 1, tasks).withColumnRenamed("id", "iteration").mapInArrow(draw, "iteration long, mean double, recall double")
 
-    drawn = _iterations(packed, n, iterations).withColumn("d", F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), pick))
-    total = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
-    hits = F.size(F.filter("d", lambda x: x >= 0.9))
-    return drawn.select("iteration", (total / n).alias("mean"), (hits / n).alias("recall"))
+
+def bootstrap_means(values: DataFrame, order: str, value: str, seed: int, iterations: int) -> DataFrame:
+    """(iteration, mean, recall): means of n draws with replacement and their share of values of 0.9 and more."""
+    vs, gaps = _numbered(values, order, value)
+    return _drawn(values.sparkSession, vs, gaps, seed, iterations, lambda u, j: vs[np.floor(u * len(vs)).astype(np.int64)])
 
 
 def bootstrap_interval(values: DataFrame, order: str, value: str, seed: int = 0x54C043, iterations: int = 4000) -> DataFrame:
@@ -55,6 +66,8 @@ def bootstrap_interval(values: DataFrame, order: str, value: str, seed: int = 0x
 
 #: Draws that a task makes at a time, draws of one piece of a family, and draws of one task, about.
 DRAWS, PIECE, TASK_DRAWS = 1 << 20, 1 << 16, 1 << 27
+#: The same of a task that bootstraps or flips.
+FEW_DRAWS = 1 << 23
 
 
 def random_ranking_test(counts: DataFrame, order: str, count: str, observed_mean: float, observed_hits: int, seed: int = 0x50A17E, iterations: int = 10_000) -> DataFrame:
@@ -121,17 +134,11 @@ def _bounded(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def paired_comparison(deltas: DataFrame, order: str, delta: str, bootstrap_seed: int, flip_seed: int, bootstraps: int = 4000, flips: int = 10_000) -> DataFrame:
     """One row: mean paired difference, its bootstrap interval, two-sided sign-flip p-value, and families improved, tied and worsened."""
-    packed, n = _numbered(deltas, order, delta)
+    vs, gaps = _numbered(deltas, order, delta)
     boot = bootstrap_means(deltas, order, delta, bootstrap_seed, bootstraps).agg(F.percentile("mean", 0.025).alias("ci_low"), F.percentile("mean", 0.975).alias("ci_high"))
-    base = packed.withColumn("observed", F.aggregate("vs", F.lit(0.0), lambda a, x: a + x) / n)
-
-    def flipped(j: Column) -> Column:
-        v = F.element_at("vs", j + 1)
-        return F.when(counter_uniform(flip_seed, F.col("iteration") * n + j) < 0.5, v).otherwise(-v)
-
-    rows = _iterations(base, n, flips)
-    mean = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), flipped), F.lit(0.0), lambda a, x: a + x) / n
-    p = rows.agg(((F.count_if(F.abs(mean) >= F.abs("observed")) + 1) / (flips + 1)).alias("p_value"))
+    observed = abs(float(np.cumsum(vs)[-1] / len(vs))) if len(vs) else 0.0  # one after another, as the draws
+    flipped = _drawn(deltas.sparkSession, vs, gaps, flip_seed, flips, lambda u, j: np.where(u < 0.5, vs[j], -vs[j]))
+    p = flipped.agg(((F.count_if(F.abs("mean") >= observed) + 1) / (flips + 1)).alias("p_value"))
     x = F.col(delta)
     counts = deltas.agg(F.avg(x).alias("mean_delta"), F.count_if(x > 1e-12).alias("improved"), F.count_if(F.abs(x) <= 1e-12).alias("tied"), F.count_if(x < -1e-12).alias("worsened"))
     return counts.join(F.broadcast(boot)).join(F.broadcast(p))

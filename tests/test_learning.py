@@ -1,8 +1,10 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.functions.hashing import counter_uniform_np
+from cohortlens.functions.hashing import counter_uniform_at, counter_uniform_np
 from cohortlens.operators import checks, learning, matching, resampling, sequences
 from cohortlens.plans import pipelines
 from cohortlens.streaming import scoring
@@ -136,6 +138,21 @@ def test_resampling(spark, monkeypatch):
     assert abs(got["p_mean"] - ((fam.mean(1) >= 0.5).sum() + 1) / 41) < 1e-9 and abs(got["p_recall"] - (((fam >= 0.9).sum(1) >= 1).sum() + 1) / 41) < 1e-9
 
 
+def test_paired_comparison_of_many_families_takes_seconds(spark):
+    """14,000 iterations over 1,500 families; sums are those of a loop over the families, as are ties with what was observed."""
+    vs = np.round(np.random.default_rng(6).normal(0.01, 0.4, 1500), 2)
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(vs)], "k int, v double").repartition(3)
+    begun = time.monotonic()
+    got = resampling.paired_comparison(df, "k", "v", 8, 9).first()
+    assert time.monotonic() - begun < 60
+    total = np.zeros(10_000)
+    for j, v in enumerate(vs):
+        total += np.where(counter_uniform_at(9, np.arange(10_000) * 1500 + j) < 0.5, v, -v)
+    assert got["p_value"] == ((np.abs(total / 1500) >= abs(np.cumsum(vs)[-1] / 1500)).sum() + 1) / 10_001
+    drawn = vs[(counter_uniform_np(8, 4000 * 1500) * 1500).astype(int)].reshape(4000, 1500).mean(axis=1)
+    assert abs(got["ci_low"] - np.quantile(drawn, 0.025)) < 1e-9 and abs(got["ci_high"] - np.quantile(drawn, 0.975)) < 1e-9
+
+
 def test_checks_and_joins(spark):
     a = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "k string, v int")
     b = spark.createDataFrame([("x",), ("z",)], "k string")
