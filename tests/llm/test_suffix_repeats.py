@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from cohortlens.llm import common
 from cohortlens.llm import suffix_repeats as S
 
 
@@ -122,3 +123,27 @@ def test_maximal_repeats_are_maximal():
                     if len(at) > 1 and (len(right) > 1 or ends > 1) and (len(left) > 1 or begins > 1):
                         want.add((w, len(at)))
         assert got == want
+
+
+def test_repeat_groups_keep_few_tables_and_no_texts(spark, prose, monkeypatch):
+    """A table goes when the next one is made of it, and texts are read where they lie, so disk is that of the largest step."""
+    alive, columns, new, write = [], set(), common.new_folder, S.materialize
+
+    def folder(session):
+        path = new(session)
+        alive.append(len(common._written))
+        return path
+
+    def materialize(df):
+        columns.update(df.columns)
+        return write(df)
+
+    before = common.written()
+    monkeypatch.setattr(common, "new_folder", folder)
+    monkeypatch.setattr(S, "materialize", materialize)
+    monkeypatch.setattr(S, "CHUNK", 2)
+    p, q = prose(1, 90), prose(2, 90)
+    texts = [p + q, q + p, p, p, prose(3, 60) + q[:300], None, ""]
+    got = S.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert got and "text" not in columns
+    assert max(alive) - before <= 6 and common.written() - before == 1
