@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import CongruentialDraws, fnv1a, fnv1a_np, fnv1a_py
-from ..storage import materialize
+from ..llm.common import WORKER_ENVIRONMENT
+from ..storage import large_rows, materialize
 from .ranking import auc, benjamini_hochberg, global_rank, hash_bags
 from .resampling import bootstrap_interval, paired_comparison
 
@@ -752,8 +753,8 @@ def nested_validation(
 # --- fits over all positives ----------------------------------------------------------------------
 
 
-#: Rows whose features are looked at together in a fit over all positives.
-FIT_ROWS = 256
+#: Rows whose features are looked at together in a fit over all positives, and bytes of a fold's features and sequences up to which one task holds them.
+FIT_ROWS, FOLD_BYTES = 256, 320 << 20
 
 
 class ContrastRows:
@@ -847,7 +848,7 @@ def _unpacked_counts(row: dict, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.
     return x, 2 / total[:, 0]
 
 
-def _whole_fits(base: DataFrame, count: int, configs: tuple, bags: int, size: int, epochs: int, salt: str, held_bytes: int = HELD_BYTES) -> list[dict]:
+def _whole_fits(base: DataFrame, count: int, configs: tuple, bags: int, size: int, epochs: int, salt: str, held_bytes: int = FOLD_BYTES) -> list[dict]:
     """The models of every outer fold and configuration, each from all positives of the other folds and its bags: no fit leaves a positive out.
 
     ``salt`` names a fold's bags by {fold}, from 1. Configurations share their k-mer sizes. Rows of a fold that take no more than ``held_bytes`` are held by one task for all epochs;
@@ -864,7 +865,7 @@ def _whole_fits(base: DataFrame, count: int, configs: tuple, bags: int, size: in
     rest = _drawn(base, draws).join(base.select("name", "sequence"), "name").select("name", "sequence", F.lit(-1).alias("outer"), "draw", F.lit(0.0).alias("evidence"), F.lit(0.0).alias("balanced"))
     seed = F.substring("sequence", 2, 7).alias("seed")
     rows = materialize(mine.unionByName(rest).select("*", seed))
-    facts = {(r["outer"], r["draw"]): r for r in rows.groupBy("outer", "draw").agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence"), F.sum("balanced").alias("balanced")).collect()}
+    facts = {(r["outer"], r["draw"]): r for r in rows.groupBy("outer", "draw").agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence"), F.sum("balanced").alias("balanced"), F.sum(F.length("sequence")).alias("letters")).collect()}
     over = lambda name, fold: sum(r[name] for (outer, draw), r in sorted(facts.items()) if draw < 0 and outer != fold)
     total = np.array([over("evidence", fold) for fold, _ in places])
     scale = total / np.array([max(1e-12, over("balanced", fold)) for fold, _ in places])
@@ -898,8 +899,9 @@ def _whole_fits(base: DataFrame, count: int, configs: tuple, bags: int, size: in
         return out
 
     kind = "fold int, config int, w binary, s binary, bias double, open binary, known binary"
-    largest = max(sum(r["n"] for (outer, draw), r in facts.items() if (draw < 0 and outer != fold) or (draw >= 0 and places[draw][0] == fold)) for fold in range(count))
-    if 8 * largest * len(feature_columns(sizes, "full")) <= held_bytes:
+    row_bytes = 8 * len(feature_columns(sizes, "full"))
+    largest = max(sum(row_bytes * r["n"] + 2 * r["letters"] for (outer, draw), r in facts.items() if (draw < 0 and outer != fold) or (draw >= 0 and places[draw][0] == fold)) for fold in range(count))
+    if largest <= held_bytes:
 
         def fit_fold(pdf: pd.DataFrame) -> pd.DataFrame:
             some = [i for i, (fold, _) in enumerate(places) if fold == pdf["fold"].iloc[0]]
@@ -923,34 +925,35 @@ def _whole_fits(base: DataFrame, count: int, configs: tuple, bags: int, size: in
                 for x, mass, seed, y, weight in chunks(pdf):
                     yield pd.DataFrame([{**_packed_counts(x, mass, sizes), "seed": seed.tobytes(), "y": y.tobytes(), "weight": weight.tobytes()}])
 
-        stored = rows.repartitionByRange("draw", "outer", "seed", "name").sortWithinPartitions("draw", "outer", "seed", "name")
-        stored = materialize(stored.mapInPandas(pack, "kind string, counts binary, plain binary, total binary, seed binary, y binary, weight binary"))
-        stored = stored.coalesce(spark.sparkContext.defaultParallelism)
-        read = lambda batch: (ContrastRows(*_unpacked_counts(r, sizes), np.frombuffer(r["seed"], np.int64), np.frombuffer(r["y"]), np.frombuffer(r["weight"]).reshape(-1, len(places))) for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
-        first = np.arange(0, len(places), bags)
-
-        def count_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((count, len(feature_columns(sizes, "full"))))
-            for batch in batches:
-                for c in read(batch):
-                    out += c.presence(first)
-            yield pa.RecordBatch.from_pydict({"p": [out.tobytes()]})
-
-        presence = sum(np.frombuffer(r["p"]) for r in stored.mapInArrow(count_presence, "p binary").collect()).reshape(count, -1)
-        fits = ContrastFits(configs, known, total, drawn, np.repeat(presence, bags, axis=0))
-        for epoch in range(epochs):
-            sent = spark.sparkContext.broadcast(fits)
-
-            def add(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-                out = sent.value.zeros()
+        with large_rows(spark):
+            stored = rows.repartitionByRange("draw", "outer", "seed", "name").sortWithinPartitions("draw", "outer", "seed", "name")
+            stored = materialize(stored.mapInPandas(pack, "kind string, counts binary, plain binary, total binary, seed binary, y binary, weight binary"))
+            stored = stored.coalesce(spark.sparkContext.defaultParallelism)
+            read = lambda batch: (ContrastRows(*_unpacked_counts(r, sizes), np.frombuffer(r["seed"], np.int64), np.frombuffer(r["y"]), np.frombuffer(r["weight"]).reshape(-1, len(places))) for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+            first = np.arange(0, len(places), bags)
+
+            def count_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                out = np.zeros((count, len(feature_columns(sizes, "full"))))
                 for batch in batches:
                     for c in read(batch):
-                        c.add_gradient(sent.value, out)
-                yield pa.RecordBatch.from_pydict({n: [g.tobytes()] for n, g in zip(("w", "s", "b"), out, strict=True)})
+                        out += c.presence(first)
+                yield pa.RecordBatch.from_pydict({"p": [out.tobytes()]})
 
-            got = stored.mapInArrow(add, "w binary, s binary, b binary").collect()  # a row a task
-            fits.step(tuple(sum(np.frombuffer(r[n]) for r in got).reshape(z.shape) for n, z in zip(("w", "s", "b"), fits.zeros(), strict=True)), epoch)
-            sent.destroy()
+            presence = sum(np.frombuffer(r["p"]) for r in stored.mapInArrow(count_presence, "p binary").collect()).reshape(count, -1)
+            fits = ContrastFits(configs, known, total, drawn, np.repeat(presence, bags, axis=0))
+            for epoch in range(epochs):
+                sent = spark.sparkContext.broadcast(fits)
+
+                def add(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+                    out = sent.value.zeros()
+                    for batch in batches:
+                        for c in read(batch):
+                            c.add_gradient(sent.value, out)
+                    yield pa.RecordBatch.from_pydict({n: [g.tobytes()] for n, g in zip(("w", "s", "b"), out, strict=True)})
+
+                got = stored.mapInArrow(add, "w binary, s binary, b binary").collect()  # a row a task
+                fits.step(tuple(sum(np.frombuffer(r[n]) for r in got).reshape(z.shape) for n, z in zip(("w", "s", "b"), fits.zeros(), strict=True)), epoch)
+                sent.destroy()
         found = spark.createDataFrame(described(fits, list(range(len(places)))), kind).collect()
     models, columns, texts = [], list(feature_columns(sizes, "full")), list(names)
     for r in sorted(found, key=lambda r: (r["fold"], r["config"])):
@@ -960,12 +963,14 @@ def _whole_fits(base: DataFrame, count: int, configs: tuple, bags: int, size: in
     return models
 
 
-def ablation_validation(entries: DataFrame, outer: int = 5, bags: int = 3, size: int = 650, epochs: int = 150, ablations: tuple = ABLATIONS, held_bytes: int = HELD_BYTES) -> DataFrame:
+def ablation_validation(entries: DataFrame, outer: int = 5, bags: int = 3, size: int = 650, epochs: int = 150, ablations: tuple = ABLATIONS, held_bytes: int = FOLD_BYTES) -> DataFrame:
     """(fold, config, name, family, scorer, percentile) of the paired ablation alone: the same folds, bags and salts as in :func:`nested_validation`, but all positives of the other folds are learnt from.
 
     The ablation takes nothing from the selection, so no inner fits are made. Every positive is scored against all background. :func:`ablation_summary` compares.
     """
     spark = entries.sparkSession
+    for name, value in WORKER_ENVIRONMENT.items():
+        spark.sparkContext.environment.setdefault(name, value)
     base, count = _in_folds(entries, outer, 1)
     if count < 2:
         return spark.createDataFrame([], VALIDATED).drop("inner_score")

@@ -239,7 +239,7 @@ def whole_ablation(entries, configs, outer, bags, size, epochs):
     return out
 
 
-@pytest.mark.parametrize("held_bytes", [learning.HELD_BYTES, 0])
+@pytest.mark.parametrize("held_bytes", [learning.FOLD_BYTES, 0])
 def test_ablation_agrees_with_one_process(spark, held_bytes, monkeypatch):
     """Held by a task for each fold, and as packed rows with a job for each epoch; some sequences count over 255 of a k-mer, some have no seed of seven letters."""
     monkeypatch.setattr(learning, "FIT_ROWS", 16)
